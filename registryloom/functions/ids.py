@@ -20,8 +20,8 @@ def id_position(c: Column) -> Column:
 
 def registry_id(c: Column) -> Column:
     """First registry id in the text, upper case, or the no-code marker."""
-    found = F.regexp_extract(c, ID_PATTERN, 1)
-    return F.when(found != "", F.upper(found)).otherwise(F.lit(NO_CODE))
+    found = F.try_element_at(F.regexp_extract_all(c, F.lit(ID_PATTERN), F.lit(1)), F.lit(1))
+    return F.coalesce(F.upper(found), F.lit(NO_CODE))
 
 
 def has_no_code(c: Column) -> Column:

@@ -1,8 +1,14 @@
-"""Labels derived from trial columns."""
+"""Labels derived from trial columns.
+
+A filter on a tag moves below the projection that cleans its input and then repeats that input's
+expression for every mention. So each tag mentions its input as rarely as it can: values are
+looked up in a map, and word lists are searched in one pattern.
+"""
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Mapping
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -68,6 +74,7 @@ EUROPE = ["Western Europe"]
 ASIA_PACIFIC = ["Asia", "Australia/Oceania"]
 # Label by presence in (North America, Europe, Asia-Pacific).
 REGION_LABELS = {
+    (False, False, False): "Other",
     (True, False, False): "NA only",
     (False, True, False): "EU only",
     (False, False, True): "APAC only",
@@ -76,7 +83,18 @@ REGION_LABELS = {
     (False, True, True): "EU and APAC",
     (True, True, True): "Global",
 }
-OTHER_REGION = "Other"
+
+# Label by signs of an (interventional, observational) study.
+STUDY_TYPES = {
+    (False, False): "Unknown",
+    (True, False): "Interventional",
+    (False, True): "Observational",
+    (True, True): "Ambiguous",
+}
+
+# Tag by sponsor type in lower case.
+SPONSOR_TAGS = {"industry": "Industry", "academic": "Academic"}
+OTHER_SPONSOR = "Others"
 
 
 def text_blob(*columns: Column) -> Column:
@@ -84,31 +102,31 @@ def text_blob(*columns: Column) -> Column:
     return F.upper(F.concat_ws(" ", *[or_empty(c) for c in columns]))
 
 
+def _look_up(value: Column, labels: Mapping[str, str], default: str) -> Column:
+    pairs = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair])
+    return F.coalesce(F.try_element_at(pairs, value), F.lit(default))
+
+
+def _by_flags(flags: list[Column], labels: Mapping[tuple[bool, ...], str]) -> Column:
+    """The label of one combination of flags, each flag mentioned once."""
+    ordered = [F.lit(labels[key]) for key in product((False, True), repeat=len(flags))]
+    place = F.lit(1)
+    for i, flag in enumerate(reversed(flags)):
+        place = place + flag.cast("int") * 2**i
+    return F.element_at(F.array(*ordered), place)
+
+
 def study_type(blob: Column) -> Column:
-    inter, obs = matches(blob, INTERVENTIONAL), matches(blob, OBSERVATIONAL)
-    return (
-        F.when(inter & obs, "Ambiguous")
-        .when(inter, "Interventional")
-        .when(obs, "Observational")
-        .otherwise("Unknown")
-    )
+    return _by_flags([matches(blob, INTERVENTIONAL), matches(blob, OBSERVATIONAL)], STUDY_TYPES)
 
 
 def sponsor_tag(cleaned: Column) -> Column:
-    kind = F.lower(strip(cleaned))
-    return (
-        F.when(kind == "industry", "Industry")
-        .when(kind == "academic", "Academic")
-        .otherwise("Others")
-    )
+    return _look_up(F.lower(strip(cleaned)), SPONSOR_TAGS, OTHER_SPONSOR)
 
 
 def area_tag(area: Column) -> Column:
-    return (
-        F.when(area.isin(VACCINE_AREAS), F.lit("Vaccines"))
-        .when(area.isin(AREAS), area)
-        .otherwise("Multiple")
-    )
+    labels = {a: "Vaccines" if a in VACCINE_AREAS else a for a in AREAS}
+    return _look_up(area, labels, "Multiple")
 
 
 def covid_tag(title: Column, disease: Column) -> Column:
@@ -117,19 +135,12 @@ def covid_tag(title: Column, disease: Column) -> Column:
 
 
 def phase_tag(phase: Column) -> Column:
-    code = strip(F.upper(phase))
-    pairs = [(F.when(code == k, F.lit(v))) for k, v in PHASES.items()]
-    return F.coalesce(*pairs, F.lit(OTHER_PHASE))
+    return _look_up(strip(F.upper(phase)), PHASES, OTHER_PHASE)
 
 
 def region_tag(region: Column) -> Column:
     seen = [contains_any(region, names) for names in (NORTH_AMERICA, EUROPE, ASIA_PACIFIC)]
-
-    def all_equal(flags: tuple[bool, ...]) -> Column:
-        return reduce(lambda a, b: a & b, [s if f else ~s for s, f in zip(seen, flags)])
-
-    cases = [F.when(all_equal(flags), F.lit(label)) for flags, label in REGION_LABELS.items()]
-    return F.coalesce(*cases, F.lit(OTHER_REGION))
+    return _by_flags(seen, REGION_LABELS)
 
 
 def healthy_tag(registry_id: Column, texts: list[Column], phase: Column | None = None) -> Column:

@@ -105,15 +105,10 @@ def matches(c: Column, pattern: str) -> Column:
     return F.coalesce(c.rlike(pattern), F.lit(False))
 
 
-def contains_any(c: Column, tokens: Iterable[str]) -> Column:
-    """Literal, case-sensitive search for any token; NULL counts as no match."""
-    hits = [F.contains(c, F.lit(t)) for t in tokens]
-    return F.coalesce(reduce(lambda a, b: a | b, hits, F.lit(False)), F.lit(False))
-
-
-def matches_any_literal(c: Column, terms: Iterable[str]) -> Column:
-    """Literal search for any term, ignoring case; NULL counts as no match."""
-    return matches(c, "(?iu)" + "|".join(re.escape(t) for t in terms))
+def contains_any(c: Column, terms: Iterable[str], ignore_case: bool = False) -> Column:
+    """Literal search for any of the terms; NULL counts as no match."""
+    pattern = "|".join(re.escape(t) for t in terms)
+    return matches(c, ("(?iu)" if ignore_case else "") + pattern)
 
 
 def sanitize_cell(c: Column, max_chars: int) -> Column:

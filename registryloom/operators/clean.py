@@ -93,7 +93,7 @@ def _drop_null_scope(
     open_cols = [n for n in scope if n not in filled]
     counts = raw.agg(F.count(F.lit(1)), *[F.count(col(n)) for n in open_cols]).first()
     empty = {n for n, k in zip(open_cols, counts[1:]) if k == 0} if counts[0] else set(scope)
-    return cleaned.select(*[col(n) for n in cleaned.columns if n not in empty])
+    return cleaned.drop(*empty)
 
 
 def remove_punctuation(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

@@ -8,7 +8,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.functions.text import matches_any_literal
+from registryloom.functions.text import contains_any
 from registryloom.names import Names, col
 from registryloom.operators.schema import replace_columns
 
@@ -29,7 +29,7 @@ REGION_CODES = {
 
 def keyword_filter(df: DataFrame, name: str, terms: Iterable[str] = tuple(KEYWORDS)) -> DataFrame:
     """Keep rows whose text holds any of the terms, ignoring case, also inside words."""
-    return df.filter(matches_any_literal(col(name), terms))
+    return df.filter(contains_any(col(name), terms, ignore_case=True))
 
 
 def replace_value(df: DataFrame, name: str, old: str, new: str) -> DataFrame:

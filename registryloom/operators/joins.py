@@ -89,10 +89,8 @@ def matched(
     candidates = (
         left.join(_hot_seen(right, key, hot_keys), col(key).eqNullSafe(col(_RKEY)), "left")
         .filter(~hot | col(_HIT))
-        .select(
-            *[col(n) for n in left.columns],
-            F.when(hot, row_salt).otherwise(0).alias(_SALT),
-        )
+        .drop(_RKEY, _HIT)
+        .withColumn(_SALT, F.when(hot, row_salt).otherwise(0))
     )
     parts = F.when(hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
     spread = right.select(

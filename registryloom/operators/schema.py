@@ -37,8 +37,7 @@ def col_or(df: DataFrame, name: str, default: Column | str = "") -> Column:
 
 def replace_columns(df: DataFrame, new: Mapping[str, Column]) -> DataFrame:
     """All replacements in one projection; names not yet there are added at the end."""
-    kept = [new[n].alias(n) if n in new else col(n) for n in df.columns]
-    return df.select(*kept, *[c.alias(n) for n, c in new.items() if n not in df.columns])
+    return df.withColumns(dict(new)) if new else df
 
 
 def keep_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
@@ -46,7 +45,7 @@ def keep_columns(df: DataFrame, names: Iterable[str]) -> DataFrame:
 
 
 def rename_columns(df: DataFrame, mapping: Mapping[str, str]) -> DataFrame:
-    return df.select(*[col(n).alias(mapping.get(n, n)) for n in df.columns])
+    return df.withColumnsRenamed({old: new for old, new in mapping.items() if old != new})
 
 
 def coerce_dates(
@@ -70,4 +69,4 @@ def drop_null_columns(df: DataFrame, names: Iterable[str] | None = None) -> Data
         return df
     counts = df.agg(*[F.count(col(n)).alias(f"c{i}") for i, n in enumerate(scope)]).first()
     empty = {n for i, n in enumerate(scope) if counts[i] == 0}
-    return df.select(*[col(n) for n in df.columns if n not in empty])
+    return df.drop(*empty)

@@ -8,7 +8,7 @@ from contextlib import contextmanager
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from registryloom.names import Names, col
+from registryloom.names import DISPLAY, Names, col
 from registryloom.operators import clean, filters, refine, schema
 from registryloom.sources.headers import PUBLIC_DATES, SNAKE_SHEET, Sheet
 
@@ -22,6 +22,12 @@ def select_sheet(df: DataFrame, sheet: Sheet = SNAKE_SHEET) -> DataFrame:
     return schema.replace_columns(kept, {n: col(n).try_cast("double") for n in texts})
 
 
+def rename_public(df: DataFrame, names: Names = Names()) -> DataFrame:
+    """Source B's own headers to the names in use; frames that have those stay as they are."""
+    used = ("public_id", "public_title", "public_status")
+    return schema.rename_columns(df, {getattr(DISPLAY, f): getattr(names, f) for f in used})
+
+
 def clean_sheet(
     df: DataFrame, sheet: Sheet = SNAKE_SHEET, drop_null_columns: bool = False
 ) -> DataFrame:

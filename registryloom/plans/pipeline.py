@@ -21,7 +21,12 @@ from registryloom.plans.branches import (
     no_code_rows,
     refine_branch,
 )
-from registryloom.plans.cleaning import clean_public, clean_sheet, select_sheet
+from registryloom.plans.cleaning import (
+    clean_public,
+    clean_sheet,
+    rename_public,
+    select_sheet,
+)
 from registryloom.sources.headers import SNAKE_SHEET, Sheet
 from registryloom.sources.tables import (
     load_table,
@@ -148,7 +153,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFram
 
     names = cfg.sheet.names
     raw_sheet = select_sheet(spread(load_table(spark, cfg.sheet_path)), cfg.sheet)
-    raw_public = spread(load_table(spark, cfg.public_path))
+    raw_public = rename_public(spread(load_table(spark, cfg.public_path)), names)
     sheet, public, branches = _stage_cleaned(
         spark,
         clean_sheet(raw_sheet, cfg.sheet, cfg.drop_null_columns),
