@@ -57,6 +57,8 @@ def unmatched(
 
     Rows under a hot key never shuffle: the few hot keys of ``other`` are broadcast. The keys of
     ``other`` are made distinct before they meet the rest, so its own hot keys collapse early.
+    The null-safe comparison moves the distinct keys once more, which costs little and leaves
+    both inputs as plain shuffles, so that adaptive execution can split any other hot key.
     """
     on = col(key).eqNullSafe(col(_RKEY))
     other_keys = (

@@ -122,13 +122,16 @@ def _stage_cleaned(
     """
     names, root = cfg.sheet.names, cfg.stage_dir or shared_dir(spark)
     coded = col(names.registry_id) != NO_CODE
-    save_table(public, f"{root}/public", "parquet")
-    save_table(sheet.withColumn(_CODED, coded), f"{root}/sheet", "parquet", [_CODED])
-    public = load_table(spark, f"{root}/public", "parquet")
-    written = load_table(spark, f"{root}/sheet", "parquet")
+
+    def through(df: DataFrame, name: str, *parts: str) -> DataFrame:
+        save_table(df, f"{root}/{name}", "parquet", parts)
+        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
+    public = through(public, "public")
+    written = through(sheet.withColumn(_CODED, coded), "sheet", _CODED)
     sheet = written.drop(_CODED)
 
-    marker_matches = not public.filter(~coded).select(names.registry_id).isEmpty()
+    marker_matches = not public.filter(~coded).select(col(names.registry_id)).isEmpty()
     with_id = sheet if marker_matches else written.filter(col(_CODED)).drop(_CODED)
     without_id = written.filter(~col(_CODED)).drop(_CODED)
     both = matched_branch(with_id, public, names, cfg.right_columns, cfg.suffix)
