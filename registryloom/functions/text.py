@@ -31,6 +31,8 @@ SPACE_CHARS = "".join(
     )
 )
 SPACE = r"\s\p{Z}\x0B\x1c-\x1f\x85"
+# The same class for scanning long text: printable ASCII is ruled out by its first half at once.
+_GAP = rf"[[^\x21-\x7e]&&[{SPACE}]]"
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
 # A Unicode noncharacter, set aside for use inside a program; text never carries it.
 _MARK = "\ufdd0 "
@@ -44,7 +46,7 @@ def strip(c: Column) -> Column:
 
 def collapse(c: Column) -> Column:
     """Tab and line-break runs, and runs of two or more whitespace characters, become one space."""
-    return F.regexp_replace(c, f"[{SPACE}]{{2,}}|[\\t\\r\\n]", " ")
+    return F.regexp_replace(c, rf"{_GAP}(?:{_GAP}+|(?<=[\t\r\n]))", " ")
 
 
 def title(c: Column) -> Column:

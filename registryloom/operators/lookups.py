@@ -17,7 +17,7 @@ _LKEY, _RKEY, _NEXT = "__lookup_left", "__lookup_right", "__next_key"
 
 # Fixed value: the segment of names that no lookup row covers.
 DEFAULT_SEGMENT = "Others"
-BROADCAST_BYTES = 64 * 1024 * 1024
+BROADCAST_BYTES = 32 * 1024 * 1024
 
 
 def clean_lookup(

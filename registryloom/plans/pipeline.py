@@ -115,10 +115,11 @@ def trial_stages(
 def _stage_cleaned(
     spark: SparkSession, sheet: DataFrame, public: DataFrame, cfg: PipelineConfig
 ) -> tuple[DataFrame, DataFrame, Branches]:
-    """Write the cleaned files once and build both branches on what was written.
+    """Write the cleaned files and the two branches once, each built on what was written before.
 
     The sheet is split by whether a row has an id, so each branch reads only its own rows. If
     the public file holds the no-code marker too, those rows can match and both parts are read.
+    All later stages work row by row on the branches, so nothing is cleaned or joined twice.
     """
     names, root = cfg.sheet.names, cfg.stage_dir or shared_dir(spark)
     coded = col(names.registry_id) != NO_CODE
@@ -134,26 +135,19 @@ def _stage_cleaned(
     marker_matches = not public.filter(~coded).select(col(names.registry_id)).isEmpty()
     with_id = sheet if marker_matches else written.filter(col(_CODED)).drop(_CODED)
     without_id = written.filter(~col(_CODED)).drop(_CODED)
-    both = matched_branch(with_id, public, names, cfg.right_columns, cfg.suffix)
-    left = refine_branch(no_code_rows(without_id, public, names), cfg.refinement, names)
+    both = through(matched_branch(with_id, public, names, cfg.right_columns, cfg.suffix), "both")
+    rows = no_code_rows(without_id, public, names)
+    left = through(refine_branch(rows, cfg.refinement, names), "left")
     return sheet, public, Branches(left, both, joins.stack(left, both))
 
 
 def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
     """Run the batch, write the wanted stages, and return all stages by name.
 
-    A stage written as Parquet is read back, so later stages build on the written rows and lost
-    executors never send the job back to the source files.
+    Lost executors never send the job back to the source files: the costly stages are tables in
+    the stage folder. The returned frames read that folder, so remove it only after their use.
     """
 
-    def settle(stage: str, df: DataFrame) -> DataFrame:
-        if stage not in cfg.outputs:
-            return df
-        safe = sanitize_cells(df) if stage in _CELL_SAFE else df
-        path, fmt = save_or_csv(safe, cfg.outputs[stage])
-        # A sanitised copy has '' for NULL, so it serves as output only.
-        return load_table(spark, path, fmt) if fmt == "parquet" and safe is df else df
-
     names = cfg.sheet.names
     raw_sheet = select_sheet(spread(load_table(spark, cfg.sheet_path)), cfg.sheet)
     raw_public = rename_public(spread(load_table(spark, cfg.public_path)), names)
@@ -163,10 +157,7 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFram
         clean_public(raw_public, names, drop_null_columns=cfg.drop_null_columns),
         cfg,
     )
-    stages = {"sheet": settle("sheet", sheet), "public": settle("public", public)}
-    for stage in Branches._fields:
-        stages[stage] = settle(stage, getattr(branches, stage))
-    lead = settle("lead", refine.add_lead_sponsor(stages["union"], names))
+    lead = refine.add_lead_sponsor(branches.union, names)
     segments = add_segments(
         lead,
         *[load_table(spark, p) for p in (cfg.sponsor_map_path, cfg.us_path, cfg.ww_path)],
@@ -176,4 +167,8 @@ def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFram
         punct=cfg.punct,
         mode=cfg.key_mode,
     )
-    return stages | {"lead": lead, "segments": settle("segments", segments)}
+    stages = dict(zip(STAGES, (sheet, public, *branches, lead, segments)))
+    for stage, path in cfg.outputs.items():
+        df = stages[stage]
+        save_or_csv(sanitize_cells(df) if stage in _CELL_SAFE else df, path)
+    return stages
