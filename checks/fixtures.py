@@ -69,8 +69,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     text = FIXTURES[name]
-    used = {t: table(spark, sf_dir, t) for t in TABLES if f"{{{t}}}" in text}
-    return spark.sql(text, **used)
+    read = {"orders": table(spark, sf_dir, "orders")} if "{orders}" in text else {}
+    if "{customer}" in text:
+        read["customer"] = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    return spark.sql(text, **read)
 
 
 def fixture_sql(name: str) -> str:

@@ -504,8 +504,8 @@ WHERE {_CHOSEN} AND start_date >= DATE '1993-06-01' AND start_date < DATE '1998-
         ),
         left_sql(),
     ),
-    "pipeline_full": pipeline("SELECT * FROM segments", left_sql()),
-    "pipeline_flags": pipeline(
+    "batch_full": pipeline("SELECT * FROM segments", left_sql()),
+    "batch_flags": pipeline(
         "SELECT * FROM segments",
         left_sql("'Industry', 'Others'", "'Interventional', 'Observational', 'Ambiguous'"),
     ),

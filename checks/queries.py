@@ -330,11 +330,11 @@ def stage_summary(spark, sf):
     return pipeline.stage_summary(_stages(spark, sf))
 
 
-def pipeline_full(spark, sf):
+def batch_full(spark, sf):
     return _days(_stages(spark, sf)["segments"])
 
 
-def pipeline_flags(spark, sf):
+def batch_flags(spark, sf):
     flags = {"interventional": True, "observational": True, "industry": True, "others": True}
     return _days(_stages(spark, sf, **flags)["segments"])
 
@@ -379,6 +379,6 @@ QUERIES = {
     "apply_filters_spec": apply_filters_spec,
     "scan_csv_roundtrip": scan_csv_roundtrip,
     "stage_summary": stage_summary,
-    "pipeline_full": pipeline_full,
-    "pipeline_flags": pipeline_flags,
+    "batch_full": batch_full,
+    "batch_flags": batch_flags,
 }

@@ -41,7 +41,7 @@ def clean_sheet(
     with_id = refine.add_registry_id(typed, names)
     cleaned = clean.clean_table(
         with_id,
-        [n for n in sheet.cleaned if n in df.columns],
+        sheet.cleaned,
         case_mode="title",
         drop_null_columns=drop_null_columns,
     )

@@ -21,7 +21,7 @@ def formatted(df) -> str:
     return utils.explainString(df._jdf.queryExecution(), "formatted")
 
 
-@pytest.mark.parametrize("name", ["pipeline_full", "union_by_name", "join_right_only"])
+@pytest.mark.parametrize("name", ["batch_full", "union_by_name", "join_right_only"])
 def test_no_python_and_no_cross_join_in_plans(spark, name):
     plan = plan_of(QUERIES[name](spark, SF))
     assert not [word for word in ONE_SIDED if word in plan]
