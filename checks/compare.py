@@ -47,28 +47,37 @@ def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> str:
     if a != b:
         extra, missing = list((a - b).items())[:2], list((b - a).items())[:2]
         return f"{len(ours)} rows against {len(theirs)}; only ours {extra}, only theirs {missing}"
-    kinds = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "date": "DATE",
-             "boolean": "BOOLEAN", "double": "DOUBLE"}
+    kinds = {
+        "string": "VARCHAR",
+        "bigint": "BIGINT",
+        "int": "INTEGER",
+        "date": "DATE",
+        "boolean": "BOOLEAN",
+        "double": "DOUBLE",
+    }
     off = {n: (t, types[n]) for n, t in df.dtypes if kinds.get(t, t) != types[n]}
     return f"types differ: {off}" if off else ""
 
 
 def main(sf_dir: str = "/root/testdata/sf0.01", *only: str) -> int:
-    spark = session(**{"spark.master": "local[8]", "spark.sql.shuffle.partitions": 8,
-                       "spark.driver.memory": "8g"})
+    spark = session(
+        **{
+            "spark.master": "local[8]",
+            "spark.sql.shuffle.partitions": 8,
+            "spark.driver.memory": "8g",
+        }
+    )
     spark.sparkContext.setLogLevel("ERROR")
     con, failed = connect(sf_dir), 0
     for name in only or QUERIES:
         begin = time.time()
         try:
-            df = QUERIES[name](spark, sf_dir)
-            found = differences(df, con, ORACLES[name])
-            n = ""
-        except Exception as error:  # noqa: BLE001 - report and go on with the next query
-            found, n = f"{type(error).__name__}: {error}", ""
+            found = differences(QUERIES[name](spark, sf_dir), con, ORACLES[name])
+        except Exception as error:  # report and go on with the next query
+            found = f"{type(error).__name__}: {error}"
         failed += bool(found)
-        print(f"{'FAIL' if found else 'ok  '} {name:26s} {time.time() - begin:6.2f}s {n}{found[:1500]}",
-              flush=True)
+        took = f"{time.time() - begin:6.2f}s"
+        print("FAIL" if found else "ok  ", f"{name:26s}", took, found[:1500], flush=True)
     return failed
 
 

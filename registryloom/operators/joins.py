@@ -73,17 +73,16 @@ def matched(
     right: DataFrame,
     key: str,
     hot_keys: Sequence[str] = (NO_CODE,),
-    salts: int | None = None,
+    salts: int = 16,
     salt_by: str | None = None,
 ) -> DataFrame:
     """Inner join where NULL matches NULL: left columns, then the right ones without the key.
 
     Left rows under a hot key go into the shuffle only if the right side holds that key too, and
     then spread over ``salts`` parts by the hash of one column (the first that is not the key),
-    while the right rows of that key are repeated for each part.
+    while the right rows of that key are repeated for each part. Adaptive execution splits parts
+    that are still too large.
     """
-    spark = left.sparkSession
-    salts = salts or int(spark.conf.get("spark.sql.shuffle.partitions"))
     hot = _is_hot(key, hot_keys)
     # One column only: a hash over all of them makes the optimizer's constraint rules explode.
     salt_by = salt_by or next((n for n in left.columns if n != key), key)

@@ -85,8 +85,9 @@ def lookup_append(
 ) -> DataFrame:
     """Left join on the normalised key; appends ``add_columns`` (all but the key if none given).
 
-    Repeated lookup keys multiply rows. NULL matches NULL, and a key column that is absent counts as ''. No hint is set here: pass
-    the lookup through ``broadcast_small`` first, or leave the choice to the optimizer.
+    Repeated lookup keys multiply rows. NULL matches NULL, and a key column that is absent counts
+    as ''. No hint is set here: pass the lookup through ``broadcast_small`` first, or leave the
+    choice to the optimizer.
     """
     right_key = right_key or left_key
     if add_columns is None:

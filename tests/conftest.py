@@ -35,7 +35,8 @@ def one(spark):
         from pyspark.sql import functions as F
 
         df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i int, v {kind}")
-        return [r.out for r in df.select("i", build(F.col("v")).alias("out")).orderBy("i").collect()]
+        out = df.select("i", build(F.col("v")).alias("out")).orderBy("i")
+        return [r.out for r in out.collect()]
 
     return evaluate
 

@@ -27,8 +27,10 @@ from registryloom.sources.headers import (
 
 SHEET = [
     # id, protocol text, phase, status, sponsor, sponsor type, design, plan, age group, start
-    ["1", "eu; nct00000001", "ii", "Open", "acme, inc\nbeta", "Industry", "x", "y", "Adults", "2015-02-01"],
-    ["2.0", "none", "I/II", "Open", '"quoted" & co', "Industry\nAcademic", "Randomized", "", "Children", "n/a"],
+    ["1", "eu; nct00000001", "ii", "Open", "acme, inc\nbeta", "Industry", "x", "y", "Adults",
+     "2015-02-01"],
+    ["2.0", "none", "I/II", "Open", '"quoted" & co', "Industry\nAcademic", "Randomized", "",
+     "Children", "n/a"],
     ["x", "NCT99", "III", "NA", "gamma llc", "Academic", "observation", "placebo", "", "2015-03"],
     ["4", "eudract", "IV", "Closed", "", "", "cohort", "dose", "Older\tAdults", "03/05/2015"],
     ["5", "NCT00000005", "I", "Closed", "acme", "", "", "", "", "2016"],
@@ -36,9 +38,11 @@ SHEET = [
 SHEET_HEADERS = [
     "Trial ID", "Protocol/Trial ID", "Trial Phase", "Trial Status", "Sponsor/Collaborator",
     "Sponsor/Collaborator Type", "Study Design", "Treatment Plan", "Patient Age Group",
-    "Start Date", "Not Wanted", "Pts/Site/Mo",
+    "Start Date", "Not Wanted", "Treatment Duration (Mos.)",
+]
+PUBLIC_HEADERS = [
+    "NCT id", "study title", "study status", "interventions", "condition", "sex", "start_date",
 ]
-PUBLIC_HEADERS = ["NCT id", "study title", "study status", "interventions", "condition", "sex", "start_date"]
 PUBLIC = [
     [" nct00000001 ", "A (b)", "done", "Drug: A|Device: B", "c1", "All", "2014-01-01"],
     ["NCT00000001", "second", "done", "biological", "c2", "Female", ""],
@@ -87,7 +91,7 @@ def test_batch_over_files_with_their_own_headers(spark, files, tmp_path):
     assert sheet[4]["older_adults"] and sheet[4]["adult"] and not sheet[4]["child"]
     assert str(sheet[4]["Start Date"])[:10] == "2015-03-05" and sheet[2]["Start Date"] is None
     assert sheet[0]["TT_Trial Status"] is None, "NA marks a missing value"
-    assert sheet[0]["Protocol_Trial_ID"] == "Nct99" and sheet[1]["Pts/Site/Mo"] == 1.5
+    assert sheet[0]["Protocol_Trial_ID"] == "Nct99" and sheet[1]["Treatment Duration (Mos.)"] == 1.5
     assert "Not Wanted" not in stages["sheet"].columns
 
     public = {r["NCT ID"] for r in stages["public"].collect()}
