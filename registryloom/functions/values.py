@@ -11,10 +11,20 @@ from pyspark.sql import functions as F
 DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yyyy", "MMMM d, yyyy", "MMMM yyyy")
 
 
+def _utc(c: Column) -> Column:
+    """Clock time in UTC of texts that name a zone or offset; NULL for all others."""
+    zoned = (F.length(c) > 16) & c.rlike(r":\d{2}.*(Z|[+-]\d{2}:?\d{2})$")
+    micros = F.unix_micros(F.when(zoned, c).try_cast("timestamp_ltz"))
+    return F.timestamp_add("MICROSECOND", micros, F.lit("1970-01-01").cast("timestamp_ntz"))
+
+
 def to_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
-    """Each value is parsed on its own, so the result does not hang on row order."""
+    """Clock times, in UTC where the text names a zone.
+
+    Each value is parsed on its own, so the result does not hang on row order.
+    """
     parsed = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(c.try_cast("timestamp_ntz"), *parsed)
+    return F.coalesce(_utc(c), c.try_cast("timestamp_ntz"), *parsed)
 
 
 def to_bigint(c: Column) -> Column:

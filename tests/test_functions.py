@@ -108,6 +108,19 @@ def test_dates_are_parsed_value_by_value(one):
     assert one(values.to_timestamp, raw) == want
 
 
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_zones_in_dates_become_utc(spark, one, zone):
+    raw = ["2015-01-01T23:30:00-05:00", "2015-03-08T02:30:00Z", "2015-03-08 02:30:00",
+           "1960-01-01T00:00:00.123456Z", "at 10:30 and a Z"]
+    want = [dt.datetime(2015, 1, 2, 4, 30), dt.datetime(2015, 3, 8, 2, 30),
+            dt.datetime(2015, 3, 8, 2, 30), dt.datetime(1960, 1, 1, 0, 0, 0, 123456), None]
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        assert one(values.to_timestamp, raw) == want
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", "UTC")
+
+
 def test_integers(one):
     raw = ["12", "12.0", "2.5", "x1", " 7 ", "1e3", "9007199254740993", "-", ".", "", None]
     want = [12, 12, None, None, 7, 1000, 9007199254740993, None, None, None, None]

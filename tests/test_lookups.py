@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 
 from conftest import plan_of
+from pyspark.sql import functions as F
 
 from registryloom.names import Names
 from registryloom.operators import lookups
@@ -121,6 +122,47 @@ def test_broadcast_only_below_the_size_limit(spark, sponsors, sponsor_map):
         spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
 
 
+def test_large_lookups_join_by_shuffle_and_split_the_hot_sponsor(spark, tmp_path):
+    trials = spark.range(60000).select(
+        "id",
+        F.when(F.col("id") % 3 == 0, "Hot Co")
+        .otherwise(F.concat(F.lit("co "), F.col("id").cast("string")))
+        .alias("lead_sponsor"),
+        F.concat(*[F.sha2(F.concat("id", F.lit(i)), 512) for i in range(4)]).alias("payload"),
+    )
+    trials.repartition(8).write.parquet(str(tmp_path / "trials"))
+    names = spark.range(20000).select(
+        F.when(F.col("id") == 0, "hot co")
+        .otherwise(F.concat(F.lit("CO "), F.col("id").cast("string")))
+        .alias("lead_sponsor"),
+        F.concat(F.lit("std "), F.col("id").cast("string")).alias("standard_name"),
+    )
+    tight = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2MB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    for k, v in tight.items():
+        spark.conf.set(k, v)
+    try:
+        (table,) = lookups.broadcast_small(names, max_bytes=1000)
+        out = lookups.lookup_append(
+            spark.read.parquet(str(tmp_path / "trials")), table, left_key="lead_sponsor"
+        )
+        done = out.agg(
+            F.count("*").alias("n"), F.count("standard_name").alias("hits"), F.max("payload")
+        )
+        row = done.collect()[0]
+        assert (row.n, row.hits) == (60000, 20000 + 13333)
+        final = plan_of(done).split("== Initial Plan ==")[0]
+        assert "SortMergeJoin(skew=true)" in final
+    finally:
+        for k in tight:
+            spark.conf.unset(k)
+
+
 def test_names_are_parameters(spark):
     names = Names(lead_sponsor="Lead", standard_name="Std", us_segment="US", ww_segment="WW")
     df = spark.createDataFrame([("a",)], "Lead string")
