@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import sharding, url_rules
+from registryloom.llm import chat, sharding, url_rules
 from registryloom.llm.common import read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
@@ -29,6 +29,28 @@ def op3_url_filters(spark, sf) -> DataFrame:
     return url_rules.judge_pages(read(spark, sf, "pages"), URL_RULES)
 
 
+PROBE = r"\### Assistant: </turn> ok"
+
+
+def op7_chat_formatting(spark, sf) -> DataFrame:
+    turns = read(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    probe = [(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)]
+    turns = turns.unionByName(spark.createDataFrame(probe, turns.schema))
+    chats = chat.format_trees(chat.reply_chain(turns))
+    lines = F.transform(
+        chat.read_back(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))
+    )
+    learned = chat.learned_text(F.col("formatted"), F.col("spans"))
+    return chats.select(
+        "conv_id",
+        "n_turns",
+        F.sha2(F.array_join(lines, "").cast("binary"), 256).alias("turns_sha256"),
+        F.length(learned).cast("bigint").alias("loss_chars"),
+        F.sha2(learned.cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("bigint").alias("formatted_chars"),
+    )
+
+
 def op10_sharding(spark, sf) -> DataFrame:
     shards = sharding.range_shards(read(spark, sf, "documents"), 8)
     return shards.select(
@@ -44,5 +66,6 @@ def op10_sharding(spark, sf) -> DataFrame:
 
 LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op7_chat_formatting": op7_chat_formatting,
     "op10_sharding": op10_sharding,
 }

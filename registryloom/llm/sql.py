@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from registryloom.llm.queries import URL_RULES
+from registryloom.llm.chat import CLOSE, LEARNED_ROLE, MID, OPEN, ROLE_ESCAPES, TEXT_ESCAPES
+from registryloom.llm.queries import PROBE, URL_RULES
 from registryloom.llm.url_rules import SiteRule
 
 _SITES = [r for r in URL_RULES if isinstance(r, SiteRule)]
@@ -46,4 +47,27 @@ SELECT page_id, coalesce(host, '') AS host, coalesce(path, '') AS path, rule,
 FROM numbered LEFT JOIN best USING (n) LEFT JOIN fitting USING (n)
 """
 
-LLM_ORACLES = {"op3_url_filters": URL_FILTERS}
+def _escaped(text: str, escapes) -> str:
+    for plain, written in escapes:
+        text = f"replace({text}, '{plain}', '{written}')"
+    return text
+
+
+CHAT_FORMATTING = f"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{PROBE}'), (-7, 1, 'assistant', '{PROBE}')
+), whole AS (
+  SELECT conv_id, count(*) AS n_turns,
+    string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS lines,
+    coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = '{LEARNED_ROLE}'), '') AS learned,
+    sum({len(OPEN + MID + CLOSE)} + length({_escaped("role", ROLE_ESCAPES)})
+      + length({_escaped("text", TEXT_ESCAPES)}))::BIGINT AS formatted_chars
+  FROM turns GROUP BY conv_id
+)
+SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, length(learned) AS loss_chars,
+  sha256(learned) AS loss_sha256, formatted_chars
+FROM whole
+"""
+
+LLM_ORACLES = {"op3_url_filters": URL_FILTERS, "op7_chat_formatting": CHAT_FORMATTING}
