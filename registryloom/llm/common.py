@@ -11,7 +11,6 @@ from registryloom.sources.tables import shared_dir
 
 #: Words are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
-BLANKS = " \t\n\x0b\x0c\r"
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,12 +23,9 @@ def lower_ascii(c: Column) -> Column:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words as bigint; a null text has none.
-
-    Every blank becomes a space, so a word starts where a non-space follows a space or the start.
-    """
-    spaced = F.translate(F.coalesce(text, F.lit("")), BLANKS, " " * len(BLANKS))
-    return F.size(F.filter(F.split(spaced, " "), lambda w: w != "")).cast("bigint")
+    """Number of words as bigint; a null text has none."""
+    words = F.array_remove(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), "")
+    return F.size(words).cast("bigint")
 
 
 def fold(doc_id: Column, n: int) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, sharding, url_rules
+from registryloom.llm import chat, mixing, sharding, url_rules
 from registryloom.llm.common import read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
@@ -29,6 +29,14 @@ def op3_url_filters(spark, sf) -> DataFrame:
     return url_rules.judge_pages(read(spark, sf, "pages"), URL_RULES)
 
 
+MIX_WEIGHTS = (5, 2, 1)
+
+
+def op4_mixing(spark, sf) -> DataFrame:
+    mixed = mixing.mix(read(spark, sf, "documents"), MIX_WEIGHTS, share=1.5, most=2.0)
+    return mixed.select("doc_id", "size", "source_size", "target", "taken")
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -66,6 +74,7 @@ def op10_sharding(spark, sf) -> DataFrame:
 
 LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op4_mixing": op4_mixing,
     "op7_chat_formatting": op7_chat_formatting,
     "op10_sharding": op10_sharding,
 }
