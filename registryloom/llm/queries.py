@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
+import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, mixing, sharding, url_rules
+from registryloom.llm import chat, mixing, sharding, url_rules, word_bpe
 from registryloom.llm.common import read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
@@ -59,6 +62,28 @@ def op7_chat_formatting(spark, sf) -> DataFrame:
     )
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_spec(path: str | None = None) -> str:
+    return Path(path or public_tokenizers.path(TOKENIZER)).read_text(encoding="utf-8")
+
+
+def encoded(docs: DataFrame) -> DataFrame:
+    spec = tokenizer_spec()
+    ids = word_bpe.encode(docs, spec, word_bpe.write_lexicon(docs, spec))
+    return ids.select(
+        "doc_id",
+        (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
+def op9_bpe(spark, sf) -> DataFrame:
+    return encoded(read(spark, sf, "documents"))
+
+
 def op10_sharding(spark, sf) -> DataFrame:
     shards = sharding.range_shards(read(spark, sf, "documents"), 8)
     return shards.select(
@@ -76,5 +101,6 @@ LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op7_chat_formatting": op7_chat_formatting,
+    "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
