@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, mixing, sharding, url_rules, word_bpe
+from registryloom.llm import chat, mixing, quality_rules, sharding, url_rules, word_bpe
 from registryloom.llm.common import read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
@@ -40,6 +40,12 @@ def op4_mixing(spark, sf) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality_rules(spark, sf) -> DataFrame:
+    judged = quality_rules.judge(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -100,6 +106,7 @@ def op10_sharding(spark, sf) -> DataFrame:
 LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
+    "op5_quality_rules": op5_quality_rules,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
