@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, mixing, quality_rules, sharding, url_rules, word_bpe
-from registryloom.llm.common import read
+from registryloom.llm import chat, mixing, quality_rules, sharding, toxicity, url_rules, word_bpe
+from registryloom.llm.common import fold, read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
 URL_RULES = [
@@ -46,6 +46,25 @@ def op5_quality_rules(spark, sf) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+TOXIC_FROM = 0.7
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``doc_id, score`` by a model that learns from two of three folds."""
+    learn = fold(F.col("doc_id"), 3) != 1
+    return toxicity.score(docs, toxicity.fit(docs.filter(learn), labels.filter(learn)))
+
+
+def op6_toxicity(spark, sf) -> DataFrame:
+    scores = toxicity_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    return scores.select(
+        "doc_id",
+        (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
+        "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
+
+
 PROBE = r"\### Assistant: </turn> ok"
 
 
@@ -107,6 +126,7 @@ LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
