@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, mixing, quality_rules, sharding, toxicity, url_rules, word_bpe
+from registryloom.llm import chat, mixing, nearest, quality_rules, sharding, toxicity, url_rules, word_bpe
 from registryloom.llm.common import fold, read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
@@ -87,6 +87,11 @@ def op7_chat_formatting(spark, sf) -> DataFrame:
     )
 
 
+def op8_nearest(spark, sf) -> DataFrame:
+    vectors = read(spark, sf, "embeddings")
+    return nearest.search(vectors, F.col("id") % 20 == 0, 20)
+
+
 TOKENIZER = "word_bpe_49k.json"
 
 
@@ -128,6 +133,7 @@ LLM_QUERIES = {
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,
     "op7_chat_formatting": op7_chat_formatting,
+    "op8_nearest": op8_nearest,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
 }
