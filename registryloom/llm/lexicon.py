@@ -79,15 +79,15 @@ class Lexicon:
     """Reads a built file, which stays mapped and is shared by all processes of a machine."""
 
     def __init__(self, path: str):
-        flat = np.load(path, mmap_mode="r")
+        flat = np.load(path, mmap_mode="r").view(np.ndarray)
         self.root, self.longest, *sizes = flat[:8].tolist()
         ends = (8 + np.cumsum(sizes)).tolist()
         parts = [flat[a:b] for a, b in zip([8, *ends], ends)]
         self.keys, self.targets, self.skips, self.final, self.offsets, self.ids = parts
 
-    def find(self, words: Sequence[bytes]) -> list[np.ndarray | None]:
+    def find(self, words: Sequence[bytes]) -> list[list[int] | None]:
         """The ids of each word, or None; all words walk the automaton side by side."""
-        found: list[np.ndarray | None] = [None] * len(words)
+        found: list[list[int] | None] = [None] * len(words)
         at = np.array([i for i, w in enumerate(words) if len(w) <= self.longest], np.int64)
         if not len(at) or not len(self.keys):
             return found
@@ -109,8 +109,9 @@ class Lexicon:
             alive, arc = alive[hit], arc[hit]
             state[alive] = self.targets[arc]
             number[alive] += self.skips[arc]
-        for row in np.flatnonzero((state >= 0) & (length > 0)):
-            if self.final[state[row]]:
-                n = number[row]
-                found[at[row]] = np.asarray(self.ids[self.offsets[n] : self.offsets[n + 1]])
+        rows = np.flatnonzero((state >= 0) & (length > 0))
+        rows = rows[self.final[state[rows]] != 0]
+        begin, end = self.offsets[number[rows]], self.offsets[number[rows] + 1]
+        for row, a, b in zip(at[rows].tolist(), begin.tolist(), end.tolist()):
+            found[row] = self.ids[a:b].tolist()
         return found

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import heapq
 import json
-import sys
 import unicodedata
 import uuid
 from collections import Counter
@@ -29,8 +28,10 @@ from registryloom.sources.tables import shared_dir
 LEXICON_WORDS = 1 << 17
 #: Longer words are merged where they occur, so that a lookup's table of letters stays small.
 LEXICON_CHARS = 48
-#: Words whose ids a worker keeps at hand.
+#: Words whose ids a worker keeps at hand, and as many stretches of text between blanks.
 MEMO_WORDS = 300_000
+#: Shorter words are merged by plain scans, longer ones with a queue.
+SHORT_WORD = 24
 #: Characters of text that are worked on at once.
 CHUNK_CHARS = 2_000_000
 
@@ -57,33 +58,46 @@ class Merger:
         self.special = {a["content"]: a["id"] for a in spec["added_tokens"]}
         self.tokens.update({i: t for t, i in self.special.items()})
         self.letters = byte_letters()
-        self.pairs = {}
-        for rank, (a, b) in enumerate(model["merges"]):
-            self.pairs[self.vocab[a], self.vocab[b]] = (rank, self.vocab[a + b])
+        self.rank = {(self.vocab[a], self.vocab[b]): i for i, (a, b) in enumerate(model["merges"])}
+        self.made = [self.vocab[a + b] for a, b in model["merges"]]
 
     def merge(self, word: str) -> list[int]:
         letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
         if not letters:
             return []
         letters[-1] += self.end
-        ids: list[int | None] = [self.vocab[c] for c in letters if c in self.vocab]
+        ids = [self.vocab[c] for c in letters if c in self.vocab]
+        return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
+
+    def _merge_short(self, ids: list[int]) -> list[int]:
+        rank, made, none = self.rank.get, self.made, len(self.made)
+        ranks = [rank(p, none) for p in zip(ids, ids[1:])]
+        while ranks and (best := min(ranks)) < none:
+            i = ranks.index(best)
+            ids[i : i + 2] = [made[best]]
+            del ranks[i]
+            if i:
+                ranks[i - 1] = rank((ids[i - 1], ids[i]), none)
+            if i < len(ranks):
+                ranks[i] = rank((ids[i], ids[i + 1]), none)
+        return ids
+
+    def _merge_long(self, ids: list[int | None]) -> list[int]:
         n = len(ids)
         before, after = list(range(-1, n - 1)), list(range(1, n + 1))
-        queue: list[tuple[int, int, int, int]] = []
+        queue: list[tuple[int, int, int]] = []
 
         def offer(i: int, j: int) -> None:
-            if 0 <= i and j < n and (pair := self.pairs.get((ids[i], ids[j]))):
-                heapq.heappush(queue, (pair[0], i, j, pair[1]))
+            if 0 <= i and j < n and (rank := self.rank.get((ids[i], ids[j]))) is not None:
+                heapq.heappush(queue, (rank, i, j))
 
         for i in range(n - 1):
             offer(i, i + 1)
         while queue:
-            rank, i, j, new = heapq.heappop(queue)
-            if ids[i] is None or ids[j] is None or after[i] != j:
-                continue
-            if self.pairs.get((ids[i], ids[j])) != (rank, new):
-                continue
-            ids[i], ids[j] = new, None
+            rank, i, j = heapq.heappop(queue)
+            if after[i] != j or self.rank.get((ids[i], ids[j])) != rank:
+                continue  # one of the two has been merged meanwhile
+            ids[i], ids[j] = self.made[rank], None
             after[i] = after[j]
             if after[i] < n:
                 before[after[i]] = i
@@ -110,6 +124,13 @@ def special_pattern(special: Sequence[str]) -> regex.Pattern:
     return regex.compile(f"({'|'.join(map(regex.escape, special))})")
 
 
+def stretches(text: str) -> list[str]:
+    """What stands between Unicode blanks; normal forms and words never reach across one."""
+    if any(c in text for c in "\x1c\x1d\x1e\x1f"):  # blanks for str.split alone
+        return [p for p in _SPACES.split(text) if p]
+    return text.split()
+
+
 @cache
 def _loaded(spec: str) -> tuple[Merger, regex.Pattern]:
     merger = Merger(json.loads(spec))
@@ -138,14 +159,24 @@ def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.R
 def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """``word, n``: how often each pre-token occurs in all texts; special strings are left out."""
 
+    def flushed(seen: Counter, special: regex.Pattern) -> pa.RecordBatch:
+        words: Counter = Counter()
+        for stretch, n in seen.items():
+            for w in split_words(stretch, special):
+                words[w] += n
+        held = [w for w in words if not special.fullmatch(w)]
+        return pa.RecordBatch.from_pydict({"word": held, "n": [words[w] for w in held]})
+
     def count(batches):
         _, special = _loaded(spec)
+        seen: Counter = Counter()
         for _, texts in _chunks(batches, "text"):
-            seen = Counter()
             for t in texts:
-                seen.update(split_words(t, special))
-            words = [w for w in seen if not special.fullmatch(w)]
-            yield pa.RecordBatch.from_pydict({"word": words, "n": [seen[w] for w in words]})
+                seen.update(stretches(t))
+            if len(seen) > MEMO_WORDS:
+                yield flushed(seen, special)
+                seen.clear()
+        yield flushed(seen, special)
 
     column = docs.select(F.col(text).cast("string").alias("text"))
     counted = column.mapInArrow(count, "word string, n bigint")
@@ -169,25 +200,36 @@ def write_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS, text:
 
 
 class Encoder:
-    """Ids and decoded text of words, from memory, the lexicon or exact merging."""
-
-    def __init__(self, merger: Merger, lexicon: Lexicon):
-        self.merger, self.lexicon = merger, lexicon
-        self.memo: dict[str, tuple[bytes, str]] = {}
-
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self.memo]
-        if len(self.memo) + len(new) > MEMO_WORDS:
-            self.memo, new = {}, list(words)
-        keys = [w.encode("utf-8", "surrogatepass") for w in new]
-        for w, ids in zip(new, self.lexicon.find(keys)):
+    """Ids and decoded text of stretches, from memory, the lexicon or exact merging."""
+
+    def __init__(self, merger: Merger, special: regex.Pattern, lexicon: Lexicon):
+        self.merger, self.special, self.lexicon = merger, special, lexicon
+        self.words: dict[str, tuple[bytes, str]] = {}
+        self.ids: dict[str, bytes] = {}
+        self.decoded: dict[str, str] = {}
+
+    def learn(self, wanted: set[str]) -> None:
+        new = [s for s in wanted if s not in self.ids]
+        if len(self.ids) + len(new) > MEMO_WORDS:
+            self.ids, self.decoded, new = {}, {}, list(wanted)
+        split = [split_words(s, self.special) for s in new]
+        self._learn_words(set().union(*split))
+        for s, words in zip(new, split):
+            self.ids[s] = b"".join([self.words[w][0] for w in words])
+            self.decoded[s] = " ".join([self.words[w][1] for w in words])
+
+    def _learn_words(self, wanted: set[str]) -> None:
+        new = [w for w in wanted if w not in self.words]
+        if len(self.words) + len(new) > MEMO_WORDS:
+            self.words, new = {}, list(wanted)
+        found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new])
+        for w, ids in zip(new, found):
             if w in self.merger.special:
                 ids = [self.merger.special[w]]
             elif ids is None:
                 ids = self.merger.merge(w)
-            ids = [int(i) for i in ids]
             tokens = " ".join([self.merger.tokens[i] for i in ids])
-            self.memo[sys.intern(w)] = np.array(ids, "<u4").tobytes(), tokens
+            self.words[w] = np.array(ids, "<u4").tobytes(), tokens
 
 
 def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -199,14 +241,12 @@ def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text:
     """
 
     def run(batches):
-        merger, special = _loaded(spec)
-        encoder = Encoder(merger, _lexicon(lexicon))
+        encoder = Encoder(*_loaded(spec), _lexicon(lexicon))
         for batch, texts in _chunks(batches, "text"):
-            split = [split_words(t, special) for t in texts]
+            split = [stretches(t) for t in texts]
             encoder.learn(set().union(*split))
-            memo = encoder.memo
-            ids = [b"".join([memo[w][0] for w in words]) for words in split]
-            decoded = [" ".join([memo[w][1] for w in words]) for words in split]
+            ids = [b"".join(map(encoder.ids.__getitem__, s)) for s in split]
+            decoded = [" ".join([d for d in map(encoder.decoded.__getitem__, s) if d]) for s in split]
             columns = [batch.column("key"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"])
 
