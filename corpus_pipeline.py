@@ -1,4 +1,4 @@
-"""From raw documents to a weighted, deduplicated and tokenised corpus, stage by stage."""
+"""From raw documents to a clean, deduplicated, weighted and tokenised corpus, stage by stage."""
 
 from __future__ import annotations
 
@@ -6,18 +6,57 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from registryloom.llm import mixing, quality_rules, shingle_join, toxicity
 from registryloom.llm.common import read
+from registryloom.llm.queries import MIX_WEIGHTS, TOXIC_FROM, encoded, toxicity_model
+from registryloom.sources.tables import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model does not reject."""
+    model = toxicity_model(docs, read(spark, sf_dir, "labels"))
+    return toxicity.clean_rows(docs, model, TOXIC_FROM)
+
+
+def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep, with cutoffs proven on the labelled ones."""
+    return quality_rules.kept_rows(docs, read(spark, sf_dir, "labels"))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The first document of each group of near copies."""
+    return shingle_join.first_of_each(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the weights of their sources ask for."""
+    return mixing.repeat_rows(docs, MIX_WEIGHTS)
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token counts and digests of ids and decoded text, one row a document copy."""
+    return encoded(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality_rules", keep_quality),
+    ("jaccard_join", drop_near_copies),
+    ("mixing", mix_sources),
+    ("bpe", encode),
+]
 
 #: The learned stages have no SQL; tests hold them against plain Python.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; each result but the last is a table in the shared folder."""
+    docs, root = read(spark, sf_dir, "documents"), shared_dir(spark)
+    for name, stage in STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        out.write.parquet(f"{root}/{name}")
+        docs = spark.read.schema(out.schema).parquet(f"{root}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

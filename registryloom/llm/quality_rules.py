@@ -182,6 +182,10 @@ def choose_levels(measured: DataFrame, labels: DataFrame, risk: float = RISK, de
     return chosen.select("stratum", "level", "n_good", "n_rejected", "chance")
 
 
+def _base_failed() -> Column:
+    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+
+
 def judge(
     docs: DataFrame,
     labels: DataFrame,
@@ -200,8 +204,31 @@ def judge(
     """
     measured = saved(measures(docs, key, text, stratum))
     levels = saved(choose_levels(measured, labels, risk, delta))
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     judged = measured.join(levels.select("stratum", "level"), "stratum", "left")
     rejected = F.coalesce(strictness() <= F.col("level"), F.lit(False))
-    judged = judged.withColumn("base_failed", base).withColumn("kept", ~base & ~rejected)
+    judged = judged.withColumn("base_failed", _base_failed())
+    judged = judged.withColumn("kept", ~F.col("base_failed") & ~rejected)
     return judged.withColumnRenamed("key", key)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: str = "lang") -> DataFrame:
+    """The rows of ``docs`` that ``judge`` keeps, with all their columns.
+
+    Texts are measured once for the labelled rows' levels and once to filter, which costs less
+    than sending all texts to their verdicts.
+    """
+    levels = saved(choose_levels(measures(docs, "doc_id", text, stratum), labels))
+    names = [c.split()[0] for c in _MEASURES.split(", ")]
+
+    @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
+    def measured(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([measure(t or "") for t in texts], columns=names, dtype="int64")
+
+    rows = docs.select(
+        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
+        measured(F.col(text).cast("string")).alias("m"),
+    ).select("row", "stratum", "m.*")
+    found = rows.join(levels.select("stratum", "level"), "stratum", "left")
+    rejected = _base_failed() | F.coalesce(strictness() <= F.col("level"), F.lit(False))
+    return found.filter(~rejected).select("row.*")

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, mixing, nearest, quality_rules, sharding, toxicity, url_rules, word_bpe
+from registryloom.llm import chat, mixing, nearest, pitman_yor, quality_rules, sharding, shingle_join, toxicity, url_rules, word_bpe
 from registryloom.llm.common import fold, read
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
 
@@ -32,6 +32,17 @@ def op3_url_filters(spark, sf) -> DataFrame:
     return url_rules.judge_pages(read(spark, sf, "pages"), URL_RULES)
 
 
+def op1_jaccard_join(spark, sf) -> DataFrame:
+    return shingle_join.near_duplicates(read(spark, sf, "documents"))
+
+
+def op2_pitman_yor(spark, sf) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    held_out = fold(F.col("doc_id"), 5) == 1
+    scores = pitman_yor.score(docs, docs.filter(~held_out))
+    return scores.withColumn("held_out", held_out)
+
+
 MIX_WEIGHTS = (5, 2, 1)
 
 
@@ -49,14 +60,15 @@ def op5_quality_rules(spark, sf) -> DataFrame:
 TOXIC_FROM = 0.7
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, score`` by a model that learns from two of three folds."""
+def toxicity_model(docs: DataFrame, labels: DataFrame) -> toxicity.Model:
+    """Learnt from two of three folds."""
     learn = fold(F.col("doc_id"), 3) != 1
-    return toxicity.score(docs, toxicity.fit(docs.filter(learn), labels.filter(learn)))
+    return toxicity.fit(docs.filter(learn), labels.filter(learn))
 
 
 def op6_toxicity(spark, sf) -> DataFrame:
-    scores = toxicity_scores(read(spark, sf, "documents"), read(spark, sf, "labels"))
+    docs = read(spark, sf, "documents")
+    scores = toxicity.score(docs, toxicity_model(docs, read(spark, sf, "labels")))
     return scores.select(
         "doc_id",
         (fold(F.col("doc_id"), 3) == 1).alias("held_out"),
@@ -129,6 +141,8 @@ def op10_sharding(spark, sf) -> DataFrame:
 
 LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
+    "op1_jaccard_join": op1_jaccard_join,
+    "op2_pitman_yor": op2_pitman_yor,
     "op4_mixing": op4_mixing,
     "op5_quality_rules": op5_quality_rules,
     "op6_toxicity": op6_toxicity,

@@ -222,3 +222,13 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
+def clean_rows(docs: DataFrame, model: Model, limit: float, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` that score below ``limit``, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, words in word_chunks(batches, text):
+            yield batch.filter(pa.array(model.scores(words) < limit))
+
+    return docs.mapInArrow(run, docs.schema)
