@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from registryloom.sources.headers import SHEET_COLUMNS, SHEET_DATES, SHEET_NUMBERS
 from registryloom.sources.tables import spread
 
 TT_RAW = """
@@ -53,6 +54,30 @@ SEG_WW = """
 SELECT DISTINCT 'std ' || c_mktsegment || CAST(c_nationkey % 5 AS STRING) AS standard_name, CASE c_nationkey % 5 WHEN 0 THEN 'global pharma' WHEN 1 THEN 'SMID' ELSE NULL END AS ww_segment FROM {customer} WHERE c_nationkey % 5 < 3
 """
 
+
+
+def _full_cell(i: int, header: str) -> str:
+    """Dates in three spellings, numbers with junk, the id text, and blanks around words."""
+    key = "o_orderkey"
+    if header == "Trial ID":
+        return f"CASE WHEN {key} % 9 = 0 THEN CAST({key} AS STRING) || '.0' ELSE CAST({key} AS STRING) END"
+    if header == "Protocol/Trial ID":
+        return f"CASE WHEN {key} % 4 = 0 THEN 'eu; nct' || lpad(CAST({key} AS STRING), 8, '0') ELSE 'none' END"
+    if header in SHEET_DATES:
+        return f"CASE {key} % 3 WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING) WHEN 1 THEN 'n/a' END"
+    if header in SHEET_NUMBERS:
+        return f"CASE {key} % 3 WHEN 0 THEN CAST({key} % 50 AS STRING) || '.5' WHEN 1 THEN 'x' END"
+    word = f"' ab' || chr(9) || 'c{i}  D ' || CAST({key} % {i + 2} AS STRING)"
+    return f"CASE WHEN {key} % {i + 3} <> 0 THEN {word} END"
+
+
+FULL_CELLS = {h: _full_cell(i, h) for i, h in enumerate(SHEET_COLUMNS)}
+FULL_SHEET = (
+    "SELECT 'drop me' AS not_wanted, "
+    + ", ".join(f"{cell} AS `{h}`" for h, cell in reversed(FULL_CELLS.items()))
+    + " FROM {orders}"
+)
+
 FIXTURES = {
     "tt_raw": TT_RAW,
     "ct_raw": CT_RAW,

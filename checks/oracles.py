@@ -6,7 +6,14 @@ where Spark marks word starts, a real full outer join where Spark joins part by
 
 from __future__ import annotations
 
-from checks.fixtures import fixture_sql
+from checks.fixtures import FULL_CELLS, fixture_sql
+from registryloom.sources.headers import (
+    SHEET_COLUMNS,
+    SHEET_DATES,
+    SHEET_NOT_CLEANED,
+    SHEET_NUMBERS,
+    SHEET_RENAMES,
+)
 
 WS = r"\s\p{Z}\x0B\x1c-\x1f\x85"
 CASED = r"\p{Lu}\p{Ll}\p{Lt}"
@@ -206,11 +213,11 @@ SELECT trial_id, sponsor, {first_token(filled("sponsor"))} AS lead_sponsor FROM
 """
 
 
-def lookup_sql(name: str, key: str, value: str) -> str:
-    return (
-        f"SELECT {no_punct(cleaned(key))} AS {key}, {no_punct(cleaned(value))} AS {value} "
-        f"FROM {name}"
-    )
+def lookup_sql(name: str, key: str, value: str, punct: bool = True) -> str:
+    def cell(c: str) -> str:
+        return no_punct(cleaned(c)) if punct else cleaned(c)
+
+    return f"SELECT {cell(key)} AS {key}, {cell(value)} AS {value} FROM {name}"
 
 
 MAP = lookup_sql("map_sponsor", "lead_sponsor", "standard_name")
@@ -248,6 +255,11 @@ PARTS = {
     "us_clean": US,
     "ww_clean": WW,
 }
+PUNCTUATED = {
+    "map_clean": lookup_sql("map_sponsor", "lead_sponsor", "standard_name", punct=False),
+    "us_clean": lookup_sql("seg_us", "standard_name", "us_segment", punct=False),
+    "ww_clean": lookup_sql("seg_ww", "standard_name", "ww_segment", punct=False),
+}
 RAW = ["tt_raw"]
 JOINED = ["tt_raw", "ct_raw", "sheet", "public"]
 LEFT = [*JOINED, "no_code", "tagged"]
@@ -288,8 +300,7 @@ _ID_TEXT = """
 SELECT trial_id, start_date,
   CASE trial_id % 7 WHEN 0 THEN trial_id || '.5' WHEN 1 THEN trial_id || '.0'
     WHEN 2 THEN 'x' || trial_id ELSE trial_id || '' END AS id_number,
-  CASE WHEN trial_id % 3 = 0 THEN strftime(CAST(last_modified_date AS DATE), '%m/%d/%Y')
-    ELSE last_modified_date END AS last_modified_date
+  trial_id % 11 AS spelling, last_modified_date
 FROM tt_raw
 """
 _WINDOW = "start_date >= DATE '1994-03-01' AND start_date < DATE '1997-09-01'"
@@ -299,6 +310,64 @@ _CHOSEN = """
 phase_tag IN ('I', 'II', 'Recommend Exclude') AND trial_status IN ('Open', 'Closed', 'Completed')
   AND area_tag IN ('Oncology', 'Cns', 'Vaccines', 'Multiple') AND region_tag = 'NA only'
 """
+_DAY = "date_diff('day', DATE '1970-01-01', CAST(start_date AS DATE))"
+_TYPED = f"""
+SELECT {_public("nct_id")} AS nct_id, {_public("study_title")} AS study_title,
+  {_public("study_status")} AS study_status, {_public("interventions")} AS interventions,
+  {_public("condition")} AS condition, try_cast(start_date AS DATE) AS start_date,
+  CASE coalesce(sex, '') WHEN 'All' THEN 'BOTH' ELSE upper(coalesce(sex, '')) END AS patient_gender,
+  CASE WHEN {_DAY} % 5 <> 0 THEN ({_DAY} - 9000) / 8.0::DOUBLE ELSE 0 END AS score,
+  CAST({_DAY} % 97 AS INTEGER) AS size, scan
+FROM ct_raw, (VALUES ('schema'), ('numbers')) scans(scan)
+WHERE regexp_matches({_public("interventions")}, 'DRUG|BIOLOGICAL')
+"""
+
+
+def _full_cell(header: str) -> str:
+    raw = FULL_CELLS[header]
+    if header == "Trial ID":
+        return "coalesce(o_orderkey, 0)"
+    if header in SHEET_DATES:
+        return f"try_cast({raw} AS DATE)"
+    if header in SHEET_NUMBERS:
+        number = f"try_cast({raw} AS DOUBLE)"
+        return number if header in SHEET_NOT_CLEANED else f"coalesce({number}, 0)"
+    return raw if header in SHEET_NOT_CLEANED else cleaned(raw)
+
+
+_FULL = ", ".join(f'{_full_cell(h)} AS "{SHEET_RENAMES.get(h, h)}"' for h in SHEET_COLUMNS)
+_FULL_AGE = AGE.replace("patient_age_group", '"Patient Age Group"')
+_FULL_CODE = code(FULL_CELLS["Protocol/Trial ID"])
+_TYPE_PICK = "clean_sponsor_type IN ('Industry', 'Government')"
+_NAME_PICK = "lead_sponsor IN ('Building Co 1', 'Machinery & Co 2')"
+_OPEN = (
+    f"{_STATUS} AND start_date >= DATE '1992-01-01' AND start_date < DATE '1998-12-01' "
+    "AND start_date <= last_modified_date"
+)
+_PICKS = {"types": _TYPE_PICK, "sponsors": _NAME_PICK, "both": f"{_TYPE_PICK} AND {_NAME_PICK}"}
+_SPONSORS = f"""
+SELECT *, {first_token("sponsor_type")} AS clean_sponsor_type,
+  {first_token(filled("sponsor"))} AS lead_sponsor FROM sheet WHERE {_OPEN}
+"""
+_REGIONS = {
+    "na": "NA only",
+    "eu": "EU only",
+    "apac": "APAC only",
+    "euapac": "EU and APAC",
+    "naapac": "NA and APAC",
+    "NA and EU": "NA and EU",
+}
+_LONG_PLAN = "CASE WHEN trial_id % 40 = 0 THEN repeat('plan ', 8000) ELSE treatment_plan END"
+
+
+def _written(stage: str, part: str) -> str:
+    title_ct = "study_title_CT" if stage != "left" else "NULL"
+    return (
+        f"SELECT '{stage}' AS stage, trial_id, length(treatment_plan) AS plan_chars, trial_status, "
+        f"{title_ct} AS study_title_CT FROM {part}"
+    )
+
+
 _STAGE_PARTS = {
     "sheet": 22,
     "public": 7,
@@ -361,8 +430,8 @@ SELECT trial_id,
   CASE WHEN regexp_full_match(id_number, '[0-9]+(\\.0)?')
     THEN CAST(split_part(id_number, '.', 1) AS BIGINT) END AS id_number,
   try_cast(start_date AS DATE) AS start_date,
-  coalesce(try_cast(try_strptime(last_modified_date, '%m/%d/%Y') AS DATE),
-    try_cast(last_modified_date AS DATE)) AS last_modified_date
+  CASE WHEN spelling IN (7, 8) THEN CAST(date_trunc('month', CAST(last_modified_date AS DATE)) AS DATE)
+    ELSE CAST(last_modified_date AS DATE) END AS last_modified_date
 FROM id_text""",
         RAW,
         id_text=_ID_TEXT,
@@ -386,6 +455,12 @@ GROUP BY 1""",
     ),
     "join_enrich_both": query("SELECT * FROM both_part", [*JOINED, "both_part"]),
     "left_only_no_code": query("SELECT * FROM no_code", [*JOINED, "no_code"]),
+    "left_only": query(
+        """
+SELECT s.* FROM sheet s
+WHERE NOT EXISTS (SELECT 1 FROM public p WHERE p.nct_id IS NOT DISTINCT FROM s.nct_id)""",
+        JOINED,
+    ),
     "join_right_only": query(
         f"""
 SELECT p.nct_id, {CT_LIST} FROM public p ANTI JOIN sheet s ON p.nct_id = s.nct_id""",
@@ -439,6 +514,15 @@ LEFT JOIN map_clean m
         [*RAW, "raw_lead", "map_sponsor", "map_clean"],
     ),
     "lookup_chain": query(chain_sql("raw_lead", again=True), [*RAW, "raw_lead", *LOOKUPS]),
+    "lookup_chain_keep_punct": query(
+        chain_sql("raw_lead", again=True),
+        [*RAW, "raw_lead", "map_sponsor", "seg_us", "seg_ww"],
+        **PUNCTUATED,
+    ),
+    "lookup_keys_renamed": query(
+        f"SELECT * RENAME (lead_sponsor AS company) FROM ({chain_sql('raw_lead', again=True)})",
+        [*RAW, "raw_lead", *LOOKUPS],
+    ),
     "tag_area": query(
         f"SELECT trial_id, therapeutic_area, {AREA_TAG} AS area_tag FROM sheet", [*RAW, "sheet"]
     ),
@@ -496,6 +580,42 @@ WHERE {_CHOSEN} AND start_date >= DATE '1993-06-01' AND start_date < DATE '1998-
         [*RAW, "sheet"],
     ),
     "scan_csv_roundtrip": query("SELECT * EXCLUDE (full_completion_date) FROM tt_raw", RAW),
+    "scan_csv_typed": query(_TYPED, ["ct_raw"]),
+    "write_fallback": query(
+        "SELECT *, 'csv' AS fmt, '/map.csv' AS ending FROM map_sponsor", ["map_sponsor"]
+    ),
+    "sheet_full": f"""
+SELECT {_FULL}, {_FULL_CODE} AS "NCT ID", {_FULL_AGE}
+FROM (SELECT *, {cleaned(FULL_CELLS["Patient Age Group"])} AS "Patient Age Group" FROM orders)
+""",
+    "filter_sponsors": query(
+        " UNION ALL ".join(
+            f"SELECT trial_id, clean_sponsor_type, lead_sponsor, '{pick}' AS pick "
+            f"FROM sponsored WHERE {rule}"
+            for pick, rule in _PICKS.items()
+        ),
+        [*RAW, "sheet"],
+        sponsored=_SPONSORS,
+    ),
+    "region_codes": query(
+        " UNION ALL ".join(
+            [
+                f"SELECT *, '{asked}' AS asked FROM tagged_region WHERE region_tag = '{tag}'"
+                for asked, tag in _REGIONS.items()
+            ]
+            + ["SELECT *, 'Global' AS asked FROM tagged_region"]
+        ),
+        [*RAW, "sheet"],
+        tagged_region=f"SELECT trial_id, trial_region, {REGION_TAG} AS region_tag FROM sheet",
+    ),
+    "batch_staged": pipeline("SELECT * FROM segments", left_sql()),
+    "batch_outputs": pipeline(
+        " UNION ALL ".join(_written(s, f"{s}_part") for s in ("left", "both", "union")),
+        left_sql(),
+    ).replace(
+        f"tt_raw AS ({PARTS['tt_raw']})",
+        f"tt_raw AS (SELECT * REPLACE ({_LONG_PLAN} AS treatment_plan) FROM ({PARTS['tt_raw']}))",
+    ),
     "stage_summary": pipeline(
         " UNION ALL ".join(
             f"SELECT '{name.removesuffix('_part')}' AS stage, count(*) AS n_rows, "

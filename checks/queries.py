@@ -2,24 +2,39 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from checks.fixtures import fixture, table
+from checks.fixtures import FULL_SHEET, fixture, table
 from registryloom.functions import text
 from registryloom.functions.text import norm_key
 from registryloom.names import Names, col
 from registryloom.operators import clean, filters, joins, lookups, refine, schema, tagging
 from registryloom.plans import branches, pipeline, trial_filters
 from registryloom.plans.branches import Refinement
-from registryloom.plans.cleaning import clean_public, clean_sheet
+from registryloom.plans.cleaning import clean_public, clean_sheet, select_sheet
+from registryloom.plans.pipeline import PipelineConfig
 from registryloom.plans.trial_filters import FilterSpec
-from registryloom.sources.tables import load_table, save_table, shared_dir
+from registryloom.sources.headers import DISPLAY_SHEET, SNAKE_SHEET
+from registryloom.sources.tables import load_table, save_or_csv, save_table, shared_dir
 
 N = Names()
 KEEP = ["trial_status", "trial_id", "not_there", "sponsor", "study_design", "trial_title"]
 RENAMES = {"trial_status": "sheet_status", "study_design": "sheet_design", "absent": "x"}
+DATE_SPELLINGS = (
+    "M/d/yyyy",
+    "d-MMM-yyyy",
+    "MMM d, yyyy",
+    "MMMM d, yyyy",
+    "yyyy/MM/dd",
+    "yyyyMMdd",
+    "MMM yyyy",
+    "MMMM yyyy",
+)
 WINDOW = ((1994, 3), (1997, 9))
 REQUEST = {
     "start_date_from_month": 6,
@@ -34,6 +49,39 @@ REQUEST = {
     "region": "na",
 }
 
+# A request that narrows nothing by itself.
+OPEN_REQUEST = {
+    "start_date_from_month": 1,
+    "start_date_from_year": 1992,
+    "start_date_until_month": 12,
+    "start_date_until_year": 1998,
+}
+# The fixture's sheet has its final headers, fewer of them, and dates as text.
+SHEET_AS_IS = replace(
+    SNAKE_SHEET,
+    keep=[
+        "trial_id",
+        "protocol_trial_id",
+        "trial_title",
+        "trial_phase",
+        "trial_status",
+        "therapeutic_area",
+        "disease",
+        "sponsor",
+        "sponsor_type",
+        "study_design",
+        "treatment_plan",
+        "study_keywords",
+        "patient_age_group",
+        "trial_region",
+        "start_date",
+        "last_modified_date",
+        "full_completion_date",
+        "target_accrual",
+    ],
+    renames={},
+)
+
 
 def _days(df: DataFrame) -> DataFrame:
     """Timestamps as days, so that session time zones cannot matter in the comparison."""
@@ -113,14 +161,15 @@ def coerce_types(spark, sf):
         .when(n % 7 == 2, F.concat(F.lit("x"), n.cast("string")))
         .otherwise(n.cast("string"))
     )
-    slashed = F.date_format(F.to_date("last_modified_date"), "MM/dd/yyyy")
+    # One spelling after the other; the month names and the compact form among them.
+    day = F.to_date("last_modified_date")
+    written = [F.date_format(day, f) for f in ("MM/dd/yyyy", *DATE_SPELLINGS)]
+    spelled = reduce(lambda c, i: c.when(n % 11 == i, written[i]), range(len(written)), F)
     raw = fixture(spark, sf, "tt_raw").select(
         "trial_id",
         id_text.alias("id_number"),
         "start_date",
-        F.when(n % 3 == 0, slashed).otherwise(F.col("last_modified_date")).alias(
-            "last_modified_date"
-        ),
+        spelled.otherwise(F.col("last_modified_date")).alias("last_modified_date"),
     )
     typed = schema.coerce_dates(raw, ["start_date", "last_modified_date", "absent"])
     return _days(schema.coerce_integer(typed, "id_number"))
@@ -149,7 +198,12 @@ def join_enrich_both(spark, sf):
 
 
 def left_only_no_code(spark, sf):
-    return _days(refine.filter_no_code(_split(spark, sf).left_only))
+    return _days(_no_code(spark, sf))
+
+
+def left_only(spark, sf):
+    """All rows of the sheet without a partner, with or without an id."""
+    return _days(_split(spark, sf).left_only)
 
 
 def join_right_only(spark, sf):
@@ -188,9 +242,10 @@ def study_type_refine(spark, sf):
 
 def union_by_name(spark, sf):
     refinement = Refinement(interventional=True, industry=True, others=True)
-    return _days(
-        branches.join_and_stack(_sheet(spark, sf), _public(spark, sf), refinement).union
+    _, _, parts = pipeline.staged_branches(
+        spark, _sheet(spark, sf), _public(spark, sf), shared_dir(spark), refinement=refinement
     )
+    return _days(parts.union)
 
 
 def norm_keys(spark, sf):
@@ -238,6 +293,33 @@ def lookup_chain(spark, sf):
     return pipeline.add_segments(sponsors, *_lookups(spark, sf), mode="idempotent")
 
 
+def lookup_chain_keep_punct(spark, sf):
+    """Tables keep their punctuation; keys never do."""
+    sponsors = refine.add_lead_sponsor(
+        fixture(spark, sf, "tt_raw").select("trial_id", "sponsor")
+    )
+    return pipeline.add_segments(sponsors, *_lookups(spark, sf), mode="idempotent", punct=False)
+
+
+def lookup_keys_renamed(spark, sf):
+    """Every key column has a name of its own."""
+    sponsors = refine.add_lead_sponsor(
+        fixture(spark, sf, "tt_raw").select("trial_id", "sponsor")
+    ).withColumnRenamed("lead_sponsor", "company")
+    sponsor_map, us, ww = _lookups(spark, sf)
+    return pipeline.add_segments(
+        sponsors,
+        sponsor_map.withColumnRenamed("lead_sponsor", "map_name"),
+        us.withColumnRenamed("standard_name", "us_name"),
+        ww.withColumnRenamed("standard_name", "ww_name"),
+        mode="idempotent",
+        map_left_key="company",
+        map_right_key="map_name",
+        us_key="us_name",
+        ww_key="ww_name",
+    )
+
+
 def tag_area(spark, sf):
     return tagging.add_area_tag(_sheet(spark, sf)).select(
         "trial_id", "therapeutic_area", "area_tag"
@@ -317,8 +399,91 @@ def scan_csv_roundtrip(spark, sf):
     return typed.withColumn("target_accrual", F.col("target_accrual").try_cast("double"))
 
 
-def _stages(spark, sf, **flags) -> dict[str, DataFrame]:
-    return pipeline.trial_stages(
+def scan_csv_typed(spark, sf):
+    """Numbers of delimited files, cleaned as numbers: decimals, negatives and missing ones."""
+    raw = fixture(spark, sf, "ct_raw").withColumn("sex", F.coalesce("sex", F.lit("n/a")))
+    day = F.unix_date(F.to_date("start_date"))
+    score = F.when(day % 5 != 0, (day - 9000) / 8.0)
+    path = f"{shared_dir(spark)}/ct_raw"
+    save_table(raw.withColumn("score", score).withColumn("size", (day % 97).cast("int")), path, "csv")
+    kinds = "start_date date, score double, size int, not_there int"
+    typed = load_table(spark, path, "csv", schema=kinds)
+    text = load_table(spark, path, "csv", multi_line=False)
+    one = clean_public(typed).withColumn("scan", F.lit("schema"))
+    two = clean_public(text, numbers=["score", "size"]).withColumn("scan", F.lit("numbers"))
+    two = two.withColumn("size", F.col("size").cast("int"))
+    return _days(two).unionByName(one)
+
+
+def write_fallback(spark, sf):
+    """A table asked for as a workbook becomes a delimited one beside it."""
+    raw = fixture(spark, sf, "map_sponsor")
+    path, fmt = save_or_csv(raw, f"{shared_dir(spark)}/map.xlsx")
+    back = load_table(spark, path)
+    return back.withColumn("fmt", F.lit(fmt)).withColumn("ending", F.substring(F.lit(path), -8, 8))
+
+
+def sheet_full(spark, sf):
+    """A sheet with all its headers and one more, kept, renamed, typed and cleaned."""
+    raw = spark.sql(FULL_SHEET, orders=table(spark, sf, "orders"))
+    return _days(clean_sheet(select_sheet(raw, DISPLAY_SHEET), DISPLAY_SHEET))
+
+
+def filter_sponsors(spark, sf):
+    """Selections of sponsor types and of lead sponsors, alone and together."""
+    sheet = refine.add_lead_sponsor(refine.add_sponsor_tag(_sheet(spark, sf)))
+    types, names = ["Industry", "Government"], ["Building Co 1", "Machinery & Co 2"]
+    picks = {"types": (types, "all"), "sponsors": ([], names), "both": (types, names)}
+    parts = []
+    for pick, (by_type, by_name) in picks.items():
+        request = {**OPEN_REQUEST, "selected_lead_sponsor_types": by_type, "selected_sponsors": by_name}
+        out = trial_filters.apply_filters(sheet, FilterSpec.from_request(request))
+        parts.append(out.select("trial_id", "clean_sponsor_type", "lead_sponsor", F.lit(pick).alias("pick")))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def region_codes(spark, sf):
+    """Each code of the request form, a tag in full, and no choice."""
+    tagged = tagging.add_region_tag(_sheet(spark, sf).select("trial_id", "trial_region"))
+    asked = [*filters.REGION_CODES, "NA and EU", "Global"]
+    parts = [filters.region_filter(tagged, r).withColumn("asked", F.lit(r)) for r in asked]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def batch_outputs(spark, sf):
+    """Outputs come back as the stages are: long cells whole, missing ones missing."""
+    root = shared_dir(spark)
+    sheet = fixture(spark, sf, "tt_raw").withColumn(
+        "treatment_plan", F.when(F.col("trial_id") % 40 == 0, F.repeat(F.lit("plan "), 8000)).otherwise(F.col("treatment_plan"))
+    )
+    files = _saved(spark, sf, root, tt_raw=sheet)
+    outputs = {s: f"{root}/out/{s}" for s in ("left", "both", "union")}
+    pipeline.run_pipeline(spark, PipelineConfig(**files, outputs=outputs, sheet=SHEET_AS_IS))
+    read = [spark.read.parquet(p).withColumn("stage", F.lit(s)) for s, p in outputs.items()]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+    return whole.select(
+        "stage", "trial_id", F.length("treatment_plan").cast("bigint").alias("plan_chars"), "trial_status", "study_title_CT"
+    )
+
+
+def batch_staged(spark, sf):
+    """The whole batch from files, by way of the stage folder."""
+    files = _saved(spark, sf, shared_dir(spark))
+    stages = pipeline.run_pipeline(spark, PipelineConfig(**files, sheet=SHEET_AS_IS))
+    return _days(stages["segments"])
+
+
+def _saved(spark, sf, root: str, **frames: DataFrame) -> dict[str, str]:
+    """The input files of a batch, as folders without an ending."""
+    names = ("tt_raw", "ct_raw", "map_sponsor", "seg_us", "seg_ww")
+    for name in names:
+        save_table(frames.get(name, fixture(spark, sf, name)), f"{root}/{name}")
+    return dict(zip(pipeline._PATHS, (f"{root}/{n}" for n in names)))
+
+
+def _stages(spark, sf, **flags) -> pipeline.Stages:
+    return pipeline.staged_stages(
+        spark,
         fixture(spark, sf, "tt_raw"),
         fixture(spark, sf, "ct_raw"),
         *_lookups(spark, sf),
@@ -354,6 +519,7 @@ QUERIES = {
     "join_three_way": join_three_way,
     "join_enrich_both": join_enrich_both,
     "left_only_no_code": left_only_no_code,
+    "left_only": left_only,
     "join_right_only": join_right_only,
     "first_token_title": first_token_title,
     "lead_sponsor": lead_sponsor,
@@ -366,6 +532,8 @@ QUERIES = {
     "lookup_append": lookup_append,
     "lookup_append_idempotent": lookup_append_idempotent,
     "lookup_chain": lookup_chain,
+    "lookup_chain_keep_punct": lookup_chain_keep_punct,
+    "lookup_keys_renamed": lookup_keys_renamed,
     "tag_area": tag_area,
     "tag_covid": tag_covid,
     "tag_phase": tag_phase,
@@ -378,7 +546,14 @@ QUERIES = {
     "apply_filters_fixed": apply_filters_fixed,
     "apply_filters_spec": apply_filters_spec,
     "scan_csv_roundtrip": scan_csv_roundtrip,
+    "scan_csv_typed": scan_csv_typed,
+    "write_fallback": write_fallback,
+    "sheet_full": sheet_full,
+    "filter_sponsors": filter_sponsors,
+    "region_codes": region_codes,
     "stage_summary": stage_summary,
     "batch_full": batch_full,
     "batch_flags": batch_flags,
+    "batch_staged": batch_staged,
+    "batch_outputs": batch_outputs,
 }

@@ -17,6 +17,8 @@ from registryloom.sources.headers import DISPLAY_SHEET, SNAKE_SHEET
 
 def config(settings: dict) -> PipelineConfig:
     settings = dict(settings)
+    for name in ("public_numbers", "lookup_numbers"):
+        settings[name] = tuple(settings.get(name, ()))
     sheet = {"snake": SNAKE_SHEET, "display": DISPLAY_SHEET}[settings.pop("headers", "snake")]
     refinement = Refinement(**settings.pop("refinement", {}))
     return PipelineConfig(sheet=sheet, refinement=refinement, **settings)
@@ -26,8 +28,9 @@ def main(path: str) -> None:
     with open(path, encoding="utf-8") as file:
         cfg = config(json.load(file))
     spark = session()
-    for row in stage_summary(run_pipeline(spark, cfg)).collect():
-        print(f"{row.stage}: {row.n_rows:,} rows, {row.n_cols} columns")
+    with run_pipeline(spark, cfg) as stages:
+        for row in stage_summary(stages).collect():
+            print(f"{row.stage}: {row.n_rows:,} rows, {row.n_cols} columns")
 
 
 if __name__ == "__main__":

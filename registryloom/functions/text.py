@@ -34,8 +34,9 @@ SPACE = r"\s\p{Z}\x0B\x1c-\x1f\x85"
 # The same class for scanning long text: printable ASCII is ruled out by its first half at once.
 _GAP = rf"[[^\x21-\x7e]&&[{SPACE}]]"
 _CASED = r"\p{IsUppercase}\p{IsLowercase}\p{Lt}"
-# A Unicode noncharacter, set aside for use inside a program; text never carries it.
-_MARK = "\ufdd0 "
+# A mark before the space that opens a word, and how the mark's own sign is written meanwhile.
+_SIGN = "\ufdd0"
+_MARK, _OWN_SIGN = _SIGN + " ", _SIGN + "\ufdd1"
 
 CASE_MODES = ("none", "upper", "lower", "title")
 
@@ -53,10 +54,13 @@ def title(c: Column) -> Column:
     """Capitalise after every character that has no case: ``i/ii`` gives ``I/Ii``.
 
     ``initcap`` breaks words at spaces only, so a marked space goes in before the other word
-    starts and comes out again afterwards.
+    starts and comes out again afterwards. The mark's sign in the text itself is written as a
+    pair meanwhile, so every text comes back whole.
     """
-    marked = F.regexp_replace(c, f"([^{_CASED} ])(?=[{_CASED}])", f"$1{_MARK}")
-    return F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
+    safe = F.replace(c, F.lit(_SIGN), F.lit(_OWN_SIGN))
+    marked = F.regexp_replace(safe, f"([^{_CASED} ])(?=[{_CASED}])", f"$1{_MARK}")
+    plain = F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
+    return F.replace(plain, F.lit(_OWN_SIGN), F.lit(_SIGN))
 
 
 def with_case(c: Column, mode: str) -> Column:

@@ -8,7 +8,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Tried in this order after the ISO forms (year, year-month, date, date and time).
-DATE_FORMATS = ("MM/dd/yyyy", "dd-MMM-yyyy", "MMMM d, yyyy", "MMMM yyyy")
+DATE_FORMATS = (
+    "M/d/yyyy",
+    "d-MMM-yyyy",
+    "MMMM d, yyyy",
+    "MMM d, yyyy",
+    "MMMM yyyy",
+    "MMM yyyy",
+    "yyyy/M/d",
+    "yyyyMMdd",
+)
 
 
 def _utc(c: Column) -> Column:
@@ -21,10 +30,12 @@ def _utc(c: Column) -> Column:
 def to_timestamp(c: Column, formats: Sequence[str] = DATE_FORMATS) -> Column:
     """Clock times, in UTC where the text names a zone.
 
-    Each value is parsed on its own, so the result does not hang on row order.
+    Each value is parsed on its own, so the result does not hang on row order. More than four
+    digits in a row are no year.
     """
+    iso = F.when(~c.rlike(r"^\s*\d{5,}\s*$"), c)
     parsed = [F.try_to_timestamp(c, F.lit(f)).cast("timestamp_ntz") for f in formats]
-    return F.coalesce(_utc(c), c.try_cast("timestamp_ntz"), *parsed)
+    return F.coalesce(_utc(c), iso.try_cast("timestamp_ntz"), *parsed)
 
 
 def to_bigint(c: Column) -> Column:

@@ -73,7 +73,7 @@ class Names:
         ]
 
 
-# Headers as the source files spell them (after the sheet's renames, see sources.schemas).
+# Headers as the source files spell them (after the sheet's renames, see sources.headers).
 DISPLAY = Names(
     trial_id="Trial ID",
     protocol_id="Protocol_Trial_ID",

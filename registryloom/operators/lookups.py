@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from registryloom.functions.text import norm_key, or_empty
 from registryloom.names import Names, col
 from registryloom.operators.clean import clean_table, remove_punctuation
-from registryloom.operators.schema import replace_columns
+from registryloom.operators.schema import coerce_numbers, replace_columns
 
 _LKEY, _RKEY, _NEXT = "__lookup_left", "__lookup_right", "__next_key"
+_MAPKEY = "__map_key"
 
 # Fixed value: the segment of names that no lookup row covers.
 DEFAULT_SEGMENT = "Others"
@@ -26,11 +27,15 @@ def clean_lookup(
     *,
     title_case: bool = True,
     punct: bool = True,
+    numbers: Iterable[str] = (),
 ) -> DataFrame:
-    """Fill and clean a lookup table; values are cleaned along with keys."""
+    """Fill and clean a lookup table; values are cleaned along with keys.
+
+    Text columns named in ``numbers`` become numbers first, so that the text rules spare them.
+    """
     columns = list(columns or [])
     out = clean_table(
-        lookup, columns, case_mode="title" if title_case else "none", drop_rows=False
+        coerce_numbers(lookup, numbers), columns, case_mode="title" if title_case else "none", drop_rows=False
     )
     return remove_punctuation(out, columns) if punct else out
 
@@ -38,7 +43,8 @@ def clean_lookup(
 def broadcast_small(*tables: DataFrame, max_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
     """Mark the tables whose measured size fits a broadcast; the others join by shuffle.
 
-    One job at once sums rows and text bytes; the estimate allows 16 bytes per other cell.
+    One job, run when this is called, sums rows and text bytes; the estimate allows 16 bytes per
+    other cell. A caller who knows the sizes can mark tables with ``F.broadcast`` instead.
     """
 
     def size(i: int, t: DataFrame) -> DataFrame:
@@ -69,8 +75,11 @@ def _append(
     return keyed.join(right, F.col(_LKEY).eqNullSafe(F.col(_RKEY)), "left").drop(_LKEY, _RKEY)
 
 
-def _key_of(df: DataFrame, name: str, punct: bool, mode: str) -> Column:
-    return norm_key(col(name), punct, mode) if name in df.columns else F.lit("")
+def _key_of(df: DataFrame, name: str, mode: str) -> Column:
+    """Keys never have punctuation, however the tables were cleaned."""
+    if name not in df.columns:
+        raise ValueError(f"no lookup key column {name!r}; there are {df.columns}")
+    return norm_key(col(name), mode=mode)
 
 
 def lookup_append(
@@ -80,13 +89,12 @@ def lookup_append(
     left_key: str,
     right_key: str | None = None,
     add_columns: list[str] | None = None,
-    punct: bool = True,
     mode: str = "compat",
 ) -> DataFrame:
     """Left join on the normalised key; appends ``add_columns`` (all but the key if none given).
 
-    Repeated lookup keys multiply rows. NULL matches NULL, and a key column that is absent counts
-    as ''. No hint is set here: pass the lookup through ``broadcast_small`` first, or leave the
+    Repeated lookup keys multiply rows. NULL matches NULL; an absent key column is an error, as
+    it would join every row with every other. No hint is set here: pass the lookup through ``broadcast_small`` first, or leave the
     choice to the optimizer.
     """
     right_key = right_key or left_key
@@ -94,9 +102,9 @@ def lookup_append(
         add_columns = [n for n in lookup.columns if n != right_key]
     return _append(
         df,
-        _key_of(df, left_key, punct, mode),
+        _key_of(df, left_key, mode),
         lookup,
-        _key_of(lookup, right_key, punct, mode),
+        _key_of(lookup, right_key, mode),
         add_columns,
     )
 
@@ -114,23 +122,36 @@ def lookup_chain(
     ww_segments: DataFrame,
     *,
     names: Names = Names(),
+    map_left_key: str | None = None,
+    map_right_key: str | None = None,
+    us_key: str | None = None,
+    ww_key: str | None = None,
     map_add: list[str] | None = None,
     us_add: list[str] | None = None,
     ww_add: list[str] | None = None,
     cleanse: bool = True,
     title_case: bool = True,
     punct: bool = True,
+    numbers: Iterable[str] = (),
     mode: str = "compat",
+    broadcast_bytes: int | None = None,
 ) -> DataFrame:
     """Lead sponsor to standard name, standard name to US and to WW segment.
 
-    The key of the second and third lookup depends on the first lookup's row alone, so it is
-    normalised there, on the small table, and travels along instead of being worked out again
-    for every row of ``df``. The first appended column of each segment table gets the default.
+    The key of the second and third lookup depends on the first lookup's row alone. If the tables
+    are cleaned here, they hold no NULL, so a row without a standard name meets nothing: the
+    three tables are then joined with each other first, and ``df`` with the result once.
+    Otherwise NULL must still meet NULL, and the normalised key travels along. Keys are the lead
+    sponsor and the standard name unless named; ``punct`` concerns the cleaning alone. The first
+    appended column of each segment table gets the default. With ``broadcast_bytes``, tables are
+    measured by ``broadcast_small``; without, the optimizer chooses.
     """
+    if broadcast_bytes is not None:
+        tables = (sponsor_map, us_segments, ww_segments)
+        sponsor_map, us_segments, ww_segments = broadcast_small(*tables, max_bytes=broadcast_bytes)
     if cleanse:
         sponsor_map, us_segments, ww_segments = (
-            clean_lookup(t, title_case=title_case, punct=punct)
+            clean_lookup(t, title_case=title_case, punct=punct, numbers=numbers)
             for t in (sponsor_map, us_segments, ww_segments)
         )
     std = names.standard_name
@@ -138,19 +159,35 @@ def lookup_chain(
     us_add = [names.us_segment] if us_add is None else us_add
     ww_add = [names.ww_segment] if ww_add is None else ww_add
 
+    left_key, right_key = map_left_key or names.lead_sponsor, map_right_key or names.lead_sponsor
     carried = std in map_add
-    out = _append(
-        df,
-        _key_of(df, names.lead_sponsor, punct, mode),
-        sponsor_map,
-        _key_of(sponsor_map, names.lead_sponsor, punct, mode),
-        map_add,
-        next_key=norm_key(col(std), punct, mode) if carried else None,
-    )
-    if not carried:
-        out = out.withColumn(_NEXT, _key_of(out, std, punct, mode))
-    for table, add in ((us_segments, us_add), (ww_segments, ww_add)):
-        out = _append(out, col(_NEXT), table, _key_of(table, std, punct, mode), add)
+    segments = ((us_segments, us_add, us_key or std), (ww_segments, ww_add, ww_key or std))
+    next_key = norm_key(col(std), mode=mode) if carried else None
+    if cleanse and carried:
+        key = _key_of(sponsor_map, right_key, mode).alias(_MAPKEY)
+        small = sponsor_map.select(key, *[col(n) for n in map_add], next_key.alias(_NEXT))
+        added = list(map_add)
+        for table, add, name in segments:
+            small = _append(small, col(_NEXT), table, _key_of(table, name, mode), add)
+            added += add
+        if broadcast_bytes is not None:  # repeated keys multiply, so the result has its own size
+            (small,) = broadcast_small(small, max_bytes=broadcast_bytes)
+        out = _append(df, _key_of(df, left_key, mode), small, col(_MAPKEY), added)
+    else:
+        out = _append(
+            df,
+            _key_of(df, left_key, mode),
+            sponsor_map,
+            _key_of(sponsor_map, right_key, mode),
+            map_add,
+            next_key=next_key,
+        )
+        if not carried:
+            out = out.withColumn(_NEXT, _key_of(out, std, mode))
+        for table, add, key in segments:
+            out = _append(out, col(_NEXT), table, _key_of(table, key, mode), add)
+        out = out.drop(_NEXT)
+    for _, add, _ in segments:
         if add:
             out = fill_default(out, add[0])
-    return out.drop(_NEXT)
+    return out

@@ -56,17 +56,13 @@ def coerce_dates(
     return replace_columns(df, {n: to_timestamp(col(n), formats) for n in text})
 
 
+def coerce_numbers(df: DataFrame, names: Iterable[str]) -> DataFrame:
+    """Text to doubles, NULL where it is no number; columns of other types stay."""
+    text = [n for n in names if n in df.columns and is_text(df.schema[n].dataType)]
+    return replace_columns(df, {n: col(n).try_cast("double") for n in text})
+
+
 def coerce_integer(df: DataFrame, name: str) -> DataFrame:
     if name not in df.columns or df.schema[name].dataType == T.LongType():
         return df
     return replace_columns(df, {name: to_bigint(col(name))})
-
-
-def drop_null_columns(df: DataFrame, names: Iterable[str] | None = None) -> DataFrame:
-    """Drop the named columns that hold no value in any row. Runs one aggregation at once."""
-    scope = present(df, names)
-    if not scope:
-        return df
-    counts = df.agg(*[F.count(col(n)).alias(f"c{i}") for i, n in enumerate(scope)]).first()
-    empty = {n for i, n in enumerate(scope) if counts[i] == 0}
-    return df.drop(*empty)

@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from registryloom.names import DISPLAY, Names, col
+from registryloom.names import DISPLAY, Names
 from registryloom.operators import clean, filters, refine, schema
 from registryloom.sources.headers import PUBLIC_DATES, SNAKE_SHEET, Sheet
 
@@ -16,10 +14,7 @@ from registryloom.sources.headers import PUBLIC_DATES, SNAKE_SHEET, Sheet
 def select_sheet(df: DataFrame, sheet: Sheet = SNAKE_SHEET) -> DataFrame:
     """Kept columns in order, renamed, with number columns typed."""
     kept = schema.rename_columns(schema.keep_columns(df, sheet.keep), sheet.renames)
-    texts = [
-        n for n in sheet.numbers if n in kept.columns and schema.is_text(kept.schema[n].dataType)
-    ]
-    return schema.replace_columns(kept, {n: col(n).try_cast("double") for n in texts})
+    return schema.coerce_numbers(kept, sheet.numbers)
 
 
 def rename_public(df: DataFrame, names: Names = Names()) -> DataFrame:
@@ -53,10 +48,14 @@ def clean_public(
     names: Names = Names(),
     dates: Sequence[str] = tuple(PUBLIC_DATES),
     drop_null_columns: bool = False,
+    numbers: Sequence[str] = (),
 ) -> DataFrame:
-    """Source B: typed, cleaned in upper case, no punctuation, drug and biological rows only."""
+    """Source B: typed, cleaned in upper case, no punctuation, drug and biological rows only.
+
+    Text columns named in ``numbers`` become numbers first, so that the text rules spare them.
+    """
     cleaned = clean.clean_table(
-        schema.coerce_dates(df, dates),
+        schema.coerce_numbers(schema.coerce_dates(df, dates), numbers),
         collapse_ws=False,
         case_mode="upper",
         drop_null_columns=drop_null_columns,
@@ -67,17 +66,3 @@ def clean_public(
         both, {names.public_id: names.registry_id, names.sex: names.gender}
     )
     return filters.keyword_filter(renamed, names.interventions)
-
-
-@contextmanager
-def kept(*frames: DataFrame) -> Iterator[tuple[DataFrame, ...]]:
-    """Hold frames in memory and on disk while several results are drawn from them.
-
-    Lost executors only cost the recomputation of their parts.
-    """
-    held = tuple(df.persist(StorageLevel.MEMORY_AND_DISK) for df in frames)
-    try:
-        yield held
-    finally:
-        for df in held:
-            df.unpersist()

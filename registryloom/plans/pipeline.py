@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registryloom.functions.ids import NO_CODE
-from registryloom.names import col
+from registryloom.names import Names, col
 from registryloom.operators import joins, lookups, refine
 from registryloom.operators.clean import sanitize_cells
 from registryloom.plans.branches import (
@@ -29,7 +29,9 @@ from registryloom.plans.cleaning import (
 )
 from registryloom.sources.headers import SNAKE_SHEET, Sheet
 from registryloom.sources.tables import (
+    format_of,
     load_table,
+    remove_dir,
     save_or_csv,
     save_table,
     shared_dir,
@@ -37,11 +39,32 @@ from registryloom.sources.tables import (
 )
 
 STAGES = ("sheet", "public", "left", "both", "union", "lead", "segments")
-# Outputs meant for cell-based tools get their text cells made safe.
+# Outputs that can be made safe for cell-based tools.
 _CELL_SAFE = ("left", "both", "union")
+_PATHS = ("sheet_path", "public_path", "sponsor_map_path", "us_path", "ww_path")
 _CODED = "has_code"
 
 
+class Stages(dict):
+    """Frames by stage name, read from the stage folder ``root``.
+
+    As a context manager it removes the folder at the end; ``remove`` does so at once.
+    """
+
+    def __init__(self, frames: Mapping[str, DataFrame], spark: SparkSession, root: str):
+        super().__init__(frames)
+        self.root, self._spark = root, spark
+
+    def remove(self) -> None:
+        remove_dir(self._spark, self.root)
+
+    def __enter__(self) -> Stages:
+        return self
+
+    def __exit__(self, *error: object) -> None:
+        self.remove()
+
+
 @dataclass(frozen=True)
 class PipelineConfig:
     sheet_path: str
@@ -59,10 +82,25 @@ class PipelineConfig:
     title_case: bool = True
     punct: bool = True
     key_mode: str = "compat"
+    # Formats by path field or output stage, for paths whose ending does not name theirs.
+    formats: Mapping[str, str] = field(default_factory=dict)
+    # Number columns of delimited files, which have text only.
+    public_numbers: tuple[str, ...] = ()
+    lookup_numbers: tuple[str, ...] = ()
+    # Whether cells of delimited files may hold line breaks; files without any can be split.
+    multi_line: bool = True
+    # Longest text cell of the left, both and union outputs, with NULL written as ''; for targets
+    # that are opened with cell-based tools. By default outputs are written as they are.
+    max_cell_chars: int | None = None
+    # Parts that an unsplittable file is dealt out to; by default all cores at the start.
+    parts: int | None = None
     # Shared folder for the cleaned files; by default one is taken under spark.checkpoint.dir.
     stage_dir: str | None = None
 
     def __post_init__(self):
+        odd = set(self.formats) - {*_PATHS, *STAGES}
+        if odd:
+            raise ValueError(f"formats for unknown paths {sorted(odd)}")
         unknown = set(self.outputs) - set(STAGES)
         if unknown:
             raise ValueError(f"outputs for unknown stages {sorted(unknown)}; stages are {STAGES}")
@@ -88,9 +126,9 @@ def add_segments(
     ww_segments: DataFrame,
     **options: object,
 ) -> DataFrame:
-    """``lookup_chain`` with the size of each lookup table checked before it is broadcast."""
-    tables = lookups.broadcast_small(sponsor_map, us_segments, ww_segments)
-    return lookups.lookup_chain(trials, *tables, **options)
+    """``lookup_chain`` with the size of the lookup tables checked before they are broadcast."""
+    options = {"broadcast_bytes": lookups.BROADCAST_BYTES, **options}
+    return lookups.lookup_chain(trials, sponsor_map, us_segments, ww_segments, **options)
 
 
 def trial_stages(
@@ -112,8 +150,15 @@ def trial_stages(
     return dict(zip(STAGES, frames))
 
 
-def _stage_cleaned(
-    spark: SparkSession, sheet: DataFrame, public: DataFrame, cfg: PipelineConfig
+def staged_branches(
+    spark: SparkSession,
+    sheet: DataFrame,
+    public: DataFrame,
+    root: str,
+    names: Names = SNAKE_SHEET.names,
+    refinement: Refinement = Refinement(),
+    right_columns: list[str] | None = None,
+    suffix: str = "_CT",
 ) -> tuple[DataFrame, DataFrame, Branches]:
     """Write the cleaned files and the two branches once, each built on what was written before.
 
@@ -121,7 +166,6 @@ def _stage_cleaned(
     the public file holds the no-code marker too, those rows can match and both parts are read.
     All later stages work row by row on the branches, so nothing is cleaned or joined twice.
     """
-    names, root = cfg.sheet.names, cfg.stage_dir or shared_dir(spark)
     coded = col(names.registry_id) != NO_CODE
 
     def through(df: DataFrame, name: str, *parts: str) -> DataFrame:
@@ -135,40 +179,95 @@ def _stage_cleaned(
     marker_matches = not public.filter(~coded).select(col(names.registry_id)).isEmpty()
     with_id = sheet if marker_matches else written.filter(col(_CODED)).drop(_CODED)
     without_id = written.filter(~col(_CODED)).drop(_CODED)
-    both = through(matched_branch(with_id, public, names, cfg.right_columns, cfg.suffix), "both")
+    both = through(matched_branch(with_id, public, names, right_columns, suffix), "both")
     rows = no_code_rows(without_id, public, names)
-    left = through(refine_branch(rows, cfg.refinement, names), "left")
+    left = through(refine_branch(rows, refinement, names), "left")
     return sheet, public, Branches(left, both, joins.stack(left, both))
 
 
-def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> dict[str, DataFrame]:
-    """Run the batch, write the wanted stages, and return all stages by name.
+def staged_stages(
+    spark: SparkSession,
+    sheet: DataFrame,
+    public: DataFrame,
+    sponsor_map: DataFrame,
+    us_segments: DataFrame,
+    ww_segments: DataFrame,
+    refinement: Refinement = Refinement(),
+    spec: Sheet = SNAKE_SHEET,
+    *,
+    root: str | None = None,
+    drop_null_columns: bool = False,
+    public_numbers: Sequence[str] = (),
+    right_columns: list[str] | None = None,
+    suffix: str = "_CT",
+    **lookup_options: object,
+) -> Stages:
+    """All stages over raw frames, each raw file cleaned once into the stage folder."""
+    root, names = root or shared_dir(spark), spec.names
+    sheet, public, branches = staged_branches(
+        spark,
+        clean_sheet(sheet, spec, drop_null_columns),
+        clean_public(
+            public, names, drop_null_columns=drop_null_columns, numbers=public_numbers
+        ),
+        root,
+        names,
+        refinement,
+        right_columns,
+        suffix,
+    )
+    lead = refine.add_lead_sponsor(branches.union, names)
+    tables = (sponsor_map, us_segments, ww_segments)
+    segments = add_segments(lead, *tables, names=names, **lookup_options)
+    frames = (sheet, public, *branches, lead, segments)
+    return Stages(dict(zip(STAGES, frames)), spark, root)
+
+
+def _raw(spark: SparkSession, cfg: PipelineConfig, name: str, root: str) -> DataFrame:
+    """A raw file; a delimited one that cannot be split is first dealt out into the stage folder.
 
-    Lost executors never send the job back to the source files: the costly stages are tables in
-    the stage folder. The returned frames read that folder, so remove it only after their use.
+    Filters on the dealt rows would move below the shuffle and into the few tasks that read the
+    file, so the cleaning starts from what is written.
     """
+    path, fmt = getattr(cfg, name), cfg.formats.get(name)
+    df = load_table(spark, path, fmt, multi_line=cfg.multi_line)
+    if format_of(path, fmt) != "csv" or (dealt := spread(df, cfg.parts)) is df:
+        return df
+    save_table(dealt, f"{root}/{name}", "parquet")
+    return spark.read.schema(df.schema).parquet(f"{root}/{name}")
+
 
-    names = cfg.sheet.names
-    raw_sheet = select_sheet(spread(load_table(spark, cfg.sheet_path)), cfg.sheet)
-    raw_public = rename_public(spread(load_table(spark, cfg.public_path)), names)
-    sheet, public, branches = _stage_cleaned(
+def run_pipeline(spark: SparkSession, cfg: PipelineConfig) -> Stages:
+    """Run the batch, write the wanted outputs, and return all stages by name.
+
+    Lost executors never send the job back to the source files: the costly stages are tables in
+    the stage folder. The returned frames read that folder; close or ``remove`` the stages after
+    their use.
+    """
+    root = cfg.stage_dir or shared_dir(spark)
+    raw_sheet, raw_public = (_raw(spark, cfg, n, root) for n in _PATHS[:2])
+    lookup_tables = [load_table(spark, getattr(cfg, n), cfg.formats.get(n)) for n in _PATHS[2:]]
+    stages = staged_stages(
         spark,
-        clean_sheet(raw_sheet, cfg.sheet, cfg.drop_null_columns),
-        clean_public(raw_public, names, drop_null_columns=cfg.drop_null_columns),
-        cfg,
-    )
-    lead = refine.add_lead_sponsor(branches.union, names)
-    segments = add_segments(
-        lead,
-        *[load_table(spark, p) for p in (cfg.sponsor_map_path, cfg.us_path, cfg.ww_path)],
-        names=names,
+        select_sheet(raw_sheet, cfg.sheet),
+        rename_public(raw_public, cfg.sheet.names),
+        *lookup_tables,
+        cfg.refinement,
+        cfg.sheet,
+        root=root,
+        drop_null_columns=cfg.drop_null_columns,
+        public_numbers=cfg.public_numbers,
+        right_columns=cfg.right_columns,
+        suffix=cfg.suffix,
         cleanse=cfg.cleanse_lookups,
         title_case=cfg.title_case,
         punct=cfg.punct,
+        numbers=cfg.lookup_numbers,
         mode=cfg.key_mode,
     )
-    stages = dict(zip(STAGES, (sheet, public, *branches, lead, segments)))
     for stage, path in cfg.outputs.items():
         df = stages[stage]
-        save_or_csv(sanitize_cells(df) if stage in _CELL_SAFE else df, path)
+        if cfg.max_cell_chars is not None and stage in _CELL_SAFE:
+            df = sanitize_cells(df, cfg.max_cell_chars)
+        save_or_csv(df, path, cfg.formats.get(stage))
     return stages

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import logging
+import re
 import tempfile
 import uuid
 from collections.abc import Sequence
-from pathlib import PurePosixPath
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from registryloom.names import col
 from registryloom.operators.schema import is_text, replace_columns
@@ -44,12 +45,20 @@ NULL_MARKERS = (
 
 # Cells may hold line breaks, quotes and outer blanks, and must come back as they went out.
 _CSV = {"header": True, "quote": '"', "escape": '"'}
-_CSV_READ = {**_CSV, "multiLine": True}
+# Without a forced schema, every file's header is held against the columns read.
+_CSV_READ = {**_CSV, "enforceSchema": False}
 _CSV_WRITE = {**_CSV, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
 
 
+def _suffix(path: str) -> str:
+    """The ending of the last part of a path or URI, in lower case, without its dot."""
+    found = re.search(r"\.([^./]+)/*$", path)
+    return found[1].lower() if found else ""
+
+
 def format_of(path: str, fmt: str | None = None) -> str:
-    fmt = fmt or PurePosixPath(path).suffix.lower().lstrip(".")
+    """The format asked for, else the one that the path's ending names; Parquet without one."""
+    fmt = fmt or _suffix(path) or "parquet"
     if fmt not in FORMATS:
         raise ValueError(f"unsupported table format {fmt!r} for {path}; use one of {FORMATS}")
     return fmt
@@ -61,32 +70,47 @@ def load_table(
     fmt: str | None = None,
     *,
     null_markers: Sequence[str] = NULL_MARKERS,
+    schema: StructType | str | None = None,
+    multi_line: bool = True,
 ) -> DataFrame:
     """Read a table; delimited files come as text by header, with the null markers as NULL.
 
-    A delimited file with line breaks in cells cannot be split, so each file is one task; see
-    ``spread``.
+    ``schema`` gives columns of a delimited file their types, by name and whatever their order;
+    what does not fit is NULL, and columns it does not name stay text. Files whose headers differ
+    are an error. A file with line breaks in cells cannot be split, so each is one task (see
+    ``spread``); without such breaks, ``multi_line`` may be off, and files are split.
     """
     fmt = format_of(path, fmt)
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = spark.read.options(**_CSV_READ).csv(path)
+        df = spark.read.options(**_CSV_READ, multiLine=multi_line).csv(path)
         if null_markers:
             texts = [f.name for f in df.schema if is_text(f.dataType)]
             markers = list(null_markers)
             df = replace_columns(df, {n: F.when(~col(n).isin(markers), col(n)) for n in texts})
+        if schema is not None:
+            kinds = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+            new = {f.name: col(f.name).try_cast(f.dataType) for f in kinds if f.name in df.columns}
+            df = replace_columns(df, new)
     return df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Deal the rows of a scan out to all cores where the scan has fewer parts than cores.
+def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
+    """Deal the rows of a scan out to ``parts`` where the scan has fewer, by default all cores.
 
     Text cleaning costs far more than moving the rows once, and a few unsplittable files would
-    leave most of the cluster idle. A scan of many parts stays as it is, without a shuffle.
+    leave most of the cluster idle. A scan of many parts stays as it is, without a shuffle. The
+    optimizer moves filters below the shuffle; write the dealt rows first where those are costly.
     """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
+
+
+def remove_dir(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage with all it holds."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def save_table(
@@ -99,6 +123,11 @@ def save_table(
     return fmt
 
 
+def csv_path(path: str) -> str:
+    """The same place with the ending ``.csv``; URIs keep their scheme and host."""
+    return re.sub(r"(\.[^./]+)?/*$", "", path, count=1) + ".csv"
+
+
 def save_or_csv(df: DataFrame, path: str, fmt: str | None = None) -> tuple[str, str]:
     """Write in the wanted format, or as CSV where that format cannot take the table.
 
@@ -109,7 +138,7 @@ def save_or_csv(df: DataFrame, path: str, fmt: str | None = None) -> tuple[str,
         return path, save_table(df, path, fmt)
     except (ValueError, AnalysisException) as error:
         unfit = isinstance(error, ValueError) or "UNSUPPORTED_DATA_TYPE" in str(error)
-        alternative = str(PurePosixPath(path).with_suffix(".csv"))
+        alternative = csv_path(path)
         if not unfit or alternative == path:
             raise
         log.warning("cannot write %s (%s); writing %s instead", path, error, alternative)

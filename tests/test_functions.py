@@ -99,6 +99,18 @@ def test_age_groups(one):
     assert one(lambda c: ids.mentions_group(c, "Children"), raw)[:3] == [True, False, False]
 
 
+def test_title_case_keeps_every_character(one):
+    cells = ["\ufdd0 a", "a\ufdd0 b", "\ufdd0\ufdd1x", "\ufdd0", "\ufdd0\ufdd0 ab \ufdd1"]
+    assert one(text.title, cells) == [s.title() for s in cells]
+
+
+def test_short_spellings_of_dates(one):
+    cells = ["3/5/2020", "5-Mar-2020", "Mar 5, 2020", "2020/03/05", "20200305", "2020/3/5", "Mar 2020", "20201", "202003055"]
+    day = dt.datetime(2020, 3, 5)
+    want = [day] * 6 + [dt.datetime(2020, 3, 1), None, None]
+    assert one(values.to_timestamp, cells) == want
+
+
 def test_dates_are_parsed_value_by_value(one):
     raw = ["2015-03-02", "2015-03", "2015", "03/02/2015", "02-Mar-2015", "March 2, 2015",
            "March 2015", "2015-03-02 10:30:00", "n/a", "2015-13-40", "", None]

@@ -48,10 +48,58 @@ def test_raw_lookup_and_null_keys(spark, sponsors):
     assert out.columns == ["id", "lead_sponsor", "standard_name"]
 
 
-def test_missing_key_column_counts_as_empty(spark, sponsors):
+def test_missing_key_column_is_an_error(spark, sponsors, sponsor_map):
     raw = spark.createDataFrame([("", "E"), ("x", "X")], "k string, v string")
-    out = lookups.lookup_append(sponsors, raw, left_key="absent", right_key="k")
-    assert {r.v for r in out.collect()} == {"E"} and out.count() == 6
+    with pytest.raises(ValueError, match="absent"):
+        lookups.lookup_append(sponsors, raw, left_key="absent", right_key="k")
+    with pytest.raises(ValueError, match="lead_sponsor"):
+        lookups.lookup_append(sponsors, raw, left_key="lead_sponsor")
+    with pytest.raises(ValueError, match="'standard_name'"):
+        lookups.lookup_chain(sponsors, sponsor_map, raw, raw, us_add=["v"], ww_add=["v"])
+
+
+def test_keys_lose_punctuation_whatever_the_cleaning(spark):
+    df = spark.createDataFrame([("Acme, Inc.",)], "lead_sponsor string")
+    m = spark.createDataFrame([("ACME INC", "A. B")], "lead_sponsor string, standard_name string")
+    us = spark.createDataFrame([("a b", "x-1")], "standard_name string, us_segment string")
+    ww = us.withColumnRenamed("us_segment", "ww_segment")
+    out = lookups.lookup_chain(df, m, us, ww, punct=False)
+    assert [tuple(r) for r in out.collect()] == [("Acme, Inc.", "A. B", "X-1", "X-1")]
+
+
+def test_each_table_may_have_its_own_key(spark):
+    df = spark.createDataFrame([("acme",), ("none",)], "who string")
+    m = spark.createDataFrame([("ACME", "std")], "k1 string, standard_name string")
+    us = spark.createDataFrame([("Std", "u")], "k2 string, us_segment string")
+    ww = spark.createDataFrame([("STD", "w")], "k3 string, ww_segment string")
+    keys = {"map_left_key": "who", "map_right_key": "k1", "us_key": "k2", "ww_key": "k3"}
+    for cleanse, found in ((True, ("acme", "Std", "U", "W")), (False, ("acme", "std", "u", "w"))):
+        out = lookups.lookup_chain(df, m, us, ww, cleanse=cleanse, **keys)
+        assert {tuple(r) for r in out.collect()} == {found, ("none", None, "Others", "Others")}
+
+
+def test_number_columns_are_spared(spark):
+    raw = spark.createDataFrame([("a.", "12.5"), ("b", "-0.75"), ("c", None)], "k string, n string")
+    clean = lookups.clean_lookup(raw, numbers=["n"])
+    assert {tuple(r) for r in clean.collect()} == {("A", 12.5), ("B", -0.75), ("C", 0.0)}
+
+
+def test_trials_move_once_for_three_shuffled_lookups(spark, sponsors, sponsor_map):
+    us = spark.createDataFrame([("ACME", "x")], "standard_name string, us_segment string")
+    ww = us.withColumnRenamed("us_segment", "ww_segment")
+    keys = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    for k in keys:
+        spark.conf.set(k, "-1")
+    try:
+        plan = plan_of(lookups.lookup_chain(sponsors, sponsor_map, us, ww))
+        utils = spark._jvm.org.apache.spark.sql.api.python.PythonSQLUtils
+        out = lookups.lookup_chain(sponsors, sponsor_map, us, ww)
+        text = utils.explainString(out._jdf.queryExecution(), "formatted")
+    finally:
+        for k in keys:
+            spark.conf.unset(k)
+    moved = [part for part in text.split("\n\n") if "Exchange\n" in part and "[id#" in part]
+    assert len(moved) == 1 and plan.count("SortMergeJoin") == 3
 
 
 def test_name_clash_is_an_error(sponsors):

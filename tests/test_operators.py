@@ -61,8 +61,6 @@ def test_null_column_drop(spark):
     assert dropped.columns == ["t", "out", "n"]
     none = clean.clean_table(df.filter("n > 1"), ["t", "empty", "n"], drop_null_columns=True)
     assert none.columns == ["out"]
-    assert schema.drop_null_columns(df).columns == ["t", "n"]
-    assert schema.drop_null_columns(df, ["out", "t"]).columns == ["t", "empty", "n"]
 
 
 def test_columns_with_odd_headers(spark):

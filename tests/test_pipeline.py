@@ -5,15 +5,16 @@ from pathlib import Path
 
 import pytest
 
-from conftest import SF
+from conftest import SF, plan_of
 from checks.fixtures import fixture
+from checks.queries import SHEET_AS_IS
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from registryloom import __main__ as command
 from registryloom.names import DISPLAY
 from registryloom.operators.clean import sanitize_cells
-from registryloom.plans import cleaning, pipeline
+from registryloom.plans import pipeline
 from registryloom.plans.branches import Refinement
 from registryloom.plans.pipeline import STAGES, PipelineConfig, run_pipeline, stage_summary
 from registryloom.sources import tables
@@ -117,8 +118,29 @@ def test_batch_over_files_with_their_own_headers(spark, files, tmp_path):
     assert Path(out["union"]).with_suffix(".csv").is_dir(), "no workbook writer: CSV instead"
     written = spark.read.parquet(out["segments"])
     assert written.columns == stages["segments"].columns and written.count() == 4
-    safe = spark.read.parquet(out["left"])
-    assert {r["TT_Trial Status"] for r in safe.collect()} == {"Open", ""}
+    same = spark.read.parquet(out["left"])
+    assert {r["TT_Trial Status"] for r in same.collect()} == {"Open", None}, "as the stage is"
+    stages.remove()
+    assert not Path(stages.root).exists()
+
+
+def test_cells_are_cut_only_when_asked_for(spark, files, tmp_path):
+    out = {"left": str(tmp_path / "left.parquet")}
+    cfg = PipelineConfig(**files, outputs=out, sheet=DISPLAY_SHEET, max_cell_chars=4)
+    with run_pipeline(spark, cfg) as stages:
+        whole = {r["TT_Study Design"] for r in stages["left"].collect()}
+    assert whole == {"Randomized", "observation"}
+    cut = spark.read.parquet(out["left"]).collect()
+    assert {r["TT_Trial Status"] for r in cut} == {"Open", ""}
+    assert max(len(r["TT_Study Design"]) for r in cut) == 4
+
+
+def test_the_raw_sheet_is_read_once_and_cleaned_apart_from_its_scan(spark, files):
+    with run_pipeline(spark, PipelineConfig(**files, sheet=DISPLAY_SHEET)) as stages:
+        plan = plan_of(stages["segments"])
+        assert "sheet.csv" not in plan and "public.csv" not in plan
+        raw = spark.read.parquet(f"{stages.root}/sheet_path")
+        assert raw.columns == SHEET_HEADERS and raw.count() == len(SHEET), "as it was read"
 
 
 def test_marker_in_the_public_file_still_matches(spark, files, tmp_path):
@@ -211,11 +233,42 @@ def test_spread_only_where_a_scan_has_too_few_parts(spark, tmp_path):
     assert tables.spread(many) is many
 
 
-def test_kept_frames_are_released(spark):
-    a = spark.range(3)
-    with cleaning.kept(a, spark.range(4)) as (x, y):
-        assert x.is_cached and y.is_cached and x.count() + y.count() == 7
-    assert not a.is_cached
+def test_paths_keep_scheme_and_host():
+    assert tables.csv_path("s3a://bucket/out.xlsx") == "s3a://bucket/out.csv"
+    assert tables.csv_path("hdfs://nn/out/u.xlsx") == "hdfs://nn/out/u.csv"
+    assert tables.csv_path("hdfs://nn.host/out/u/") == "hdfs://nn.host/out/u.csv"
+    assert tables.format_of("s3a://b.c/x.CSV/") == "csv"
+    assert tables.format_of("hdfs://nn.host/dir/table") == "parquet"
+    assert tables.format_of("/data/table.v2", "csv") == "csv"
+
+
+def test_batch_over_plain_folders(spark, tmp_path):
+    paths = {}
+    for key, name in zip(pipeline._PATHS, ("tt_raw", "ct_raw", "map_sponsor", "seg_us", "seg_ww")):
+        paths[key] = str(tmp_path / "v1.0" / name)
+        fmt = "csv" if name.startswith("seg") else "parquet"
+        tables.save_table(fixture(spark, SF, name), paths[key], fmt)
+    cfg = PipelineConfig(**paths, sheet=SHEET_AS_IS, formats={"us_path": "csv", "ww_path": "csv"})
+    with run_pipeline(spark, cfg) as stages:
+        assert stages["segments"].count() > 0
+        assert stages["segments"].filter("us_segment <> 'Others'").count() > 0
+    with pytest.raises(ValueError, match="formats"):
+        PipelineConfig(**paths, formats={"other": "csv"})
+
+
+def test_files_with_other_headers_are_an_error(spark, tmp_path):
+    folder = tmp_path / "two.csv"
+    folder.mkdir()
+    write_csv(folder / "a.csv", ["a", "b"], [["1", "x"]])
+    write_csv(folder / "b.csv", ["b", "a"], [["y", "2"]])
+    with pytest.raises(Exception, match="(?i)header"):
+        tables.load_table(spark, str(folder)).collect()
+
+
+def test_types_by_name(spark, tmp_path):
+    path = write_csv(tmp_path / "t.csv", ["n", "d", "x"], [["-0.75", "2020-01-02", "7"], ["z", "", "NA"]])
+    rows = tables.load_table(spark, path, schema="x int, n double, absent int").collect()
+    assert [tuple(r) for r in rows] == [(-0.75, "2020-01-02", 7), (None, None, None)]
 
 
 def test_sanitised_union_has_no_nulls_in_text(spark):
