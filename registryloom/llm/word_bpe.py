@@ -8,26 +8,27 @@ from __future__ import annotations
 
 import heapq
 import json
+import struct
 import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
 
-import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from registryloom.llm.common import saved
 from registryloom.llm.lexicon import Lexicon, build
 from registryloom.sources.tables import shared_dir
 
 #: Words in the lexicon, by frequency over the whole corpus; bounds what the driver gathers.
-LEXICON_WORDS = 1 << 17
+LEXICON_WORDS = 200_000
 #: Longer words are merged where they occur, so that a lookup's table of letters stays small.
-LEXICON_CHARS = 48
+LEXICON_CHARS = 32
 #: Words whose ids a worker keeps at hand, and as many stretches of text between blanks.
 MEMO_WORDS = 300_000
 #: Shorter words are merged by plain scans, longer ones with a queue.
@@ -37,6 +38,7 @@ CHUNK_CHARS = 2_000_000
 
 # The Unicode blanks, and the word pattern of the vocabulary's pre-tokenizer.
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
+_MARKS = tuple(".,;:!?")
 _WORDS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^ \p{L}\p{N}]+")
 
 
@@ -115,6 +117,11 @@ def split_words(text: str, special: regex.Pattern) -> list[str]:
 
 
 def _plain_words(text: str) -> list[str]:
+    if text.isascii():  # most stretches are one word, or one with a mark behind it
+        if text.isalpha():
+            return [text.lower()]
+        if text[-1:] in _MARKS and text[:-1].isalpha():
+            return [text[:-1].lower(), text[-1]]
     text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
     # Letters change case one by one: a sigma at a word's end is none of its own.
     return _WORDS.findall(text.replace("Σ", "σ").lower())
@@ -186,8 +193,17 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
 def write_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
     """Compile the most frequent words; the name under which executors find the file."""
     spark = docs.sparkSession
-    counts = word_counts(docs, spec, text).filter(F.length("word") <= LEXICON_CHARS)
-    top = counts.orderBy(F.desc("n"), "word").limit(words).select("word").toPandas()["word"]
+    counts = saved(word_counts(docs, spec, text).filter(F.length("word") <= LEXICON_CHARS))
+    # How many words are about how frequent: a few hundred rows, which give the least frequency.
+    size = F.floor(F.log2("n") * 16).alias("size")
+    sizes = {r["size"]: r["count"] for r in counts.groupBy(size).count().collect()}
+    total, least = 0, max(sizes, default=0) + 1
+    for at in sorted(sizes, reverse=True):
+        total += sizes[at]
+        if total > words:
+            break
+        least = at
+    top = counts.filter(size >= least).select("word").toPandas()["word"]
     merger, _ = _loaded(spec)
     content = build({w.encode(): merger.merge(w) for w in top})
     name = f"lexicon-{uuid.uuid4().hex}.npy"
@@ -229,7 +245,13 @@ class Encoder:
             elif ids is None:
                 ids = self.merger.merge(w)
             tokens = " ".join([self.merger.tokens[i] for i in ids])
-            self.words[w] = np.array(ids, "<u4").tobytes(), tokens
+            self.words[w] = struct.pack(f"<{len(ids)}I", *ids), tokens
+
+
+@cache
+def _encoder(spec: str, lexicon: str) -> Encoder:
+    """One a worker process, so what one task has learnt serves the next."""
+    return Encoder(*_loaded(spec), _lexicon(lexicon))
 
 
 def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -241,7 +263,7 @@ def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text:
     """
 
     def run(batches):
-        encoder = Encoder(*_loaded(spec), _lexicon(lexicon))
+        encoder = _encoder(spec, lexicon)
         for batch, texts in _chunks(batches, "text"):
             split = [stretches(t) for t in texts]
             encoder.learn(set().union(*split))
