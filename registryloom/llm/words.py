@@ -7,8 +7,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-#: Bytes of text that are hashed at once; a longer text is a chunk of its own.
-CHUNK_BYTES = 4_000_000
+#: Bytes and texts that are hashed at once; a longer text is a chunk of its own.
+CHUNK_BYTES, CHUNK_ROWS = 1_000_000, 1_000
 
 _rng = np.random.Generator(np.random.PCG64(20))
 _BYTE = _rng.integers(0, 2**64, 256, np.uint64)
@@ -82,11 +82,10 @@ class Words:
 
 def word_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of the batches with the words of their texts; a null text has none."""
-    for batch in batches:
+    few = (b.slice(i, CHUNK_ROWS) for b in batches for i in range(0, len(b), CHUNK_ROWS))
+    for batch in few:
         column = batch.column(text).cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
-        if not len(column):
-            continue
         held = column.buffers()[2]
         data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
         begin = 0
