@@ -165,22 +165,36 @@ def mix(
     )
 
 
-def repeat_rows(docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0) -> DataFrame:
+def repeat_rows(
+    docs: DataFrame, weights: Sequence[float], share: float = 1.5, most: float = 2.0
+) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with all their columns.
 
-    Rows alike in id, source and size share their copies as evenly as they can.
+    Rows alike in id, source and size share their copies as evenly as they can. The texts move
+    once; only where such rows exist are they numbered, in a pass of their own.
     """
     record = ["doc_id", "source", "size"]
-    copies = mix(docs, weights, share, most).groupBy(record).agg(
-        F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")
-    )
+    copies = mix(docs, weights, share, most).groupBy(record)
+    copies = saved(copies.agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows")))
     columns = [F.col(f"`{c}`") for c in docs.columns]
-    rows = docs.select(F.struct(*columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size"))
-    same = [F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}")) for n in record]
-    found = rows.alias("r").join(copies.alias("c"), reduce(Column.__and__, same)).select("r.*", "copies", "rows")
+    rows = docs.select(
+        F.struct(*columns).alias("row"), "doc_id", "source", word_count(F.col("text")).alias("size")
+    )
+    same = reduce(
+        Column.__and__, [F.col(f"r.{n}").eqNullSafe(F.col(f"c.{n}")) for n in record]
+    )
+
+    def taken(found: DataFrame, own: Column) -> DataFrame:
+        found = found.withColumn("own", own).filter(F.col("own") > 0)
+        return found.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "own"))).select("row.*")
+
+    single = rows.alias("r").join(copies.filter("rows = 1").alias("c"), same).select("r.*", "copies")
+    out = taken(single, F.col("copies"))
+    alike = copies.filter("rows > 1")
+    if alike.isEmpty():
+        return out
+    found = rows.alias("r").join(alike.alias("c"), same).select("r.*", "copies", "rows")
     at = F.row_number().over(Window.partitionBy(record).orderBy(F.xxhash64("row.text")))
-    found = found.withColumn("at", F.when(F.col("rows") > 1, at).otherwise(1))
     each = F.floor(F.col("copies") / F.col("rows"))
-    own = each + (F.col("at") <= F.col("copies") - each * F.col("rows")).cast("bigint")
-    found = found.withColumn("own", own).filter(F.col("own") > 0)
-    return found.select("row", F.explode(F.sequence(F.lit(1).cast("bigint"), "own"))).select("row.*")
+    own = each + (at <= F.col("copies") - each * F.col("rows")).cast("bigint")
+    return out.unionByName(taken(found, own))

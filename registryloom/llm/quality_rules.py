@@ -34,6 +34,8 @@ RULES = {
     "word_length": (30.0, 12.0),
 }
 LEVELS = 24
+#: Up to so many strata, their levels are broadcast; beyond, they are joined by shuffle.
+MAX_BROADCAST_STRATA = 100_000
 
 SYMBOLS = "#*$%&|<>"
 _UPPER = bytes(range(ord("A"), ord("Z") + 1))
@@ -182,6 +184,13 @@ def choose_levels(measured: DataFrame, labels: DataFrame, risk: float = RISK, de
     return chosen.select("stratum", "level", "n_good", "n_rejected", "chance")
 
 
+def _with_level(rows: DataFrame, levels: DataFrame) -> DataFrame:
+    """``rows`` with their stratum's level; few strata are broadcast, so that nothing moves."""
+    levels = saved(levels.select("stratum", "level"))
+    few = levels.count() <= MAX_BROADCAST_STRATA
+    return rows.join(F.broadcast(levels) if few else levels, "stratum", "left")
+
+
 def _base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
@@ -203,8 +212,7 @@ def judge(
     label, repeated rows are judged alike, other columns are ignored, an empty table gives no rows.
     """
     measured = saved(measures(docs, key, text, stratum))
-    levels = saved(choose_levels(measured, labels, risk, delta))
-    judged = measured.join(levels.select("stratum", "level"), "stratum", "left")
+    judged = _with_level(measured, choose_levels(measured, labels, risk, delta))
     rejected = F.coalesce(strictness() <= F.col("level"), F.lit(False))
     judged = judged.withColumn("base_failed", _base_failed())
     judged = judged.withColumn("kept", ~F.col("base_failed") & ~rejected)
@@ -217,7 +225,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
     Texts are measured once for the labelled rows' levels and once to filter, which costs less
     than sending all texts to their verdicts.
     """
-    levels = saved(choose_levels(measures(docs, "doc_id", text, stratum), labels))
+    levels = choose_levels(measures(docs, "doc_id", text, stratum), labels)
     names = [c.split()[0] for c in _MEASURES.split(", ")]
 
     @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
@@ -229,6 +237,6 @@ def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         measured(F.col(text).cast("string")).alias("m"),
     ).select("row", "stratum", "m.*")
-    found = rows.join(levels.select("stratum", "level"), "stratum", "left")
+    found = _with_level(rows, levels)
     rejected = _base_failed() | F.coalesce(strictness() <= F.col("level"), F.lit(False))
     return found.filter(~rejected).select("row.*")

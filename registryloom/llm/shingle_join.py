@@ -7,7 +7,9 @@ Frequent shingles alone thus never bring texts together, only pairs of them do,
 indexed one by one. What meets is verified on the whole sets.
 
 Nothing lists all pairs of a group that meets: its members are first compared with one of them,
-and only members that this leaves in different components are compared with each other.
+and only members that this leaves in different components are compared with each other. Large
+groups that share members act as one, and what is left of them is compared block by block inside
+tasks, which return no more links than join components.
 """
 
 from __future__ import annotations
@@ -27,17 +29,19 @@ from registryloom.llm.words import Words, flat_lists, list_array, mixed, word_ch
 SHINGLE, PERCENT = 5, 80
 #: Shingles in so many texts are frequent.
 FREQUENT = 5
-#: Frequency classes are kept in a table of 2^28 bits, whatever the corpus. A rare shingle that
+#: Frequency classes are kept in a table of 2^27 bits, whatever the corpus. A rare shingle that
 #: shares its bit with a frequent one is treated as frequent, which changes no result.
-TABLE_BITS = 28
+TABLE_BITS = 27
 #: Shingles that one bucket counts, and shingles and texts that a task holds before it passes on.
-BUCKET_SHINGLES, FLUSH_SHINGLES, FLUSH_TEXTS = 8_000_000, 3_000_000, 30_000
+BUCKET_SHINGLES, FLUSH_SHINGLES, FLUSH_TEXTS = 3_000_000, 1_500_000, 30_000
 #: A signature that so many texts of one flush share is not sent text by text to one place.
 LOCAL_HOT = 256
 #: Rounds that compare a group's members with one of them.
 STAR_ROUNDS = 2
 #: Members that are compared with one text in the same task, and shingles that a task compares.
-PARTNERS, COMPARE_SHINGLES = 512, 4_000_000
+PARTNERS, COMPARE_SHINGLES = 512, 3_000_000
+#: From so many members on, a group is large; its members are compared in blocks of this many.
+LARGE, BLOCK = 64, 256
 #: Up to so many wanted texts, their ids are broadcast; beyond, texts are joined by shuffle.
 BROADCAST_IDS = 4_000_000
 
@@ -159,7 +163,7 @@ def frequent_table(texts: DataFrame, shingles: int) -> Broadcast:
 
     packed = texts.mapInArrow(count, "bucket int, tails binary, n array<int>")
     parts = packed.groupBy("bucket").applyInArrow(gather, "bucket int, bits binary").collect()
-    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)  # 2^25 bytes, with all buckets together
+    table = np.zeros(1 << (TABLE_BITS - 3), np.uint8)  # 2^24 bytes, with all buckets together
     for part in parts:
         bits = np.frombuffer(part["bits"], np.uint8)
         table[part["bucket"] * len(bits) : (part["bucket"] + 1) * len(bits)] = bits
@@ -311,9 +315,8 @@ def similar_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     to_a = partners.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)))
     to_a = to_a.select(F.col("a").alias("doc"), "a", task(F.col("salt")).alias("task"))
     goal = F.struct("task", "a")
-    wanted = saved(to_b.unionByName(to_a).groupBy("doc").agg(F.collect_set(goal).alias("goals")))
-    if wanted.agg(F.sum(F.size("goals") + 1)).first()[0] <= BROADCAST_IDS:  # numbers, not rows
-        wanted = F.broadcast(wanted)
+    wanted = to_b.unionByName(to_a).groupBy("doc").agg(F.collect_set(goal).alias("goals"))
+    wanted = _if_small(wanted)
 
     def send(batches):
         for batch, words in word_chunks(batches):
@@ -342,6 +345,13 @@ def similar_pairs(texts: DataFrame, pairs: DataFrame) -> DataFrame:
     return sent.groupBy("task").applyInArrow(compare, "a bigint, b bigint").distinct()
 
 
+def _if_small(wanted: DataFrame) -> DataFrame:
+    """Goals by text, broadcast where they are few; a goal counts a few numbers."""
+    wanted = saved(wanted)
+    goals = wanted.agg(F.sum(F.size("goals") + 1)).first()[0] or 0
+    return F.broadcast(wanted) if goals <= BROADCAST_IDS else wanted
+
+
 def _goals(column: pa.Array) -> tuple[list[pa.Array], np.ndarray]:
     counts = np.diff(column.offsets.to_numpy())
     flat = column.flatten()
@@ -358,6 +368,99 @@ def _similar(x: np.ndarray, y: np.ndarray) -> bool:
     return 100 * shared >= PERCENT * (len(both) - shared)
 
 
+def blocked_links(texts: DataFrame, members: DataFrame) -> DataFrame:
+    """``a, b``: links that join components of the same group, ``members(gid, doc, label)``.
+
+    Every member outside its group's first component meets every member, block against block; a
+    block pair is one task's work, and a text is sent to the pairs of its block alone.
+    """
+    sizes = members.groupBy("gid").agg(F.min("label").alias("first"), F.count(F.lit(1)).alias("all"))
+    held = members.join(sizes, "gid").withColumn("major", F.col("label") == F.col("first"))
+    parts = held.groupBy("gid").agg(
+        F.ceil(F.sum((~F.col("major")).cast("int")) / BLOCK).cast("int").alias("minors"),
+        F.ceil(F.sum(F.col("major").cast("int")) / BLOCK).cast("int").alias("majors"),
+    )
+    held = held.join(parts.filter("minors > 0"), "gid")
+    spot = lambda n: F.pmod(F.xxhash64("doc"), F.greatest(n, F.lit(1))).cast("int")
+    major = F.col("major")
+    own = F.when(major, F.col("minors") + spot(F.col("majors"))).otherwise(spot(F.col("minors")))
+    others = F.sequence(F.lit(0), F.col("minors") - 1 + F.when(major, 0).otherwise(F.col("majors")))
+    goals = held.withColumn("own", own).withColumn("other", F.explode(others))
+    goal = F.struct(
+        "gid", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "label"
+    )
+    wanted = _if_small(goals.groupBy("doc").agg(F.collect_list(goal).alias("goals")))
+
+    def send(batches):
+        for batch, words in word_chunks(batches):
+            sets, column = Sets.of(words), batch.column("goals")
+            counts = np.diff(column.offsets.to_numpy())
+            at, flat = np.repeat(np.arange(len(batch)), counts), column.flatten()
+            cut = np.flatnonzero(np.diff(np.cumsum(sets.n[at]) // FLUSH_SHINGLES)) + 1
+            for a, b in zip([0, *cut], [*cut, len(at)]):
+                sent = sets.take(at[a:b])
+                fields = [flat.field(f).slice(a, b - a) for f in ("gid", "i", "j", "label")]
+                fields += [batch.column("doc").take(pa.array(at[a:b]))]
+                fields += [list_array(sent.hashes.view(np.int64), sent.first)]
+                yield pa.RecordBatch.from_arrays(fields, ["gid", "i", "j", "label", "doc", "hashes"])
+
+    kind = "gid bigint, i int, j int, label bigint, doc bigint, hashes array<bigint>"
+    sent = texts.join(wanted, "doc").select("doc", "text", "goals").mapInArrow(send, kind)
+    return sent.groupBy("gid", "i", "j").applyInArrow(_join_block, "a bigint, b bigint").distinct()
+
+
+def _join_block(rows: pa.Table) -> pa.Table:
+    """A link for each pair of components that one pair of blocks shows to be one."""
+    hashes, n = flat_lists(rows["hashes"], np.int64)
+    label, doc = rows["label"].to_numpy(), rows["doc"].to_numpy()
+    owner = np.repeat(np.arange(len(n)), n)
+    order = np.argsort(hashes, kind="stable")
+    owner, hashes = owner[order], hashes[order]
+    new = np.concatenate([[True], hashes[1:] != hashes[:-1]])
+    column = np.cumsum(new) - 1
+    often = np.bincount(column) > 1  # a shingle of one text alone is in no intersection
+    place = np.cumsum(often) - 1
+    keep = often[column]
+    owner, column = owner[keep], place[column[keep]]
+    shared = np.zeros((len(n), len(n)), np.float32)
+    for begin in range(0, int(often.sum()), 8_192):
+        part = slice(*np.searchsorted(column, [begin, begin + 8_192]))
+        has = np.zeros((len(n), 8_192), np.float32)
+        has[owner[part], column[part] - begin] = 1
+        shared += has @ has.T
+    union = n[:, None] + n[None] - shared
+    close = (100 * shared >= PERCENT * union) & (label[:, None] != label[None])
+    root = {int(x): int(x) for x in label}
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    links = []
+    for x, y in zip(*np.nonzero(np.triu(close))):
+        p, q = find(int(label[x])), find(int(label[y]))
+        if p != q:
+            root[max(p, q)] = min(p, q)
+            links.append((int(doc[x]), int(doc[y])))
+    pairs = np.array(links, np.int64).reshape(-1, 2)
+    return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+
+def _as_few(members: DataFrame) -> DataFrame:
+    """``members`` with large groups that share a member turned into one, and which ones are large."""
+    sizes = members.groupBy("gid").agg(F.count(F.lit(1)).alias("k"), F.min("doc").alias("low"))
+    sized = members.join(sizes.filter("k > 1"), "gid")
+    small = sized.filter(F.col("k") < LARGE).select("gid", "doc", "n", F.lit(False).alias("large"))
+    large = saved(sized.filter(F.col("k") >= LARGE).select("doc", "n", "low"))
+    if large.isEmpty():
+        return small
+    whole = components(large.select(F.col("doc").alias("a"), F.col("low").alias("b")))
+    named = large.select("doc", "n").distinct().join(whole, "doc", "left")
+    gid = F.coalesce("label", "doc").alias("gid")
+    return small.unionByName(named.select(gid, "doc", "n", F.lit(True).alias("large")))
+
+
 def components(links: DataFrame) -> DataFrame:
     """``doc, label``: the smallest document that each linked one can reach, ``links(a, b)``.
 
@@ -404,8 +507,16 @@ def linked(texts: DataFrame, members: DataFrame) -> DataFrame:
     compared with all members of other components. What is left, pairs of members in different
     components of one group, is then compared in full, so no link between components is lost.
     """
+    members = saved(_as_few(members))
     links, done, labels = None, None, members.withColumn("label", F.col("doc"))
     for turn in range(STAR_ROUNDS + 1):
+        if turn == STAR_ROUNDS:
+            large = labels.filter("large").select("gid", "doc", "label")
+            if not large.isEmpty():
+                found = saved(blocked_links(texts, large))
+                links = found if links is None else links.unionByName(found)
+                labels = saved(_labelled(members, links))
+            labels = labels.filter("not large")
         spans = labels.groupBy("gid").agg(F.min("label").alias("low"), F.max("label").alias("high"))
         open_ = labels.join(spans.filter("low <> high"), "gid")
         first = open_ if turn == 0 else open_.filter(F.col("label") != F.col("low"))
@@ -449,7 +560,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shingles = ids.agg(F.sum("n")).first()[0] or 0
     named = rows.filter(F.col("doc").isNotNull())
     table = frequent_table(named, shingles)
-    groups = meeting_groups(named, table, int(max(shingles // BUCKET_SHINGLES, 8)))
+    groups = meeting_groups(named, table, int(max(shingles // (2 * BUCKET_SHINGLES), 8)))
     members = groups.join(of_doc, "doc").select("gid", F.col("rep").alias("doc"), "n").distinct()
     links = linked(named, saved(members))
     links = copies if links is None else links.unionByName(copies)

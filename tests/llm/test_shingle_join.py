@@ -63,11 +63,18 @@ def test_a_large_family_with_chains(make_docs, monkeypatch):
     rng = random.Random(2)
     monkeypatch.setattr(sj, "LOCAL_HOT", 8)
     monkeypatch.setattr(sj, "PARTNERS", 16)
+    monkeypatch.setattr(sj, "LARGE", 10)
+    monkeypatch.setattr(sj, "BLOCK", 9)
     texts = [sentence(rng, 80)]
     for _ in range(70):
         texts.append(edited(rng, rng.choice(texts[-12:]), 0.02))
+    base = sentence(rng, 90)
+    texts += [edited(rng, base, rng.choice([0.01, 0.04, 0.08])) for _ in range(60)]
+    rng.shuffle(texts)
     docs = list(enumerate(texts))
-    assert run(make_docs, docs) == brute(docs)
+    got = run(make_docs, docs)
+    assert got == brute(docs)
+    assert 5 < len({c for _, _, c in got}) < 120
 
 
 def test_texts_joined_by_shuffle(make_docs, monkeypatch):
