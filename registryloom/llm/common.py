@@ -39,3 +39,22 @@ def saved(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint()
+
+
+def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
+    """The rows of ``counts`` with the largest ``n``, at most ``limit`` of them.
+
+    How many rows are about how frequent is a few hundred numbers, which give the least frequency
+    of those that fit; so no task sends a top list of its own. Rows about as frequent as each
+    other stay or go together.
+    """
+    counts = saved(counts)
+    step = F.floor(F.log2("n") * 16)
+    steps = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
+    total, least = 0, max(steps, default=0) + 1
+    for at in sorted(steps, reverse=True):
+        total += steps[at]
+        if total > limit:
+            break
+        least = at
+    return counts.filter(step >= least)

@@ -21,7 +21,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import saved
+from registryloom.llm.common import most_frequent
 from registryloom.llm.lexicon import Lexicon, build
 from registryloom.sources.tables import shared_dir
 
@@ -193,17 +193,8 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
 def write_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS, text: str = "text") -> str:
     """Compile the most frequent words; the name under which executors find the file."""
     spark = docs.sparkSession
-    counts = saved(word_counts(docs, spec, text).filter(F.length("word") <= LEXICON_CHARS))
-    # How many words are about how frequent: a few hundred rows, which give the least frequency.
-    size = F.floor(F.log2("n") * 16).alias("size")
-    sizes = {r["size"]: r["count"] for r in counts.groupBy(size).count().collect()}
-    total, least = 0, max(sizes, default=0) + 1
-    for at in sorted(sizes, reverse=True):
-        total += sizes[at]
-        if total > words:
-            break
-        least = at
-    top = counts.filter(size >= least).select("word").toPandas()["word"]
+    counts = word_counts(docs, spec, text).filter(F.length("word") <= LEXICON_CHARS)
+    top = most_frequent(counts, words).select("word").toPandas()["word"]
     merger, _ = _loaded(spec)
     content = build({w.encode(): merger.merge(w) for w in top})
     name = f"lexicon-{uuid.uuid4().hex}.npy"
