@@ -11,6 +11,8 @@ from registryloom.sources.tables import shared_dir
 
 #: Words are runs of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Hashes by which rows with equal counts are told apart.
+TIES = 1 << 16
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +44,23 @@ def saved(df: DataFrame) -> DataFrame:
 
 
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The rows of ``counts`` with the largest ``n``, at most ``limit`` of them.
+    """The ``limit`` rows of ``counts`` with the largest ``n``; all of them if there are fewer.
 
-    How many rows are about how frequent is a few hundred numbers, which give the least frequency
-    of those that fit; so no task sends a top list of its own. Rows about as frequent as each
-    other stay or go together.
+    How many rows are about how frequent is a few hundred numbers, which tell the frequency where
+    the limit falls; rows about as frequent are counted by ``n``, and those with one ``n`` by a hash
+    of the row, of which fewer than one hash's share are left out. So no task sends a top list.
     """
     counts = saved(counts)
-    step = F.floor(F.log2("n") * 16)
-    steps = {r["step"]: r["count"] for r in counts.groupBy(step.alias("step")).count().collect()}
-    total, least = 0, max(steps, default=0) + 1
-    for at in sorted(steps, reverse=True):
-        total += steps[at]
-        if total > limit:
-            break
-        least = at
-    return counts.filter(step >= least)
+    others = [c for c in counts.columns if c != "n"]
+    kept, within, room = F.lit(False), F.lit(True), limit
+    for part in (F.floor(F.log2("n") * 16), F.col("n"), F.pmod(F.xxhash64(*others), F.lit(TIES))):
+        sizes = {r["part"]: r["count"] for r in counts.filter(within).groupBy(part.alias("part")).count().collect()}
+        least = max(sizes, default=0) + 1
+        for at in sorted(sizes, reverse=True):
+            if sizes[at] > room:
+                break
+            room, least = room - sizes[at], at
+        else:
+            return counts.filter(kept | within)
+        kept, within = kept | (within & (part >= least)), within & (part == at)
+    return counts.filter(kept)
