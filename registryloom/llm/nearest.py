@@ -79,7 +79,7 @@ def fit(rows: DataFrame, k: int) -> tuple[Index, int] | None:
     if not n:
         return None
     drawn = F.pmod(F.xxhash64("id", F.lit("fit")), F.lit(1 << 30)) < int(SAMPLE / n * (1 << 30))
-    sample = rows.filter(drawn).orderBy("id").select("vector").toPandas()["vector"]
+    sample = rows.filter(drawn).orderBy(F.xxhash64("id", F.lit("trial")), "id").select("vector").toPandas()["vector"]
     vectors = np.stack(sample) if len(sample) else np.stack([rows.first()["vector"]])
     rng = np.random.default_rng(SEED)
     size = vectors.shape[1] + 1
@@ -97,7 +97,8 @@ def fit(rows: DataFrame, k: int) -> tuple[Index, int] | None:
 
 
 def _probes(index: Index, vectors: np.ndarray, points: np.ndarray, k: int) -> int:
-    """Lists to probe so that ``LIST_RECALL`` of the sample's own true neighbours lie in them."""
+    """Lists to probe so that ``LIST_RECALL`` of the true neighbours of the sample's first vectors lie
+    in them; the sample comes in the order of a hash, so these are drawn from all."""
     trial = index.rotated(vectors[:TRIALS], query=True)
     far = _distances(trial, points)
     far[np.arange(len(trial)), np.arange(len(trial))] = np.inf

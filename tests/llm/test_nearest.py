@@ -53,6 +53,17 @@ def test_lists_reach_the_recall(spark):
     assert set(got) == set(want) and found >= 0.9
 
 
+def test_low_ids_alike_do_not_set_the_probes(spark):
+    rng = np.random.default_rng(5)
+    vectors = rng.standard_normal((6000, 24))
+    vectors[:600] = vectors[0] + 0.01 * rng.standard_normal((600, 24))
+    vectors = {i: [float(np.float32(x)) for x in v] for i, v in enumerate(vectors)}
+    want = brute(vectors, [i for i in vectors if i % 60 == 0 and i >= 600], 20)
+    got = run(spark, list(vectors.items()), every=60)
+    found = np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want])
+    assert found >= 0.9
+
+
 def test_scan_drops_far_candidates_without_losing_near_ones():
     rng = np.random.default_rng(3)
     c, q = rng.standard_normal((2000, 64)), rng.standard_normal((40, 64))
