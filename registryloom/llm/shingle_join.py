@@ -220,7 +220,10 @@ def signatures(sets: Sets, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def meeting_groups(texts: DataFrame, table: Broadcast, buckets: int) -> DataFrame:
-    """``gid, doc``: texts that share a signature; of equal groups in one bucket one stays."""
+    """``gid, doc``: texts that share a signature; of equal groups in one bucket one stays.
+
+    Groups with members elsewhere, in whole rows, are told apart and stay all.
+    """
 
     def ask(batches):
         for rows, sets in _flushes(batches):
@@ -238,22 +241,24 @@ def meeting_groups(texts: DataFrame, table: Broadcast, buckets: int) -> DataFram
             begin = np.flatnonzero(np.concatenate([[True], sig[1:] != sig[:-1]])) if len(sig) else np.empty(0, int)
             runs = np.diff(np.append(begin, len(sig)))
             keep = np.ones(len(sig), bool)
+            hot = sig[begin[runs >= LOCAL_HOT]]
             for a, n in zip(begin[runs >= LOCAL_HOT], runs[runs >= LOCAL_HOT]):
                 members = docs[text[a : a + n]]
                 keep[a : a + n] = False
                 keep[a + int(np.argmin(members))] = True
                 place = int(mixed(sig[a : a + 1] + np.uint64(docs[0] & 0xFFFF))[0] % np.uint64(buckets))
-                yield _asked(place, sig[a : a + 1], members, np.zeros(n, np.uint16), whole=True)
+                yield _asked(place, sig[a : a + 1], members, np.zeros(n, np.uint16), hot[:0], whole=True)
             text, sig = text[keep], sig[keep]
-            place = (sig >> np.uint64(20)) % np.uint64(buckets)
+            place, hot_place = ((s >> np.uint64(20)) % np.uint64(buckets) for s in (sig, hot))
             for b in range(buckets):
                 at = place == b
                 if at.any():
-                    yield _asked(b, sig[at], docs, text[at].astype(np.uint16), whole=False)
+                    yield _asked(b, sig[at], docs, text[at].astype(np.uint16), hot[hot_place == b], whole=False)
 
     def meet(rows: pa.Table) -> pa.Table:
         gids, docs = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
         sigs, asked = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+        hot = flat_lists(rows["hot"], np.int64)[0].view(np.uint64)
         for i in range(len(rows)):
             row = rows.slice(i, 1)
             sig = flat_lists(row["sig"], np.int64)[0].view(np.uint64)
@@ -274,6 +279,8 @@ def meeting_groups(texts: DataFrame, table: Broadcast, buckets: int) -> DataFram
         runs = np.diff(np.append(begin, len(sig)))
         total = np.add.reduceat(mixed(doc.view(np.uint64)), begin) if len(sig) else np.empty(0, np.uint64)
         group = mixed(total + runs.astype(np.uint64))
+        whole = np.isin(sig[begin], hot)
+        group[whole] = mixed(group[whole] ^ mixed(sig[begin][whole]))
         chosen = np.zeros(len(begin), bool)
         chosen[np.unique(group, return_index=True)[1]] = True
         chosen &= runs > 1
@@ -282,11 +289,11 @@ def meeting_groups(texts: DataFrame, table: Broadcast, buckets: int) -> DataFram
         docs.append(doc[member])
         return pa.table({"gid": np.concatenate(gids).view(np.int64), "doc": np.concatenate(docs)})
 
-    kind = "bucket int, whole boolean, sig array<bigint>, docs array<bigint>, text array<smallint>"
+    kind = "bucket int, whole boolean, sig array<bigint>, docs array<bigint>, text array<smallint>, hot array<bigint>"
     return texts.mapInArrow(ask, kind).groupBy("bucket").applyInArrow(meet, "gid bigint, doc bigint")
 
 
-def _asked(bucket: int, sig: np.ndarray, docs: np.ndarray, text: np.ndarray, whole: bool) -> pa.RecordBatch:
+def _asked(bucket: int, sig: np.ndarray, docs: np.ndarray, text: np.ndarray, hot: np.ndarray, whole: bool) -> pa.RecordBatch:
     one = lambda v: list_array(v, np.array([0, len(v)]))
     return pa.RecordBatch.from_pydict({
         "bucket": pa.array([bucket], pa.int32()),
@@ -294,6 +301,7 @@ def _asked(bucket: int, sig: np.ndarray, docs: np.ndarray, text: np.ndarray, who
         "sig": one(sig.view(np.int64)),
         "docs": one(docs),
         "text": one(text.view(np.int16)),
+        "hot": one(hot.view(np.int64)),
     })
 
 

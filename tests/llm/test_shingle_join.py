@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from registryloom.llm import shingle_join as sj
 
@@ -123,3 +124,24 @@ def test_frequent_pairs_are_certain_to_meet(n):
         need = lambda s: len(s) - (len(s) * 80 + 99) // 100 + 1
         a, b = (sj.pair_signatures(s, len(s), need(s)) for s in (x, y))
         assert np.isin(a, b).any()
+
+
+def test_equal_groups_do_not_hide_members_in_whole_rows(spark, monkeypatch):
+    """A signature that many texts of one flush share also meets texts of others through itself."""
+    large, small = np.uint64(9 << 30), np.uint64(5 << 30)
+
+    def by_size(sets, table):
+        """All have one signature; text 1 of 10 shingles and text 100 of 20 also have a smaller one."""
+        both = np.flatnonzero(np.isin(sets.n, (10, 20)))
+        texts = np.concatenate([np.arange(len(sets.n)), both])
+        return texts, np.repeat(np.array([large, small]), [len(sets.n), len(both)])
+
+    monkeypatch.setattr(sj, "signatures", by_size)
+    monkeypatch.setattr(sj, "LOCAL_HOT", 4)
+    text = lambda i, n: " ".join(f"t{i}w{j}" for j in range(n + 4))
+    one = [(i, text(i, 10 if i == 1 else 30 + i)) for i in range(1, 7)]
+    row = lambda i, t: F.struct(F.lit(i).cast("bigint").alias("doc"), F.lit(t).alias("text"))
+    first, second = F.array(*[row(*r) for r in one]), F.array(row(100, text(100, 20)))
+    texts = spark.range(0, 2, 1, 2).select(F.inline(F.when(F.col("id") == 0, first).otherwise(second)))
+    groups = sj.meeting_groups(texts, spark.sparkContext.broadcast(np.zeros(1, np.uint8)), 1).collect()
+    assert {r.doc for r in groups if r.gid == int(large)} == {1, 2, 3, 4, 5, 6, 100}
