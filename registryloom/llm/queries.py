@@ -8,9 +8,25 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm import chat, mixing, nearest, pitman_yor, quality_rules, sharding, shingle_join, toxicity, url_rules, word_bpe
+from registryloom.llm import (
+    alignment,
+    chat,
+    mixing,
+    nearest,
+    negatives,
+    pitman_yor,
+    quality_rules,
+    sharding,
+    shingle_join,
+    token_counts,
+    toxicity,
+    url_rules,
+    word_bpe,
+)
 from registryloom.llm.common import fold, read
+from registryloom.llm.token_counts import DigestCache, TokenizerFile
 from registryloom.llm.url_rules import ALLOW, BLOCK, PatternRule, SiteRule
+from registryloom.sources.tables import shared_dir
 
 URL_RULES = [
     SiteRule("org", "/", ALLOW),
@@ -139,6 +155,38 @@ def op10_sharding(spark, sf) -> DataFrame:
     )
 
 
+ALIGNED_A, ALIGNED_B = "byte_bpe_50k.json", "piece_bpe_32k.model"
+
+
+def tokenizer_file(name: str) -> TokenizerFile:
+    return TokenizerFile.load(public_tokenizers.path(name))
+
+
+def op11_alignment(spark, sf) -> DataFrame:
+    docs = read(spark, sf, "documents")
+    texts = alignment.align(docs, tokenizer_file(ALIGNED_A), tokenizer_file(ALIGNED_B))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2(F.col("groups").cast("binary"), 256))
+    counted = alignment.with_pair_counts(texts.withColumn("groups_sha256", digest).drop("groups"))
+    counts = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return counted.select("doc_id", *counts, "groups_sha256", "n_shared")
+
+
+def op12_hard_negatives(spark, sf) -> DataFrame:
+    vectors = read(spark, sf, "embeddings")
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(vectors.withColumn("label", moved), F.col("id") % 100 == 0)
+
+
+TOKEN_LIMIT = 2048
+
+
+def op13_token_counts(spark, sf) -> DataFrame:
+    """With a cache of its own: every distinct text of the table is a miss."""
+    stored = DigestCache(spark, shared_dir(spark))
+    counted = token_counts.count_tokens(read(spark, sf, "documents"), tokenizer_file(TOKENIZER), stored)
+    return counted.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > TOKEN_LIMIT).alias("over_limit"))
+
+
 LLM_QUERIES = {
     "op3_url_filters": op3_url_filters,
     "op1_jaccard_join": op1_jaccard_join,
@@ -150,4 +198,7 @@ LLM_QUERIES = {
     "op8_nearest": op8_nearest,
     "op9_bpe": op9_bpe,
     "op10_sharding": op10_sharding,
+    "op11_alignment": op11_alignment,
+    "op12_hard_negatives": op12_hard_negatives,
+    "op13_token_counts": op13_token_counts,
 }

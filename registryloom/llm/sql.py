@@ -170,9 +170,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
 FROM judged
 """
 
+HARD_NEGATIVES = """
+WITH held AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS v
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+), points AS (
+  SELECT a.vec_id AS anchor_id, o.vec_id AS other_id, a.label = o.label AS same,
+    list_inner_product(a.v, o.v)::BIGINT AS score
+  FROM held a JOIN held o ON a.vec_id <> o.vec_id WHERE a.vec_id % 100 = 0
+), positives AS (
+  SELECT anchor_id, other_id AS positive_id, score AS positive_score FROM points WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other_id) <= 5
+)
+SELECT p.anchor_id, positive_id,
+  row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY n.score DESC, n.other_id)::INTEGER AS rank,
+  n.other_id AS negative_id, positive_score, n.score AS negative_score
+FROM positives p JOIN points n ON n.anchor_id = p.anchor_id AND NOT n.same
+  AND 100 * n.score BETWEEN 30 * positive_score AND 90 * positive_score
+QUALIFY rank <= 10
+"""
+
 LLM_ORACLES = {
     "op1_jaccard_join": JACCARD_JOIN,
     "op3_url_filters": URL_FILTERS,
     "op5_quality_rules": QUALITY_RULES,
     "op7_chat_formatting": CHAT_FORMATTING,
+    "op12_hard_negatives": HARD_NEGATIVES,
 }

@@ -80,9 +80,15 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def word_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
-    """Slices of the batches with the words of their texts; a null text has none."""
-    few = (b.slice(i, CHUNK_ROWS) for b in batches for i in range(0, len(b), CHUNK_ROWS))
+def text_slices(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = CHUNK_BYTES, most_rows: int = CHUNK_ROWS
+) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """Slices of the batches with few rows and few bytes of text, or one long text.
+
+    With each come the UTF-8 bytes of its texts and where each begins, the end added; a null text
+    is empty. Nothing of a batch is copied but what a slice holds.
+    """
+    few = (b.slice(i, most_rows) for b in batches for i in range(0, len(b), most_rows))
     for batch in few:
         column = batch.column(text).cast(pa.large_string()).fill_null("")
         offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset :][: len(column) + 1]
@@ -90,13 +96,28 @@ def word_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
         data = np.frombuffer(held, np.uint8) if held is not None else np.empty(0, np.uint8)
         begin = 0
         while begin < len(column):
-            end = int(np.searchsorted(offsets, offsets[begin] + CHUNK_BYTES, side="right")) - 1
+            end = int(np.searchsorted(offsets, offsets[begin] + most_bytes, side="right")) - 1
             end = min(max(end, begin + 1), len(column))
             cut = offsets[begin : end + 1]
-            yield batch.slice(begin, end - begin), Words(data[cut[0] : cut[-1]], cut - cut[0])
+            yield batch.slice(begin, end - begin), data[cut[0] : cut[-1]], cut - cut[0]
             begin = end
 
 
+def word_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
+    """Slices of the batches with the words of their texts; a null text has none."""
+    for batch, data, offsets in text_slices(batches, text):
+        yield batch, Words(data, offsets)
+
+
+def string_chunks(
+    batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = CHUNK_BYTES
+) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
+    """Slices of the batches with their texts as strings; a null text is empty."""
+    for batch, data, offsets in text_slices(batches, text, most_bytes):
+        whole = data.tobytes()
+        yield batch, [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+
+
 def bucket_order(buckets: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
     """An order that sorts by bucket, and where each of ``n`` buckets begins and ends in it."""
     order = np.argsort(buckets, kind="stable")
