@@ -15,6 +15,7 @@ from collections import Counter
 from collections.abc import Iterator, Sequence
 from functools import cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark import SparkFiles
@@ -23,18 +24,24 @@ from pyspark.sql import functions as F
 
 from registryloom.llm.common import most_frequent
 from registryloom.llm.lexicon import Lexicon, build
+from registryloom.llm.words import string_chunks
 from registryloom.sources.tables import shared_dir
 
 #: Words in the lexicon, by frequency over the whole corpus; bounds what the driver gathers.
 LEXICON_WORDS = 200_000
 #: Longer words are merged where they occur, so that a lookup's table of letters stays small.
 LEXICON_CHARS = 32
-#: Words whose ids a worker keeps at hand, and as many stretches of text between blanks.
-MEMO_WORDS = 300_000
-#: Shorter words are merged by plain scans, longer ones with a queue.
+#: Bytes of words and stretches between blanks whose ids, or counts, a worker keeps at hand; as
+#: many again that it has kept before.
+MEMO_BYTES = 40_000_000
+#: Bytes that an entry takes besides its letters and ids.
+ENTRY_BYTES = 200
+#: Longer stretches are encoded where they occur and not kept.
+KEPT_CHARS = 64
+#: Words of up to so many bytes are merged side by side, in rows of these widths.
+SIDE_BY_SIDE, MERGE_ROWS = (6, 9, 12, 18, 32), 20_000
+#: Of words by themselves, shorter ones are merged by plain scans, longer ones with a queue.
 SHORT_WORD = 24
-#: Characters of text that are worked on at once.
-CHUNK_CHARS = 2_000_000
 
 # The Unicode blanks, and the word pattern of the vocabulary's pre-tokenizer.
 _SPACES = regex.compile("[\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]+")
@@ -62,6 +69,15 @@ class Merger:
         self.letters = byte_letters()
         self.rank = {(self.vocab[a], self.vocab[b]): i for i, (a, b) in enumerate(model["merges"])}
         self.made = [self.vocab[a + b] for a, b in model["merges"]]
+        # The same as arrays: pairs in order of both ids, the rank of each, and the ids of bytes.
+        pairs = np.array([a << 32 | b for a, b in self.rank] or [-1], np.int64)
+        order = np.argsort(pairs)
+        self._pairs, self._ranks = pairs[order], np.array([*self.rank.values()] or [0], np.int32)[order]
+        self._made = np.array([*self.made, -1], np.int32)
+        self._inner, self._last = (
+            np.array([self.vocab.get(c + end, -1) for c in self.letters], np.int32) for end in ("", self.end)
+        )
+        self._whole = bool((self._inner >= 0).all() and (self._last >= 0).all())
 
     def merge(self, word: str) -> list[int]:
         letters = [self.letters[b] for b in word.encode("utf-8", "surrogatepass")]
@@ -71,6 +87,64 @@ class Merger:
         ids = [self.vocab[c] for c in letters if c in self.vocab]
         return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
 
+    def merge_many(self, words: list[str]) -> list[list[int]]:
+        """``merge`` of each word; words of about one length are merged side by side."""
+        raw = [w.encode("utf-8", "surrogatepass") for w in words]
+        sizes = np.fromiter(map(len, raw), np.int64, len(raw))
+        out: list[list[int]] = [[]] * len(raw)
+        low = 0
+        for high in SIDE_BY_SIDE if self._whole else ():
+            at = np.flatnonzero((sizes > low) & (sizes <= high))
+            for begin in range(0, len(at), MERGE_ROWS):
+                some = at[begin : begin + MERGE_ROWS]
+                for i, ids in zip(some.tolist(), self._side_by_side([raw[i] for i in some], sizes[some], high)):
+                    out[i] = ids
+            low = high
+        for i in np.flatnonzero(sizes > low).tolist():
+            out[i] = self.merge(words[i])
+        return out
+
+    def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The rank of each pair; the number of ranks where there is none, as beside an end."""
+        pair = left.astype(np.int64) << 32 | right
+        at = np.minimum(np.searchsorted(self._pairs, pair), len(self._pairs) - 1)
+        held = (self._pairs[at] == pair) & (left >= 0) & (right >= 0)
+        return np.where(held, self._ranks[at], len(self.made)).astype(np.int32)
+
+    def _side_by_side(self, raw: list[bytes], sizes: np.ndarray, width: int) -> list[list[int]]:
+        """All words take their first best pair at once, until none has any; -1 fills up the rows."""
+        place, rows, none = np.arange(width), np.arange(len(raw)), len(self.made)
+        grid = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in raw), np.uint8).reshape(len(raw), width)
+        ids = np.where(place < sizes[:, None], self._inner[grid], -1)
+        ids[rows, sizes - 1] = self._last[grid[rows, sizes - 1]]
+        ids = np.column_stack([ids, np.full(len(raw), -1, np.int32)])
+        ranks = self._rank_of(ids[:, :-1], ids[:, 1:])
+        left = rows
+        out = ids.copy()
+        while len(left):
+            at = ranks.argmin(1)
+            best = ranks[np.arange(len(at)), at]
+            done = best == none
+            if done.any():
+                out[left[done]] = ids[done]
+                go = ~done
+                left, ids, ranks, at, best = left[go], ids[go], ranks[go], at[go], best[go]
+                if not len(left):
+                    break
+            own = np.arange(len(left))
+            # The pair becomes one id, and all behind it moves up.
+            ids[own, at] = self._made[best]
+            behind = place[None, :] > at[:, None]
+            ids[:, :-1] = np.where(behind, ids[:, 1:], ids[:, :-1])
+            ranks[:, :-1] = np.where(behind[:, 1:], ranks[:, 1:], ranks[:, :-1])
+            ranks[:, -1] = none
+            ranks[own, at] = self._rank_of(ids[own, at], ids[own, at + 1])
+            before = np.flatnonzero(at > 0)
+            p = at[before] - 1
+            ranks[before, p] = self._rank_of(ids[before, p], ids[before, p + 1])
+        lengths = (out >= 0).sum(1).tolist()
+        return [row[:n] for row, n in zip(out.tolist(), lengths)]
+
     def _merge_short(self, ids: list[int]) -> list[int]:
         rank, made, none = self.rank.get, self.made, len(self.made)
         ranks = [rank(p, none) for p in zip(ids, ids[1:])]
@@ -117,14 +191,15 @@ def split_words(text: str, special: regex.Pattern) -> list[str]:
 
 
 def _plain_words(text: str) -> list[str]:
-    if text.isascii():  # most stretches are one word, or one with a mark behind it
-        if text.isalpha():
-            return [text.lower()]
-        if text[-1:] in _MARKS and text[:-1].isalpha():
-            return [text[:-1].lower(), text[-1]]
-    text = _SPACES.sub(" ", unicodedata.normalize("NFC", text))
-    # Letters change case one by one: a sigma at a word's end is none of its own.
-    return _WORDS.findall(text.replace("Σ", "σ").lower())
+    if not text.isascii():  # letters change case one by one: a sigma at a word's end is none of its own
+        text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+    text = text.lower()
+    # Most stretches are one word, or one with a mark behind it.
+    if text.isalpha():
+        return [text]
+    if text[-1:] in _MARKS and text[:-1].isalpha():
+        return [text[:-1], text[-1]]
+    return _WORDS.findall(_SPACES.sub(" ", text))
 
 
 def special_pattern(special: Sequence[str]) -> regex.Pattern:
@@ -149,20 +224,6 @@ def _lexicon(name: str) -> Lexicon:
     return Lexicon(SparkFiles.get(name))
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
-    """Slices of batches that hold few characters, or one long text."""
-    for batch in batches:
-        texts = [t or "" for t in batch.column(text).to_pylist()]
-        begin = size = 0
-        for i, t in enumerate(texts):
-            if size and size + len(t) > CHUNK_CHARS:
-                yield batch.slice(begin, i - begin), texts[begin:i]
-                begin, size = i, 0
-            size += len(t)
-        if begin < len(texts):
-            yield batch.slice(begin), texts[begin:]
-
-
 def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """``word, n``: how often each pre-token occurs in all texts; special strings are left out."""
 
@@ -177,10 +238,10 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     def count(batches):
         _, special = _loaded(spec)
         seen: Counter = Counter()
-        for _, texts in _chunks(batches, "text"):
+        for _, texts in string_chunks(batches):
             for t in texts:
                 seen.update(stretches(t))
-            if len(seen) > MEMO_WORDS:
+            if len(seen) * ENTRY_BYTES > MEMO_BYTES or len(texts) == 1:
                 yield flushed(seen, special)
                 seen.clear()
         yield flushed(seen, special)
@@ -196,7 +257,7 @@ def write_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS, text:
     counts = word_counts(docs, spec, text).filter(F.length("word") <= LEXICON_CHARS)
     top = most_frequent(counts, words).select("word").toPandas()["word"]
     merger, _ = _loaded(spec)
-    content = build({w.encode(): merger.merge(w) for w in top})
+    content = build(dict(zip(map(str.encode, top), merger.merge_many(list(top)))))
     name = f"lexicon-{uuid.uuid4().hex}.npy"
     path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{name}")
     out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
@@ -207,36 +268,78 @@ def write_lexicon(docs: DataFrame, spec: str, words: int = LEXICON_WORDS, text:
 
 
 class Encoder:
-    """Ids and decoded text of stretches, from memory, the lexicon or exact merging."""
+    """Ids of stretches, from memory, the lexicon or exact merging; texts of ids.
+
+    ``known`` holds words and stretches alike, as a word's only word is itself. Once it is full
+    it becomes ``older``, from which what is met again comes back.
+    """
 
     def __init__(self, merger: Merger, special: regex.Pattern, lexicon: Lexicon):
         self.merger, self.special, self.lexicon = merger, special, lexicon
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.ids: dict[str, bytes] = {}
-        self.decoded: dict[str, str] = {}
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.size = 0
+        tokens = [merger.tokens.get(i, "").encode() + b" " for i in range(max(merger.tokens) + 1)]
+        self._ends = np.cumsum([0, *map(len, tokens)])
+        self._letters = np.frombuffer(b"".join(tokens), np.uint8)
+
+    def _missing(self, wanted: set[str]) -> list[str]:
+        """Those of ``wanted`` that memory lacks; what an earlier memory holds comes back."""
+        missing = wanted - self.known.keys()
+        again = missing & self.older.keys()
+        self.known.update((s, self.older[s]) for s in again)
+        self.size += ENTRY_BYTES * len(again)
+        return list(missing - again)
+
+    def _keep(self, new: list[str], ids: list[bytes]) -> None:
+        self.known.update(zip(new, ids))
+        self.size += ENTRY_BYTES * len(new) + sum(map(len, new)) + sum(map(len, ids))
 
     def learn(self, wanted: set[str]) -> None:
-        new = [s for s in wanted if s not in self.ids]
-        if len(self.ids) + len(new) > MEMO_WORDS:
-            self.ids, self.decoded, new = {}, {}, list(wanted)
+        """Have the ids of all ``wanted`` stretches in memory."""
+        if self.size > MEMO_BYTES:
+            self.older, self.known, self.size = self.known, {}, 0
+        new = self._missing(wanted)
         split = [split_words(s, self.special) for s in new]
-        self._learn_words(set().union(*split))
-        for s, words in zip(new, split):
-            self.ids[s] = b"".join([self.words[w][0] for w in words])
-            self.decoded[s] = " ".join([self.words[w][1] for w in words])
-
-    def _learn_words(self, wanted: set[str]) -> None:
-        new = [w for w in wanted if w not in self.words]
-        if len(self.words) + len(new) > MEMO_WORDS:
-            self.words, new = {}, list(wanted)
-        found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in new])
-        for w, ids in zip(new, found):
+        words = self._missing(set().union(*split))
+        self._keep(words, self._word_ids(words))
+        parted = [(s, own) for s, own in zip(new, split) if own != [s]]
+        known = self.known.__getitem__
+        self._keep([s for s, _ in parted], [b"".join(map(known, own)) for _, own in parted])
+
+    def _word_ids(self, words: list[str]) -> list[bytes]:
+        found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words])
+        for i, w in enumerate(words):
             if w in self.merger.special:
-                ids = [self.merger.special[w]]
-            elif ids is None:
-                ids = self.merger.merge(w)
-            tokens = " ".join([self.merger.tokens[i] for i in ids])
-            self.words[w] = struct.pack(f"<{len(ids)}I", *ids), tokens
+                found[i] = [self.merger.special[w]]
+        unseen = [i for i, ids in enumerate(found) if ids is None]
+        for i, ids in zip(unseen, self.merger.merge_many([words[i] for i in unseen])):
+            found[i] = ids
+        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, as little-endian unsigned 32-bit numbers."""
+        split = [stretches(t) for t in texts]
+        self.learn(set().union(*split))
+        known = self.known.__getitem__
+        ids = [b"".join(map(known, own)) for own in split]
+        if len(texts) == 1:  # a long text may be all there is room for
+            self._forget_long(split[0])
+        return ids
+
+    def _forget_long(self, stretches: list[str]) -> None:
+        for s in {s for s in stretches if len(s) > KEPT_CHARS} & self.known.keys():
+            self.size -= ENTRY_BYTES + len(s) + len(self.known.pop(s))
+
+    def decode(self, ids: list[bytes]) -> list[str]:
+        """The tokens of each text, joined by single spaces."""
+        flat = np.frombuffer(b"".join(ids), np.uint32)
+        lengths = (self._ends[1:] - self._ends[:-1])[flat]
+        ends = np.cumsum(lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._ends[flat] - ends + lengths, lengths)
+        whole = self._letters[at].tobytes()
+        first = np.concatenate([[0], ends])[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        return [whole[a : max(a, b - 1)].decode() for a, b in zip(first[:-1], first[1:])]
 
 
 @cache
@@ -255,12 +358,9 @@ def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text:
 
     def run(batches):
         encoder = _encoder(spec, lexicon)
-        for batch, texts in _chunks(batches, "text"):
-            split = [stretches(t) for t in texts]
-            encoder.learn(set().union(*split))
-            ids = [b"".join(map(encoder.ids.__getitem__, s)) for s in split]
-            decoded = [" ".join([d for d in map(encoder.decoded.__getitem__, s) if d]) for s in split]
-            columns = [batch.column("key"), pa.array(ids, pa.binary()), pa.array(decoded, pa.string())]
+        for batch, texts in string_chunks(batches):
+            ids = encoder.encode(texts)
+            columns = [batch.column("key"), pa.array(ids, pa.binary()), pa.array(encoder.decode(ids), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"])
 
     rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))

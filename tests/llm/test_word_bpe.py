@@ -78,3 +78,30 @@ def test_short_and_long_merging_agree(spec):
         word = "".join(rng.choices("abcdeintrhslo", k=rng.randrange(1, 50)))
         ids = [merger.vocab[c] for c in word[:-1]] + [merger.vocab[word[-1] + "</w>"]]
         assert merger._merge_short(list(ids)) == merger._merge_long(list(ids))
+
+
+def test_words_merged_side_by_side_are_those_merged_alone(spec):
+    merger = word_bpe.Merger(json.loads(spec))
+    rng = random.Random(4)
+    made = ["".join(rng.choices("abcdeintrhsloéß日_", k=rng.randrange(0, 40))) for _ in range(800)]
+    words = [*made, "", "a", "the", "🙂", "aaaaaaaaaa", "x" * 300]
+    assert merger.merge_many(words) == [merger.merge(w) for w in words]
+    assert merger.merge_many([]) == []
+
+
+def test_memory_turns_over_and_drops_long_stretches(spec, library, tmp_path, monkeypatch):
+    monkeypatch.setattr(word_bpe, "MEMO_BYTES", 20_000)
+    path = tmp_path / "x.npy"
+    path.write_bytes(build({b"the": [518 - 256]}))
+    merger, special = word_bpe._loaded(spec)
+    encoder = word_bpe.Encoder(merger, special, Lexicon(str(path)))
+    rng = random.Random(5)
+    for _ in range(60):
+        texts = [" ".join(f"w{rng.randrange(90)}, x{rng.randrange(900)}" for _ in range(9)) for _ in range(4)]
+        want = [library.encode(t, add_special_tokens=False).ids for t in texts]
+        ids = encoder.encode(texts)
+        assert [np.frombuffer(i, "<u4").tolist() for i in ids] == want
+        assert encoder.decode(ids) == [library.decode(i, skip_special_tokens=False) for i in want]
+        assert encoder.size < 40_000
+    long = "y" * 5_000 + " z"
+    assert len(encoder.encode([long])) == 1 and not any(len(s) > 64 for s in encoder.known)
