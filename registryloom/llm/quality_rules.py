@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from registryloom.llm.common import saved
+from registryloom.llm.words import string_chunks
 
 #: Largest wanted rate of rejected good texts in a stratum, and the chance that any stratum exceeds it.
 RISK, DELTA = 0.01, 0.05
@@ -44,6 +45,9 @@ _BLANKS = " \t\n\x0b\x0c\r"
 _MEASURES = "n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_shouts bigint, n_upper bigint, n_letters bigint"
 
 
+_NAMES = [c.split()[0] for c in _MEASURES.split(", ")]
+
+
 def repeat_words(words: list[bytes]) -> int:
     """Words that lie in a window of three words which the text holds at least twice."""
     n = len(words)
@@ -83,17 +87,18 @@ def measure(text: str) -> tuple[int, ...]:
     )
 
 
+def _columns(texts: list[str]) -> list[pa.Array]:
+    counts = np.array([measure(t) for t in texts], np.int64).reshape(len(texts), len(_NAMES))
+    return [pa.array(c) for c in counts.T]
+
+
 def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum: str = "lang") -> DataFrame:
     """``key, stratum`` and the counts of every whole text; a null text counts as empty."""
-    names = [c.split()[0] for c in _MEASURES.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [measure(t or "") for t in batch.column("text").to_pylist()]
-            counts = np.array(rows, np.int64).reshape(len(rows), len(names))
-            columns = [pa.array(counts[:, i]) for i in range(len(names))]
+        for batch, texts in string_chunks(batches):
             held = [batch.column("key"), batch.column("stratum")]
-            yield pa.RecordBatch.from_arrays([*held, *columns], ["key", "stratum", *names])
+            yield pa.RecordBatch.from_arrays([*held, *_columns(texts)], ["key", "stratum", *_NAMES])
 
     rows = docs.select(
         F.col(key).alias("key"),
@@ -226,11 +231,12 @@ def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
     than sending all texts to their verdicts.
     """
     levels = choose_levels(measures(docs, "doc_id", text, stratum), labels)
-    names = [c.split()[0] for c in _MEASURES.split(", ")]
 
-    @F.pandas_udf(T.StructType([T.StructField(n, T.LongType()) for n in names]))
-    def measured(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([measure(t or "") for t in texts], columns=names, dtype="int64")
+    @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in _NAMES]))
+    def measured(texts: pa.Array) -> pa.Array:
+        batch = pa.RecordBatch.from_arrays([texts], ["text"])
+        parts = [pa.StructArray.from_arrays(_columns(some), _NAMES) for _, some in string_chunks(iter([batch]))]
+        return pa.concat_arrays(parts)
 
     rows = docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
