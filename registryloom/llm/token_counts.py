@@ -26,7 +26,7 @@ from registryloom.llm.words import string_chunks
 
 #: Up to so many digests of 32 bytes are broadcast to pick the texts to encode; beyond, the texts
 #: are reduced to one a digest first and join the digests by shuffle.
-MAX_BROADCAST_DIGESTS = 500_000
+MAX_BROADCAST_DIGESTS = 100_000
 #: Bytes of text that are encoded at once, unless one text is longer.
 ENCODE_BYTES = 500_000
 #: Bytes of stretches whose counts a worker keeps at hand.
@@ -172,14 +172,14 @@ def encode_texts(texts: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
     return texts.select("digest", "content").mapInArrow(run, DigestCache.schema)
 
 
-def misses_of(rows: DataFrame, missing: DataFrame, n_missing: int) -> DataFrame:
-    """One ``digest, content`` of ``rows`` for each of the ``missing`` digests."""
-    few = n_missing <= MAX_BROADCAST_DIGESTS
+def misses_of(rows: DataFrame, missing: DataFrame, n_missing: int, n_distinct: int) -> DataFrame:
+    """One ``digest, content`` of ``rows`` for each of the ``missing`` digests out of all distinct ones."""
+    few = n_missing <= MAX_BROADCAST_DIGESTS and n_missing < n_distinct
     if few:
         rows = rows.join(F.broadcast(missing), "digest", "left_semi")
     # Each task keeps one text a digest before it sends any, so thousands of copies meet as a few.
     one = rows.groupBy("digest").agg(F.first("content").alias("content"))
-    return one if few else one.join(missing, "digest", "left_semi")
+    return one if few or n_missing == n_distinct else one.join(missing, "digest", "left_semi")
 
 
 def count_tokens(
@@ -205,8 +205,9 @@ def count_tokens(
     looked_up = saved(looked_up.groupBy("digest").agg(F.max("n_tokens").alias("n_tokens")))
     missing = looked_up.filter(F.col("n_tokens").isNull()).select("digest")
     known = looked_up.filter(F.col("n_tokens").isNotNull()).withColumn("cached", F.lit(True))
-    if n_missing := missing.count():
-        texts = misses_of(rows.select("digest", "content"), missing, n_missing)
+    n_distinct, n_missing = looked_up.agg(F.count(F.lit(1)), F.count_if(F.col("n_tokens").isNull())).first()
+    if n_missing:
+        texts = misses_of(rows.select("digest", "content"), missing, n_missing, n_distinct)
         new = saved(encode_texts(texts, tokenizer))
         stored.append(tokenizer, new)
         known = known.unionByName(new.withColumn("cached", F.lit(False)))

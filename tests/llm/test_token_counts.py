@@ -93,10 +93,11 @@ def test_digests_stored_twice_count_once(spark, make_docs, tmp_path):
 
 def test_many_misses_meet_by_shuffle(spark, make_docs, tmp_path, monkeypatch):
     monkeypatch.setattr(token_counts, "MAX_BROADCAST_DIGESTS", 1)
-    rows = [(i, f"word{i % 7} x") for i in range(60)]
-    out = count_tokens(make_docs(rows), file(NAMES[1]), DigestCache(spark, str(tmp_path)))
+    rows, stored = [(i, f"word{i % 7} x") for i in range(60)], DigestCache(spark, str(tmp_path))
+    count_tokens(make_docs(rows[:3]), file(NAMES[1]), stored)
+    out = count_tokens(make_docs(rows), file(NAMES[1]), stored)
     want = by_library(NAMES[1], [t for _, t in rows])
-    assert rows_of(out) == sorted(((i, len(t), n, False) for (i, t), n in zip(rows, want)), key=repr)
+    assert rows_of(out) == sorted(((i, len(t), n, i % 7 < 3) for (i, t), n in zip(rows, want)), key=repr)
 
 
 def test_memory_turns_over(monkeypatch):
