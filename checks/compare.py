@@ -65,6 +65,7 @@ def main(sf_dir: str = "/root/testdata/sf0.01", *only: str) -> int:
             "spark.master": "local[8]",
             "spark.sql.shuffle.partitions": 8,
             "spark.driver.memory": "8g",
+            "spark.ui.showConsoleProgress": "false",
         }
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -625,6 +625,37 @@ FROM (SELECT *, {cleaned(FULL_CELLS["Patient Age Group"])} AS "Patient Age Group
         left_sql(),
     ),
     "batch_full": pipeline("SELECT * FROM segments", left_sql()),
+    "cached_pair": pipeline(
+        f"""
+SELECT 'batch' AS request, trial_id, NULL AS region_tag, NULL AS healthy_tag, lead_sponsor, us_segment, study_title_CT FROM segments
+UNION ALL
+SELECT 'fixed', trial_id, {REGION_TAG}, {STRICT_HEALTHY}, NULL, NULL, NULL FROM sheet
+WHERE {_STATUS} AND {_WINDOW} AND start_date < last_modified_date AND sponsor_type LIKE 'Industry%'
+UNION ALL
+SELECT 'spec', trial_id, region_tag, healthy_tag, NULL, NULL, NULL
+FROM (SELECT *, {_PARTS}, {TAGS}, {healthy_tag()} AS healthy_tag FROM sheet)
+WHERE {_CHOSEN} AND start_date >= DATE '1993-06-01' AND start_date < DATE '1998-02-01'
+  AND start_date <= last_modified_date""",
+        left_sql(),
+    ),
+    "keyed_both": query("SELECT * FROM both_part", [*JOINED, "both_part"]),
+    "keyed_left_only": query(
+        """
+SELECT s.* FROM sheet s
+WHERE NOT EXISTS (SELECT 1 FROM public p WHERE p.nct_id IS NOT DISTINCT FROM s.nct_id)""",
+        JOINED,
+    ),
+    "keyed_right_only": query(
+        f"SELECT p.nct_id, {CT_LIST} FROM public p ANTI JOIN sheet s ON p.nct_id = s.nct_id", JOINED
+    ),
+    "join_hot_keys": query(
+        """
+SELECT trial_id, count(*) AS n_rows, max(study_title) AS last_title
+FROM (SELECT trial_id, CASE WHEN trial_id % 3 = 0 THEN 'NCT00000002' ELSE nct_id END AS id FROM sheet)
+JOIN (SELECT CASE WHEN substr(md5(nct_id), 1, 2) = '00' THEN 'NCT00000002' ELSE nct_id END AS id, study_title FROM public)
+  USING (id) GROUP BY trial_id""",
+        JOINED,
+    ),
     "batch_flags": pipeline(
         "SELECT * FROM segments",
         left_sql("'Industry', 'Others'", "'Interventional', 'Observational', 'Ambiguous'"),

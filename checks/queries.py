@@ -11,12 +11,15 @@ from pyspark.sql import types as T
 
 from checks.fixtures import FULL_SHEET, fixture, table
 from registryloom.functions import text
+from registryloom.functions.ids import NO_CODE
 from registryloom.functions.text import norm_key
 from registryloom.names import Names, col
 from registryloom.operators import clean, filters, joins, lookups, refine, schema, tagging
 from registryloom.plans import branches, pipeline, trial_filters
 from registryloom.plans.branches import Refinement
 from registryloom.plans.cleaning import clean_public, clean_sheet, select_sheet
+from registryloom.plans.cached import CachedPair, save_requests
+from registryloom.plans.keyed import Layout, split_keyed
 from registryloom.plans.pipeline import PipelineConfig
 from registryloom.plans.trial_filters import FilterSpec
 from registryloom.sources.headers import DISPLAY_SHEET, SNAKE_SHEET
@@ -242,10 +245,9 @@ def study_type_refine(spark, sf):
 
 def union_by_name(spark, sf):
     refinement = Refinement(interventional=True, industry=True, others=True)
-    _, _, parts = pipeline.staged_branches(
-        spark, _sheet(spark, sf), _public(spark, sf), shared_dir(spark), refinement=refinement
-    )
-    return _days(parts.union)
+    layout = Layout(spark, shared_dir(spark))
+    staged = pipeline.staged_branches(layout, _sheet(spark, sf), _public(spark, sf), refinement=refinement)
+    return _days(staged.branches.union)
 
 
 def norm_keys(spark, sf):
@@ -504,6 +506,48 @@ def batch_flags(spark, sf):
     return _days(_stages(spark, sf, **flags)["segments"])
 
 
+def cached_pair(spark, sf):
+    """A batch and two filter requests over one cleaning, which is released before this returns."""
+    root, asked = shared_dir(spark), {"fixed": FilterSpec.fixed(*WINDOW), "spec": REQUEST}
+    with CachedPair(_sheet(spark, sf), _public(spark, sf)) as pair:
+        frames = {n: pair.filtered(r).select("trial_id", "region_tag", "healthy_tag") for n, r in asked.items()}
+        batch = pair.stages(*_lookups(spark, sf))["segments"]
+        frames["batch"] = batch.select("trial_id", "lead_sponsor", "us_segment", "study_title_CT")
+        save_requests(frames, root)
+    read = [spark.read.parquet(f"{root}/{n}").withColumn("request", F.lit(n)) for n in frames]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), read)
+
+
+def _keyed_split(spark, sf) -> joins.JoinSplit:
+    """The two files laid out by registry id, and their three parts over what was laid out."""
+    pair = pipeline.staged_pair(Layout(spark, shared_dir(spark)), _sheet(spark, sf), _public(spark, sf))
+    return split_keyed(*pair, right_columns=N.right_columns)
+
+
+def keyed_both(spark, sf):
+    return _days(_keyed_split(spark, sf).both)
+
+
+def keyed_left_only(spark, sf):
+    return _days(_keyed_split(spark, sf).left_only)
+
+
+def keyed_right_only(spark, sf):
+    return _keyed_split(spark, sf).right_only
+
+
+def join_hot_keys(spark, sf):
+    """Both files with a third of their rows under ids that nobody named, found by a sketch."""
+    hot = F.when(F.col("trial_id") % 3 == 0, F.lit("NCT00000002"))
+    sheet = _sheet(spark, sf).select("trial_id", F.coalesce(hot, N.registry_id).alias(N.registry_id))
+    few = F.substring(F.md5(F.col(N.registry_id).cast("binary")), 1, 2) == "00"
+    public = _public(spark, sf).select(F.when(few, F.lit("NCT00000002")).otherwise(F.col(N.registry_id)).alias(N.registry_id), "study_title")
+    found = joins.frequent_keys(sheet, N.registry_id, 0.1)
+    split = joins.split_join(sheet, public, N.registry_id, right_columns=["study_title"], hot_keys=[*found, NO_CODE])
+    counts = split.both.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("study_title_CT").alias("last_title"))
+    return counts
+
+
 QUERIES = {
     "clean_text": clean_text,
     "clean_table": clean_table,
@@ -556,4 +600,9 @@ QUERIES = {
     "batch_flags": batch_flags,
     "batch_staged": batch_staged,
     "batch_outputs": batch_outputs,
+    "cached_pair": cached_pair,
+    "keyed_both": keyed_both,
+    "keyed_left_only": keyed_left_only,
+    "keyed_right_only": keyed_right_only,
+    "join_hot_keys": join_hot_keys,
 }

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Mapping
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,19 +55,25 @@ def clean_table(
     collapse_ws: bool = True,
     case_mode: str = "none",
     drop_rows: bool = True,
-    drop_null_columns: bool = False,
+    drop_null_columns: bool | Observation = False,
 ) -> DataFrame:
     """Fill, clean and prune the scoped columns (all if none are named).
 
     Rows are tested on the raw cells, before the costly text rules: cleaning never empties a
     cell that strip leaves non-empty. With ``fill_numbers`` a number in scope always holds a
     value, so no row can be empty and the test is left out. ``drop_null_columns`` looks at the
-    data at once and is therefore off unless asked for.
+    data at once and is therefore off unless asked for. Given an observation, nothing is dropped
+    here: the first job over the result counts along the way, and ``null_columns`` then names what
+    to drop; there, filled columns stay even if there is no row at all.
     """
     scope = present(df, columns)
     types = {n: df.schema[n].dataType for n in scope}
     numbers = [n for n in scope if is_number(types[n])]
     texts = [n for n in scope if is_text(types[n])]
+    filled = {*(numbers if fill_numbers else ()), *(texts if fill_text else ())}
+    raw = df
+    if isinstance(drop_null_columns, Observation):
+        df = df.observe(drop_null_columns, *_null_counts([n for n in scope if n not in filled], set()))
 
     if scope and drop_rows and not (fill_numbers and numbers):
         df = drop_empty_rows(df, scope, strip_ws)
@@ -80,20 +86,19 @@ def clean_table(
         new |= {n: _fill_number(col(n), types[n]) for n in numbers}
     cleaned = replace_columns(df, new)
 
-    if drop_null_columns and scope:
-        filled = {*(numbers if fill_numbers else ()), *(texts if fill_text else ())}
-        return _drop_null_scope(df, cleaned, scope, filled)
+    if drop_null_columns is True and scope:
+        return cleaned.drop(*null_columns(raw.agg(*_null_counts(scope, filled)).first().asDict()))
     return cleaned
 
 
-def _drop_null_scope(
-    raw: DataFrame, cleaned: DataFrame, scope: list[str], filled: set[str]
-) -> DataFrame:
-    """Filled columns go only when there is no row at all, so only the others are counted."""
-    open_cols = [n for n in scope if n not in filled]
-    counts = raw.agg(F.count(F.lit(1)), *[F.count(col(n)) for n in open_cols]).first()
-    empty = {n for n, k in zip(open_cols, counts[1:]) if k == 0} if counts[0] else set(scope)
-    return cleaned.drop(*empty)
+def _null_counts(scope: list[str], filled: set[str]) -> list[Column]:
+    """Rows, and cells that hold something; filled columns hold something in every row."""
+    return [F.count(F.lit(1) if n in filled else col(n)).alias(n) for n in scope] or [F.count(F.lit(1)).alias("")]
+
+
+def null_columns(counts: Mapping[str, int]) -> list[str]:
+    """Counted columns without any value."""
+    return [n for n, k in counts.items() if n and not k]
 
 
 def remove_punctuation(df: DataFrame, columns: Iterable[str] | None = None) -> DataFrame:

@@ -13,6 +13,12 @@ from registryloom.names import col
 
 _HIT, _SALT, _RKEY = "__hit", "__salt", "__right_key"
 
+#: Parts that the rows of a hot key are spread over.
+SALTS = 16
+#: Most hot keys that are told apart, and keys that their sketch tracks; counts are off by at most
+#: about the rows of all keys divided by the tracked ones.
+MOST_HOT, TRACKED = 64, 8_192
+
 
 class JoinSplit(NamedTuple):
     """The three parts of a full outer join; each is its own lazy plan."""
@@ -31,13 +37,29 @@ def right_subset(
     return right.select(*[col(n).alias(n if n == key else n + suffix) for n in kept])
 
 
-def _is_hot(key: str, hot_keys: Sequence[str]) -> Column:
+def top_keys(key: Column, most: int = MOST_HOT, tracked: int = TRACKED) -> Column:
+    """Aggregate: the most frequent keys and about how many rows each has, as ``item, count``."""
+    return F.call_function("approx_top_k", key, F.lit(most), F.lit(tracked))
+
+
+def standing_out(top: Iterable, least: float) -> list:
+    """Keys of a ``top_keys`` result with more than ``least`` rows, NULL left out."""
+    return [r["item"] for r in top or () if r["item"] is not None and r["count"] > least]
+
+
+def frequent_keys(df: DataFrame, key: str, least_share: float) -> list:
+    """Keys with more than ``least_share`` of the rows; one job over the key column alone."""
+    n, top = df.agg(F.count(F.lit(1)), top_keys(col(key))).first()
+    return sorted(standing_out(top, least_share * n))
+
+
+def is_hot(key: str, hot_keys: Sequence[str]) -> Column:
     return col(key).isNull() | col(key).isin(list(hot_keys))
 
 
 def _hot_seen(df: DataFrame, key: str, hot_keys: Sequence[str]) -> DataFrame:
     """Hot keys that ``df`` holds: at most one row per hot key and one for NULL."""
-    seen = df.filter(_is_hot(key, hot_keys)).select(col(key).alias(_RKEY)).distinct()
+    seen = df.filter(is_hot(key, hot_keys)).select(col(key).alias(_RKEY)).distinct()
     return F.broadcast(seen.withColumn(_HIT, F.lit(True)))
 
 
@@ -46,7 +68,7 @@ def unmatched_hot(
 ) -> DataFrame:
     """Rows of ``df`` under a hot key that ``other`` does not hold; nothing of ``df`` shuffles."""
     on = col(key).eqNullSafe(col(_RKEY))
-    rows = df.filter(_is_hot(key, hot_keys))
+    rows = df.filter(is_hot(key, hot_keys))
     return rows.join(_hot_seen(other, key, hot_keys), on, "left_anti")
 
 
@@ -62,9 +84,9 @@ def unmatched(
     """
     on = col(key).eqNullSafe(col(_RKEY))
     other_keys = (
-        other.filter(~_is_hot(key, hot_keys)).select(col(key).alias(_RKEY)).distinct()
+        other.filter(~is_hot(key, hot_keys)).select(col(key).alias(_RKEY)).distinct()
     )
-    rest = df.filter(~_is_hot(key, hot_keys)).join(other_keys, on, "left_anti")
+    rest = df.filter(~is_hot(key, hot_keys)).join(other_keys, on, "left_anti")
     return unmatched_hot(df, other, key, hot_keys).unionByName(rest)
 
 
@@ -73,7 +95,7 @@ def matched(
     right: DataFrame,
     key: str,
     hot_keys: Sequence[str] = (NO_CODE,),
-    salts: int = 16,
+    salts: int = SALTS,
     salt_by: str | None = None,
 ) -> DataFrame:
     """Inner join where NULL matches NULL: left columns, then the right ones without the key.
@@ -83,7 +105,7 @@ def matched(
     while the right rows of that key are repeated for each part. Adaptive execution splits parts
     that are still too large.
     """
-    hot = _is_hot(key, hot_keys)
+    hot = is_hot(key, hot_keys)
     # One column only: a hash over all of them makes the optimizer's constraint rules explode.
     salt_by = salt_by or next((n for n in left.columns if n != key), key)
     row_salt = F.pmod(F.xxhash64(col(salt_by)), F.lit(salts)).cast("int")
@@ -111,12 +133,14 @@ def split_join(
     right_columns: Iterable[str] | None = None,
     suffix: str = "_CT",
     hot_keys: Sequence[str] = (NO_CODE,),
+    salts: int = SALTS,
+    salt_by: str | None = None,
     drop_right_key: bool = False,
 ) -> JoinSplit:
     """Split a full outer join into matched, left-only and right-only rows.
 
     The outer join itself is never built: each part is a join of its own, so a part nobody reads
-    costs nothing. Many-to-many keys multiply. ``drop_right_key`` leaves the key out of the
+    costs nothing. Many-to-many keys multiply. ``hot_keys`` may come from ``frequent_keys``. ``drop_right_key`` leaves the key out of the
     right-only part.
     """
     narrow = right_subset(right, key, right_columns, suffix)
@@ -124,7 +148,7 @@ def split_join(
     if drop_right_key:
         right_only = right_only.drop(key)
     return JoinSplit(
-        both=matched(left, narrow, key, hot_keys),
+        both=matched(left, narrow, key, hot_keys, salts, salt_by),
         left_only=unmatched(left, narrow, key, hot_keys),
         right_only=right_only,
     )

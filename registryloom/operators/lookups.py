@@ -40,6 +40,13 @@ def clean_lookup(
     return remove_punctuation(out, columns) if punct else out
 
 
+def row_bytes(df: DataFrame) -> Column:
+    """About the memory that a row takes: its text, and 16 bytes for each cell and the row."""
+    text = [f.name for f in df.schema if f.dataType.typeName() == "string"]
+    per_row = F.lit(16 * (len(df.columns) + 1))
+    return reduce(lambda a, n: a + F.coalesce(F.octet_length(col(n)), F.lit(0)), text, per_row)
+
+
 def broadcast_small(*tables: DataFrame, max_bytes: int = BROADCAST_BYTES) -> list[DataFrame]:
     """Mark the tables whose measured size fits a broadcast; the others join by shuffle.
 
@@ -48,10 +55,7 @@ def broadcast_small(*tables: DataFrame, max_bytes: int = BROADCAST_BYTES) -> lis
     """
 
     def size(i: int, t: DataFrame) -> DataFrame:
-        text = [f.name for f in t.schema if f.dataType.typeName() == "string"]
-        per_row = F.lit(16 * (len(t.columns) + 1))
-        row = reduce(lambda a, n: a + F.coalesce(F.octet_length(col(n)), F.lit(0)), text, per_row)
-        return t.agg(F.lit(i).alias("i"), F.coalesce(F.sum(row), F.lit(0)).alias("n"))
+        return t.agg(F.lit(i).alias("i"), F.coalesce(F.sum(row_bytes(t)), F.lit(0)).alias("n"))
 
     sizes = reduce(DataFrame.unionAll, [size(i, t) for i, t in enumerate(tables)]).collect()
     fits = {r["i"] for r in sizes if r["n"] <= max_bytes}

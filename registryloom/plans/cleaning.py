@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 
 from registryloom.names import DISPLAY, Names
 from registryloom.operators import clean, filters, refine, schema
@@ -24,7 +24,7 @@ def rename_public(df: DataFrame, names: Names = Names()) -> DataFrame:
 
 
 def clean_sheet(
-    df: DataFrame, sheet: Sheet = SNAKE_SHEET, drop_null_columns: bool = False
+    df: DataFrame, sheet: Sheet = SNAKE_SHEET, drop_null_columns: bool | Observation = False
 ) -> DataFrame:
     """Source A after ``select_sheet``: typed, cleaned in title case, with id and age flags.
 
@@ -47,7 +47,7 @@ def clean_public(
     df: DataFrame,
     names: Names = Names(),
     dates: Sequence[str] = tuple(PUBLIC_DATES),
-    drop_null_columns: bool = False,
+    drop_null_columns: bool | Observation = False,
     numbers: Sequence[str] = (),
 ) -> DataFrame:
     """Source B: typed, cleaned in upper case, no punctuation, drug and biological rows only.
