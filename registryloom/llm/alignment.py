@@ -3,13 +3,19 @@
 Each text's tokens and bytes make two token-byte incidence matrices A and B; the rows of A·Bᵀ are
 the overlaps of A's tokens with B's, in bytes. Byte offsets where tokens of both end cut the text
 into groups; tokens and groups make two more matrices, whose product links all tokens that share a
-group. Texts are worked on side by side: their matrices are the blocks of one diagonal.
+group.
+
+Where no token of either can reach across the start of a blank between words, texts are cut there
+into parts. The distinct parts of many texts are aligned side by side, their matrices the blocks of
+one diagonal, and a text has what its parts have: the product of the matrices text by part and
+part by id pair.
 """
 
 from __future__ import annotations
 
 import json
 import os
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import cache
@@ -19,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import most_frequent, saved
+from registryloom.llm.common import most_frequent, saved, small_batches
 from registryloom.llm.sparse import Rows, incidence, product, row_products, turned, work
 from registryloom.llm.token_counts import TokenizerFile
 from registryloom.llm.word_bpe import byte_letters
@@ -27,7 +33,7 @@ from registryloom.llm.words import flat_lists, list_array, string_chunks
 from registryloom.sources.tables import shared_dir
 
 #: Bytes of text that are aligned at once, unless one text is longer.
-ALIGN_BYTES = 400_000
+ALIGN_BYTES = 2_000_000
 #: Id pairs whose counts every task holds, by count over the whole corpus; texts meet the counts
 #: of all rarer pairs by a join, in which no pair can be hot.
 HELD_PAIRS = 400_000
@@ -36,10 +42,17 @@ HELD_PAIRS = 400_000
 _PARTS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 # Fixed value: the letter that stands for a space in pieces.
 _PIECE_SPACE = "▁"
+#: Texts that a normalising tokenizer would change.
+_PROBE = "ﬁ Ⅷ  ｱ é \t x"
+_BLANK_BEFORE_SPACE = re.compile(r"\s ")
 
 
 class ByteTokenizer:
-    """Ids of plain texts and the bytes that each id stands for; ``lead`` goes before each text."""
+    """Ids of plain texts and the bytes that each id stands for; a space goes before each text.
+
+    ``lead`` is that space, or empty if the tokenizer adds it itself. ``parted`` tells that no
+    token reaches across a space that follows on a character other than blank.
+    """
 
     def __init__(self, file: TokenizerFile):
         if file.kind == "model":
@@ -49,12 +62,16 @@ class ByteTokenizer:
             self.lead = ""  # pieces begin with a space of their own
             self.encode = lambda texts: model.encode(texts, num_threads=1, add_bos=False, add_eos=False)
             self.bytes = [_piece_bytes(model, i) for i in range(model.get_piece_size())]
+            pieces = (model.id_to_piece(i).lstrip(_PIECE_SPACE) for i in range(model.get_piece_size()))
+            as_is = model.normalize(_PROBE) == _PIECE_SPACE + _PROBE.replace(" ", _PIECE_SPACE)
+            self.parted = as_is and not any(_PIECE_SPACE in p for p in pieces)
         else:
             spec = json.loads(file.content)
             byte_of = {letter: b for b, letter in enumerate(byte_letters())}
             held = {i: bytes(map(byte_of.__getitem__, t)) for t, i in spec["model"]["vocab"].items()}
             self.lead = " "
-            self.encode = _ranked(spec, held) or _by_library(file)
+            ranked = _ranked(spec, held)
+            self.encode, self.parted = ranked or _by_library(file), ranked is not None
             added = {t["id"]: t["content"].encode() for t in spec["added_tokens"]}
             self.bytes = [held.get(i, added.get(i, b"")) for i in range(max([*held, *added]) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
@@ -188,30 +205,75 @@ def group_texts(m: Aligned) -> list[str]:
     return [whole[x : max(x, y - 1)].decode() for x, y in zip(first[:-1], first[1:])]
 
 
-def _distinct(text: np.ndarray, pair: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of one text and pair added up, in order of both."""
-    order = np.lexsort((pair, text))
-    text, pair, times = text[order], pair[order], times[order]
-    new = np.concatenate([[True], (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])])[: len(text)]
-    at = np.flatnonzero(new)
-    return text[at], pair[at], np.add.reduceat(times, at) if len(at) else times
+def parts(text: str) -> list[str]:
+    """The text, a space before it, cut before each space that follows on a character other than blank."""
+    pieces = text.split(" ")
+    if text[-1:] == " " or text[:1] == " " or _BLANK_BEFORE_SPACE.search(text):
+        glued: list[str] = []
+        for piece in pieces:
+            if glued and (not piece or glued[-1][-1:].isspace() or not glued[-1]):
+                glued[-1] += " " + piece
+            else:
+                glued.append(piece)
+        pieces = glued
+    return [" " + p for p in pieces]
 
 
-def _pairs(m: Aligned) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """``text, pair, times``: the id pairs that overlap in each text, and at how many places."""
-    found = []
+def _pairs(m: Aligned) -> tuple[np.ndarray, np.ndarray]:
+    """``text, pair`` of each two tokens that overlap, a row each."""
+    found = [np.empty((2, 0), np.int64)]
     for a, b, _ in m.overlaps():
-        text = np.searchsorted(m.first_a, a, side="right") - 1
-        pair = (m.ids_a[a] << 32) | m.ids_b[b]
-        found.append(_distinct(text, pair, np.ones(len(pair), np.int64)))
-    if not found:
-        return (np.empty(0, np.int64),) * 3
-    return _distinct(*map(np.concatenate, zip(*found))) if len(found) > 1 else found[0]
+        found.append(np.stack([np.searchsorted(m.first_a, a, side="right") - 1, (m.ids_a[a] << 32) | m.ids_b[b]]))
+    return tuple(np.concatenate(found, axis=1))
 
 
 _COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_shared")
 
 
+def aligned_texts(a: ByteTokenizer, b: ByteTokenizer, texts: list[str]) -> tuple[np.ndarray, list[str], Rows, np.ndarray]:
+    """For each text its ``_COUNTS``, its groups as text, and how often each id pair overlaps in it.
+
+    The pairs are the columns of the matrix; the last array tells the pair of each column.
+    """
+    cut = parts if a.parted and b.parted else lambda t: [" " + t]
+    split = [cut(t) if t else [] for t in texts]
+    place = {p: i for i, p in enumerate(set().union(*split))}
+    ids_a = a.encode([p if a.lead else p[1:] for p in place])
+    ids_b = b.encode([p if b.lead else p[1:] for p in place])
+    fits = np.ones(len(place), bool)
+    for i, p in enumerate(place):
+        raw = p.encode()
+        if a.joined(ids_a[i]) != raw or b.joined(ids_b[i]) != raw:
+            ids_a[i], ids_b[i], fits[i] = [], [], False
+    m = aligned(a, b, ids_a, ids_b)
+
+    # Texts by parts, without those of which any part does not fit.
+    first = np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])
+    flat = np.fromiter((place[p] for s in split for p in s), np.int64, int(first[-1]))
+    bad = np.diff(np.concatenate([[0], np.cumsum(~fits[flat])])[first]) > 0
+    split = [[] if x else s for s, x in zip(split, bad.tolist())]
+    cell = np.repeat(np.arange(len(texts)), np.diff(first)) * max(len(place), 1) + flat
+    cell, times = np.unique(cell[~np.repeat(bad, np.diff(first))], return_counts=True)
+    row, part = np.divmod(cell, max(len(place), 1))
+    by_part = Rows(np.searchsorted(row, np.arange(len(texts) + 1)), part, times, len(place))
+
+    # Parts by id pairs, and texts by id pairs.
+    of, pair = _pairs(m)
+    names, column = np.unique(pair, return_inverse=True)
+    cell, links = np.unique(of * max(len(names), 1) + column, return_counts=True)
+    row, column = np.divmod(cell, max(len(names), 1))
+    by_pair = Rows(np.searchsorted(row, np.arange(len(place) + 1)), column, links, len(names))
+
+    shared = np.concatenate([[0], np.cumsum(m.n_shared())])[m.first_a]
+    n_links = np.concatenate([[0], np.cumsum(links)])[by_pair.starts]
+    each = np.stack([np.diff(x) for x in (m.first_a, m.first_b, m.first_group, n_links, shared)])
+    sums = np.cumsum(np.concatenate([np.zeros((len(each), 1), np.int64), each[:, by_part.columns] * by_part.values], 1), 1)
+    counts = np.diff(sums[:, by_part.starts])
+    said = dict(zip(place, group_texts(m)))
+    groups = [";".join(map(said.__getitem__, s)) for s in split]
+    return counts, groups, product(by_part, by_pair), names
+
+
 def align(docs: DataFrame, first: TokenizerFile, second: TokenizerFile, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a row of ``docs``: ``key``, ``n_a, n_b, n_groups, n_links, n_shared, groups, pairs, times``.
 
@@ -226,22 +288,12 @@ def align(docs: DataFrame, first: TokenizerFile, second: TokenizerFile, key: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = tokenizer(first), tokenizer(second)
         for batch, texts in string_chunks(batches, "text", ALIGN_BYTES):
-            ids_a, ids_b = a.encode([a.lead + t for t in texts]), b.encode([b.lead + t for t in texts])
-            for i, t in enumerate(texts):
-                whole = b" " + t.encode()
-                if not t or a.joined(ids_a[i]) != whole or b.joined(ids_b[i]) != whole:
-                    ids_a[i], ids_b[i] = [], []
-            m = aligned(a, b, ids_a, ids_b)
-            text_of, pair, times = _pairs(m)
-            firsts = np.searchsorted(text_of, np.arange(len(texts) + 1))
-            links = np.concatenate([[0], np.cumsum(times)])[firsts]
-            shared = np.concatenate([[0], np.cumsum(m.n_shared())])[m.first_a]
-            counts = [np.diff(x) for x in (m.first_a, m.first_b, m.first_group, links, shared)]
-            columns = [batch.column("key"), *map(pa.array, counts), pa.array(group_texts(m), pa.string())]
-            columns += [list_array(pair, firsts), list_array(times.astype(np.int32), firsts)]
+            counts, groups, held, names = aligned_texts(a, b, texts)
+            columns = [batch.column("key"), *map(pa.array, counts), pa.array(groups, pa.string())]
+            columns += [list_array(names[held.columns], held.starts), list_array(held.values.astype(np.int32), held.starts)]
             yield pa.RecordBatch.from_arrays(columns, ["key", *_COUNTS, "groups", "pairs", "times"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     counts = ", ".join(f"{c} bigint" for c in _COUNTS)
     out = rows.mapInArrow(run, f"key {kind}, {counts}, groups string, pairs array<bigint>, times array<int>")

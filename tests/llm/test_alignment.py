@@ -23,6 +23,14 @@ TEXTS = [
     "a piece letter ▁ inside",
     "ﬁ ligature Ⅷ é \x00 \x1c  　",
     "e" * 300,
+    " ",
+    "   ",
+    "end ",
+    "end.\n  Next \t two\u3000 three\xa0\n",
+    "a  b   c    d",
+    "\n lead",
+    " ▁ x",
+    "one ▁",
     "\n",
     "x",
 ]
@@ -157,3 +165,32 @@ def test_overlaps_and_shared_groups_of_one_text():
     assert shared.lengths().tolist() == m.n_shared().tolist()
     pairs = set(zip(shared.row_of().tolist(), shared.columns.tolist()))
     assert {(i, j) for i, j, _ in links} <= pairs
+
+
+@pytest.mark.parametrize("parted", [True, False])
+def test_parts_change_nothing(make_docs, rows, parted):
+    a, b = tokenizer(file(A)), tokenizer(file(B))
+    assert a.parted and b.parted
+    whole = [(t, " " + t) for _, t in rows if t]
+    assert all("".join(alignment.parts(t)) == led for t, led in whole)
+    texts = [t for t, _ in whole]
+    held = alignment.aligned_texts(a, b, texts)
+    a.parted = parted
+    try:
+        again = alignment.aligned_texts(a, b, texts)
+    finally:
+        a.parted = True
+    assert (held[0] == again[0]).all() and held[1] == again[1]
+    for i in range(len(texts)):
+        one, two = ({m[3][c]: v for c, v in zip(m[2].columns[x:y], m[2].values[x:y])} for m in (held, again) for x, y in [m[2].starts[i : i + 2]])
+        assert one == two
+
+
+@settings(deadline=None, max_examples=300)
+@given(st.text(st.sampled_from("ab. \n\t\xa0▁1é'"), max_size=14))
+def test_texts_cut_anywhere(text):
+    a, b = tokenizer(file(A)), tokenizer(file(B))
+    ((n_a, n_b, n_groups, n_links, _),) = alignment.aligned_texts(a, b, [text])[0].T
+    (ids_a, ids_b, links, groups) = brute([text])[0]
+    assert (n_a, n_b, n_groups, n_links) == (len(ids_a), len(ids_b), len(groups), len(links))
+    assert alignment.aligned_texts(a, b, [text])[1] == [";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)]
