@@ -13,12 +13,25 @@ from registryloom.sources.tables import shared_dir
 WORD = r"[^\x20\x09-\x0D]+"
 #: Hashes by which rows with equal counts are told apart.
 TIES = 1 << 16
+#: Bytes of rows that a task hands to Python at once, about.
+BATCH_BYTES = 4_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def small_batches(df: DataFrame) -> DataFrame:
+    """``df``; from now on its session hands rows to Python by a few MB, not by tens of thousands.
+
+    Whole texts are long, and each task holds a batch on both sides of the pipe.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(conf.get(name).rstrip("b")) > BATCH_BYTES:
+        conf.set(name, str(BATCH_BYTES))
+    return df
+
+
 def lower_ascii(c: Column) -> Column:
     """A-Z alone in lower case, whatever the locale."""
     return F.translate(c, string.ascii_uppercase, string.ascii_lowercase)

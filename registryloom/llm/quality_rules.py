@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from registryloom.llm.common import saved
+from registryloom.llm.common import saved, small_batches
 from registryloom.llm.words import string_chunks
 
 #: Largest wanted rate of rejected good texts in a stratum, and the chance that any stratum exceeds it.
@@ -100,7 +100,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
             held = [batch.column("key"), batch.column("stratum")]
             yield pa.RecordBatch.from_arrays([*held, *_columns(texts)], ["key", "stratum", *_NAMES])
 
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.col(key).alias("key"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         F.col(text).cast("string").alias("text"),
@@ -238,7 +238,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
         parts = [pa.StructArray.from_arrays(_columns(some), _NAMES) for _, some in string_chunks(iter([batch]))]
         return pa.concat_arrays(parts)
 
-    rows = docs.select(
+    rows = small_batches(docs).select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
         F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"),
         measured(F.col(text).cast("string")).alias("m"),

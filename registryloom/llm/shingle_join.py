@@ -22,7 +22,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import saved
+from registryloom.llm.common import saved, small_batches
 from registryloom.llm.words import Words, flat_lists, list_array, mixed, word_chunks
 
 #: Words of a shingle, and the similarity from which on two sets are linked, in percent.
@@ -557,7 +557,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     without a key get the component of the texts equal to theirs, if any, and connect nothing.
     Repeated rows are fine, other columns are ignored, an empty table gives no rows.
     """
-    rows = docs.select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(key).cast("bigint").alias("doc"), F.col(text).cast("string").alias("text"))
     ids = saved(set_ids(rows))
     full = ids.filter(F.col("n") > 0)
     classes = full.groupBy("n", "s1", "s2").agg(F.min("doc").alias("rep"))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import saved
+from registryloom.llm.common import saved, small_batches
 from registryloom.llm.words import string_chunks
 
 #: Up to so many digests of 32 bytes are broadcast to pick the texts to encode; beyond, the texts
@@ -169,7 +169,7 @@ def encode_texts(texts: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
             counts = pa.array(counter.count(held), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), counts], ["digest", "n_tokens"])
 
-    return texts.select("digest", "content").mapInArrow(run, DigestCache.schema)
+    return small_batches(texts).select("digest", "content").mapInArrow(run, DigestCache.schema)
 
 
 def misses_of(rows: DataFrame, missing: DataFrame, n_missing: int, n_distinct: int) -> DataFrame:

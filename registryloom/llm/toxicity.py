@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import saved
+from registryloom.llm.common import saved, small_batches
 from registryloom.llm.words import Words, mixed, word_chunks
 
 #: Texts to learn from, about: a sample by hash of the id. They bound what the driver gathers.
@@ -154,7 +154,7 @@ def fit(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     """
     said = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
     said = said.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    rows = texts.select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = small_batches(texts).select(F.col(key).alias("key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     spread = F.pmod(F.xxhash64(F.col("key"), F.lit("sample")), F.lit(1 << 30)) / float(1 << 30)
     counts = said.join(rows.select("key"), F.col("doc_id") == F.col("key"), "left_semi")
     prior = counts.agg(F.avg("toxic"), F.sum("toxic")).first()
@@ -219,7 +219,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
             columns = [batch.column("key"), pa.array(model.scores(words))]
             yield pa.RecordBatch.from_arrays(columns, ["key", "score"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     return rows.mapInArrow(run, f"key {kind}, score double").withColumnRenamed("key", key)
 
@@ -231,4 +231,4 @@ def clean_rows(docs: DataFrame, model: Model, limit: float, text: str = "text")
         for batch, words in word_chunks(batches, text):
             yield batch.filter(pa.array(model.scores(words) < limit))
 
-    return docs.mapInArrow(run, docs.schema)
+    return small_batches(docs).mapInArrow(run, docs.schema)

@@ -22,7 +22,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import most_frequent
+from registryloom.llm.common import most_frequent, small_batches
 from registryloom.llm.lexicon import Lexicon, build
 from registryloom.llm.words import string_chunks
 from registryloom.sources.tables import shared_dir
@@ -33,7 +33,7 @@ LEXICON_WORDS = 200_000
 LEXICON_CHARS = 32
 #: Bytes of words and stretches between blanks whose ids, or counts, a worker keeps at hand; as
 #: many again that it has kept before.
-MEMO_BYTES = 40_000_000
+MEMO_BYTES = 24_000_000
 #: Bytes that an entry takes besides its letters and ids.
 ENTRY_BYTES = 200
 #: Longer stretches are encoded where they occur and not kept.
@@ -233,7 +233,8 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
             for w in split_words(stretch, special):
                 words[w] += n
         held = [w for w in words if not special.fullmatch(w)]
-        return pa.RecordBatch.from_pydict({"word": held, "n": [words[w] for w in held]})
+        columns = [pa.array(held, pa.string()), pa.array([words[w] for w in held], pa.int64())]
+        return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
     def count(batches):
         _, special = _loaded(spec)
@@ -246,7 +247,7 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
                 seen.clear()
         yield flushed(seen, special)
 
-    column = docs.select(F.col(text).cast("string").alias("text"))
+    column = small_batches(docs).select(F.col(text).cast("string").alias("text"))
     counted = column.mapInArrow(count, "word string, n bigint")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -363,7 +364,7 @@ def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text:
             columns = [batch.column("key"), pa.array(ids, pa.binary()), pa.array(encoder.decode(ids), pa.string())]
             yield pa.RecordBatch.from_arrays(columns, ["key", "ids", "decoded"])
 
-    rows = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
+    rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     out = rows.mapInArrow(run, f"key {kind}, ids binary, decoded string")
     return out.withColumnRenamed("key", key)
