@@ -153,9 +153,10 @@ def test_pair_of_files(spark, tmp_path):
         assert pair.sheet.count() == stages.count("sheet")
 
 
-def staged(spark, **options):
-    lookups = [fixture(spark, SF, n) for n in ("map_sponsor", "seg_us", "seg_ww")]
-    return pipeline.staged_stages(spark, fixture(spark, SF, "tt_raw"), fixture(spark, SF, "ct_raw"), *lookups, **options)
+def staged(spark, sheet=None, **options):
+    names = ("tt_raw", "ct_raw", "map_sponsor", "seg_us", "seg_ww")
+    raw, *others = [fixture(spark, SF, n) for n in names]
+    return pipeline.staged_stages(spark, raw if sheet is None else sheet, *others, **options)
 
 
 def test_counts_come_with_the_writes(spark):
@@ -181,14 +182,15 @@ def test_outputs_are_counted_as_they_are_written(spark, tmp_path):
     assert not {t.name for t in spark.catalog.listTables()} & set(tables)
 
 
-def test_all_null_columns_go_without_a_job_of_their_own(spark, tmp_path):
-    kept = clean_sheet(fixture(spark, SF, "tt_raw"), drop_null_columns=True).columns
+def test_all_null_columns_go_without_a_job_of_their_own(spark):
+    raw = fixture(spark, SF, "tt_raw").withColumn("last_modified_date", F.lit("junk"))
+    kept = clean_sheet(raw, drop_null_columns=True).columns
     public = clean_public(fixture(spark, SF, "ct_raw"), drop_null_columns=True).columns
-    with staged(spark, drop_null_columns=True) as stages:
-        assert stages["sheet"].columns == kept and "full_completion_date" not in kept
+    with staged(spark, raw, drop_null_columns=True) as stages:
+        assert stages["sheet"].columns == kept and "last_modified_date" not in kept
         assert stages["public"].columns == public
-    with staged(spark) as stages:
-        assert "full_completion_date" in stages["sheet"].columns
+    with staged(spark, raw) as stages:
+        assert "last_modified_date" in stages["sheet"].columns
 
 
 def test_empty_files(spark):
