@@ -2,13 +2,15 @@
 
 Records are laid out in the order of a hash of their text, so equal texts are neighbours. A
 size-weighted sample of that order gives the boundaries of many small ranges; a range that turns
-out overfull, because many records share one text, is divided again by the record's own key. Exact
+out overfull, because many records share one text, is divided again, between texts where it can
+be and by the record's own key inside a text that is too large to stay whole. Exact
 sums over the ranges then tell where each record lies on the whole line of bytes, and the line is
 cut into equal shards.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from itertools import accumulate
 
 import numpy as np
@@ -28,6 +30,7 @@ OVERFULL = 3
 #: Equal texts stay in one shard while together they hold at most this part of a shard.
 KEEP_TOGETHER = 0.01
 _BITS = 2.0**64
+_LEAST = -(2**63)
 
 
 def _uniform(key: Column) -> Column:
@@ -60,17 +63,53 @@ def _place(key: Column, splitters: np.ndarray) -> Column:
     return place(key)
 
 
-def _place_within(part: Column, key: Column, splitters: dict[int, np.ndarray]) -> Column:
+@dataclass(frozen=True)
+class Cuts:
+    """Boundaries within one range, in order: a text's hash, and a record's from which on to cut.
+
+    Most cut before all records of a text; texts too large to stay together are cut inside too.
+    """
+
+    spots: np.ndarray
+    units: np.ndarray
+
+    def place(self, spots: np.ndarray, units: np.ndarray) -> np.ndarray:
+        """How many boundaries lie at or before each record."""
+        out = np.searchsorted(self.spots, spots, side="right")
+        for spot in np.unique(self.spots):
+            at = np.flatnonzero(spots == spot)
+            low, high = np.searchsorted(self.spots, spot, side="left"), np.searchsorted(self.spots, spot, side="right")
+            out[at] = low + np.searchsorted(self.units[low:high], units[at], side="right")
+        return out
+
+
+def _cuts(spots: np.ndarray, units: np.ndarray, draws: np.ndarray, n: int) -> Cuts:
+    """At most ``n - 1`` boundaries at equal shares of the weight."""
+    order = np.lexsort((units, spots))
+    share = np.cumsum(draws[order])
+    at = np.searchsorted(share, share[-1] * np.arange(1, n) / n) if len(share) else np.empty(0, np.int64)
+    chosen = order[np.unique(np.minimum(at, len(order) - 1))] if len(order) else at
+    return Cuts(spots[chosen], units[chosen])
+
+
+def _whole(cuts: Cuts, divided: np.ndarray) -> Cuts:
+    """The boundaries moved before the whole text, but for further ones inside ``divided`` texts."""
+    first = np.concatenate([[True], cuts.spots[1:] != cuts.spots[:-1]])[: len(cuts.spots)]
+    kept = first | np.isin(cuts.spots, divided)
+    return Cuts(cuts.spots[kept], np.where(first, _LEAST, cuts.units)[kept])
+
+
+def _place_within(part: Column, spot: Column, unit: Column, cuts: dict[int, Cuts]) -> Column:
     @F.pandas_udf("int")
-    def place(parts: pd.Series, keys: pd.Series) -> pd.Series:
+    def place(parts: pd.Series, spots: pd.Series, units: pd.Series) -> pd.Series:
         out = np.zeros(len(parts), "int32")
-        held, own = parts.to_numpy(), keys.to_numpy()
-        for p in np.intersect1d(held, np.fromiter(splitters, "int32", len(splitters))):
+        held, own = parts.to_numpy(), (spots.to_numpy(), units.to_numpy())
+        for p in np.intersect1d(held, np.fromiter(cuts, "int32", len(cuts))):
             rows = held == p
-            out[rows] = np.searchsorted(splitters[int(p)], own[rows], side="right")
+            out[rows] = cuts[int(p)].place(own[0][rows], own[1][rows])
         return pd.Series(out)
 
-    return place(part, key)
+    return place(part, spot, unit)
 
 
 def _sums(units: DataFrame, *by: str) -> list:
@@ -117,12 +156,12 @@ def range_shards(docs: DataFrame, shards: int, key: str = "doc_id", text: str =
     most = {"rows": OVERFULL * n_rows / n_ranges, "bytes": OVERFULL * n_bytes / n_ranges}
     over = {r["part"]: max(r[k] / v for k, v in most.items()) for r in sums}
     over = {p: x for p, x in over.items() if x > 1}
-    placed = _subdivided(parts, sums, over)
+    placed = _subdivided(parts, sums, over, int(n_bytes / shards * KEEP_TOGETHER))
     return _laid_out(saved(placed), n_bytes, shards).withColumnRenamed("key_value", key)
 
 
-def _subdivided(parts: DataFrame, sums: list, over: dict[int, float]) -> DataFrame:
-    """Split the overfull ranges again, by sampled keys of the records themselves."""
+def _subdivided(parts: DataFrame, sums: list, over: dict[int, float], limit: int) -> DataFrame:
+    """Split the overfull ranges again, between texts, and inside texts of over ``limit`` bytes."""
     if not over:
         return parts.withColumn("sub", F.lit(0))
     held = {r["part"]: r["bytes"] for r in sums}
@@ -131,12 +170,19 @@ def _subdivided(parts: DataFrame, sums: list, over: dict[int, float]) -> DataFra
     rated = parts.join(
         F.broadcast(parts.sparkSession.createDataFrame(rates, "part int, rate double")), "part"
     )
-    drawn = _sampled(rated, F.col("rate")).select("part", "unit", "draws").toPandas()
+    drawn = _sampled(rated, F.col("rate")).select("part", "spot", "unit", "draws").toPandas()
     within = {
-        int(p): _splitters(rows["unit"].to_numpy(np.int64), rows["draws"].to_numpy(float), pieces[int(p)])
+        int(p): _cuts(*(rows[c].to_numpy() for c in ("spot", "unit", "draws")), pieces[int(p)])
         for p, rows in drawn.groupby("part")
     }
-    return parts.withColumn("sub", _place_within(F.col("part"), F.col("unit"), within))
+    # Texts that several boundaries hit may be too large to stay together; their bytes tell.
+    met = [np.unique(c.spots, return_counts=True) for c in within.values()]
+    often = [int(x) for spots, n in met for x in spots[n > 1]]
+    large = parts.filter(F.col("spot").isin(often)).groupBy("spot")
+    large = large.agg(F.sum(F.col("copies") * F.col("size")).alias("bytes")).filter(F.col("bytes") > limit)
+    divided = np.array([r["spot"] for r in large.collect()], np.int64)  # fewer than boundaries
+    within = {p: _whole(c, divided) for p, c in within.items()}
+    return parts.withColumn("sub", _place_within(F.col("part"), F.col("spot"), F.col("unit"), within))
 
 
 def _laid_out(placed: DataFrame, n_bytes: int, shards: int) -> DataFrame:
