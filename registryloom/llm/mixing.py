@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -40,26 +41,38 @@ def source_targets(
     by_source = sizes.groupBy("source").agg(
         F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")
     )
-    at = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (at % len(weights) + 1).cast("int"))
-    limit = F.col("source_size") * most
-    ordered = Window.orderBy(F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = ordered.rowsBetween(Window.unboundedPreceding, -1)
-    everything = Window.orderBy(F.lit(1)).rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    level = (
-        F.sum("source_size").over(everything) * share - F.coalesce(F.sum("limit").over(before), F.lit(0.0))
-    ) / (F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0.0)))
-    levels = by_source.withColumn("weight", weight).withColumn("limit", limit)
-    levels = levels.withColumn("level", level)
-    # The first source that its limit does not hold back sets the level for all after it.
-    free = F.when(F.col("level") * F.col("weight") < F.col("limit"), F.col("level"))
-    level = F.first(free, ignorenulls=True).over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-    target = F.when(level.isNull(), F.col("limit")).otherwise(
-        F.least(level * F.col("weight"), F.col("limit"))
-    )
-    return levels.select("source", "source_size", "n_rows", target.alias("target"))
+    numbered = _running(by_source, [F.col("source").asc_nulls_last()], {"at": F.lit(1)})
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("at") % len(weights) + 1).cast("int"))
+    limited = numbered.withColumn("weight", weight).withColumn("limit", F.col("source_size") * float(most))
+    order = [F.col("limit") / F.col("weight"), F.col("source").asc_nulls_last()]
+    before = _running(limited, order, {"limit_before": F.col("limit"), "weight_before": F.col("weight")})
+    words, weighed = before.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(float(words or 0) * share) - F.col("limit_before")) / (F.lit(float(weighed or 1)) - F.col("weight_before"))
+    # The first source that its limit does not hold back sets the level; for those before it, it is no less.
+    free = before.filter(level * F.col("weight") < F.col("limit"))
+    place = F.struct(F.col("limit") / F.col("weight"), F.col("source").isNull(), "source")
+    first = free.agg(F.min_by(level, place)).first()[0]
+    target = F.col("limit") if first is None else F.least(F.lit(first) * F.col("weight"), F.col("limit"))
+    return before.select("source", "source_size", "n_rows", target.alias("target"))
+
+
+def _running(rows: DataFrame, order: Sequence[Column], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with sums over all rows before each in ``order``, without a task that sees them all.
+
+    Rows are laid out in ranges of the order; sums within a range run inside its task, and what
+    the ranges before it add up to is one number a range.
+    """
+    laid = saved(rows.repartitionByRange(*order).withColumn("cell", F.spark_partition_id()))
+    whole = laid.groupBy("cell").agg(*[F.sum(c).alias(n) for n, c in sums.items()]).orderBy("cell").collect()
+    totals = {n: list(accumulate((r[n] for r in whole), initial=0 * whole[0][n] if whole else 0)) for n in sums}
+    found = [(r["cell"], *(totals[n][i] for n in sums)) for i, r in enumerate(whole)]
+    names, kinds = [f"{n}_base" for n in sums], {n: laid.select(F.sum(c)).schema[0].dataType for n, c in sums.items()}
+    schema = ", ".join(["cell int", *(f"{b} {kinds[n].simpleString()}" for b, n in zip(names, sums))])
+    bases = F.broadcast(rows.sparkSession.createDataFrame(found, schema))
+    inside = Window.partitionBy("cell").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    zero = {n: F.lit(0).cast(kinds[n]) for n in sums}
+    upto = {n: F.col(b) + F.coalesce(F.sum(c).over(inside), zero[n]) for (n, c), b in zip(sums.items(), names)}
+    return laid.join(bases, "cell").withColumns(upto).drop("cell", *names)
 
 
 def _random(*key: Column) -> Column:

@@ -1,6 +1,9 @@
 import random
 from collections import defaultdict
 
+from conftest import plan_of
+from pyspark.sql import functions as F
+
 from registryloom.llm import mixing
 
 from .conftest import sentence, words_of
@@ -78,3 +81,24 @@ def test_rows_are_repeated_whole(make_docs):
     for r in out.collect():
         got[r.doc_id, r.source] += 1
     assert got == {k: v for k, v in want.items() if v}
+
+
+def test_running_sums_without_one_task_for_all(spark):
+    rng = random.Random(9)
+    rows = [(f"s{rng.randrange(10**6):06d}" if i else None, rng.randrange(50)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "source string, size int").repartition(7)
+    order = [F.col("source").asc_nulls_last(), F.col("size")]
+    held = mixing._running(df, order, {"at": F.lit(1), "words": F.col("size")})
+    total = n = 0
+    for r in sorted(held.collect(), key=lambda r: (r.source is None, r.source or "", r.size, r.at)):
+        assert (r.at, r.words) == (n, total)
+        n, total = n + 1, total + r.size
+    assert mixing._running(df.limit(0), order, {"at": F.lit(1)}).count() == 0
+
+
+def test_many_sources_and_no_single_task(spark, make_docs):
+    rng = random.Random(10)
+    docs = [(i, "w " * rng.randrange(1, 30), "en", f"s{i % 400:03d}") for i in range(1200)]
+    check(docs, make_docs)
+    sizes = make_docs(docs).select("source", F.length("text").alias("size"))
+    assert "SinglePartition" not in plan_of(mixing.source_targets(sizes, WEIGHTS, 1.5, 2.0))
