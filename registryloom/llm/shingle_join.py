@@ -15,6 +15,7 @@ tasks, which return no more links than join components.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import saved, small_batches
+from registryloom.llm.common import WORD, saved, small_batches
 from registryloom.llm.words import Words, flat_lists, list_array, mixed, word_chunks
 
 #: Words of a shingle, and the similarity from which on two sets are linked, in percent.
@@ -579,19 +580,39 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return out.select(F.col("doc").alias(key), F.col("n").alias("n_shingles"), F.coalesce("label", "node").alias("component_id"))
 
 
+_DIGEST, _ROW = "__digest", "__row"
+
+
 def first_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose key is the smallest of its component, with all their columns.
 
-    Rows that repeat a key give way to one of them; rows without a key stay.
+    Of rows that repeat a key, the first by a hash of all columns stays, so reruns agree. A row
+    without a key goes if a row with one holds the same text; of those left, one of each text stays.
+    Rows without a key nor any words stay all.
     """
     found = saved(near_duplicates(docs, key, text))
     others = found.filter(F.col(key) != F.col("component_id")).select(key).distinct()
-    kept = docs.join(_small(others), key, "left_anti")
     twice = saved(found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
-    if twice.isEmpty():
+    kept = docs.join(_small(others), key, "left_anti")
+    if not twice.isEmpty():
+        again = _first_rows(kept.join(_small(twice), key, "left_semi"), key)
+        kept = kept.join(_small(twice), key, "left_anti").unionByName(again)
+    if found.filter(F.col(key).isNull()).isEmpty():
         return kept
-    once = kept.join(_small(twice), key, "left_anti")
-    return once.unionByName(kept.join(_small(twice), key, "left_semi").dropDuplicates([key]))
+    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
+    blank, lost = ~body.rlike(WORD), kept.filter(F.col(key).isNull())
+    digest = F.sha2(body.cast("binary"), 256)
+    named = kept.filter(F.col(key).isNotNull())
+    unnamed = _first_rows(lost.filter(~blank).withColumn(_DIGEST, digest), _DIGEST)
+    unnamed = unnamed.join(docs.filter(F.col(key).isNotNull()).select(digest.alias(_DIGEST)), _DIGEST, "left_anti")
+    return reduce(DataFrame.unionByName, [named, lost.filter(blank), unnamed.drop(_DIGEST)])
+
+
+def _first_rows(rows: DataFrame, by: str) -> DataFrame:
+    """One row a value of ``by``: the first by a hash of all columns; no value's rows meet in one task whole."""
+    columns = [F.col(f"`{c}`") for c in rows.columns]
+    first = rows.groupBy(by).agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias(_ROW))
+    return first.select(f"{_ROW}.*")
 
 
 def _small(ids: DataFrame) -> DataFrame:

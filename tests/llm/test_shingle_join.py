@@ -109,6 +109,17 @@ def test_one_of_each_stays(make_docs, odd_texts):
     assert ids == sorted([1, 2, 3, 4, 5, 6, 8, 20, 25, None], key=str)
 
 
+def test_first_rows_of_repeated_and_missing_ids(make_docs):
+    rng = random.Random(12)
+    a, b, c = (sentence(rng, 40) for _ in range(3))
+    rows = [(1, a), (1, b), (2, c), (None, c), (None, "all alone here"), (None, "all alone here"), (None, ""), (None, None)]
+    kept = [sorted(map(str, sj.first_of_each(make_docs(some)).collect())) for some in (rows, rows[::-1], rows[3:] + rows[:3])]
+    assert kept[0] == kept[1] == kept[2], "reruns agree"
+    out = sj.first_of_each(make_docs(rows)).collect()
+    assert sorted((r.doc_id for r in out), key=str) == sorted([1, 2, None, None, None], key=str)
+    assert sorted(str(r.text) for r in out if r.doc_id is None) == ["", "None", "all alone here"]
+
+
 @pytest.mark.parametrize("n", [5, 11, 12, 40, 200])
 def test_frequent_pairs_are_certain_to_meet(n):
     """However a similar partner's shingles lie, it shares a pair."""
