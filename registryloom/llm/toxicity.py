@@ -19,8 +19,11 @@ from pyspark.sql import functions as F
 from registryloom.llm.common import saved, small_batches
 from registryloom.llm.words import Words, mixed, word_chunks
 
-#: Texts to learn from, about: a sample by hash of the id. They bound what the driver gathers.
+#: Texts that the weights are fitted to, about: samples by hash of the id. They bound what the driver
+#: gathers. What tells features apart, how many texts have each, is counted over all texts.
 MAX_POSITIVE, MAX_UNLABELLED = 3_000, 12_000
+#: Features that are counted over all texts: those that lean most to the positives on the samples.
+CANDIDATES = 65_536
 #: Kept features: those that most surely lean to the positives.
 FEATURES = 4_096
 #: A feature must lean this far, in the log likelihood ratio, and be in so many positive texts.
@@ -148,8 +151,9 @@ def _evidence(n_pos: int, n_all: int):
 def fit(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """A model from ``texts`` and their ``labels(doc_id, toxic)``.
 
-    Texts whose label is 1 are positives, a sample of all texts is unlabelled; labels of 0 serve
-    for the class prior alone, the share of 1 among the labelled texts. Equal texts count once.
+    Texts whose label is 1 are positives, all texts are unlabelled; labels of 0 serve for the class
+    prior alone, the share of 1 among the labelled texts. Features are chosen by how many of all
+    texts have them; the weights are fitted to samples, in which equal texts count once.
     Without positives the model gives every text a score near 0.
     """
     said = labels.filter(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull())
@@ -162,7 +166,7 @@ def fit(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     if not n_pos:
         return Model(Features.of(np.empty(0, np.uint64), np.empty(0, int)), np.empty(0), -5.0)
 
-    ids = said.filter(F.col("toxic") == 1).withColumnRenamed("doc_id", "key")
+    ids = counts.filter(F.col("toxic") == 1).withColumnRenamed("doc_id", "key")
     ids = ids.filter(spread < MAX_POSITIVE / n_pos).select("key")  # about MAX_POSITIVE rows at most
     positive = rows.join(F.broadcast(ids), "key").select("text", F.lit(True).alias("positive"))
     unlabelled = rows.filter(spread < MAX_UNLABELLED / n).select("text", F.lit(False).alias("positive"))
@@ -186,7 +190,9 @@ def fit(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     held = held.groupBy("base", "level").agg(F.sum("pos").alias("pos"), F.sum("rest").alias("rest"))
     held = held.filter(F.col("pos") >= MIN_TEXTS)
     held = held.withColumn("evidence", _evidence(sizes.get(True, 1), sizes.get(False, 0)))
-    best = held.filter(F.col("evidence") >= MIN_EVIDENCE)
+    likely = held.orderBy(F.desc("evidence"), "base", "level").limit(CANDIDATES).filter(F.col("evidence") > 0)
+    best = _counted_in_all(rows, likely.select("base", "level", "pos").toArrow())
+    best = best.withColumn("evidence", _evidence(sizes.get(True, 1), n)).filter(F.col("evidence") >= MIN_EVIDENCE)
     best = best.orderBy(F.desc("evidence"), "base", "level").limit(FEATURES).toPandas()
     features = Features.of(best["base"].to_numpy(np.int64).view(np.uint64), best["level"].to_numpy(int))
     scale = np.sqrt(best["evidence"].to_numpy(float) / max(best["evidence"].max(), 1e-9))
@@ -207,6 +213,26 @@ def fit(texts: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "t
     return Model(features, weights, bias)
 
 
+def _counted_in_all(rows: DataFrame, likely: pa.Table) -> DataFrame:
+    """``base, level, pos, rest``: the candidates, and how many of all ``rows`` have each."""
+    base, level, pos = (likely.column(c).to_numpy() for c in ("base", "level", "pos"))
+    features = Features.of(base.view(np.uint64), level)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(len(base), np.int64)
+        for _, words in word_chunks(batches):
+            total += np.bincount(features.find(words)[1], minlength=len(base))
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "rest"])
+
+    counted = rows.select("text").mapInArrow(run, "at int, rest bigint").groupBy("at").agg(F.sum("rest").alias("rest"))
+    found = np.zeros(len(base), np.int64)
+    for r in counted.collect():  # at most CANDIDATES rows
+        found[r["at"]] = r["rest"]
+    columns = [pa.array(x) for x in (base, level, pos, found)]
+    return rows.sparkSession.createDataFrame(pa.table(columns, names=["base", "level", "pos", "rest"]))
+
+
 def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key, score`` per row of ``docs``, from the whole text alone; a null text counts as empty.
 
