@@ -18,7 +18,6 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +28,7 @@ from registryloom.llm.common import most_frequent, saved, small_batches
 from registryloom.llm.sparse import Rows, incidence, product, row_products, turned, work
 from registryloom.llm.token_counts import TokenizerFile
 from registryloom.llm.word_bpe import byte_letters
-from registryloom.llm.words import flat_lists, list_array, string_chunks
+from registryloom.llm.words import flat_lists, held, list_array, string_chunks
 from registryloom.sources.tables import shared_dir
 
 #: Bytes of text that are aligned at once, unless one text is longer.
@@ -110,11 +109,6 @@ def _by_library(file: TokenizerFile):
     return lambda texts: [e.ids for e in model.encode_batch_fast(texts, add_special_tokens=False)]
 
 
-@cache
-def tokenizer(file: TokenizerFile) -> ByteTokenizer:
-    return ByteTokenizer(file)
-
-
 @dataclass(frozen=True)
 class Aligned:
     """Texts side by side: their tokens' ids and ends on one line of bytes, and their groups.
@@ -286,11 +280,11 @@ def align(docs: DataFrame, first: TokenizerFile, second: TokenizerFile, key: str
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a, b = tokenizer(first), tokenizer(second)
+        a, b = held((first, second), lambda: (ByteTokenizer(first), ByteTokenizer(second)))
         for batch, texts in string_chunks(batches, "text", ALIGN_BYTES):
-            counts, groups, held, names = aligned_texts(a, b, texts)
+            counts, groups, by_pair, names = aligned_texts(a, b, texts)
             columns = [batch.column("key"), *map(pa.array, counts), pa.array(groups, pa.string())]
-            columns += [list_array(names[held.columns], held.starts), list_array(held.values.astype(np.int32), held.starts)]
+            columns += [list_array(names[by_pair.columns], by_pair.starts), list_array(by_pair.values.astype(np.int32), by_pair.starts)]
             yield pa.RecordBatch.from_arrays(columns, ["key", *_COUNTS, "groups", "pairs", "times"])
 
     rows = small_batches(docs).select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
@@ -320,8 +314,8 @@ def with_pair_counts(aligned_texts: DataFrame, held_pairs: int = HELD_PAIRS) ->
     numbered.write.option("compression", "zstd").parquet(place)  # texts are encoded once, numbers stay
     texts = spark.read.schema(numbered.schema).parquet(place)
     counts = saved(pair_counts(texts))
-    held = most_frequent(counts, held_pairs).toArrow().sort_by("pair")
-    pairs, n, best = (held.column(c).to_numpy() for c in ("pair", "n", "best"))
+    frequent = most_frequent(counts, held_pairs).toArrow().sort_by("pair")
+    pairs, n, best = (frequent.column(c).to_numpy() for c in ("pair", "n", "best"))
     known = spark.sparkContext.broadcast((pairs, n, best.astype(np.int64)))
     rest = [c for c in numbered.columns if c not in ("pairs", "times")]
 

@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from registryloom.llm.common import saved, small_batches
-from registryloom.llm.words import string_chunks
+from registryloom.llm.words import release, string_chunks
 
 #: Largest wanted rate of rejected good texts in a stratum, and the chance that any stratum exceeds it.
 RISK, DELTA = 0.01, 0.05
@@ -96,6 +96,7 @@ def measures(docs: DataFrame, key: str = "doc_id", text: str = "text", stratum:
     """``key, stratum`` and the counts of every whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch, texts in string_chunks(batches):
             held = [batch.column("key"), batch.column("stratum")]
             yield pa.RecordBatch.from_arrays([*held, *_columns(texts)], ["key", "stratum", *_NAMES])
@@ -234,6 +235,7 @@ def kept_rows(docs: DataFrame, labels: DataFrame, text: str = "text", stratum: s
 
     @F.arrow_udf(T.StructType([T.StructField(n, T.LongType()) for n in _NAMES]))
     def measured(texts: pa.Array) -> pa.Array:
+        release()
         batch = pa.RecordBatch.from_arrays([texts], ["text"])
         parts = [pa.StructArray.from_arrays(_columns(some), _NAMES) for _, some in string_chunks(iter([batch]))]
         return pa.concat_arrays(parts)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from registryloom.llm.common import saved, small_batches
-from registryloom.llm.words import string_chunks
+from registryloom.llm.words import held, string_chunks
 
 #: Up to so many digests of 32 bytes are broadcast to pick the texts to encode; beyond, the texts
 #: are reduced to one a digest first and join the digests by shuffle.
@@ -119,11 +119,6 @@ class TextCounter:
         return [sum(map(self.known.__getitem__, s)) for s in split]
 
 
-@cache
-def _counter(tokenizer: TokenizerFile) -> TextCounter:
-    return TextCounter(tokenizer)
-
-
 def content(text: Column, tokenizer: TokenizerFile) -> Column:
     """What a text's count depends on; a null text is empty.
 
@@ -164,9 +159,9 @@ def encode_texts(texts: DataFrame, tokenizer: TokenizerFile) -> DataFrame:
     """``digest, n_tokens`` for each row of ``digest, content``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counter = _counter(tokenizer)
-        for batch, held in string_chunks(batches, "content", ENCODE_BYTES):
-            counts = pa.array(counter.count(held), pa.int64())
+        counter = held(tokenizer, lambda: TextCounter(tokenizer))
+        for batch, texts in string_chunks(batches, "content", ENCODE_BYTES):
+            counts = pa.array(counter.count(texts), pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("digest"), counts], ["digest", "n_tokens"])
 
     return small_batches(texts).select("digest", "content").mapInArrow(run, DigestCache.schema)

@@ -13,7 +13,6 @@ import unicodedata
 import uuid
 from collections import Counter
 from collections.abc import Iterator, Sequence
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 
 from registryloom.llm.common import most_frequent, small_batches
 from registryloom.llm.lexicon import Lexicon, build
-from registryloom.llm.words import string_chunks
+from registryloom.llm.words import held, string_chunks
 from registryloom.sources.tables import shared_dir
 
 #: Words in the lexicon, by frequency over the whole corpus; bounds what the driver gathers.
@@ -213,17 +212,11 @@ def stretches(text: str) -> list[str]:
     return text.split()
 
 
-@cache
 def _loaded(spec: str) -> tuple[Merger, regex.Pattern]:
     merger = Merger(json.loads(spec))
     return merger, special_pattern([*merger.special])
 
 
-@cache
-def _lexicon(name: str) -> Lexicon:
-    return Lexicon(SparkFiles.get(name))
-
-
 def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """``word, n``: how often each pre-token occurs in all texts; special strings are left out."""
 
@@ -232,12 +225,12 @@ def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
         for stretch, n in seen.items():
             for w in split_words(stretch, special):
                 words[w] += n
-        held = [w for w in words if not special.fullmatch(w)]
-        columns = [pa.array(held, pa.string()), pa.array([words[w] for w in held], pa.int64())]
+        plain = [w for w in words if not special.fullmatch(w)]
+        columns = [pa.array(plain, pa.string()), pa.array([words[w] for w in plain], pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
     def count(batches):
-        _, special = _loaded(spec)
+        special = held(("special", spec), lambda: special_pattern([a["content"] for a in json.loads(spec)["added_tokens"]]))
         seen: Counter = Counter()
         for _, texts in string_chunks(batches):
             for t in texts:
@@ -343,10 +336,9 @@ class Encoder:
         return [whole[a : max(a, b - 1)].decode() for a, b in zip(first[:-1], first[1:])]
 
 
-@cache
 def _encoder(spec: str, lexicon: str) -> Encoder:
     """One a worker process, so what one task has learnt serves the next."""
-    return Encoder(*_loaded(spec), _lexicon(lexicon))
+    return held((spec, lexicon), lambda: Encoder(*_loaded(spec), Lexicon(SparkFiles.get(lexicon))))
 
 
 def encode(docs: DataFrame, spec: str, lexicon: str, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,6 +19,23 @@ _LOWER[ord("A") : ord("Z") + 1] += 32
 _BLANK = np.zeros(256, bool)
 _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _powers: dict[str, np.ndarray] = {}
+_held: list[tuple[object, object]] = []
+
+
+def held(key: object, make: Callable[[], object]) -> object:
+    """What ``make`` makes, kept by the worker process until it is asked for another key.
+
+    Workers outlive tasks and jobs, and serve operators in turn; only the last one's state stays.
+    """
+    if not _held or _held[0][0] != key:
+        release()
+        _held.append((key, make()))
+    return _held[0][1]
+
+
+def release() -> None:
+    """Give back what an earlier operator has left in this worker."""
+    _held.clear()
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -105,6 +122,7 @@ def text_slices(
 
 def word_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterator[tuple[pa.RecordBatch, Words]]:
     """Slices of the batches with the words of their texts; a null text has none."""
+    release()
     for batch, data, offsets in text_slices(batches, text):
         yield batch, Words(data, offsets)
 

@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from functools import cache
 
 import numpy as np
 import public_tokenizers
@@ -10,7 +11,7 @@ from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from registryloom.llm import alignment, sparse
-from registryloom.llm.alignment import align, aligned, tokenizer, with_pair_counts
+from registryloom.llm.alignment import ByteTokenizer, align, aligned, with_pair_counts
 from registryloom.llm.sparse import Rows, product, row_products, turned, work
 from registryloom.llm.token_counts import TokenizerFile
 from tests.llm.conftest import sentence
@@ -40,12 +41,22 @@ def file(name):
     return TokenizerFile.load(public_tokenizers.path(name))
 
 
-def brute(texts):
-    """Spans, overlaps and groups of single tokens, pair by pair."""
+@cache
+def tokenizer(held):
+    return ByteTokenizer(held)
+
+
+@cache
+def libraries():
     coder = Tokenizer.from_file(public_tokenizers.path(A))
     coder.encode_special_tokens = True
+    return coder, sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(B))
+
+
+def brute(texts):
+    """Spans, overlaps and groups of single tokens, pair by pair."""
+    coder, pieces = libraries()
     letters = {c: b for b, c in enumerate(alignment.byte_letters())}
-    pieces = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path(B))
 
     def piece(i):
         p = pieces.id_to_piece(i)

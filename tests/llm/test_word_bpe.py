@@ -6,7 +6,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from registryloom.llm import word_bpe
+from registryloom.llm import word_bpe, words
 from registryloom.llm.lexicon import Lexicon, build
 from registryloom.llm.queries import tokenizer_spec
 
@@ -105,3 +105,14 @@ def test_memory_turns_over_and_drops_long_stretches(spec, library, tmp_path, mon
         assert encoder.size < 40_000
     long = "y" * 5_000 + " z"
     assert len(encoder.encode([long])) == 1 and not any(len(s) > 64 for s in encoder.known)
+
+
+def test_workers_keep_the_last_operators_state_alone():
+    made = []
+    one = words.held("a", lambda: made.append(1) or object())
+    assert words.held("a", lambda: made.append(2) or object()) is one
+    assert words.held("b", lambda: made.append(3) or object()) is not one
+    words.held("a", lambda: made.append(4) or object())
+    assert made == [1, 3, 4] and len(words._held) == 1
+    words.release()
+    assert not words._held
