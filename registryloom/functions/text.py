@@ -55,12 +55,14 @@ def title(c: Column) -> Column:
 
     ``initcap`` breaks words at spaces only, so a marked space goes in before the other word
     starts and comes out again afterwards. The mark's sign in the text itself is written as a
-    pair meanwhile, so every text comes back whole.
+    pair meanwhile, so every text comes back whole. Most cells have no such start and are spared
+    all of that.
     """
+    inner = c.rlike(f"[^{_CASED} ][{_CASED}]")
     safe = F.replace(c, F.lit(_SIGN), F.lit(_OWN_SIGN))
     marked = F.regexp_replace(safe, f"([^{_CASED} ])(?=[{_CASED}])", f"$1{_MARK}")
     plain = F.replace(F.initcap(marked), F.lit(_MARK), F.lit(""))
-    return F.replace(plain, F.lit(_OWN_SIGN), F.lit(_SIGN))
+    return F.when(inner, F.replace(plain, F.lit(_OWN_SIGN), F.lit(_SIGN))).otherwise(F.initcap(c))
 
 
 def with_case(c: Column, mode: str) -> Column:

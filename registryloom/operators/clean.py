@@ -81,10 +81,13 @@ def clean_table(
     new = {}
     for n in texts:
         cell = text.or_empty(col(n)) if fill_text else col(n)
-        new[n] = text.clean_text(cell, strip_ws, collapse_ws, case_mode)
+        new[n] = text.clean_text(cell, strip_ws, collapse_ws)
     if fill_numbers:
         new |= {n: _fill_number(col(n), types[n]) for n in numbers}
     cleaned = replace_columns(df, new)
+    # In a projection of its own, as the rules for case mention a cell more than once.
+    if case_mode != "none":
+        cleaned = replace_columns(cleaned, {n: text.with_case(col(n), case_mode) for n in texts})
 
     if drop_null_columns is True and scope:
         return cleaned.drop(*null_columns(raw.agg(*_null_counts(scope, filled)).first().asDict()))
