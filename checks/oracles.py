@@ -625,6 +625,20 @@ FROM (SELECT *, {cleaned(FULL_CELLS["Patient Age Group"])} AS "Patient Age Group
         left_sql(),
     ),
     "batch_full": pipeline("SELECT * FROM segments", left_sql()),
+    "scan_csv_split": query("SELECT * EXCLUDE (full_completion_date) FROM tt_raw", RAW),
+    "date_window_by_month": query(
+        f"""
+SELECT trial_id, trial_status, start_date, {_PARTS} FROM sheet WHERE {_STATUS} AND {_WINDOW}""",
+        [*RAW, "sheet"],
+    ),
+    "lookup_chain_uncleaned": query(
+        chain_sql("raw_lead", again=True),
+        [*RAW, "raw_lead", "map_sponsor", "seg_us", "seg_ww"],
+        map_clean="""
+SELECT lead_sponsor, CASE WHEN lead_sponsor NOT LIKE '% 4' THEN standard_name END AS standard_name FROM map_sponsor""",
+        us_clean="SELECT standard_name, us_segment FROM seg_us UNION ALL SELECT NULL, 'No Name Us'",
+        ww_clean="SELECT standard_name, ww_segment FROM seg_ww UNION ALL SELECT NULL, 'No Name Ww'",
+    ),
     "cached_pair": pipeline(
         f"""
 SELECT 'batch' AS request, trial_id, NULL AS region_tag, NULL AS healthy_tag, lead_sponsor, us_segment, study_title_CT FROM segments

@@ -23,6 +23,7 @@ from registryloom.plans.keyed import Layout, split_keyed
 from registryloom.plans.pipeline import PipelineConfig
 from registryloom.plans.trial_filters import FilterSpec
 from registryloom.sources.headers import DISPLAY_SHEET, SNAKE_SHEET
+from registryloom.sources.months import load_by_month, save_by_month
 from registryloom.sources.tables import load_table, save_or_csv, save_table, shared_dir
 
 N = Names()
@@ -548,6 +549,37 @@ def join_hot_keys(spark, sf):
     return counts
 
 
+def scan_csv_split(spark, sf):
+    """One delimited file with line breaks in cells, read by byte range."""
+    raw = fixture(spark, sf, "tt_raw").drop("full_completion_date").coalesce(1)
+    path = f"{shared_dir(spark)}/tt_raw.csv"
+    save_table(raw, path)
+    typed = schema.coerce_integer(load_table(spark, path, null_markers=(), split=True), "trial_id")
+    return typed.withColumn("target_accrual", F.col("target_accrual").try_cast("double"))
+
+
+def date_window_by_month(spark, sf):
+    """The date window over a sheet laid out by start month."""
+    path = save_by_month(_sheet(spark, sf), f"{shared_dir(spark)}/months")
+    sheet = filters.drop_planned(load_by_month(spark, path))
+    windowed = filters.month_window(filters.add_start_parts(sheet), *WINDOW)
+    return _days(windowed.select("trial_id", "trial_status", "start_date", "start_year", "start_month"))
+
+
+def lookup_chain_uncleaned(spark, sf):
+    """Tables as they are: NULL names and NULL keys meet, and trials without a name get NULL's segments."""
+    sponsors = refine.add_lead_sponsor(fixture(spark, sf, "tt_raw").select("trial_id", "sponsor"))
+    nulls = {"standard_name": None, "us_segment": "No Name Us", "ww_segment": "No Name Ww"}
+    sponsor_map, us, ww = _lookups(spark, sf)
+    us, ww = (
+        t.unionByName(spark.range(1).select(*[F.lit(nulls[c]).cast("string").alias(c) for c in t.columns])) for t in (us, ww)
+    )
+    sponsor_map = sponsor_map.withColumn(
+        "standard_name", F.when(F.col("lead_sponsor").endswith(" 4"), None).otherwise(F.col("standard_name"))
+    )
+    return pipeline.add_segments(sponsors, sponsor_map, us, ww, mode="idempotent", cleanse=False)
+
+
 QUERIES = {
     "clean_text": clean_text,
     "clean_table": clean_table,
@@ -601,6 +633,9 @@ QUERIES = {
     "batch_staged": batch_staged,
     "batch_outputs": batch_outputs,
     "cached_pair": cached_pair,
+    "scan_csv_split": scan_csv_split,
+    "date_window_by_month": date_window_by_month,
+    "lookup_chain_uncleaned": lookup_chain_uncleaned,
     "keyed_both": keyed_both,
     "keyed_left_only": keyed_left_only,
     "keyed_right_only": keyed_right_only,

@@ -12,6 +12,8 @@ from registryloom.functions.text import contains_any
 from registryloom.names import Names, col
 from registryloom.operators.schema import replace_columns
 
+# Column of tables that are laid out by start month: year * 100 + month.
+MONTH = "start_yyyymm"
 # The interventions that source B keeps.
 KEYWORDS = ["DRUG", "BIOLOGICAL"]
 # Entries that mean no filter.
@@ -45,9 +47,15 @@ def drop_planned(df: DataFrame, names: Names = Names()) -> DataFrame:
 def month_window(
     df: DataFrame, start: tuple[int, int], end: tuple[int, int], names: Names = Names()
 ) -> DataFrame:
-    """Start date in ``[start, end)``, both given as (year, month); missing dates drop out."""
+    """Start date in ``[start, end)``, both given as (year, month); missing dates drop out.
+
+    A table laid out by month (see ``sources.months``) is read in the months of the window alone.
+    """
     begin, stop = (F.lit(dt.date(year, month, 1)) for year, month in (start, end))
     day = col(names.start)
+    if MONTH in df.columns:
+        (y1, m1), (y2, m2) = start, end
+        df = df.filter(col(MONTH).between(y1 * 100 + m1, y2 * 100 + m2)).drop(MONTH)
     return df.filter((day >= begin) & (day < stop))
 
 

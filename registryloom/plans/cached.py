@@ -39,7 +39,7 @@ class CachedPair:
     @classmethod
     def load(cls, spark: SparkSession, cfg: PipelineConfig, level: StorageLevel = StorageLevel.MEMORY_AND_DISK) -> CachedPair:
         """The files of a batch, with its options for them."""
-        raw = (load_table(spark, getattr(cfg, f), cfg.formats.get(f), multi_line=cfg.multi_line) for f in ("sheet_path", "public_path"))
+        raw = (load_table(spark, getattr(cfg, f), cfg.formats.get(f), multi_line=cfg.multi_line, split=cfg.split_files) for f in ("sheet_path", "public_path"))
         sheet, public = raw
         names, drop = cfg.sheet.names, cfg.drop_null_columns
         return cls(

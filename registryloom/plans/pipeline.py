@@ -99,6 +99,8 @@ class PipelineConfig:
     lookup_numbers: tuple[str, ...] = ()
     # Whether cells of delimited files may hold line breaks; files without any can be split.
     multi_line: bool = True
+    # Split files with such breaks too; their quotes must be balanced.
+    split_files: bool = False
     # Longest text cell of the left, both and union outputs, with NULL written as ''; for targets
     # that are opened with cell-based tools. By default outputs are written as they are.
     max_cell_chars: int | None = None
@@ -283,7 +285,7 @@ def _raw(spark: SparkSession, cfg: PipelineConfig, name: str, root: str) -> Data
     shuffle and into the few tasks that read the file, so the cleaning starts from what is written.
     """
     path, fmt = getattr(cfg, name), cfg.formats.get(name)
-    df = load_table(spark, path, fmt, multi_line=cfg.multi_line)
+    df = load_table(spark, path, fmt, multi_line=cfg.multi_line, split=cfg.split_files)
     if format_of(path, fmt) != "csv":
         return df
     dealt = spread(df, cfg.parts)

@@ -15,6 +15,7 @@ from pyspark.sql.types import StructType
 
 from registryloom.names import col
 from registryloom.operators.schema import is_text, replace_columns
+from registryloom.sources.quoted import read_quoted
 
 log = logging.getLogger(__name__)
 
@@ -72,19 +73,23 @@ def load_table(
     null_markers: Sequence[str] = NULL_MARKERS,
     schema: StructType | str | None = None,
     multi_line: bool = True,
+    split: bool = False,
 ) -> DataFrame:
     """Read a table; delimited files come as text by header, with the null markers as NULL.
 
     ``schema`` gives columns of a delimited file their types, by name and whatever their order;
     what does not fit is NULL, and columns it does not name stay text. Files whose headers differ
-    are an error. A file with line breaks in cells cannot be split, so each is one task (see
-    ``spread``); without such breaks, ``multi_line`` may be off, and files are split.
+    are an error. A file with line breaks in cells is read by one task (see ``spread``), unless
+    ``split`` is on: then its quotes, which must be balanced, are counted first (see ``quoted``).
+    Without such breaks, ``multi_line`` may be off, and files are split right away.
     """
     fmt = format_of(path, fmt)
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
         df = spark.read.options(**_CSV_READ, multiLine=multi_line).csv(path)
+        if split and multi_line:
+            df = read_quoted(spark, path, df.columns, _CSV["quote"])
         if null_markers:
             texts = [f.name for f in df.schema if is_text(f.dataType)]
             markers = list(null_markers)
