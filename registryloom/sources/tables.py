@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import logging
 import re
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -150,11 +152,25 @@ def save_or_csv(df: DataFrame, path: str, fmt: str | None = None) -> tuple[str,
         return alternative, save_table(df, alternative)
 
 
+_named: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """A fresh path under the cluster's shared folder; a local temporary one only in local mode."""
+    """A fresh path under the cluster's shared folder; a local temporary one only in local mode.
+
+    ``release_shared`` removes what was written there; local folders go when the process ends.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="registryloom-")
-    return f"{base.rstrip('/')}/registryloom-{uuid.uuid4().hex}"
+        atexit.register(shutil.rmtree, base, ignore_errors=True)
+    _named.append(f"{base.rstrip('/')}/registryloom-{uuid.uuid4().hex}")
+    return _named[-1]
+
+
+def release_shared(spark: SparkSession) -> None:
+    """Remove all folders that ``shared_dir`` has named so far; frames that read them are void."""
+    while _named:
+        remove_dir(spark, _named.pop())

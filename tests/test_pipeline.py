@@ -271,6 +271,14 @@ def test_types_by_name(spark, tmp_path):
     assert [tuple(r) for r in rows] == [(-0.75, "2020-01-02", 7), (None, None, None)]
 
 
+def test_shared_folders_are_released(spark):
+    paths = [tables.shared_dir(spark) for _ in range(2)]
+    for path in paths:
+        spark.range(3).write.parquet(path)
+    tables.release_shared(spark)
+    assert not any(Path(p).exists() for p in paths) and not tables._named
+
+
 def test_sanitised_union_has_no_nulls_in_text(spark):
     df = spark.createDataFrame([(None, 1)], "t string, n int")
     assert [tuple(r) for r in sanitize_cells(df).collect()] == [("", 1)]
