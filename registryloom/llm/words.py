@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,8 +37,14 @@ def held(key: object, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Give back what an earlier operator has left in this worker."""
+    """Give back what an earlier operator has left in this worker, to the machine too."""
+    if not _held:
+        return
     _held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+        ctypes.CDLL(None).malloc_trim(0)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:

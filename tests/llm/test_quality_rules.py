@@ -4,7 +4,11 @@ from collections import Counter
 
 import pytest
 
+from checks.compare import connect, differences
 from registryloom.llm import quality_rules as q
+from registryloom.llm.common import read
+from registryloom.llm.queries import op5_quality_rules
+from registryloom.llm.sql import QUALITY_RULES
 
 from .conftest import sentence
 
@@ -78,6 +82,17 @@ def test_good_texts_like_bad_ones_loosen_the_cutoff(spark, make_docs):
     assert kept.filter("not kept").count() == 0
 
 
+def test_query_equals_its_sql_where_levels_are_proven(spark):
+    """The smaller tables have too few labels for any level; here two languages use one."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = read(spark, sf, "documents"), read(spark, sf, "labels")
+    levels = q.choose_levels(q.measures(docs), labels).collect()
+    assert len({r.stratum for r in levels}) >= 2
+    judged = op5_quality_rules(spark, sf)
+    assert judged.filter("kept = base_failed").count() > 0
+    assert differences(judged, connect(sf), QUALITY_RULES) == ""
+
+
 def test_odd_rows(spark, make_docs, odd_texts):
     none = spark.createDataFrame([(None, 1), (1, None)], "doc_id long, quality int")
     rows = [(i, t, None, None) for i, t in odd_texts]
