@@ -33,14 +33,15 @@ FREQUENT = 5
 #: Frequency classes are kept in a table of 2^27 bits, whatever the corpus. A rare shingle that
 #: shares its bit with a frequent one is treated as frequent, which changes no result.
 TABLE_BITS = 27
-#: Shingles that one bucket counts, and shingles and texts that a task holds before it passes on.
-BUCKET_SHINGLES, FLUSH_SHINGLES, FLUSH_TEXTS = 3_000_000, 1_500_000, 30_000
+#: Shingles that a task counts at once, that a bucket of signatures stands for, and shingles and
+#: texts that a task holds before it passes on.
+COUNT_SHINGLES, BUCKET_SHINGLES, FLUSH_SHINGLES, FLUSH_TEXTS = 1_000_000, 3_000_000, 1_200_000, 30_000
 #: A signature that so many texts of one flush share is not sent text by text to one place.
 LOCAL_HOT = 256
 #: Rounds that compare a group's members with one of them.
 STAR_ROUNDS = 2
 #: Members that are compared with one text in the same task, and shingles that a task compares.
-PARTNERS, COMPARE_SHINGLES = 512, 3_000_000
+PARTNERS, COMPARE_SHINGLES = 512, 1_500_000
 #: From so many members on, a group is large; its members are compared in blocks of this many.
 LARGE, BLOCK = 64, 256
 #: Up to so many wanted texts, their ids are broadcast; beyond, texts are joined by shuffle.
@@ -132,7 +133,7 @@ def frequent_table(texts: DataFrame, shingles: int) -> Broadcast:
     A shingle's leading bits name its bucket; the next 40 are sent to it in five bytes, once for
     all texts of a flush. Each bucket answers with its own stretch of the table.
     """
-    k = int(np.clip(np.ceil(np.log2(max(shingles, 1) / BUCKET_SHINGLES)), 3, 14))
+    k = int(np.clip(np.ceil(np.log2(max(shingles, 1) / COUNT_SHINGLES)), 3, 14))
 
     def count(batches):
         for _, sets in _flushes(batches):
