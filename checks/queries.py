@@ -544,8 +544,14 @@ def join_hot_keys(spark, sf):
     few = F.substring(F.md5(F.col(N.registry_id).cast("binary")), 1, 2) == "00"
     public = _public(spark, sf).select(F.when(few, F.lit("NCT00000002")).otherwise(F.col(N.registry_id)).alias(N.registry_id), "study_title")
     found = joins.frequent_keys(sheet, N.registry_id, 0.1)
-    split = joins.split_join(sheet, public, N.registry_id, right_columns=["study_title"], hot_keys=[*found, NO_CODE])
-    counts = split.both.groupBy("trial_id").agg(F.count(F.lit(1)).alias("n_rows"), F.max("study_title_CT").alias("last_title"))
+    split = joins.split_join(
+        sheet,
+        joins.per_key(public, N.registry_id, n_rows=F.count(F.lit(1)), study_title=F.max("study_title")),
+        N.registry_id,
+        right_columns=["n_rows", "study_title"],
+        hot_keys=[*found, NO_CODE],
+    )
+    counts = split.both.groupBy("trial_id").agg(F.sum("n_rows_CT").alias("n_rows"), F.max("study_title_CT").alias("last_title"))
     return counts
 
 

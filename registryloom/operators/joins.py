@@ -154,6 +154,15 @@ def split_join(
     )
 
 
+def per_key(df: DataFrame, key: str, **totals: Column) -> DataFrame:
+    """One row per key, NULL among them, with aggregates of its rows.
+
+    Whoever asks only for totals over the matches joins this instead of ``df``: what a hot key of
+    both sides would multiply is summed before they meet, and no row pair is ever formed.
+    """
+    return df.groupBy(col(key).alias(key)).agg(*[c.alias(n) for n, c in totals.items()])
+
+
 def bucket_counts(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Row counts of the three parts of the full outer join, as ``(bucket, n_rows)``.
 

@@ -5,6 +5,7 @@ import pytest
 from conftest import plan_of
 from pyspark.sql import functions as F
 
+from checks import queries
 from registryloom.operators import joins
 
 S = "NO NCT CODE"
@@ -121,3 +122,31 @@ def test_marker_rows_spread_when_the_right_side_has_the_marker(spark, skewed):
     both = joins.matched(left, marked, "nct_id", salts=4)
     assert both.filter(F.col("nct_id") == S).count() == 40000
     assert both.filter("rid < 0").select("id", "rid").distinct().count() == 40000
+
+
+def test_keys_hot_on_both_sides_form_no_pairs(spark, tmp_path, monkeypatch):
+    rows = spark.range(6000).selectExpr(
+        "id AS o_orderkey", "id % 9 AS o_custkey", "'O' AS o_orderstatus", "timestamp'1995-01-02' AS o_orderdate",
+        "concat('P', id % 7) AS o_orderpriority",
+    )
+    rows.write.parquet(f"{tmp_path}/orders.parquet")
+    buyers = spark.range(9).selectExpr("id AS c_custkey", "'BUILDING' AS c_mktsegment", "id % 5 AS c_nationkey")
+    buyers.write.parquet(f"{tmp_path}/customer.parquet")
+    splits, split_join = [], joins.split_join
+
+    def kept(*args, **options):
+        splits.append(split_join(*args, **options))
+        return splits[-1]
+
+    monkeypatch.setattr(joins, "split_join", kept)
+    out = {r.trial_id: r.n_rows for r in queries.join_hot_keys(spark, str(tmp_path)).collect()}
+    hot = {n for i, n in out.items() if i % 3 == 0}
+    assert len(hot) == 1 and hot.pop() > 1
+    assert splits[0].both.count() <= 6000
+    assert splits[0].both.count() == len(out) < sum(out.values())
+
+
+def test_totals_per_key_keep_null(spark):
+    df = spark.createDataFrame([("a", 1), ("a", 3), (None, 2), (None, None)], "k string, v int")
+    out = joins.per_key(df, "k", n=F.count(F.lit(1)), top=F.max("v")).collect()
+    assert sorted(out, key=str) == sorted([("a", 2, 3), (None, 2, 2)], key=str)
