@@ -21,6 +21,9 @@ from registryloom.sources.quoted import read_quoted
 
 log = logging.getLogger(__name__)
 
+#: Bytes of files that a part of dealt rows comes from, about.
+PART_BYTES = 4 * 1024 * 1024
+
 FORMATS = ("csv", "parquet")
 
 # Cell texts that mean a missing value in a delimited file.
@@ -103,14 +106,21 @@ def load_table(
     return df
 
 
+def _file_bytes(df: DataFrame) -> int:
+    """Bytes of the files that ``df`` reads; the plan's leaves know them."""
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    return sum(int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size()))
+
+
 def spread(df: DataFrame, parts: int | None = None) -> DataFrame:
-    """Deal the rows of a scan out to ``parts`` where the scan has fewer, by default all cores.
+    """Deal the rows of a scan out to ``parts`` where the scan has fewer.
 
     Text cleaning costs far more than moving the rows once, and a few unsplittable files would
-    leave most of the cluster idle. A scan of many parts stays as it is, without a shuffle. The
+    leave most of the cluster idle. The default is all cores, or more where files are large: then
+    a task's work does not grow with them. A scan of many parts stays as it is, without a shuffle. The
     optimizer moves filters below the shuffle; write the dealt rows first where those are costly.
     """
-    parts = parts or df.sparkSession.sparkContext.defaultParallelism
+    parts = parts or max(df.sparkSession.sparkContext.defaultParallelism, -(-_file_bytes(df) // PART_BYTES))
     return df.repartition(parts) if df.rdd.getNumPartitions() < parts else df
 
 

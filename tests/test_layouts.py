@@ -4,6 +4,7 @@ import csv
 import io
 import random
 from collections import Counter
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from registryloom.operators.joins import stack
 from registryloom.plans.cleaning import clean_sheet
 from registryloom.plans.trial_filters import FilterSpec, apply_filters
 from registryloom.sources import quoted
+from registryloom.sources import tables as files
 from registryloom.sources.months import load_by_month, save_by_month
 from registryloom.sources.tables import load_table
 from registryloom.streaming.incremental import process_new_files
@@ -192,3 +194,13 @@ def test_lookups_over_arriving_files(spark, tmp_path, cleanse):
     want = lookups.lookup_chain(refine.add_lead_sponsor(raw), *small, **options)
     assert out.columns == want.columns and bag(out) == bag(want)
     assert stack(out, want).count() == 2 * out.count()
+
+
+def test_parts_grow_with_the_files_that_are_dealt_out(spark, tmp_path, monkeypatch):
+    spark.range(20_000).coalesce(1).write.parquet(f"{tmp_path}/t")
+    df = spark.read.parquet(f"{tmp_path}/t")
+    assert files.spread(df).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(files, "PART_BYTES", 4_000)
+    dealt = files.spread(df)
+    assert dealt.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
+    assert dealt.distinct().count() == 20_000
