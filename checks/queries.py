@@ -396,7 +396,7 @@ def scan_csv_roundtrip(spark, sf):
     """The raw sheet through a CSV sink and back: blanks, line breaks and NULLs survive."""
     raw = fixture(spark, sf, "tt_raw").drop("full_completion_date")
     path = f"{shared_dir(spark)}/tt_raw.csv"
-    save_table(raw, path)
+    save_table(raw, path, rows_per_file=100_000)
     back = load_table(spark, path, null_markers=())
     typed = schema.coerce_integer(back, "trial_id")
     return typed.withColumn("target_accrual", F.col("target_accrual").try_cast("double"))

@@ -131,11 +131,16 @@ def remove_dir(spark: SparkSession, path: str) -> None:
 
 
 def save_table(
-    df: DataFrame, path: str, fmt: str | None = None, partition_by: Sequence[str] = ()
+    df: DataFrame, path: str, fmt: str | None = None, partition_by: Sequence[str] = (), rows_per_file: int = 0
 ) -> str:
-    """Write a directory of part files, replacing what is there; returns the format used."""
+    """Write a directory of part files, replacing what is there; returns the format used.
+
+    A delimited file with line breaks in cells is read by one task, so ``rows_per_file`` bounds
+    what such a task reads; 0 sets no bound.
+    """
     fmt = format_of(path, fmt)
     writer = df.write.mode("overwrite").format(fmt).partitionBy(*partition_by)
+    writer = writer.option("maxRecordsPerFile", rows_per_file)
     (writer.options(**_CSV_WRITE) if fmt == "csv" else writer).save(path)
     return fmt
 

@@ -204,3 +204,13 @@ def test_parts_grow_with_the_files_that_are_dealt_out(spark, tmp_path, monkeypat
     dealt = files.spread(df)
     assert dealt.rdd.getNumPartitions() > 2 * spark.sparkContext.defaultParallelism
     assert dealt.distinct().count() == 20_000
+
+
+def test_rows_of_a_delimited_file_are_bounded(spark, tmp_path):
+    path = f"{tmp_path}/t.csv"
+    text = F.concat(F.lit("a\n"), F.col("id").cast("string"))
+    files.save_table(spark.range(50).select("id", text.alias("t")).coalesce(1), path, rows_per_file=20)
+    assert len(list(Path(path).glob("part-*"))) == 3
+    back = files.load_table(spark, path)
+    assert sorted(int(r.id) for r in back.collect()) == list(range(50))
+    assert back.filter(~F.col("t").startswith("a\n")).count() == 0
