@@ -9,6 +9,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from checks import queries
 from checks.fixtures import fixture
 from conftest import SF, plan_of
 from registryloom.operators import filters, lookups, refine
@@ -214,3 +215,11 @@ def test_rows_of_a_delimited_file_are_bounded(spark, tmp_path):
     back = files.load_table(spark, path)
     assert sorted(int(r.id) for r in back.collect()) == list(range(50))
     assert back.filter(~F.col("t").startswith("a\n")).count() == 0
+
+
+def test_the_task_that_writes_one_file_makes_no_rows(spark, monkeypatch):
+    saved = []
+    monkeypatch.setattr(queries, "save_table", lambda df, path: saved.append(df) or files.save_table(df, path))
+    assert queries.scan_csv_split(spark, SF).count() == fixture(spark, SF, "tt_raw").count()
+    assert saved[0].rdd.getNumPartitions() == 1
+    assert "Coalesce" not in plan_of(saved[0])
