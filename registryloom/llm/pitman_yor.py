@@ -2,10 +2,17 @@
 
 Every context has a restaurant whose customers are the words that follow it; the tables of all of
 them are the customers of one parent restaurant, whose own base is uniform over the known words
-and one unknown. Contexts are the most frequent words; all rarer words share one context, and the
-start of a text is another, so that what is kept by context has a fixed size and can be sent
-everywhere. Seatings are kept by word: given the tables of each context in the last round, the
-seatings of different words do not depend on each other, and one row holds all of a word's.
+and one unknown. Every word is a context, and so is the start of a text. What is kept of the most
+frequent contexts has a fixed size and is sent everywhere. Seatings are kept by word: given the
+tables of each context in the last round, the seatings of different words do not depend on each
+other, and one row holds all of a word's.
+
+Rarer contexts are too many to be sent. While the parent is learnt, a word's tables in them are
+drawn given the mean number of tables that they have. Then each moves, with its words and their
+probabilities in the parent, to the bucket of the context's own word, where its whole restaurant is
+seated. A token's probability has a factor known where its word is, the word's in the parent, and
+one known where its context is, so no token has to move twice. Rows of the most frequent words would
+grow with the corpus: their pairs with rarer contexts lie apart, in the buckets of the contexts.
 
 Each step of Gibbs sampling seats all customers of a word in a restaurant anew, the parent's
 included, given the other words' tables; only how many tables they take is drawn, see ``tables``. Random
@@ -24,9 +31,10 @@ from pyspark.sql import functions as F
 
 from registryloom.llm.common import most_frequent, saved, small_batches
 from registryloom.llm.tables import drawn_tables, expected_tables
-from registryloom.llm.words import Words, flat_lists, list_array, mixed, word_chunks
+from registryloom.llm.words import Words, bucket_order, flat_lists, list_array, mixed, word_chunks
 
-#: Words that are contexts of their own; ids fit two bytes with the two contexts below them.
+#: Words whose contexts are known everywhere; ids fit two bytes with the two contexts below them. Of
+#: all other contexts, ``RARE``, each has a restaurant of its own where its word is.
 CONTEXTS = 30_000
 RARE, START = 0, 1
 #: Concentrations of context and parent restaurants. Discounts come from counts of counts.
@@ -59,12 +67,31 @@ class Seats:
     discount: float
     root_discount: float
     earlier: Seats | None = None  # of the round before
+    # Of words with such ids, and of ends as words under START, the last three by sample.
+    counts: np.ndarray | None = None
+    away: np.ndarray | None = None  # tables in rare contexts that lie apart
+    in_root: np.ndarray | None = None  # customers of the parent
+    root_own: np.ndarray | None = None  # and their tables
 
     def ids(self, words: np.ndarray) -> np.ndarray:
         at = np.minimum(np.searchsorted(self.contexts, words), max(len(self.contexts) - 1, 0))
         known = self.contexts[at] == words if len(self.contexts) else np.zeros(len(words), bool)
         return np.where(known, at + 2, RARE)
 
+    def word_ids(self, words: np.ndarray) -> np.ndarray:
+        """Ids of words whose pairs with rare contexts lie apart; other words have ``RARE``."""
+        return np.where(words == END, START, self.ids(words))
+
+    def around(self, ctx: np.ndarray) -> np.ndarray:
+        """Tables in each context, in the last sample; in a rare one as many as in the mean of them."""
+        tables = self.tables[-1].copy()
+        tables[RARE] /= max(self.types - 1 - len(self.contexts), 1)
+        return tables[ctx]
+
+    def chances(self, ids: np.ndarray, s: int) -> np.ndarray:
+        """Probability in the parent of words with an id, in sample ``s``."""
+        return self.root(self.in_root[s][ids], self.root_own[s][ids], s)
+
     def root(self, customers, tables, s: int):
         """Probability of a word in the parent restaurant, in sample ``s``."""
         own = np.maximum(customers - self.root_discount * tables, 0)
@@ -139,116 +166,211 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
 
 
 def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
-    """``w, c, ctx, n``: each word's customers in all, its contexts, and its customers in each."""
+    """``w, c, ctx, n, far, apart``: a word's customers in all, its contexts, its customers in each.
+
+    ``far`` has the words that are contexts where ``ctx`` is ``RARE``, in the same order. Words with
+    an id have those in rows ``apart``, at most one a bucket, and all else in one row.
+    """
+    k = len(seats.contexts) + 2
 
     def pairs(batches):
         for _, tokens in _flushes(batches):
             words, at = np.unique(tokens.words, return_inverse=True)
+            ids, home = seats.ids(words), _bucket(words, buckets)
             before = np.empty(len(at), np.int64)
-            before[1:] = seats.ids(words)[at[:-1]]
+            before[1:] = np.where(ids == RARE, k + np.arange(len(words)), ids)[at[:-1]]
             before[tokens.first] = START
-            key, n = np.unique(at.astype(np.int64) << 16 | before, return_counts=True)
-            yield from _packed(words, key >> 16, buckets, {"ctx": (key & 0xFFFF).astype(np.int16), "n": n.astype(np.int32)})
+            key, n = np.unique(at.astype(np.int64) << 32 | before, return_counts=True)
+            place, ctx = key >> 32, key & 0xFFFFFFFF
+            far = np.flatnonzero(ctx >= k)
+            context = ctx[far] - k
+            ctx[far] = RARE
+            hashes = np.zeros(len(ctx), np.int64)
+            hashes[far] = words[context].view(np.int64)
+            of_value = home[place]
+            has_id = (seats.word_ids(words) != RARE)[place[far]]
+            of_value[far[has_id]] = home[context[has_id]]
+            # A word with an id has a row of its own, with no customers if need be.
+            near = np.ones(len(ctx), bool)
+            near[far[has_id]] = False
+            bare = np.setdiff1d(place, place[near])
+            order = np.argsort(np.concatenate([place, bare]), kind="stable")
+            place, of_value = np.concatenate([place, bare])[order], np.concatenate([of_value, home[bare]])[order]
+            ctx = np.concatenate([ctx, np.full(len(bare), START)])[order]
+            n, hashes = (np.concatenate([v, np.zeros(len(bare), v.dtype)])[order] for v in (n, hashes))
+            values = {"ctx": ctx.astype(np.int16), "n": n.astype(np.int32), "far": hashes}
+            yield from _packed(words, place, of_value, values)
 
     def gather(table: pa.Table) -> pa.Table:
         held, runs = (flat_lists(table[c], k)[0] for c, k in (("w", np.int64), ("runs", np.int64)))
         words, at = np.unique(held.view(np.uint64), return_inverse=True)
-        key = np.repeat(at.astype(np.int64) << 16, runs)
-        key |= flat_lists(table["ctx"], np.int16)[0]
+        ctx, n = (flat_lists(table[c], np.int64)[0].copy() for c in ("ctx", "n"))
+        far, which = np.unique(flat_lists(table["far"], np.int64)[0], return_inverse=True)
+        at = np.repeat(at.astype(np.int64), runs)
+        apart = (ctx == RARE) & (seats.word_ids(words) != RARE)[at]
+        ctx[ctx == RARE] = k + which
+        key = (at << 1 | apart) << 32 | ctx
         order = np.argsort(key)
-        key, n = key[order], flat_lists(table["n"], np.int32)[0][order]
+        key, n = key[order], n[order]
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        key, total = key[new], np.add.reduceat(n, new, dtype=np.int64)
-        begin = np.searchsorted(key >> 16, np.arange(len(words) + 1))
+        key, total = key[new], np.add.reduceat(n, new)
+        rows = np.unique(key >> 32)
+        key, total = key[total > 0], total[total > 0]
+        begin = np.searchsorted(key >> 32, np.append(rows, rows[-1] + 1))
+        ctx = key & 0xFFFFFFFF
+        rare = ctx >= k
         return pa.table({
-            "w": words.view(np.int64),
-            "c": np.add.reduceat(total, begin[:-1]),
-            "ctx": list_array((key & 0xFFFF).astype(np.int16), begin),
+            "w": words.view(np.int64)[rows >> 1],
+            "c": np.diff(np.concatenate([[0], np.cumsum(total)])[begin]),
+            "ctx": list_array(np.where(rare, RARE, ctx).astype(np.int16), begin),
             "n": list_array(total, begin),
+            "far": list_array(far[ctx[rare] - k], np.concatenate([[0], np.cumsum(rare)])[begin]),
+            "apart": (rows & 1).astype(bool),
         })
 
-    packed = "bucket int, w array<bigint>, runs array<int>, ctx array<smallint>, n array<int>"
+    packed = "bucket int, w array<bigint>, runs array<int>, ctx array<smallint>, n array<int>, far array<bigint>"
     rows = texts.select("text").mapInArrow(pairs, packed).groupBy("bucket")
-    return rows.applyInArrow(gather, "w bigint, c bigint, ctx array<smallint>, n array<bigint>")
+    return rows.applyInArrow(gather, "w bigint, c bigint, ctx array<smallint>, n array<bigint>, far array<bigint>, apart boolean")
 
 
 def _packed(
-    words: np.ndarray, place: np.ndarray, buckets: int, values: dict[str, np.ndarray], of_word: np.ndarray | None = None, **whole
+    words: np.ndarray, place: np.ndarray, of_value: np.ndarray, values: dict[str, np.ndarray],
+    more: tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]] | None = None, **whole
 ) -> Iterator[pa.RecordBatch]:
-    """A row for each bucket of words: the words, how many values each has, and the values.
+    """A row for each bucket of values: their words, how many values each has, and the values.
 
     ``place`` names each value's word, in ascending order. ``whole`` is about the texts that the
-    values' ``doc`` names; a bucket gets what is about its own texts, and their new places.
+    values' ``doc`` names; a bucket gets what is about its own texts, and their new places. ``more``
+    are other values, with places and buckets of their own, about words and texts of the bucket.
+    Hashes of contexts, ``far``, are there for values of rare contexts alone.
     """
-    own = _bucket(words, buckets) if of_word is None else of_word
-    runs = np.bincount(place, minlength=len(words))
-    of_value = own[place]
-    for b in np.unique(own):
-        w, v = own == b, of_value == b
+    for b in np.unique(of_value):
+        v = np.flatnonzero(of_value == b)
+        new = np.flatnonzero(np.concatenate([[True], place[v][1:] != place[v][:-1]]))
+        w = place[v][new]
         fields = {"bucket": np.array([b], np.int32)}
-        own_values = {n: x[v] for n, x in values.items()}
+        own = {n: x[v] for n, x in values.items()}
+        if "far" in own:
+            own["far"] = own["far"][(own["ctx"] == RARE)]
+        if more:
+            m = np.flatnonzero(more[1] == b)
+            own |= {n: x[m] for n, x in more[2].items()}
+            own["far_runs"] = np.bincount(np.searchsorted(w, more[0][m]), minlength=len(w)).astype(np.int32)
         if whole:
-            present, place_in = np.unique(own_values["doc"], return_inverse=True)
-            own_values["doc"] = place_in.astype(np.int16)
+            present, place_in = np.unique(own["doc"], return_inverse=True)
+            own["doc"] = place_in.astype(np.int16)
+            if more:
+                own["far_doc"] = np.searchsorted(present, own["far_doc"]).astype(np.int16)
             taken = {n: x.take(pa.array(present)) for n, x in whole.items()}
             fields |= {n: pa.array([x], pa.list_(x.type)) for n, x in taken.items()}
-        fields |= {"w": _one(words[w].view(np.int64)), "runs": _one(runs[w].astype(np.int32))}
-        fields |= {n: _one(x) for n, x in own_values.items()}
+        fields |= {"w": _one(words[w].view(np.int64)), "runs": _one(np.diff(np.append(new, len(v))).astype(np.int32))}
+        fields |= {n: _one(x) for n, x in own.items()}
         yield pa.RecordBatch.from_pydict(fields)
 
 
+def _pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+    """Hashes of pairs of words and rare contexts."""
+    return mixed(mixed(words) + contexts * _SALT)
+
+
 def _one(values: np.ndarray) -> pa.Array:
     return list_array(values, np.array([0, len(values)]))
 
 
-def first_seatings(words: np.ndarray, ctx: np.ndarray, n: np.ndarray, owner: np.ndarray, seats: Seats) -> tuple[np.ndarray, ...]:
+def _customers(words: np.ndarray, owner: np.ndarray, tables: np.ndarray, seats: Seats, apart: np.ndarray) -> np.ndarray:
+    """Each word's customers in the parent: its tables here, and those that lie apart as last known."""
+    own = np.bincount(owner, tables, len(words)).astype(np.int64)
+    if seats.away is None:
+        return own
+    ids = seats.word_ids(words)
+    return np.where(apart, seats.in_root[-1][ids], own + seats.away[-1][ids]).astype(np.int64)
+
+
+def _root_tables(root: np.ndarray, words: np.ndarray, seats: Seats, apart: np.ndarray) -> np.ndarray:
+    """``root`` of rows that hold their word; of those apart what is known of the round before."""
+    if apart.any():
+        root[apart] = seats.root_own[-1][seats.word_ids(words[apart])]
+    return root
+
+
+def first_seatings(
+    words: np.ndarray, ctx: np.ndarray, n: np.ndarray, owner: np.ndarray, seats: Seats, apart: np.ndarray | None = None
+) -> tuple[np.ndarray, ...]:
     """What sampling begins with: tables expected where every (word, context) has had one."""
-    customers = np.bincount(owner, minlength=len(words))
-    opens = (STRENGTH + seats.discount * seats.tables[-1])[ctx]
+    apart = np.zeros(len(words), bool) if apart is None else apart
+    customers = _customers(words, owner, np.ones(len(owner)), seats, apart)
+    opens = STRENGTH + seats.discount * seats.around(ctx)
     weight = opens * seats.root(customers, np.minimum(customers, 1), -1)[owner]
     tables = expected_tables(n, weight, seats.discount).astype(np.int64)
-    customers = np.bincount(owner, tables, len(words)).astype(np.int64)
+    customers = _customers(words, owner, tables, seats, apart)
     weight = (ROOT_STRENGTH + seats.root_discount * seats.root_tables[-1]) / (seats.types + 1)
-    root = expected_tables(customers, np.full(len(words), weight), seats.root_discount)
-    return tables, customers, root.astype(np.int64)
+    root = expected_tables(customers, np.full(len(words), weight), seats.root_discount).astype(np.int64)
+    return tables, customers, _root_tables(root, words, seats, apart)
 
 
 def sample_seatings(
-    words: np.ndarray, ctx: np.ndarray, n: np.ndarray, owner: np.ndarray, seats: Seats, chain: int
+    words: np.ndarray, ctx: np.ndarray, n: np.ndarray, owner: np.ndarray, seats: Seats, chain: int,
+    far: np.ndarray | None = None, apart: np.ndarray | None = None,
 ) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """Tables of each (word, context), and each word's customers and tables in the parent.
 
     One item a sample, after the burn-in. Words that occur once in a context have one table. A
-    round goes on from the last seatings of the round before, which are drawn once more.
+    round goes on from the last seatings of the round before, which are drawn once more. ``far`` are
+    the hashes of rare contexts, 0 of others. In the parent, rows ``apart`` do not move their word.
     """
+    apart = np.zeros(len(words), bool) if apart is None else apart
     if chain:
-        for tables, customers, root in sample_seatings(words, ctx, n, owner, seats.earlier, chain - 1):
+        for tables, customers, root in sample_seatings(words, ctx, n, owner, seats.earlier, chain - 1, far, apart):
             pass
     else:
-        tables, customers, root = first_seatings(words, ctx, n, owner, seats.earlier)
+        tables, customers, root = first_seatings(words, ctx, n, owner, seats.earlier, apart)
     keys = mixed(words)
-    pair_keys = mixed(keys[owner] + ctx.astype(np.uint64) * _SALT)
+    pair_keys = mixed(keys[owner] + (ctx.astype(np.uint64) + (0 if far is None else far)) * _SALT)
     last = len(seats.tables) - 1
-    others = seats.tables[last][ctx] - tables  # of other words, in the round before
+    others = seats.around(ctx) - tables  # of other words, in the round before
     root_others = seats.root_tables[last] - root
+    customers, root = _customers(words, owner, tables, seats, apart), _root_tables(root, words, seats, apart)
     uniform = np.full(len(words), 1 / (seats.types + 1))
-    some = np.flatnonzero(n > 1)
+    some, held = np.flatnonzero(n > 1), np.flatnonzero(~apart)
     for sweep in range(BURN_IN + SAMPLES):
         step = (chain * 64 + sweep) * 128
         base = seats.root(customers, root, last)[owner[some]]
         tables[some] = drawn_tables(
             pair_keys[some], n[some], base, others[some], STRENGTH, seats.discount, step, tables[some]
         )
-        customers = np.bincount(owner, tables, len(words)).astype(np.int64)
-        root = drawn_tables(
-            keys, customers, uniform, root_others, ROOT_STRENGTH, seats.root_discount, step + 64, root
+        customers = _customers(words, owner, tables, seats, apart)
+        root = root.copy()
+        root[held] = drawn_tables(
+            keys[held], customers[held], uniform[held], root_others[held], ROOT_STRENGTH, seats.root_discount, step + 64, root[held]
         )
         if sweep >= BURN_IN:
             yield tables.copy(), customers, root
 
 
+def seat_rare(
+    contexts: np.ndarray, keys: np.ndarray, n: np.ndarray, chance: np.ndarray, discount: float
+) -> tuple[np.ndarray, ...]:
+    """All tables of whole rare contexts, given each word's probability in the parent.
+
+    Returns the contexts, each one's customers and what opens a table there, and for each pair its
+    customers less the discount of its tables. Tables are means over samples.
+    """
+    found, at = np.unique(contexts, return_inverse=True)
+    tables, mean, some = np.ones(len(n), np.int64), np.zeros(len(n)), np.flatnonzero(n > 1)
+    draws = mixed(keys[some])
+    for sweep in range(BURN_IN + SAMPLES):
+        others = np.bincount(at, tables, len(found))[at[some]] - tables[some]
+        step = (ROUNDS * 64 + sweep) * 128
+        tables[some] = drawn_tables(draws, n[some], chance[some], others, STRENGTH, discount, step, tables[some])
+        if sweep >= BURN_IN:
+            mean += tables / SAMPLES
+    opens = STRENGTH + discount * np.bincount(at, mean, len(found))
+    return found, np.bincount(at, n, len(found)), opens, np.maximum(n - discount * mean, 0)
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, tuple[np.ndarray, ...]]]:
-    """Slices of word rows with few pairs, or one word, and their words, contexts, counts and owners."""
+    """Slices of word rows with few pairs, or one row, and their words, contexts, counts and owners,
+    the hashes of rare contexts and whether rows lie apart."""
     for batch in batches:
         ends = np.cumsum(np.diff(batch.column("ctx").offsets.to_numpy()))
         begin = 0
@@ -259,7 +381,10 @@ def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
             ctx, runs = flat_lists(part.column("ctx"), np.int64)
             n, _ = flat_lists(part.column("n"), np.int64)
             words = part.column("w").to_numpy().view(np.uint64)
-            yield part, (words, ctx, n, np.repeat(np.arange(len(words)), runs))
+            far = np.zeros(len(ctx), np.uint64)
+            far[ctx == RARE] = flat_lists(part.column("far"), np.int64)[0].view(np.uint64)
+            apart = part.column("apart").to_numpy(zero_copy_only=False)
+            yield part, (words, ctx, n, np.repeat(np.arange(len(words)), runs), far, apart)
             begin = end
 
 
@@ -273,74 +398,127 @@ def _summed(rows: DataFrame, sums, length: int) -> np.ndarray:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], ["at", "v"])
 
-    held = rows.select("w", "ctx", "n").mapInArrow(run, "at int, v double")
+    held = rows.select("w", "ctx", "n", "far", "apart").mapInArrow(run, "at int, v double")
     out = np.zeros(length)
-    for r in held.groupBy("at").agg(F.sum("v").alias("v")).collect():  # at most `length` rows
-        out[r["at"]] = r["v"]
+    got = held.groupBy("at").agg(F.sum("v").alias("v")).toPandas()  # at most `length` rows
+    out[got["at"].to_numpy()] = got["v"].to_numpy()
     return out
 
 
 def learn(rows: DataFrame, contexts: np.ndarray) -> Seats:
     """Counts, discounts and the samples of the last round, from the rows of all words."""
-    k = CONTEXTS + 2
-
-    def counts(words, ctx, n, owner):
-        kinds = np.bincount(owner, minlength=len(words))
-        few = [(n == 1).sum(), (n == 2).sum(), (kinds == 1).sum(), (kinds == 2).sum()]
-        whole = [n.sum(), len(words), len(ctx)]
-        return np.concatenate([np.bincount(ctx, n, k), np.bincount(ctx, minlength=k), few, whole])
+    k = len(contexts) + 2
+    blank = Seats(contexts, 0, 0, *[np.zeros(0)] * 4, 0.5, 0.5)
 
-    got = _summed(rows, counts, 2 * k + 7)
-    n1, n2, r1, r2, tokens, types, pairs = got[2 * k :]
+    def by_id(words, values):
+        out = np.bincount(blank.word_ids(words), values, k)
+        out[RARE] = 0
+        return out
+
+    def counts(words, ctx, n, owner, far, apart):
+        kinds, c = np.bincount(owner, minlength=len(words)), np.bincount(owner, n, len(words))
+        alone = kinds[blank.word_ids(words) == RARE]
+        few = [(n == 1).sum(), (n == 2).sum(), (alone == 1).sum(), (alone == 2).sum()]
+        whole = [n.sum(), (~apart).sum(), len(ctx)]
+        vectors = [np.bincount(ctx, n, k), np.bincount(ctx, minlength=k), *[by_id(words, v) for v in (c, kinds * apart, kinds)]]
+        return np.concatenate([*vectors, few, whole])
+
+    got = _summed(rows, counts, 5 * k + 7)
+    customers, kinds, c, away, in_root = got[: 5 * k].reshape(5, k)
+    n1, n2, r1, r2, tokens, types, pairs = got[5 * k :]
+    r1, r2 = r1 + (in_root == 1).sum(), r2 + (in_root == 2).sum()
     discount = lambda one, two: float(np.clip(one / max(one + 2 * two, 1), 0.1, 0.95))
     seats = Seats(
-        contexts, tokens, types, got[:k], got[None, k : 2 * k], np.array([pairs]), np.array([types]), discount(n1, n2), discount(r1, r2)
+        contexts, tokens, types, customers, kinds[None], np.array([pairs]), np.array([types]), discount(n1, n2), discount(r1, r2),
+        None, c, away[None], in_root[None], np.minimum(in_root, 1)[None],
     )
 
-    def first(words, ctx, n, owner, seats=seats):
-        t, customers, root = first_seatings(words, ctx, n, owner, seats)
-        return np.concatenate([np.bincount(ctx, t, k), [customers.sum(), root.sum()]])
+    def sums(words, ctx, owner, apart, t, customers, root):
+        own = np.bincount(owner, t, len(words))
+        vectors = [by_id(words, v) for v in (own * apart, customers * ~apart, root * ~apart)]
+        return [np.bincount(ctx, t, k), *vectors, [customers[~apart].sum(), root[~apart].sum()]]
+
+    def after(before, got):
+        tables, away, in_root, root_own = (got[:, i * k : (i + 1) * k] for i in range(4))
+        known = {"tables": tables, "root_customers": got[:, 4 * k], "root_tables": got[:, 4 * k + 1]}
+        return replace(before, **known, earlier=before, away=away, in_root=in_root, root_own=root_own)
+
+    def first(words, ctx, n, owner, far, apart, seats=seats):
+        return np.concatenate(sums(words, ctx, owner, apart, *first_seatings(words, ctx, n, owner, seats, apart)))
 
-    got = _summed(rows, first, k + 2)
-    seats = replace(seats, tables=got[None, :k], root_customers=got[k : k + 1], root_tables=got[k + 1 :], earlier=seats)
+    seats = after(seats, _summed(rows, first, 4 * k + 2)[None])
     for chain in range(ROUNDS):
 
-        def tables(words, ctx, n, owner, seats=seats, chain=chain):
-            parts = []
-            for t, customers, root in sample_seatings(words, ctx, n, owner, seats, chain):
-                parts += [np.bincount(ctx, t, k), [customers.sum(), root.sum()]]
-            return np.concatenate(parts)
+        def tables(words, ctx, n, owner, far, apart, seats=seats, chain=chain):
+            samples = sample_seatings(words, ctx, n, owner, seats, chain, far, apart)
+            return np.concatenate([v for s in samples for v in sums(words, ctx, owner, apart, *s)])
 
-        before, got = seats, _summed(rows, tables, SAMPLES * (k + 2)).reshape(SAMPLES, k + 2)
-        seats = replace(seats, tables=got[:, :k], root_customers=got[:, k], root_tables=got[:, k + 1], earlier=before)
+        before, got = seats, _summed(rows, tables, SAMPLES * (4 * k + 2)).reshape(SAMPLES, 4 * k + 2)
+        seats = after(before, got)
     return before, seats
 
 
-def _predictions(rows: DataFrame, before: Seats, seats: Seats) -> DataFrame:
+def _predictions(rows: DataFrame, before: Seats, seats: Seats, buckets: int) -> DataFrame:
     """``w, c, root, ctx, own``: a word's parent probability by sample, and its customers in each
-    context less the discount of its mean number of tables: the last round, drawn once more."""
+    context less the discount of its mean number of tables: the last round, drawn once more.
+
+    In other rows ``bucket, far, key, n, chance``: rare contexts of the bucket, each with a word's
+    customers there and its parent probability.
+    """
+    near_kind = {"w": pa.int64(), "c": pa.int64(), "root": pa.list_(pa.float64()), "ctx": pa.list_(pa.int16()), "own": pa.list_(pa.float32())}
+    far_kind = {"far": pa.list_(pa.int64()), "key": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "chance": pa.list_(pa.float32())}
+    schema = pa.schema({**near_kind, "bucket": pa.int32(), **far_kind})
+
+    def row_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
+        size = len(next(iter(columns.values())))
+        return pa.RecordBatch.from_arrays([columns[f.name] if f.name in columns else pa.nulls(size, f.type) for f in schema], schema=schema)
 
     def run(batches):
-        for batch, (words, ctx, n, owner) in _slices(batches):
-            tables, roots = np.zeros(len(ctx)), []
-            samples = sample_seatings(words, ctx, n, owner, before, ROUNDS - 1)
+        for batch, (words, ctx, n, owner, far, apart) in _slices(batches):
+            tables, roots, ids = np.zeros(len(ctx)), [], seats.word_ids(words)
+            samples = sample_seatings(words, ctx, n, owner, before, ROUNDS - 1, far, apart)
             for s, (t, customers, root) in enumerate(samples):
                 tables += t / SAMPLES
-                roots.append(seats.root(customers, root, s))
+                roots.append(np.where(apart, seats.chances(ids, s), seats.root(customers, root, s)))
+            roots = np.column_stack(roots)
+            held, near = np.flatnonzero(~apart), ctx != RARE
             own = np.maximum(n - seats.discount * tables, 0).astype(np.float32)
-            offsets = np.searchsorted(owner, np.arange(len(words) + 1))
-            flat = np.column_stack(roots).ravel()
-            each = np.arange(len(words) + 1) * SAMPLES
-            columns = [batch.column("w"), batch.column("c"), list_array(flat, each)]
-            columns += [list_array(ctx.astype(np.int16), offsets), list_array(own, offsets)]
-            yield pa.RecordBatch.from_arrays(columns, ["w", "c", "root", "ctx", "own"])
-
-    kind = "w bigint, c bigint, root array<double>, ctx array<smallint>, own array<float>"
-    return rows.mapInArrow(run, kind)
+            offsets = np.searchsorted(owner[near], np.append(held, len(words)))
+            c = np.where(ids == RARE, batch.column("c").to_numpy(), seats.counts[ids]).astype(np.int64)
+            each = np.arange(len(held) + 1) * SAMPLES
+            yield row_batch({
+                "w": pa.array(words[held].view(np.int64)),
+                "c": pa.array(c[held]),
+                "root": list_array(roots[held].ravel(), each),
+                "ctx": list_array(ctx[near].astype(np.int16), offsets),
+                "own": list_array(own[near], offsets),
+            })
+            order, begin = bucket_order(_bucket(far[~near], buckets), buckets)
+            some = np.flatnonzero(np.diff(begin))
+            rare = np.flatnonzero(~near)[order]
+            begin = np.append(begin[some], len(rare))
+            values = far[rare].view(np.int64), _pair_keys(words[owner[rare]], far[rare]).view(np.int64)
+            values += n[rare].astype(np.int32), roots.mean(1)[owner[rare]].astype(np.float32)
+            yield row_batch({"bucket": pa.array(some.astype(np.int32)), **{c: list_array(v, begin) for c, v in zip(far_kind, values)}})
+
+    kind = "w bigint, c bigint, root array<double>, ctx array<smallint>, own array<float>, bucket int"
+    return rows.mapInArrow(run, f"{kind}, far array<bigint>, key array<bigint>, n array<int>, chance array<float>")
 
 
 def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
-    """Sums by text over the tokens of one bucket of words."""
+    """Sums by text over the tokens of one bucket of words, and the tokens after its rare contexts.
+
+    The probability of a token after a rare context is a product: that of its word in the parent,
+    and how many times that the context makes of it.
+    """
+    rare = known.filter(known["w"].is_null())
+    known = known.filter(known["w"].is_valid())
+    far, keys = (flat_lists(rare[c], np.int64)[0].view(np.uint64) for c in ("far", "key"))
+    n, chance = flat_lists(rare["n"], np.int64)[0], flat_lists(rare["chance"], float)[0]
+    far_words, far_customers, far_opens, far_own = seat_rare(far, keys, n, chance, seats.discount)
+    by = np.argsort(keys)
+    keys, far_own = keys[by], (far_own / np.maximum(chance, 1e-300))[by]
+
     order = np.argsort(known["w"].to_numpy().view(np.uint64))
     words = known["w"].to_numpy().view(np.uint64)[order]
     count = known["c"].to_numpy()[order]
@@ -354,6 +532,9 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
     pairs, own = pairs[by], own[by]
     unknown = np.array([seats.root(0, 0, s) for s in range(SAMPLES)])
     opens = (STRENGTH + seats.discount * seats.tables) / SAMPLES
+    opens[:, RARE] = 1 / SAMPLES
+    held = STRENGTH + seats.customers
+    held[RARE] = 1
     smooth = seats.tokens + 0.5 * (seats.types + 1)
 
     out = []
@@ -370,8 +551,17 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
         near = np.minimum(np.searchsorted(pairs, wanted), max(len(pairs) - 1, 0))
         seen = np.where(pairs[near] == wanted, own[near], 0.0) if len(pairs) else np.zeros(len(ctx))
         rest = sum(opens[s][ctx] * root[each, s] for s in range(SAMPLES))
-        chance = (seen + rest) / (STRENGTH + seats.customers[ctx])
+        chance = (seen + rest) / held[ctx]
         texts = len(row["key"][0])
+        runs, key, far_text, times = (flat_lists(row[c], np.int64)[0] for c in ("far_runs", "far_key", "far_doc", "far_n"))
+        v = np.repeat(w, runs)
+        at = np.minimum(np.searchsorted(far_words, v), max(len(far_words) - 1, 0))
+        hit = far_words[at] == v if len(far_words) else np.zeros(len(v), bool)
+        customers, fresh = np.zeros(len(v)), np.full(len(v), STRENGTH)
+        customers[hit], fresh[hit] = far_customers[at[hit]], far_opens[at[hit]]
+        near = np.minimum(np.searchsorted(keys, key.view(np.uint64)), max(len(keys) - 1, 0))
+        seen = np.where(keys[near] == key.view(np.uint64), far_own[near], 0.0) if len(keys) else np.zeros(len(v))
+        after = np.bincount(far_text, np.log10((seen + fresh) / (STRENGTH + customers)) * times, texts)
         total = lambda v: np.bincount(text, v * n, texts)  # noqa: B023, E731
         out.append(pa.table({
             "key": row["key"].combine_chunks().flatten(),
@@ -380,7 +570,7 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
             "known": total((c > 0)[each]).astype(np.int64),
             "ends": total((w == END)[each]).astype(np.int64),
             "base": total(np.log10((c + 0.5) / smooth)[each]),
-            "score": total(np.log10(chance)),
+            "score": total(np.log10(chance)) + after,
         }))
     if not out:
         none = np.empty(0)
@@ -432,34 +622,41 @@ def perplexity(scores: DataFrame) -> DataFrame:
 def sums_by_text(texts: DataFrame, rows: DataFrame, before: Seats, seats: Seats, buckets: int) -> DataFrame:
     """``key, body, tokens, known, ends, base, score``: what the tokens of each text in each bucket of
     words add up to. A text has no row for a bucket without a token of its own."""
-    hot = rows.filter(F.col("c") > seats.tokens * HOT_SHARE).select("w").toPandas()["w"]
-    hot = np.sort(hot.to_numpy(np.int64).view(np.uint64))  # fewer than 1 / HOT_SHARE words
+    most = np.flatnonzero(seats.counts > seats.tokens * HOT_SHARE)  # fewer than 1 / HOT_SHARE words
+    hot = np.sort(np.append(seats.contexts, END)[np.where(most == START, -1, most - 2)])
 
     def asks(batches):
         for table, tokens in _flushes(batches):
             words, at = np.unique(tokens.words, return_inverse=True)
+            ids = seats.ids(words)
             ctx = np.empty(len(at), np.int64)
-            ctx[1:] = seats.ids(words)[at[:-1]]
+            ctx[1:] = ids[at[:-1]]
             ctx[tokens.first] = START
             keys = at.astype(np.int64) << 32 | ctx << 16 | tokens.texts
             keys, n = np.unique(keys, return_counts=True)
-            own = _bucket(words, buckets)
+            home = _bucket(words, buckets)
             salt = int(mixed(table["body"].to_numpy()[:1].view(np.uint64))[0] % np.uint64(HOT_SPREAD))
-            spread = np.isin(words, hot)
+            own, spread = home.copy(), np.isin(words, hot)
             own[spread] = (own[spread] + salt) % buckets
             values = {"ctx": (keys >> 16 & 0xFFFF).astype(np.int16), "doc": (keys & 0xFFFF).astype(np.int16), "n": n.astype(np.int32)}
+            # What follows rare contexts, in the context's bucket; its word is a token of the text.
+            late = np.flatnonzero(ctx == RARE)
+            after = at[late - 1].astype(np.uint64) << np.uint64(40) | at[late].astype(np.uint64) << np.uint64(16) | tokens.texts[late].astype(np.uint64)
+            after, times = np.unique(after, return_counts=True)
+            context, word = (after >> np.uint64(40)).astype(np.int64), (after >> np.uint64(16) & np.uint64(0xFFFFFF)).astype(np.int64)
+            more = {"far_key": _pair_keys(words[word], words[context]).view(np.int64), "far_doc": (after & np.uint64(0xFFFF)).astype(np.int64)}
+            more["far_n"] = times.astype(np.int32)
             whole = {c: table[c].combine_chunks() for c in ("key", "body")}
-            yield from _packed(words, keys >> 32, buckets, values, own, **whole)
+            yield from _packed(words, keys >> 32, own[keys >> 32], values, (context, home[context], more), **whole)
 
     kind = texts.schema["key"].dataType.simpleString()
     packed = f"bucket int, key array<{kind}>, body array<bigint>, w array<bigint>, runs array<int>, ctx array<smallint>, doc array<smallint>, n array<int>"
+    packed += ", far_key array<bigint>, far_doc array<smallint>, far_n array<int>, far_runs array<int>"
     asked = texts.mapInArrow(asks, packed)
-    spread = F.when(
-        F.col("c") > seats.tokens * HOT_SHARE, F.lit(min(HOT_SPREAD, buckets))
-    ).otherwise(F.lit(1))
+    copies = F.when(F.col("w").isin(hot.view(np.int64).tolist()), F.lit(min(HOT_SPREAD, buckets))).otherwise(F.lit(1))
     at = F.pmod(F.shiftrightunsigned("w", 20), F.lit(int(buckets)))
-    known = _predictions(rows, before, seats).withColumn("salt", F.explode(F.sequence(F.lit(0), spread - 1)))
-    known = known.withColumn("bucket", ((at + F.col("salt")) % buckets).cast("int")).drop("salt")
+    known = _predictions(rows, before, seats, buckets).withColumn("salt", F.explode(F.sequence(F.lit(0), copies - 1)))
+    known = known.withColumn("bucket", F.coalesce("bucket", ((at + F.col("salt")) % buckets).cast("int"))).drop("salt")
     met = asked.groupBy("bucket").cogroup(known.groupBy("bucket"))
     result = f"key {kind}, body bigint, tokens bigint, known bigint, ends bigint, base double, score double"
     return met.applyInArrow(lambda a, b: _score_bucket(a, b, seats), result)

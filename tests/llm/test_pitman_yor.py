@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from registryloom.llm import pitman_yor as py
@@ -243,3 +244,99 @@ def test_perplexity(make_docs, rows):
     known, unknown = (py.perplexity(scores.filter(f)).first().perplexity for f in ("doc_id < 1000", "doc_id >= 1000"))
     assert known < unknown < 500
     assert py.perplexity(py.score(make_docs([]), make_docs(train))).count() == 0
+
+
+@pytest.fixture(scope="module")
+def rare_rows():
+    rng = random.Random(12)
+    train = [(i, " ".join(f"w{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randrange(0, 60)))) for i in range(150)]
+    return train, [(1000, "w3 w88 w1 w88 never w1 w1"), (1001, "new w1 w89"), (1002, "w77"), (1003, None), *train[:20]]
+
+
+def test_every_word_is_a_context_of_its_own(make_docs, rare_rows, monkeypatch):
+    """With few contexts sent everywhere: counts of each, and chances that make one in each."""
+    monkeypatch.setattr(py, "CONTEXTS", 6)
+    train, test = rare_rows
+    learnt = py._texts(make_docs(train), "doc_id", "text")
+    contexts, buckets = py.frequent_words(learnt), 8
+    assert len(contexts) == 6
+    blank = py.Seats(contexts, 0, 0, *[np.zeros(0)] * 4, 0.5, 0.5)
+    rows = saved(py.word_rows(learnt, blank, buckets))
+    before, seats = py.learn(rows, contexts)
+
+    follow, words, start = Counter(), Counter(), Counter()
+    for _, t in train:
+        last = None
+        for w in [*words_of(t), END]:
+            follow[last, w] += 1
+            words[w] += 1
+            last = w
+    assert seats.tokens == words.total() and seats.types == len(words) and seats.customers.sum() == words.total()
+    known = py._predictions(rows, before, seats, buckets)
+    near, far = (known.filter(f).toPandas() for f in ("w IS NOT NULL", "w IS NULL"))
+    assert sorted(near["c"]) == sorted(words.values()) and near["w"].is_unique
+    roots = np.stack(near["root"].to_list())
+    unknown = np.array([seats.root(0, 0, s) for s in range(py.SAMPLES)])
+    assert np.allclose(roots.sum(0) + unknown, 1)
+
+    h, keys = (np.concatenate(far[c].to_list()).view(np.uint64) for c in ("far", "key"))
+    n, chance = np.concatenate(far["n"].to_list()), np.concatenate(far["chance"].to_list())
+    assert len(np.unique(keys)) == len(keys)
+    number = Counter(c for c, _ in follow)  # distinct words after each context
+    pairs = sum(number.values()) - sum(map(len, near["ctx"]))
+    assert pairs == len(keys) and n.sum() == words.total() - sum(seats.customers[py.START :])
+    found, customers, opens, own = py.seat_rare(h, keys, n.astype(np.int64), chance.astype(float), seats.discount)
+    top = {int(c) for c in contexts}
+    assert len(found) == len(words) - 1 - len(top), "all words but those sent everywhere"
+    held = np.array([(own[h == c].sum() + o * (roots.sum(0) + unknown).mean()) / (py.STRENGTH + m) for c, m, o in zip(found, customers, opens)])
+    assert np.allclose(held, 1, atol=1e-5)
+    assert len(set(np.round(opens / (py.STRENGTH + customers), 6))) > 10, "each context has tables of its own"
+
+
+def test_scores_after_rare_words_follow_their_own_contexts(make_docs, rare_rows, monkeypatch):
+    """Token by token from the seatings, in plain Python; buckets and hot words change nothing."""
+    monkeypatch.setattr(py, "CONTEXTS", 6)
+    train, test = rare_rows
+    texts = py._texts(make_docs(test), "doc_id", "text")
+    learnt = py._texts(make_docs(train), "doc_id", "text")
+    contexts = py.frequent_words(learnt)
+    blank = py.Seats(contexts, 0, 0, *[np.zeros(0)] * 4, 0.5, 0.5)
+    rows = saved(py.word_rows(learnt, blank, 16))
+    before, seats = py.learn(rows, contexts)
+    sums = Counter()
+    for r in py.sums_by_text(texts, rows, before, seats, 16).collect():
+        sums[r.key] += r.score
+
+    known = py._predictions(rows, before, seats, 16)
+    near, far = (known.filter(f).toPandas() for f in ("w IS NOT NULL", "w IS NULL"))
+    root = {int(w) % 2**64: np.array(v) for w, v in zip(near["w"], near["root"])}
+    own = {(int(w) % 2**64, c): v for w, cs, vs in zip(near["w"], near["ctx"], near["own"]) for c, v in zip(cs, vs)}
+    h, keys = (np.concatenate(far[c].to_list()).view(np.uint64) for c in ("far", "key"))
+    n, chance = np.concatenate(far["n"].to_list()).astype(np.int64), np.concatenate(far["chance"].to_list())
+    found, customers, opens, left = py.seat_rare(h, keys, n, chance.astype(float), seats.discount)
+    rare = {int(c): (m, o) for c, m, o in zip(found, customers, opens)}
+    of_pair = dict(zip(keys.tolist(), left))
+    unknown = np.array([seats.root(0, 0, s) for s in range(py.SAMPLES)])
+
+    hashed = {}
+    for _, tokens in py._flushes(iter([_arrow([(0, b" ".join(w for _, t in test for w in words_of(t)).decode())])])):
+        hashed = dict(zip([*[w for _, t in test for w in words_of(t)], END], tokens.words.tolist()))
+    for i, t in test:
+        want, last = 0.0, None
+        for w in [*words_of(t), END]:
+            w = hashed[w]
+            p = root.get(w, unknown)
+            c = py.START if last is None else int(seats.ids(np.array([last], np.uint64))[0])
+            if c == py.RARE:
+                m, o = rare.get(last, (0, py.STRENGTH))
+                key = int(py._pair_keys(np.array([w], np.uint64), np.array([last], np.uint64))[0])
+                q = (of_pair.get(key, 0.0) + o * p.mean()) / (py.STRENGTH + m)
+            else:
+                o = py.STRENGTH + seats.discount * seats.tables[:, c]
+                q = (own.get((w, c), 0.0) + (o * p).mean()) / (py.STRENGTH + seats.customers[c])
+            want, last = want + math.log10(q), w
+        assert sums[i] == pytest.approx(want, rel=1e-5)
+
+
+def _arrow(rows):
+    return pa.RecordBatch.from_pylist([{"key": k, "text": t} for k, t in rows])
