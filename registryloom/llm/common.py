@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -56,6 +57,13 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release_unused(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of frames that are gone; else they stay on disk until
+    the driver happens to collect its garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
     """The ``limit`` rows of ``counts`` with the largest ``n``; all of them if there are fewer.
 

@@ -26,10 +26,11 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import most_frequent, saved, small_batches
+from registryloom.llm.common import most_frequent, release_unused, saved, small_batches
 from registryloom.llm.tables import drawn_tables, expected_tables
 from registryloom.llm.words import Words, bucket_order, flat_lists, list_array, mixed, word_chunks
 
@@ -143,6 +144,12 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Toke
         yield joined()
 
 
+def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct values, in any order, and for each value which one it is."""
+    held = pa.array(values).dictionary_encode()
+    return held.dictionary.to_numpy(), held.indices.to_numpy().astype(np.int64)
+
+
 def _bucket(words: np.ndarray, n: int) -> np.ndarray:
     return ((words >> np.uint64(20)) % np.uint64(n)).astype(np.int64)
 
@@ -175,12 +182,12 @@ def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
 
     def pairs(batches):
         for _, tokens in _flushes(batches):
-            words, at = np.unique(tokens.words, return_inverse=True)
+            words, at = _coded(tokens.words)
             ids, home = seats.ids(words), _bucket(words, buckets)
             before = np.empty(len(at), np.int64)
             before[1:] = np.where(ids == RARE, k + np.arange(len(words)), ids)[at[:-1]]
             before[tokens.first] = START
-            key, n = np.unique(at.astype(np.int64) << 32 | before, return_counts=True)
+            key, n = np.unique(at << 32 | before, return_counts=True)
             place, ctx = key >> 32, key & 0xFFFFFFFF
             far = np.flatnonzero(ctx >= k)
             context = ctx[far] - k
@@ -202,11 +209,10 @@ def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
             yield from _packed(words, place, of_value, values)
 
     def gather(table: pa.Table) -> pa.Table:
-        held, runs = (flat_lists(table[c], k)[0] for c, k in (("w", np.int64), ("runs", np.int64)))
-        words, at = np.unique(held.view(np.uint64), return_inverse=True)
-        ctx, n = (flat_lists(table[c], np.int64)[0].copy() for c in ("ctx", "n"))
-        far, which = np.unique(flat_lists(table["far"], np.int64)[0], return_inverse=True)
-        at = np.repeat(at.astype(np.int64), runs)
+        words, at = _coded(_values(table["w"], np.uint64))
+        runs, ctx, n = (_values(table[c], kind).astype(np.int64) for c, kind in (("runs", np.int32), ("ctx", np.int16), ("n", np.int32)))
+        far, which = _coded(_values(table["far"], np.int64))
+        at = np.repeat(at, runs)
         apart = (ctx == RARE) & (seats.word_ids(words) != RARE)[at]
         ctx[ctx == RARE] = k + which
         key = (at << 1 | apart) << 32 | ctx
@@ -228,7 +234,7 @@ def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
             "apart": (rows & 1).astype(bool),
         })
 
-    packed = "bucket int, w array<bigint>, runs array<int>, ctx array<smallint>, n array<int>, far array<bigint>"
+    packed = "bucket int, w binary, runs binary, ctx binary, n binary, far binary"
     rows = texts.select("text").mapInArrow(pairs, packed).groupBy("bucket")
     return rows.applyInArrow(gather, "w bigint, c bigint, ctx array<smallint>, n array<bigint>, far array<bigint>, apart boolean")
 
@@ -242,10 +248,11 @@ def _packed(
     ``place`` names each value's word, in ascending order. ``whole`` is about the texts that the
     values' ``doc`` names; a bucket gets what is about its own texts, and their new places. ``more``
     are other values, with places and buckets of their own, about words and texts of the bucket.
-    Hashes of contexts, ``far``, are there for values of rare contexts alone.
+    Hashes of contexts, ``far``, are there for values of rare contexts alone. Values are the bytes of
+    numbers, which Spark moves as they are and not one by one.
     """
-    for b in np.unique(of_value):
-        v = np.flatnonzero(of_value == b)
+    others = dict(_by_bucket(more[1])) if more else {}
+    for b, v in _by_bucket(of_value):
         new = np.flatnonzero(np.concatenate([[True], place[v][1:] != place[v][:-1]]))
         w = place[v][new]
         fields = {"bucket": np.array([b], np.int32)}
@@ -253,7 +260,7 @@ def _packed(
         if "far" in own:
             own["far"] = own["far"][(own["ctx"] == RARE)]
         if more:
-            m = np.flatnonzero(more[1] == b)
+            m = others.get(b, np.empty(0, np.int64))
             own |= {n: x[m] for n, x in more[2].items()}
             own["far_runs"] = np.bincount(np.searchsorted(w, more[0][m]), minlength=len(w)).astype(np.int32)
         if whole:
@@ -263,7 +270,7 @@ def _packed(
                 own["far_doc"] = np.searchsorted(present, own["far_doc"]).astype(np.int16)
             taken = {n: x.take(pa.array(present)) for n, x in whole.items()}
             fields |= {n: pa.array([x], pa.list_(x.type)) for n, x in taken.items()}
-        fields |= {"w": _one(words[w].view(np.int64)), "runs": _one(np.diff(np.append(new, len(v))).astype(np.int32))}
+        fields |= {"w": _one(words[w]), "runs": _one(np.diff(np.append(new, len(v))).astype(np.int32))}
         fields |= {n: _one(x) for n, x in own.items()}
         yield pa.RecordBatch.from_pydict(fields)
 
@@ -273,24 +280,40 @@ def _pair_keys(words: np.ndarray, contexts: np.ndarray) -> np.ndarray:
     return mixed(mixed(words) + contexts * _SALT)
 
 
+def _by_bucket(buckets: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, and where it does."""
+    few = not len(buckets) or buckets.max() < 1 << 16  # sorted by counting
+    order = np.argsort(buckets.astype(np.uint16) if few else buckets, kind="stable")
+    found, begin = np.unique(buckets[order], return_index=True)
+    return zip(found.tolist(), np.split(order, begin[1:]))
+
+
 def _one(values: np.ndarray) -> pa.Array:
-    return list_array(values, np.array([0, len(values)]))
+    return pa.array([values.tobytes()], pa.binary())
 
 
-def _customers(words: np.ndarray, owner: np.ndarray, tables: np.ndarray, seats: Seats, apart: np.ndarray) -> np.ndarray:
-    """Each word's customers in the parent: its tables here, and those that lie apart as last known."""
-    own = np.bincount(owner, tables, len(words)).astype(np.int64)
-    if seats.away is None:
-        return own
-    ids = seats.word_ids(words)
-    return np.where(apart, seats.in_root[-1][ids], own + seats.away[-1][ids]).astype(np.int64)
+def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    """Rows of the bytes of some of the values each."""
+    places = pa.py_buffer((offsets * values.itemsize).astype(np.int32))
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, places, pa.py_buffer(np.ascontiguousarray(values))])
+
 
+def _values(column: pa.Array | pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    """The numbers in a column of their bytes, one row after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind)
 
-def _root_tables(root: np.ndarray, words: np.ndarray, seats: Seats, apart: np.ndarray) -> np.ndarray:
-    """``root`` of rows that hold their word; of those apart what is known of the round before."""
-    if apart.any():
-        root[apart] = seats.root_own[-1][seats.word_ids(words[apart])]
-    return root
+
+def _counts(column: pa.Array | pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
+    """How many numbers each row has."""
+    return pc.binary_length(column).to_numpy() // np.dtype(kind).itemsize
+
+
+def _elsewhere(words: np.ndarray, seats: Seats) -> tuple[np.ndarray, ...]:
+    """As last known, of words with an id: tables that lie apart, customers and tables in the parent."""
+    if seats.away is None:
+        return (np.zeros(len(words), np.int64),) * 3
+    ids = seats.word_ids(words)
+    return tuple(v[-1][ids].astype(np.int64) for v in (seats.away, seats.in_root, seats.root_own))
 
 
 def first_seatings(
@@ -298,14 +321,18 @@ def first_seatings(
 ) -> tuple[np.ndarray, ...]:
     """What sampling begins with: tables expected where every (word, context) has had one."""
     apart = np.zeros(len(words), bool) if apart is None else apart
-    customers = _customers(words, owner, np.ones(len(owner)), seats, apart)
-    opens = STRENGTH + seats.discount * seats.around(ctx)
-    weight = opens * seats.root(customers, np.minimum(customers, 1), -1)[owner]
-    tables = expected_tables(n, weight, seats.discount).astype(np.int64)
-    customers = _customers(words, owner, tables, seats, apart)
+    away, in_root, root_own = _elsewhere(words, seats)
+    own, some = np.bincount(owner, minlength=len(words)), np.flatnonzero(n > 1)
+    customers = np.where(apart, in_root, own + away)
+    opens = STRENGTH + seats.discount * seats.around(ctx[some])
+    weight = opens * seats.root(customers, np.minimum(customers, 1), -1)[owner[some]]
+    tables = np.ones(len(n), np.int64)
+    tables[some] = expected_tables(n[some], weight, seats.discount)
+    own += np.bincount(owner[some], tables[some] - 1, len(words)).astype(np.int64)
+    customers = np.where(apart, in_root, own + away)
     weight = (ROOT_STRENGTH + seats.root_discount * seats.root_tables[-1]) / (seats.types + 1)
     root = expected_tables(customers, np.full(len(words), weight), seats.root_discount).astype(np.int64)
-    return tables, customers, _root_tables(root, words, seats, apart)
+    return tables, customers, np.where(apart, root_own, root)
 
 
 def sample_seatings(
@@ -316,7 +343,8 @@ def sample_seatings(
 
     One item a sample, after the burn-in. Words that occur once in a context have one table. A
     round goes on from the last seatings of the round before, which are drawn once more. ``far`` are
-    the hashes of rare contexts, 0 of others. In the parent, rows ``apart`` do not move their word.
+    the hashes of rare contexts, 0 of others; tables there are drawn once a round. Rows ``apart``
+    find their word in the parent as it was in the round before.
     """
     apart = np.zeros(len(words), bool) if apart is None else apart
     if chain:
@@ -324,24 +352,29 @@ def sample_seatings(
             pass
     else:
         tables, customers, root = first_seatings(words, ctx, n, owner, seats.earlier, apart)
+    some, held = np.flatnonzero(n > 1), np.flatnonzero(~apart)
     keys = mixed(words)
-    pair_keys = mixed(keys[owner] + (ctx.astype(np.uint64) + (0 if far is None else far)) * _SALT)
+    pair_keys = mixed(keys[owner[some]] + (ctx[some].astype(np.uint64) + (0 if far is None else far[some])) * _SALT)
     last = len(seats.tables) - 1
-    others = seats.around(ctx) - tables  # of other words, in the round before
-    root_others = seats.root_tables[last] - root
-    customers, root = _customers(words, owner, tables, seats, apart), _root_tables(root, words, seats, apart)
-    uniform = np.full(len(words), 1 / (seats.types + 1))
-    some, held = np.flatnonzero(n > 1), np.flatnonzero(~apart)
+    others = seats.around(ctx[some]) - tables[some]  # of other words, in the round before
+    root_others = (seats.root_tables[last] - root)[held]
+    away, in_root, root_own = _elsewhere(words, seats)
+    single = np.bincount(owner, minlength=len(words))
+    count = lambda: np.bincount(owner[some], tables[some] - 1, len(words)).astype(np.int64)
+    customers, root = np.where(apart, in_root, single + away + count()), np.where(apart, root_own, root)
+    uniform = np.full(len(held), 1 / (seats.types + 1))
+    every, near = np.arange(len(some)), np.flatnonzero(ctx[some] != RARE)
     for sweep in range(BURN_IN + SAMPLES):
-        step = (chain * 64 + sweep) * 128
-        base = seats.root(customers, root, last)[owner[some]]
-        tables[some] = drawn_tables(
-            pair_keys[some], n[some], base, others[some], STRENGTH, seats.discount, step, tables[some]
+        step, drawn = (chain * 64 + sweep) * 128, near if sweep else every
+        at = some[drawn]
+        base = seats.root(customers, root, last)[owner[at]]
+        tables[at] = drawn_tables(
+            pair_keys[drawn], n[at], base, others[drawn], STRENGTH, seats.discount, step, tables[at]
         )
-        customers = _customers(words, owner, tables, seats, apart)
+        customers = np.where(apart, in_root, single + away + count())
         root = root.copy()
         root[held] = drawn_tables(
-            keys[held], customers[held], uniform[held], root_others[held], ROOT_STRENGTH, seats.root_discount, step + 64, root[held]
+            keys[held], customers[held], uniform, root_others, ROOT_STRENGTH, seats.root_discount, step + 64, root[held]
         )
         if sweep >= BURN_IN:
             yield tables.copy(), customers, root
@@ -410,17 +443,18 @@ def learn(rows: DataFrame, contexts: np.ndarray) -> Seats:
     k = len(contexts) + 2
     blank = Seats(contexts, 0, 0, *[np.zeros(0)] * 4, 0.5, 0.5)
 
-    def by_id(words, values):
-        out = np.bincount(blank.word_ids(words), values, k)
+    def by_id(ids, values):
+        out = np.bincount(ids, values, k)
         out[RARE] = 0
         return out
 
     def counts(words, ctx, n, owner, far, apart):
         kinds, c = np.bincount(owner, minlength=len(words)), np.bincount(owner, n, len(words))
-        alone = kinds[blank.word_ids(words) == RARE]
+        ids = blank.word_ids(words)
+        alone = kinds[ids == RARE]
         few = [(n == 1).sum(), (n == 2).sum(), (alone == 1).sum(), (alone == 2).sum()]
         whole = [n.sum(), (~apart).sum(), len(ctx)]
-        vectors = [np.bincount(ctx, n, k), np.bincount(ctx, minlength=k), *[by_id(words, v) for v in (c, kinds * apart, kinds)]]
+        vectors = [np.bincount(ctx, n, k), np.bincount(ctx, minlength=k), *[by_id(ids, v) for v in (c, kinds * apart, kinds)]]
         return np.concatenate([*vectors, few, whole])
 
     got = _summed(rows, counts, 5 * k + 7)
@@ -433,9 +467,9 @@ def learn(rows: DataFrame, contexts: np.ndarray) -> Seats:
         None, c, away[None], in_root[None], np.minimum(in_root, 1)[None],
     )
 
-    def sums(words, ctx, owner, apart, t, customers, root):
-        own = np.bincount(owner, t, len(words))
-        vectors = [by_id(words, v) for v in (own * apart, customers * ~apart, root * ~apart)]
+    def sums(ids, ctx, owner, apart, t, customers, root):
+        own = np.bincount(owner, t, len(ids))
+        vectors = [by_id(ids, v) for v in (own * apart, customers * ~apart, root * ~apart)]
         return [np.bincount(ctx, t, k), *vectors, [customers[~apart].sum(), root[~apart].sum()]]
 
     def after(before, got):
@@ -444,14 +478,15 @@ def learn(rows: DataFrame, contexts: np.ndarray) -> Seats:
         return replace(before, **known, earlier=before, away=away, in_root=in_root, root_own=root_own)
 
     def first(words, ctx, n, owner, far, apart, seats=seats):
-        return np.concatenate(sums(words, ctx, owner, apart, *first_seatings(words, ctx, n, owner, seats, apart)))
+        return np.concatenate(sums(blank.word_ids(words), ctx, owner, apart, *first_seatings(words, ctx, n, owner, seats, apart)))
 
     seats = after(seats, _summed(rows, first, 4 * k + 2)[None])
     for chain in range(ROUNDS):
 
         def tables(words, ctx, n, owner, far, apart, seats=seats, chain=chain):
             samples = sample_seatings(words, ctx, n, owner, seats, chain, far, apart)
-            return np.concatenate([v for s in samples for v in sums(words, ctx, owner, apart, *s)])
+            ids = blank.word_ids(words)
+            return np.concatenate([v for s in samples for v in sums(ids, ctx, owner, apart, *s)])
 
         before, got = seats, _summed(rows, tables, SAMPLES * (4 * k + 2)).reshape(SAMPLES, 4 * k + 2)
         seats = after(before, got)
@@ -463,11 +498,11 @@ def _predictions(rows: DataFrame, before: Seats, seats: Seats, buckets: int) ->
     context less the discount of its mean number of tables: the last round, drawn once more.
 
     In other rows ``bucket, far, key, n, chance``: rare contexts of the bucket, each with a word's
-    customers there and its parent probability.
+    customers there and its parent probability. Lists are the bytes of numbers.
     """
-    near_kind = {"w": pa.int64(), "c": pa.int64(), "root": pa.list_(pa.float64()), "ctx": pa.list_(pa.int16()), "own": pa.list_(pa.float32())}
-    far_kind = {"far": pa.list_(pa.int64()), "key": pa.list_(pa.int64()), "n": pa.list_(pa.int32()), "chance": pa.list_(pa.float32())}
-    schema = pa.schema({**near_kind, "bucket": pa.int32(), **far_kind})
+    near_kind = {"w": pa.int64(), "c": pa.int64(), "root": pa.binary(), "ctx": pa.binary(), "own": pa.binary()}
+    far_kind = ("far", "key", "n", "chance")
+    schema = pa.schema({**near_kind, "bucket": pa.int32(), **dict.fromkeys(far_kind, pa.binary())})
 
     def row_batch(columns: dict[str, pa.Array]) -> pa.RecordBatch:
         size = len(next(iter(columns.values())))
@@ -489,20 +524,20 @@ def _predictions(rows: DataFrame, before: Seats, seats: Seats, buckets: int) ->
             yield row_batch({
                 "w": pa.array(words[held].view(np.int64)),
                 "c": pa.array(c[held]),
-                "root": list_array(roots[held].ravel(), each),
-                "ctx": list_array(ctx[near].astype(np.int16), offsets),
-                "own": list_array(own[near], offsets),
+                "root": _bytes(roots[held].ravel(), each),
+                "ctx": _bytes(ctx[near].astype(np.int16), offsets),
+                "own": _bytes(own[near], offsets),
             })
             order, begin = bucket_order(_bucket(far[~near], buckets), buckets)
             some = np.flatnonzero(np.diff(begin))
             rare = np.flatnonzero(~near)[order]
             begin = np.append(begin[some], len(rare))
-            values = far[rare].view(np.int64), _pair_keys(words[owner[rare]], far[rare]).view(np.int64)
+            values = far[rare], _pair_keys(words[owner[rare]], far[rare])
             values += n[rare].astype(np.int32), roots.mean(1)[owner[rare]].astype(np.float32)
-            yield row_batch({"bucket": pa.array(some.astype(np.int32)), **{c: list_array(v, begin) for c, v in zip(far_kind, values)}})
+            yield row_batch({"bucket": pa.array(some.astype(np.int32)), **{c: _bytes(v, begin) for c, v in zip(far_kind, values)}})
 
-    kind = "w bigint, c bigint, root array<double>, ctx array<smallint>, own array<float>, bucket int"
-    return rows.mapInArrow(run, f"{kind}, far array<bigint>, key array<bigint>, n array<int>, chance array<float>")
+    kind = "w bigint, c bigint, root binary, ctx binary, own binary, bucket int"
+    return rows.mapInArrow(run, f"{kind}, far binary, key binary, n binary, chance binary")
 
 
 def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
@@ -513,8 +548,8 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
     """
     rare = known.filter(known["w"].is_null())
     known = known.filter(known["w"].is_valid())
-    far, keys = (flat_lists(rare[c], np.int64)[0].view(np.uint64) for c in ("far", "key"))
-    n, chance = flat_lists(rare["n"], np.int64)[0], flat_lists(rare["chance"], float)[0]
+    far, keys = (_values(rare[c], np.uint64) for c in ("far", "key"))
+    n, chance = _values(rare["n"], np.int32).astype(np.int64), _values(rare["chance"], np.float32).astype(float)
     far_words, far_customers, far_opens, far_own = seat_rare(far, keys, n, chance, seats.discount)
     by = np.argsort(keys)
     keys, far_own = keys[by], (far_own / np.maximum(chance, 1e-300))[by]
@@ -522,9 +557,9 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
     order = np.argsort(known["w"].to_numpy().view(np.uint64))
     words = known["w"].to_numpy().view(np.uint64)[order]
     count = known["c"].to_numpy()[order]
-    roots = flat_lists(known["root"], float)[0].reshape(-1, SAMPLES)[order]
-    ctx, runs = flat_lists(known["ctx"], np.int64)
-    own, _ = flat_lists(known["own"], float)
+    roots = _values(known["root"], float).reshape(-1, SAMPLES)[order]
+    ctx, runs = _values(known["ctx"], np.int16).astype(np.int64), _counts(known["ctx"], np.int16)
+    own = _values(known["own"], np.float32).astype(float)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     pairs = np.repeat(place, runs) << 16 | ctx
@@ -540,8 +575,9 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
     out = []
     for i in range(len(asked)):
         row = asked.slice(i, 1)
-        w = flat_lists(row["w"], np.int64)[0].view(np.uint64)
-        runs, ctx, text, n = (flat_lists(row[c], np.int64)[0] for c in ("runs", "ctx", "doc", "n"))
+        w, key = (_values(row[c], np.uint64) for c in ("w", "far_key"))
+        runs, n, far_runs, far_n = (_values(row[c], np.int32).astype(np.int64) for c in ("runs", "n", "far_runs", "far_n"))
+        ctx, text, far_text = (_values(row[c], np.int16).astype(np.int64) for c in ("ctx", "doc", "far_doc"))
         at = np.minimum(np.searchsorted(words, w), max(len(words) - 1, 0))
         hit = words[at] == w if len(words) else np.zeros(len(w), bool)
         c = np.where(hit, count[at], 0) if len(words) else np.zeros(len(w))
@@ -553,15 +589,14 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
         rest = sum(opens[s][ctx] * root[each, s] for s in range(SAMPLES))
         chance = (seen + rest) / held[ctx]
         texts = len(row["key"][0])
-        runs, key, far_text, times = (flat_lists(row[c], np.int64)[0] for c in ("far_runs", "far_key", "far_doc", "far_n"))
-        v = np.repeat(w, runs)
+        v = np.repeat(w, far_runs)
         at = np.minimum(np.searchsorted(far_words, v), max(len(far_words) - 1, 0))
         hit = far_words[at] == v if len(far_words) else np.zeros(len(v), bool)
         customers, fresh = np.zeros(len(v)), np.full(len(v), STRENGTH)
         customers[hit], fresh[hit] = far_customers[at[hit]], far_opens[at[hit]]
-        near = np.minimum(np.searchsorted(keys, key.view(np.uint64)), max(len(keys) - 1, 0))
-        seen = np.where(keys[near] == key.view(np.uint64), far_own[near], 0.0) if len(keys) else np.zeros(len(v))
-        after = np.bincount(far_text, np.log10((seen + fresh) / (STRENGTH + customers)) * times, texts)
+        near = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        seen = np.where(keys[near] == key, far_own[near], 0.0) if len(keys) else np.zeros(len(v))
+        after = np.bincount(far_text, np.log10((seen + fresh) / (STRENGTH + customers)) * far_n, texts)
         total = lambda v: np.bincount(text, v * n, texts)  # noqa: B023, E731
         out.append(pa.table({
             "key": row["key"].combine_chunks().flatten(),
@@ -598,6 +633,7 @@ def score(
     blank = Seats(contexts, 0, 0, *[np.zeros(0)] * 4, 0.5, 0.5)
     buckets = max(LEAST_BUCKETS, -(-size // (6 * BUCKET_TOKENS)))  # words of about five letters
     rows = saved(word_rows(learnt, blank, buckets))
+    release_unused(docs.sparkSession)
     before, seats = learn(rows, contexts)
     parts = sums_by_text(_texts(docs, key, text), rows, before, seats, buckets)
     sums = parts.groupBy("key", "body").agg(*[F.sum(c).alias(c) for c in ("tokens", "known", "ends", "base", "score")])
@@ -627,12 +663,12 @@ def sums_by_text(texts: DataFrame, rows: DataFrame, before: Seats, seats: Seats,
 
     def asks(batches):
         for table, tokens in _flushes(batches):
-            words, at = np.unique(tokens.words, return_inverse=True)
+            words, at = _coded(tokens.words)
             ids = seats.ids(words)
             ctx = np.empty(len(at), np.int64)
             ctx[1:] = ids[at[:-1]]
             ctx[tokens.first] = START
-            keys = at.astype(np.int64) << 32 | ctx << 16 | tokens.texts
+            keys = at << 32 | ctx << 16 | tokens.texts
             keys, n = np.unique(keys, return_counts=True)
             home = _bucket(words, buckets)
             salt = int(mixed(table["body"].to_numpy()[:1].view(np.uint64))[0] % np.uint64(HOT_SPREAD))
@@ -644,14 +680,14 @@ def sums_by_text(texts: DataFrame, rows: DataFrame, before: Seats, seats: Seats,
             after = at[late - 1].astype(np.uint64) << np.uint64(40) | at[late].astype(np.uint64) << np.uint64(16) | tokens.texts[late].astype(np.uint64)
             after, times = np.unique(after, return_counts=True)
             context, word = (after >> np.uint64(40)).astype(np.int64), (after >> np.uint64(16) & np.uint64(0xFFFFFF)).astype(np.int64)
-            more = {"far_key": _pair_keys(words[word], words[context]).view(np.int64), "far_doc": (after & np.uint64(0xFFFF)).astype(np.int64)}
+            more = {"far_key": _pair_keys(words[word], words[context]), "far_doc": (after & np.uint64(0xFFFF)).astype(np.int64)}
             more["far_n"] = times.astype(np.int32)
             whole = {c: table[c].combine_chunks() for c in ("key", "body")}
             yield from _packed(words, keys >> 32, own[keys >> 32], values, (context, home[context], more), **whole)
 
     kind = texts.schema["key"].dataType.simpleString()
-    packed = f"bucket int, key array<{kind}>, body array<bigint>, w array<bigint>, runs array<int>, ctx array<smallint>, doc array<smallint>, n array<int>"
-    packed += ", far_key array<bigint>, far_doc array<smallint>, far_n array<int>, far_runs array<int>"
+    packed = f"bucket int, key array<{kind}>, body array<bigint>, w binary, runs binary, ctx binary, doc binary, n binary"
+    packed += ", far_key binary, far_doc binary, far_n binary, far_runs binary"
     asked = texts.mapInArrow(asks, packed)
     copies = F.when(F.col("w").isin(hot.view(np.int64).tolist()), F.lit(min(HOT_SPREAD, buckets))).otherwise(F.lit(1))
     at = F.pmod(F.shiftrightunsigned("w", 20), F.lit(int(buckets)))

@@ -275,15 +275,15 @@ def test_every_word_is_a_context_of_its_own(make_docs, rare_rows, monkeypatch):
     known = py._predictions(rows, before, seats, buckets)
     near, far = (known.filter(f).toPandas() for f in ("w IS NOT NULL", "w IS NULL"))
     assert sorted(near["c"]) == sorted(words.values()) and near["w"].is_unique
-    roots = np.stack(near["root"].to_list())
+    roots = np.stack([np.frombuffer(v) for v in near["root"]])
     unknown = np.array([seats.root(0, 0, s) for s in range(py.SAMPLES)])
     assert np.allclose(roots.sum(0) + unknown, 1)
 
-    h, keys = (np.concatenate(far[c].to_list()).view(np.uint64) for c in ("far", "key"))
-    n, chance = np.concatenate(far["n"].to_list()), np.concatenate(far["chance"].to_list())
+    h, keys = (np.frombuffer(b"".join(far[c]), np.uint64) for c in ("far", "key"))
+    n, chance = np.frombuffer(b"".join(far["n"]), np.int32), np.frombuffer(b"".join(far["chance"]), np.float32)
     assert len(np.unique(keys)) == len(keys)
     number = Counter(c for c, _ in follow)  # distinct words after each context
-    pairs = sum(number.values()) - sum(map(len, near["ctx"]))
+    pairs = sum(number.values()) - sum(len(v) // 2 for v in near["ctx"])
     assert pairs == len(keys) and n.sum() == words.total() - sum(seats.customers[py.START :])
     found, customers, opens, own = py.seat_rare(h, keys, n.astype(np.int64), chance.astype(float), seats.discount)
     top = {int(c) for c in contexts}
@@ -309,10 +309,10 @@ def test_scores_after_rare_words_follow_their_own_contexts(make_docs, rare_rows,
 
     known = py._predictions(rows, before, seats, 16)
     near, far = (known.filter(f).toPandas() for f in ("w IS NOT NULL", "w IS NULL"))
-    root = {int(w) % 2**64: np.array(v) for w, v in zip(near["w"], near["root"])}
-    own = {(int(w) % 2**64, c): v for w, cs, vs in zip(near["w"], near["ctx"], near["own"]) for c, v in zip(cs, vs)}
-    h, keys = (np.concatenate(far[c].to_list()).view(np.uint64) for c in ("far", "key"))
-    n, chance = np.concatenate(far["n"].to_list()).astype(np.int64), np.concatenate(far["chance"].to_list())
+    root = {int(w) % 2**64: np.frombuffer(v) for w, v in zip(near["w"], near["root"])}
+    own = {(int(w) % 2**64, c): v for w, cs, vs in zip(near["w"], near["ctx"], near["own"]) for c, v in zip(np.frombuffer(cs, np.int16), np.frombuffer(vs, np.float32))}
+    h, keys = (np.frombuffer(b"".join(far[c]), np.uint64) for c in ("far", "key"))
+    n, chance = np.frombuffer(b"".join(far["n"]), np.int32).astype(np.int64), np.frombuffer(b"".join(far["chance"]), np.float32)
     found, customers, opens, left = py.seat_rare(h, keys, n, chance.astype(float), seats.discount)
     rare = {int(c): (m, o) for c, m, o in zip(found, customers, opens)}
     of_pair = dict(zip(keys.tolist(), left))
