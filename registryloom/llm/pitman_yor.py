@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from registryloom.llm.common import most_frequent, release_unused, saved, small_batches
+from registryloom.llm.common import most_frequent, release_unused, small_batches, stored
 from registryloom.llm.tables import drawn_tables, expected_tables
 from registryloom.llm.words import Words, bucket_order, flat_lists, list_array, mixed, word_chunks
 
@@ -632,7 +632,7 @@ def score(
     contexts = frequent_words(learnt)
     blank = Seats(contexts, 0, 0, *[np.zeros(0)] * 4, 0.5, 0.5)
     buckets = max(LEAST_BUCKETS, -(-size // (6 * BUCKET_TOKENS)))  # words of about five letters
-    rows = saved(word_rows(learnt, blank, buckets))
+    rows = stored(word_rows(learnt, blank, buckets))
     release_unused(docs.sparkSession)
     before, seats = learn(rows, contexts)
     parts = sums_by_text(_texts(docs, key, text), rows, before, seats, buckets)
