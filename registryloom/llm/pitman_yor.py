@@ -145,9 +145,13 @@ def _flushes(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, Toke
 
 
 def _coded(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct values, in any order, and for each value which one it is."""
+    """The distinct values, sorted, and for each value which one it is."""
     held = pa.array(values).dictionary_encode()
-    return held.dictionary.to_numpy(), held.indices.to_numpy().astype(np.int64)
+    distinct = held.dictionary.to_numpy()
+    order = np.argsort(distinct)
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return distinct[order], rank[held.indices.to_numpy()]
 
 
 def _bucket(words: np.ndarray, n: int) -> np.ndarray:
@@ -594,7 +598,8 @@ def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
         hit = far_words[at] == v if len(far_words) else np.zeros(len(v), bool)
         customers, fresh = np.zeros(len(v)), np.full(len(v), STRENGTH)
         customers[hit], fresh[hit] = far_customers[at[hit]], far_opens[at[hit]]
-        near = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+        by, near = np.argsort(key), np.empty(len(key), np.int64)  # far faster in order
+        near[by] = np.minimum(np.searchsorted(keys, key[by]), max(len(keys) - 1, 0))
         seen = np.where(keys[near] == key, far_own[near], 0.0) if len(keys) else np.zeros(len(v))
         after = np.bincount(far_text, np.log10((seen + fresh) / (STRENGTH + customers)) * far_n, texts)
         total = lambda v: np.bincount(text, v * n, texts)  # noqa: B023, E731
