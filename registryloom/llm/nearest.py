@@ -29,6 +29,8 @@ LIST_RECALL = 0.975
 BLOCK, QUERIES = 2_048, 1_024
 #: Columns scanned before each test, and the test's tolerance in standard deviations.
 COLUMNS, TOLERANCE = 16, 2.5
+#: Queries whose products with a block of columns are held at once.
+TOGETHER = 128
 SEED = 8
 
 
@@ -138,28 +140,46 @@ def scan(index: Index, queries: np.ndarray, candidates: np.ndarray, k: int) -> l
     """For each query the candidates that may be among its ``k`` nearest, by column blocks.
 
     After each block, a candidate goes whose partial distance, scaled to all dimensions, exceeds
-    the k-th best distance known by more than chance allows.
+    the k-th best distance known by more than chance allows. Of those that all blocks leave, the
+    ``k`` nearest stay and what rounding cannot tell from the last of them.
     """
     q, c = index.rotated(queries, query=True), index.rotated(candidates)
     size = c.shape[1]
-    blocks = [(a, min(a + COLUMNS, size)) for a in range(0, size, COLUMNS)]
+    cuts = [*range(0, max(size - COLUMNS, 0) + 1, COLUMNS)]
+    blocks = list(zip(cuts, [*cuts[1:], size]))
     columns = [np.ascontiguousarray(c[:, a:b]) for a, b in blocks]
-    first = _distances(q[:, : blocks[0][1]], columns[0])
+    lengths = [(held**2).sum(1) for held in columns]
+    slack = 1e-9 * index.norm**2 + 1e-12  # far above what rounding does to distances
     out = []
-    for own, partial in zip(q, first):
-        if len(c) <= 2 * k:
-            out.append(np.arange(len(c)))
-            continue
-        seeds = np.argpartition(partial, 2 * k)[: 2 * k]
-        best = np.partition(((c[seeds] - own) ** 2).sum(1), k - 1)[k - 1]
-        alive = np.arange(len(c))
-        for (a, b), held in zip(blocks, columns):
-            if a:
-                partial = partial[keep] + ((held[alive] - own[a:b]) ** 2).sum(1)
-            bound = best * (1 + TOLERANCE / np.sqrt(b)) ** 2 if b < size else best * (1 + 1e-9) + 1e-12
-            keep = np.flatnonzero(partial * (size / b) <= bound)
-            alive = alive[keep]
-        out.append(alive)
+    for begin in range(0, len(q), TOGETHER):
+        some = q[begin : begin + TOGETHER]
+        # While most candidates are left, one product for many queries is cheaper than their rows.
+        whole = [some[:, a:b] @ held.T for (a, b), held in zip(blocks, columns)]
+        own_lengths = np.column_stack([(some[:, a:b] ** 2).sum(1) for a, b in blocks])
+        for i, own in enumerate(some):
+            if len(c) <= 2 * k:
+                out.append(np.arange(len(c)))
+                continue
+            alive, partial = None, np.zeros(len(c))
+            for (a, b), held, length, at_own, products in zip(blocks, columns, lengths, own_lengths[i], whole):
+                if alive is None:
+                    near = products[i]
+                elif 4 * len(alive) > len(c):
+                    length, near = length.take(alive), products[i].take(alive)
+                else:
+                    length, near = length.take(alive), held.take(alive, axis=0) @ own[a:b]
+                partial = partial + (length + at_own - 2 * near)
+                if not a:
+                    seeds = np.argpartition(partial, 2 * k)[: 2 * k]
+                    best = np.partition(((c[seeds] - own) ** 2).sum(1), k - 1)[k - 1]
+                bound = best * (1 + TOLERANCE / np.sqrt(b)) ** 2 if b < size else best
+                keep = np.flatnonzero(partial * (size / b) <= bound + slack)
+                if len(keep) < len(partial):
+                    alive, partial = keep if alive is None else alive.take(keep), partial.take(keep)
+            alive = np.arange(len(c)) if alive is None else alive
+            if len(alive) > k:
+                alive = alive[partial <= np.partition(partial, k - 1)[k - 1] + 2 * slack]
+            out.append(alive)
     return out
 
 

@@ -75,6 +75,20 @@ def test_scan_drops_far_candidates_without_losing_near_ones():
     assert np.mean([len(a) for a in alive]) < 700
 
 
+def test_scan_leaves_the_nearest_alone_and_all_that_are_alike():
+    rng = np.random.default_rng(6)
+    c, q = rng.standard_normal((2000, 64)), rng.standard_normal((150, 64))
+    longest = 3 * c[7]
+    c[100:140] = longest
+    q[3] = longest
+    rotation = np.linalg.qr(rng.standard_normal((65, 65)))[0]
+    index = nearest.Index(float(np.linalg.norm(c, axis=1).max()), rotation, np.zeros((1, 65)), 1)
+    alive = nearest.scan(index, q, c, 10)
+    assert set(range(100, 140)) <= set(alive[3])
+    others = [a for i, a in enumerate(alive) if not np.isin(a, range(100, 140)).any()]
+    assert others and all(len(a) == 10 for a in others)
+
+
 @pytest.mark.parametrize("n", [0, 1, 5])
 def test_few_and_odd_vectors(spark, n):
     rows = [(20 * i, [1.0 + i, 2.0]) for i in range(n)]
