@@ -57,11 +57,12 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """As ``saved``, but in Parquet, which packs lists of small numbers far better than a checkpoint."""
+def stored(df: DataFrame, root: str | None = None) -> DataFrame:
+    """As ``saved``, but in Parquet, which packs numbers far better than a checkpoint; below ``root``
+    if given, which the caller may remove once the rows have served."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/rows"
-    df.write.parquet(path)
+    path = f"{root or shared_dir(spark)}/rows"
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -72,14 +73,15 @@ def release_unused(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def most_frequent(counts: DataFrame, limit: int) -> DataFrame:
-    """The ``limit`` rows of ``counts`` with the largest ``n``; all of them if there are fewer.
+def most_frequent(counts: DataFrame, limit: int, root: str | None = None) -> DataFrame:
+    """The ``limit`` rows of ``counts`` with the largest ``n``; all of them if there are fewer. What is
+    returned reads the counts as ``stored`` has put them, below ``root`` if given.
 
     How many rows are about how frequent is a few hundred numbers, which tell the frequency where
     the limit falls; rows about as frequent are counted by ``n``, and those with one ``n`` by a hash
     of the row, of which fewer than one hash's share are left out. So no task sends a top list.
     """
-    counts = saved(counts)
+    counts = stored(counts, root)
     others = [c for c in counts.columns if c != "n"]
     kept, within, room = F.lit(False), F.lit(True), limit
     for part in (F.floor(F.log2("n") * 16), F.col("n"), F.pmod(F.xxhash64(*others), F.lit(TIES))):

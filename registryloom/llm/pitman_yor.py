@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from registryloom.llm.common import most_frequent, release_unused, small_batches, stored
 from registryloom.llm.tables import drawn_tables, expected_tables
 from registryloom.llm.words import Words, bucket_order, flat_lists, list_array, mixed, word_chunks
+from registryloom.sources.tables import remove_dir, shared_dir
 
 #: Words whose contexts are known everywhere; ids fit two bytes with the two contexts below them. Of
 #: all other contexts, ``RARE``, each has a restaurant of its own where its word is.
@@ -172,7 +173,9 @@ def frequent_words(texts: DataFrame) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(words.view(np.int64)), pa.array(n)], ["w", "n"])
 
     counts = texts.select("text").mapInArrow(count, "w bigint, n bigint").groupBy("w").agg(F.sum("n").alias("n"))
-    top = most_frequent(counts, CONTEXTS).select("w").toPandas()["w"]
+    spark, place = texts.sparkSession, shared_dir(texts.sparkSession)
+    top = most_frequent(counts, CONTEXTS, place).select("w").toPandas()["w"]
+    remove_dir(spark, place)  # a row a word of the corpus, which would lie there to the end
     return np.sort(top.to_numpy(np.int64).view(np.uint64))
 
 

@@ -1,6 +1,7 @@
 import math
 import random
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,7 @@ from registryloom.llm.common import most_frequent, saved
 from registryloom.llm.tables import expected_tables
 from registryloom.llm.tables import random_pair as _random
 from registryloom.llm.words import mixed
+from registryloom.sources import tables as sources
 
 from .conftest import sentence, words_of
 
@@ -340,3 +342,11 @@ def test_scores_after_rare_words_follow_their_own_contexts(make_docs, rare_rows,
 
 def _arrow(rows):
     return pa.RecordBatch.from_pylist([{"key": k, "text": t} for k, t in rows])
+
+
+def test_counts_of_all_words_are_removed_once_they_have_served(spark):
+    before = len(sources._named)
+    words = py.frequent_words(py._texts(spark.createDataFrame([(1, "a b a"), (2, "c")], "doc_id long, text string"), "doc_id", "text"))
+    assert len(words) == 3
+    places = sources._named[before:]
+    assert places and not any(Path(p.removeprefix("file:")).exists() for p in places)
