@@ -18,6 +18,7 @@ import os
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,9 @@ from registryloom.llm.word_bpe import byte_letters
 from registryloom.llm.words import flat_lists, held, list_array, string_chunks
 from registryloom.sources.tables import shared_dir
 
-#: Bytes of text that are aligned at once, unless one text is longer.
-ALIGN_BYTES = 2_000_000
+#: Bytes and texts that are aligned at once, unless one text is longer: each distinct part of them is
+#: encoded once, so more texts cost less a byte.
+ALIGN_BYTES, ALIGN_ROWS = 3_500_000, 2_000
 #: Id pairs whose counts every task holds, by count over the whole corpus; texts meet the counts
 #: of all rarer pairs by a join, in which no pair can be hot.
 HELD_PAIRS = 400_000
@@ -75,8 +77,17 @@ class ByteTokenizer:
             self.bytes = [held.get(i, added.get(i, b"")) for i in range(max([*held, *added]) + 1)]
         self.lengths = np.array([len(b) for b in self.bytes], np.int64)
 
-    def joined(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.bytes.__getitem__, ids))
+    def fits(self, ids: list[list[int]], raw: list[bytes]) -> np.ndarray:
+        """Whether the bytes of each list of ids are the ones given."""
+        joined = b"".join(map(self.bytes.__getitem__, chain.from_iterable(ids)))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64)
+        token_ends = np.concatenate([[0], np.cumsum(self.lengths[flat])])
+        ends = token_ends[np.cumsum([0, *map(len, ids)])]
+        wanted = np.cumsum([0, *map(len, raw)])
+        if joined == b"".join(raw) and np.array_equal(ends, wanted):
+            return np.ones(len(raw), bool)
+        cuts = ends.tolist()
+        return np.array([joined[x:y] == r for x, y, r in zip(cuts[:-1], cuts[1:], raw)], bool)
 
 
 def _piece_bytes(model, i: int) -> bytes:
@@ -162,7 +173,7 @@ def aligned(a: ByteTokenizer, b: ByteTokenizer, ids_a: list[list[int]], ids_b: l
 
     def line(coder: ByteTokenizer, ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         first = np.concatenate([[0], np.cumsum([len(i) for i in ids], dtype=np.int64)])
-        flat = np.fromiter((i for own in ids for i in own), np.int64, int(first[-1]))
+        flat = np.fromiter(chain.from_iterable(ids), np.int64, int(first[-1]))
         return flat, np.cumsum(coder.lengths[flat]), first
 
     flat_a, ends_a, first_a = line(a, ids_a)
@@ -234,16 +245,15 @@ def aligned_texts(a: ByteTokenizer, b: ByteTokenizer, texts: list[str]) -> tuple
     place = {p: i for i, p in enumerate(set().union(*split))}
     ids_a = a.encode([p if a.lead else p[1:] for p in place])
     ids_b = b.encode([p if b.lead else p[1:] for p in place])
-    fits = np.ones(len(place), bool)
-    for i, p in enumerate(place):
-        raw = p.encode()
-        if a.joined(ids_a[i]) != raw or b.joined(ids_b[i]) != raw:
-            ids_a[i], ids_b[i], fits[i] = [], [], False
+    raw = [p.encode() for p in place]
+    fits = a.fits(ids_a, raw) & b.fits(ids_b, raw)
+    for i in np.flatnonzero(~fits):
+        ids_a[i], ids_b[i] = [], []
     m = aligned(a, b, ids_a, ids_b)
 
     # Texts by parts, without those of which any part does not fit.
     first = np.concatenate([[0], np.cumsum([len(s) for s in split], dtype=np.int64)])
-    flat = np.fromiter((place[p] for s in split for p in s), np.int64, int(first[-1]))
+    flat = np.fromiter(map(place.__getitem__, chain.from_iterable(split)), np.int64, int(first[-1]))
     bad = np.diff(np.concatenate([[0], np.cumsum(~fits[flat])])[first]) > 0
     split = [[] if x else s for s, x in zip(split, bad.tolist())]
     cell = np.repeat(np.arange(len(texts)), np.diff(first)) * max(len(place), 1) + flat
@@ -281,7 +291,7 @@ def align(docs: DataFrame, first: TokenizerFile, second: TokenizerFile, key: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = held((first, second), lambda: (ByteTokenizer(first), ByteTokenizer(second)))
-        for batch, texts in string_chunks(batches, "text", ALIGN_BYTES):
+        for batch, texts in string_chunks(batches, "text", ALIGN_BYTES, ALIGN_ROWS):
             counts, groups, by_pair, names = aligned_texts(a, b, texts)
             columns = [batch.column("key"), *map(pa.array, counts), pa.array(groups, pa.string())]
             columns += [list_array(names[by_pair.columns], by_pair.starts), list_array(by_pair.values.astype(np.int32), by_pair.starts)]

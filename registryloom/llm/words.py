@@ -137,10 +137,10 @@ def word_chunks(batches: Iterator[pa.RecordBatch], text: str = "text") -> Iterat
 
 
 def string_chunks(
-    batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = CHUNK_BYTES
+    batches: Iterator[pa.RecordBatch], text: str = "text", most_bytes: int = CHUNK_BYTES, most_rows: int = CHUNK_ROWS
 ) -> Iterator[tuple[pa.RecordBatch, list[str]]]:
     """Slices of the batches with their texts as strings; a null text is empty."""
-    for batch, data, offsets in text_slices(batches, text, most_bytes):
+    for batch, data, offsets in text_slices(batches, text, most_bytes, most_rows):
         whole = data.tobytes()
         yield batch, [whole[a:b].decode() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
 

@@ -3,6 +3,7 @@ from collections import Counter
 from functools import cache
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -14,6 +15,7 @@ from registryloom.llm import alignment, sparse
 from registryloom.llm.alignment import ByteTokenizer, align, aligned, with_pair_counts
 from registryloom.llm.sparse import Rows, product, row_products, turned, work
 from registryloom.llm.token_counts import TokenizerFile
+from registryloom.llm.words import string_chunks
 from tests.llm.conftest import sentence
 
 A, B = "byte_bpe_50k.json", "piece_bpe_32k.model"
@@ -205,3 +207,21 @@ def test_texts_cut_anywhere(text):
     (ids_a, ids_b, links, groups) = brute([text])[0]
     assert (n_a, n_b, n_groups, n_links) == (len(ids_a), len(ids_b), len(groups), len(links))
     assert alignment.aligned_texts(a, b, [text])[1] == [";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)]
+
+
+def test_many_texts_are_aligned_at_once():
+    batch = pa.RecordBatch.from_pydict({"text": ["few words"] * 1_900})
+    chunks = list(string_chunks(iter([batch]), "text", alignment.ALIGN_BYTES, alignment.ALIGN_ROWS))
+    assert [len(texts) for _, texts in chunks] == [1_900]
+
+
+@pytest.mark.parametrize("name", [A, B])
+def test_bytes_of_many_texts_are_told_apart(name):
+    coder = ByteTokenizer(TokenizerFile.load(public_tokenizers.path(name)))
+    ids = coder.encode([" one two", " three"] if coder.lead else ["one two", "three"])
+    whole = [b" one two", b" three"]
+    assert coder.fits(ids, whole).tolist() == [True, True]
+    assert coder.fits(ids[::-1], whole).tolist() == [False, False]
+    assert coder.fits([[], ids[1]], [b"", b" three"]).tolist() == [True, True]
+    assert coder.fits([ids[0], ids[1]], [b" one two t", b"hree"]).tolist() == [False, False]
+    assert coder.fits([], []).tolist() == []
