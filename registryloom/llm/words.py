@@ -37,11 +37,10 @@ def held(key: object, make: Callable[[], object]) -> object:
 
 
 def release() -> None:
-    """Give back what an earlier operator has left in this worker, to the machine too."""
-    if not _held:
-        return
-    _held.clear()
-    gc.collect()
+    """Give back what an earlier operator or task has left in this worker, to the machine too."""
+    if _held:
+        _held.clear()
+        gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # where the C library has it
         ctypes.CDLL(None).malloc_trim(0)
