@@ -86,8 +86,13 @@ class Lexicon:
         self.keys, self.targets, self.skips, self.final, self.offsets, self.ids = parts
 
     def find(self, words: Sequence[bytes]) -> list[list[int] | None]:
-        """The ids of each word, or None; all words walk the automaton side by side."""
-        found: list[list[int] | None] = [None] * len(words)
+        """The ids of each word, or None."""
+        return [None if ids is None else np.frombuffer(ids, "<u4").tolist() for ids in self.packed(words)]
+
+    def packed(self, words: Sequence[bytes]) -> list[bytes | None]:
+        """The ids of each word as little-endian unsigned 32-bit numbers, or None; all words walk the
+        automaton side by side."""
+        found: list[bytes | None] = [None] * len(words)
         at = np.array([i for i, w in enumerate(words) if len(w) <= self.longest], np.int64)
         if not len(at) or not len(self.keys):
             return found
@@ -112,6 +117,9 @@ class Lexicon:
         rows = np.flatnonzero((state >= 0) & (length > 0))
         rows = rows[self.final[state[rows]] != 0]
         begin, end = self.offsets[number[rows]], self.offsets[number[rows] + 1]
-        for row, a, b in zip(at[rows].tolist(), begin.tolist(), end.tolist()):
-            found[row] = self.ids[a:b].tolist()
+        ends = np.cumsum(end - begin)
+        starts = ends - (end - begin)
+        whole = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(begin - starts, end - begin)].astype("<u4").tobytes()
+        for row, a, b in zip(at[rows].tolist(), (starts * 4).tolist(), (ends * 4).tolist()):
+            found[row] = whole[a:b]
         return found

@@ -11,8 +11,9 @@ import json
 import struct
 import unicodedata
 import uuid
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -32,7 +33,7 @@ LEXICON_WORDS = 200_000
 LEXICON_CHARS = 32
 #: Bytes of words and stretches between blanks whose ids, or counts, a worker keeps at hand; as
 #: many again that it has kept before.
-MEMO_BYTES = 24_000_000
+MEMO_BYTES = 32_000_000
 #: Bytes that an entry takes besides its letters and ids.
 ENTRY_BYTES = 200
 #: Longer stretches are encoded where they occur and not kept.
@@ -87,10 +88,15 @@ class Merger:
         return self._merge_short(ids) if len(ids) <= SHORT_WORD else self._merge_long(ids)
 
     def merge_many(self, words: list[str]) -> list[list[int]]:
-        """``merge`` of each word; words of about one length are merged side by side."""
+        """``merge`` of each word."""
+        return [np.frombuffer(ids, "<u4").tolist() for ids in self.merge_packed(words)]
+
+    def merge_packed(self, words: list[str]) -> list[bytes]:
+        """``merge`` of each word, as little-endian unsigned 32-bit numbers; words of about one length
+        are merged side by side."""
         raw = [w.encode("utf-8", "surrogatepass") for w in words]
         sizes = np.fromiter(map(len, raw), np.int64, len(raw))
-        out: list[list[int]] = [[]] * len(raw)
+        out = [b""] * len(raw)
         low = 0
         for high in SIDE_BY_SIDE if self._whole else ():
             at = np.flatnonzero((sizes > low) & (sizes <= high))
@@ -100,7 +106,8 @@ class Merger:
                     out[i] = ids
             low = high
         for i in np.flatnonzero(sizes > low).tolist():
-            out[i] = self.merge(words[i])
+            ids = self.merge(words[i])
+            out[i] = struct.pack(f"<{len(ids)}I", *ids)
         return out
 
     def _rank_of(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -110,7 +117,7 @@ class Merger:
         held = (self._pairs[at] == pair) & (left >= 0) & (right >= 0)
         return np.where(held, self._ranks[at], len(self.made)).astype(np.int32)
 
-    def _side_by_side(self, raw: list[bytes], sizes: np.ndarray, width: int) -> list[list[int]]:
+    def _side_by_side(self, raw: list[bytes], sizes: np.ndarray, width: int) -> list[bytes]:
         """All words take their first best pair at once, until none has any; -1 fills up the rows."""
         place, rows, none = np.arange(width), np.arange(len(raw)), len(self.made)
         grid = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in raw), np.uint8).reshape(len(raw), width)
@@ -141,8 +148,9 @@ class Merger:
             before = np.flatnonzero(at > 0)
             p = at[before] - 1
             ranks[before, p] = self._rank_of(ids[before, p], ids[before, p + 1])
-        lengths = (out >= 0).sum(1).tolist()
-        return [row[:n] for row, n in zip(out.tolist(), lengths)]
+        begins = np.arange(len(out)) * out.shape[1] * 4
+        ends, whole = begins + (out >= 0).sum(1) * 4, out.astype("<i4").tobytes()
+        return [whole[a:b] for a, b in zip(begins.tolist(), ends.tolist())]
 
     def _merge_short(self, ids: list[int]) -> list[int]:
         rank, made, none = self.rank.get, self.made, len(self.made)
@@ -201,6 +209,19 @@ def _plain_words(text: str) -> list[str]:
     return _WORDS.findall(_SPACES.sub(" ", text))
 
 
+def split_many(texts: Sequence[str], special: regex.Pattern) -> list[list[str]]:
+    """``split_words`` of each text, none of which has a blank; case and normal form are changed at once."""
+    whole = "\n".join(texts)
+    if special.search(whole):
+        return [split_words(t, special) for t in texts]
+    if not whole.isascii():
+        whole = unicodedata.normalize("NFC", whole).replace("Σ", "σ")
+    return [
+        [t] if t.isalpha() else [t[:-1], t[-1]] if t[-1:] in _MARKS and t[:-1].isalpha() else _WORDS.findall(t)
+        for t in whole.lower().split("\n")
+    ]
+
+
 def special_pattern(special: Sequence[str]) -> regex.Pattern:
     return regex.compile(f"({'|'.join(map(regex.escape, special))})")
 
@@ -220,25 +241,27 @@ def _loaded(spec: str) -> tuple[Merger, regex.Pattern]:
 def word_counts(docs: DataFrame, spec: str, text: str = "text") -> DataFrame:
     """``word, n``: how often each pre-token occurs in all texts; special strings are left out."""
 
-    def flushed(seen: Counter, special: regex.Pattern) -> pa.RecordBatch:
-        words: Counter = Counter()
-        for stretch, n in seen.items():
-            for w in split_words(stretch, special):
+    def flushed(seen: Counter, special: regex.Pattern, names: set[str]) -> pa.RecordBatch:
+        words: defaultdict[str, int] = defaultdict(int)
+        for own, n in zip(split_many(list(seen), special), seen.values()):
+            for w in own:
                 words[w] += n
-        plain = [w for w in words if not special.fullmatch(w)]
-        columns = [pa.array(plain, pa.string()), pa.array([words[w] for w in plain], pa.int64())]
+        for name in names & words.keys():
+            del words[name]
+        columns = [pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())]
         return pa.RecordBatch.from_arrays(columns, ["word", "n"])
 
     def count(batches):
-        special = held(("special", spec), lambda: special_pattern([a["content"] for a in json.loads(spec)["added_tokens"]]))
+        names = held(("special", spec), lambda: {a["content"] for a in json.loads(spec)["added_tokens"]})
+        special = special_pattern([*names])
         seen: Counter = Counter()
         for _, texts in string_chunks(batches):
             for t in texts:
                 seen.update(stretches(t))
             if len(seen) * ENTRY_BYTES > MEMO_BYTES or len(texts) == 1:
-                yield flushed(seen, special)
+                yield flushed(seen, special, names)
                 seen.clear()
-        yield flushed(seen, special)
+        yield flushed(seen, special, names)
 
     column = small_batches(docs).select(F.col(text).cast("string").alias("text"))
     counted = column.mapInArrow(count, "word string, n bigint")
@@ -279,9 +302,9 @@ class Encoder:
 
     def _missing(self, wanted: set[str]) -> list[str]:
         """Those of ``wanted`` that memory lacks; what an earlier memory holds comes back."""
-        missing = wanted - self.known.keys()
-        again = missing & self.older.keys()
-        self.known.update((s, self.older[s]) for s in again)
+        missing = wanted.difference(self.known)  # looks up what is wanted, not all that is known
+        again = missing.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
         self.size += ENTRY_BYTES * len(again)
         return list(missing - again)
 
@@ -294,22 +317,24 @@ class Encoder:
         if self.size > MEMO_BYTES:
             self.older, self.known, self.size = self.known, {}, 0
         new = self._missing(wanted)
-        split = [split_words(s, self.special) for s in new]
-        words = self._missing(set().union(*split))
+        split = split_many(new, self.special) if new else []
+        words = self._missing(set(chain.from_iterable(split)))
         self._keep(words, self._word_ids(words))
-        parted = [(s, own) for s, own in zip(new, split) if own != [s]]
         known = self.known.__getitem__
-        self._keep([s for s, _ in parted], [b"".join(map(known, own)) for _, own in parted])
+        parted = [i for i, own in enumerate(split) if len(own) != 1 or own[0] is not new[i] and own[0] != new[i]]
+        joined = [known(o[0]) + known(o[1]) if len(o) == 2 else b"".join(map(known, o)) for o in map(split.__getitem__, parted)]
+        self._keep(list(map(new.__getitem__, parted)), joined)
 
     def _word_ids(self, words: list[str]) -> list[bytes]:
-        found = self.lexicon.find([w.encode("utf-8", "surrogatepass") for w in words])
-        for i, w in enumerate(words):
-            if w in self.merger.special:
-                found[i] = [self.merger.special[w]]
+        found = self.lexicon.packed([w.encode("utf-8", "surrogatepass") for w in words])
+        if not self.merger.special.keys().isdisjoint(words):
+            for i, w in enumerate(words):
+                if w in self.merger.special:
+                    found[i] = struct.pack("<I", self.merger.special[w])
         unseen = [i for i, ids in enumerate(found) if ids is None]
-        for i, ids in zip(unseen, self.merger.merge_many([words[i] for i in unseen])):
+        for i, ids in zip(unseen, self.merger.merge_packed([words[i] for i in unseen])):
             found[i] = ids
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in found]
+        return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, as little-endian unsigned 32-bit numbers."""

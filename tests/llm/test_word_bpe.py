@@ -89,6 +89,27 @@ def test_words_merged_side_by_side_are_those_merged_alone(spec):
     assert merger.merge_many([]) == []
 
 
+def test_stretches_split_at_once_are_those_split_alone(spec):
+    _, special = word_bpe._loaded(spec)
+    rng = random.Random(6)
+    made = ["".join(rng.choices([*"aBcΣσ\u0301'.,1_é日İ", "A\u030a"], k=rng.randrange(1, 8))) for _ in range(900)]
+    plain = [*made, *(s for t in ODD for s in word_bpe.stretches(t) if not special.search(s))]
+    for texts in (plain, [t for t in plain if t.isascii()], [*plain, "a<|endoftext|>B"], ["Σ"]):
+        assert word_bpe.split_many(texts, special) == [word_bpe.split_words(t, special) for t in texts]
+
+
+def test_a_look_into_memory_goes_through_what_is_wanted_alone(spec, tmp_path):
+    class Held(dict):
+        def keys(self):
+            raise AssertionError("goes through all that is known")
+
+    path = tmp_path / "x.npy"
+    path.write_bytes(build({b"the": [1, 2]}))
+    encoder = word_bpe.Encoder(*word_bpe._loaded(spec), Lexicon(str(path)))
+    encoder.known, encoder.older = Held(a=b""), Held(b=b"")
+    assert encoder._missing({"a", "b", "c"}) == ["c"] and set(encoder.known) == {"a", "b"}
+
+
 def test_memory_turns_over_and_drops_long_stretches(spec, library, tmp_path, monkeypatch):
     monkeypatch.setattr(word_bpe, "MEMO_BYTES", 20_000)
     path = tmp_path / "x.npy"
