@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from registryloom.llm.common import most_frequent, release_unused, small_batches, stored
 from registryloom.llm.tables import drawn_tables, expected_tables
-from registryloom.llm.words import Words, bucket_order, flat_lists, list_array, mixed, word_chunks
+from registryloom.llm.words import Words, bucket_order, flat_lists, list_array, mixed, release, word_chunks
 from registryloom.sources.tables import remove_dir, shared_dir
 
 #: Words whose contexts are known everywhere; ids fit two bytes with the two contexts below them. Of
@@ -44,8 +44,9 @@ STRENGTH, ROOT_STRENGTH = 1.0, 1.0
 #: Rounds that exchange tables between words, sweeps before the first sample of a round, and samples
 #: that predictions average.
 ROUNDS, BURN_IN, SAMPLES = 2, 2, 3
-#: Pairs of word and context whose seatings a task holds at once, about.
-SLICE_PAIRS = 150_000
+#: Pairs of word and context whose seatings a task holds at once, about, and values of a bucket's
+#: words that it sums up, or pairs of its rare contexts that it seats, at once.
+SLICE_PAIRS, RANGE_VALUES = 150_000, 400_000
 #: Tokens that a task counts before it passes sums on, and that share a bucket of words, about.
 FLUSH_TOKENS, FLUSH_TEXTS, BUCKET_TOKENS = 1_000_000, 30_000, 4_000_000
 LEAST_BUCKETS = 16
@@ -215,16 +216,21 @@ def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
             values = {"ctx": ctx.astype(np.int16), "n": n.astype(np.int32), "far": hashes}
             yield from _packed(words, place, of_value, values)
 
-    def gather(table: pa.Table) -> pa.Table:
-        words, at = _coded(_values(table["w"], np.uint64))
-        runs, ctx, n = (_values(table[c], kind).astype(np.int64) for c, kind in (("runs", np.int32), ("ctx", np.int16), ("n", np.int32)))
-        far, which = _coded(_values(table["far"], np.int64))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
+        for values in _word_ranges(batches):
+            yield summed(**values)
+
+    def summed(w: np.ndarray, runs: np.ndarray, ctx: np.ndarray, n: np.ndarray, far: np.ndarray) -> pa.RecordBatch:
+        words, at = _coded(w)
+        ctx = ctx.astype(np.int64)
+        far, which = _coded(far)
         at = np.repeat(at, runs)
         apart = (ctx == RARE) & (seats.word_ids(words) != RARE)[at]
         ctx[ctx == RARE] = k + which
         key = (at << 1 | apart) << 32 | ctx
         order = np.argsort(key)
-        key, n = key[order], n[order]
+        key, n = key[order], n[order].astype(np.int64)
         new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         key, total = key[new], np.add.reduceat(n, new)
         rows = np.unique(key >> 32)
@@ -232,13 +238,13 @@ def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
         begin = np.searchsorted(key >> 32, np.append(rows, rows[-1] + 1))
         ctx = key & 0xFFFFFFFF
         rare = ctx >= k
-        return pa.table({
+        return pa.RecordBatch.from_pydict({
             "w": words.view(np.int64)[rows >> 1],
             "c": np.diff(np.concatenate([[0], np.cumsum(total)])[begin]),
             "ctx": list_array(np.where(rare, RARE, ctx).astype(np.int16), begin),
             "n": list_array(total, begin),
             "far": list_array(far[ctx[rare] - k], np.concatenate([[0], np.cumsum(rare)])[begin]),
-            "apart": (rows & 1).astype(bool),
+            "apart": pa.array((rows & 1).astype(bool)),
         })
 
     packed = "bucket int, w binary, runs binary, ctx binary, n binary, far binary"
@@ -246,6 +252,28 @@ def word_rows(texts: DataFrame, seats: Seats, buckets: int) -> DataFrame:
     return rows.applyInArrow(gather, "w bigint, c bigint, ctx array<smallint>, n array<bigint>, far array<bigint>, apart boolean")
 
 
+def _word_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    """The values of a bucket of words as tasks have sent them, by ranges of words with about
+    ``RANGE_VALUES`` each. A word's values come together, and words in order."""
+    kinds = {"w": np.uint64, "runs": np.int32, "ctx": np.int16, "n": np.int32, "far": np.int64}
+    rows = [{c: _numbers(batch.column(c)[i], kind) for c, kind in kinds.items()} for batch in batches for i in range(len(batch))]
+    ranges = max(-(-sum(len(r["ctx"]) for r in rows) // RANGE_VALUES), 1)
+    places = [(0, 0, 0)] * len(rows)
+    for part in range(1, ranges + 1):
+        found: dict[str, list[np.ndarray]] = {c: [] for c in kinds}
+        for i, (r, (word, value, far)) in enumerate(zip(rows, places)):
+            to = len(r["w"]) if part == ranges else int(np.searchsorted(r["w"], np.uint64((part << 64) // ranges)))
+            end = value + int(r["runs"][word:to].sum())
+            last = far + int((r["ctx"][value:end] == RARE).sum())
+            own = {"w": slice(word, to), "runs": slice(word, to), "ctx": slice(value, end), "n": slice(value, end), "far": slice(far, last)}
+            for c, where in own.items():
+                found[c].append(r[c][where])
+            places[i] = to, end, last
+        values = {c: np.concatenate(v) for c, v in found.items()}
+        if len(values["w"]):
+            yield values
+
+
 def _packed(
     words: np.ndarray, place: np.ndarray, of_value: np.ndarray, values: dict[str, np.ndarray],
     more: tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]] | None = None, **whole
@@ -305,9 +333,21 @@ def _bytes(values: np.ndarray, offsets: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, places, pa.py_buffer(np.ascontiguousarray(values))])
 
 
+def _numbers(held: pa.BinaryScalar, kind: np.dtype | type) -> np.ndarray:
+    """The numbers that one row has the bytes of, where they lie."""
+    buffer = held.as_buffer()
+    return np.frombuffer(buffer, kind) if buffer.size else np.empty(0, kind)
+
+
 def _values(column: pa.Array | pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
     """The numbers in a column of their bytes, one row after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), kind)
+    chunks = column.chunks if isinstance(column, pa.ChunkedArray) else [column]
+    found = [np.empty(0, np.uint8)]
+    for chunk in chunks:
+        if len(chunk) and chunk.buffers()[2] is not None:
+            ends = np.frombuffer(chunk.buffers()[1], np.int32)[chunk.offset : chunk.offset + len(chunk) + 1]
+            found.append(np.frombuffer(chunk.buffers()[2], np.uint8)[ends[0] : ends[-1]])
+    return np.concatenate(found).view(kind)
 
 
 def _counts(column: pa.Array | pa.ChunkedArray, kind: np.dtype | type) -> np.ndarray:
@@ -547,31 +587,51 @@ def _predictions(rows: DataFrame, before: Seats, seats: Seats, buckets: int) ->
     return rows.mapInArrow(run, f"{kind}, far binary, key binary, n binary, chance binary")
 
 
+def _rare_ranges(rare: pa.Table, discount: float) -> tuple[np.ndarray, ...]:
+    """``seat_rare`` of a bucket's rare contexts, some contexts at once: contexts in order, their
+    customers and what opens a table there; keys of pairs in order, and how many times the word's
+    probability in the parent the customers less the discount of their tables make."""
+    far, keys = (_values(rare[c], np.uint64) for c in ("far", "key"))
+    n, chance = _values(rare["n"], np.int32), _values(rare["chance"], np.float32)
+    ranges = max(-(-len(far) // RANGE_VALUES), 1)
+    contexts, own = [], np.empty(len(far))
+    bounds = np.array([(i << 64) // ranges for i in range(1, ranges)], np.uint64)
+    part = np.searchsorted(bounds, far, side="right").astype(np.int16)
+    for i in range(ranges):
+        at = np.flatnonzero(part == i)
+        likely = chance[at].astype(float)
+        *of_contexts, left = seat_rare(far[at], keys[at], n[at].astype(np.int64), likely, discount)
+        contexts.append(of_contexts)
+        own[at] = left / np.maximum(likely, 1e-300)
+    by = np.argsort(keys)
+    return *(np.concatenate(v) for v in zip(*contexts)), keys[by], own[by]
+
+
 def _score_bucket(asked: pa.Table, known: pa.Table, seats: Seats) -> pa.Table:
     """Sums by text over the tokens of one bucket of words, and the tokens after its rare contexts.
 
     The probability of a token after a rare context is a product: that of its word in the parent,
     and how many times that the context makes of it.
     """
-    rare = known.filter(known["w"].is_null())
-    known = known.filter(known["w"].is_valid())
-    far, keys = (_values(rare[c], np.uint64) for c in ("far", "key"))
-    n, chance = _values(rare["n"], np.int32).astype(np.int64), _values(rare["chance"], np.float32).astype(float)
-    far_words, far_customers, far_opens, far_own = seat_rare(far, keys, n, chance, seats.discount)
-    by = np.argsort(keys)
-    keys, far_own = keys[by], (far_own / np.maximum(chance, 1e-300))[by]
+    release()
+    apart = known["w"].is_null()
+    rare = known.select(["far", "key", "n", "chance"]).filter(apart)
+    known = known.select(["w", "c", "root", "ctx", "own"]).filter(known["w"].is_valid())
+    far_words, far_customers, far_opens, keys, far_own = _rare_ranges(rare, seats.discount)
+    del rare
 
     order = np.argsort(known["w"].to_numpy().view(np.uint64))
     words = known["w"].to_numpy().view(np.uint64)[order]
     count = known["c"].to_numpy()[order]
     roots = _values(known["root"], float).reshape(-1, SAMPLES)[order]
     ctx, runs = _values(known["ctx"], np.int16).astype(np.int64), _counts(known["ctx"], np.int16)
-    own = _values(known["own"], np.float32).astype(float)
+    own = _values(known["own"], np.float32)
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     pairs = np.repeat(place, runs) << 16 | ctx
     by = np.argsort(pairs)
     pairs, own = pairs[by], own[by]
+    del known, ctx, runs, by
     unknown = np.array([seats.root(0, 0, s) for s in range(SAMPLES)])
     opens = (STRENGTH + seats.discount * seats.tables) / SAMPLES
     opens[:, RARE] = 1 / SAMPLES

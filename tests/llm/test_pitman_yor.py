@@ -350,3 +350,48 @@ def test_counts_of_all_words_are_removed_once_they_have_served(spark):
     assert len(words) == 3
     places = sources._named[before:]
     assert places and not any(Path(p.removeprefix("file:")).exists() for p in places)
+
+
+def test_a_bucket_is_summed_by_ranges_of_whole_words(monkeypatch):
+    """What tasks have sent of a bucket is never worked on at once."""
+    monkeypatch.setattr(py, "RANGE_VALUES", 500)
+    rng = np.random.default_rng(11)
+    vocabulary = np.unique(rng.integers(0, 2**64, 900, np.uint64))
+    rows, want = [], Counter()
+    for _ in range(7):
+        words = np.sort(rng.choice(vocabulary, 300, replace=False))
+        runs = rng.integers(1, 9, 300).astype(np.int32)
+        ctx = rng.integers(0, 5, runs.sum()).astype(np.int16)
+        n, far = rng.integers(1, 9, len(ctx)).astype(np.int32), rng.integers(0, 2**62, (ctx == py.RARE).sum())
+        hashes = np.zeros(len(ctx), np.int64)
+        hashes[ctx == py.RARE] = far
+        for key in zip(np.repeat(words, runs).tolist(), ctx.tolist(), n.tolist(), hashes.tolist()):
+            want[key] += 1
+        rows.append({c: v.tobytes() for c, v in (("w", words), ("runs", runs), ("ctx", ctx), ("n", n), ("far", far))})
+    empty = dict.fromkeys(rows[0], b"")
+    batches = [pa.RecordBatch.from_pylist(some) for some in (rows[:4], [empty], rows[4:])]
+    got, last, ranges = Counter(), -1, 0
+    for v in py._word_ranges(iter(batches)):
+        hashes = np.zeros(len(v["ctx"]), np.int64)
+        hashes[v["ctx"] == py.RARE] = v["far"]
+        got.update(zip(np.repeat(v["w"], v["runs"]).tolist(), v["ctx"].tolist(), v["n"].tolist(), hashes.tolist()))
+        assert int(v["w"].min()) > last and len(v["ctx"]) < 2 * 500
+        last, ranges = int(v["w"].max()), ranges + 1
+    assert got == want and ranges > 10
+
+
+def test_rare_contexts_are_seated_by_ranges_alike(monkeypatch):
+    rng = np.random.default_rng(12)
+    far = rng.choice(rng.integers(0, 2**64, 400, np.uint64), 5_000)
+    keys, n = rng.integers(0, 2**64, 5_000, np.uint64), rng.integers(1, 6, 5_000)
+    chance = rng.random(5_000).astype(np.float32)
+    values = {"far": far, "key": keys, "n": n.astype(np.int32), "chance": chance}
+    sent = pa.table({c: pa.array([v[:2_000].tobytes(), v[2_000:].tobytes()]) for c, v in values.items()})
+    found, customers, opens, own = py.seat_rare(far, keys, n, chance.astype(float), 0.6)
+    by = np.argsort(keys)
+    want = found, customers, opens, keys[by], (own / chance)[by]
+    monkeypatch.setattr(py, "RANGE_VALUES", 300)
+    for a, b in zip(py._rare_ranges(sent, 0.6), want, strict=True):
+        assert np.allclose(a, b, rtol=1e-12, atol=0) if a.dtype == float else (a == b).all()
+    none = py._rare_ranges(sent.slice(0, 0), 0.6)
+    assert [len(v) for v in none] == [0] * 5
