@@ -15,7 +15,7 @@ tasks, which return no more links than join components.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
+from functools import cached_property, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +36,8 @@ TABLE_BITS = 27
 #: Shingles that a task counts at once, that a bucket of signatures stands for, and shingles and
 #: texts that a task holds before it passes on.
 COUNT_SHINGLES, BUCKET_SHINGLES, FLUSH_SHINGLES, FLUSH_TEXTS = 1_000_000, 3_000_000, 1_200_000, 30_000
+#: Shingles whose signatures a task makes at once, about.
+SIGN_SHINGLES = 150_000
 #: A signature that so many texts of one flush share is not sent text by text to one place.
 LOCAL_HOT = 256
 #: Rounds that compare a group's members with one of them.
@@ -59,7 +61,11 @@ class Sets:
     def __init__(self, hashes: np.ndarray, first: np.ndarray):
         self.hashes, self.first = hashes, first
         self.n = np.diff(first)
-        self.owner = np.repeat(np.arange(len(self.n)), self.n)
+
+    @cached_property
+    def owner(self) -> np.ndarray:
+        """The text that each shingle belongs to."""
+        return np.repeat(np.arange(len(self.n)), self.n)
 
     @classmethod
     def of(cls, words: Words) -> Sets:
@@ -137,17 +143,19 @@ def frequent_table(texts: DataFrame, shingles: int) -> Broadcast:
 
     def count(batches):
         for _, sets in _flushes(batches):
-            hashes, n = np.unique(sets.hashes, return_counts=True)
-            bucket = hashes >> np.uint64(64 - k)
-            tails = (hashes >> np.uint64(24 - k)) & np.uint64((1 << 40) - 1)
-            tails = np.ascontiguousarray(tails.view(np.uint8).reshape(-1, 8)[:, :5])
-            cut = np.searchsorted(bucket, np.arange((1 << k) + 1))
+            hashes = sets.hashes
+            hashes.sort()
+            begin = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]])[: len(hashes)])
+            n = np.diff(np.append(begin, len(hashes))).astype(np.int32)
+            hashes = hashes[begin]
+            cut = [*np.searchsorted(hashes, np.arange(1 << k, dtype=np.uint64) << np.uint64(64 - k)).tolist(), len(hashes)]
             for b in np.flatnonzero(np.diff(cut)):
                 own = slice(cut[b], cut[b + 1])
+                tails = (hashes[own] >> np.uint64(24 - k)) & np.uint64((1 << 40) - 1)
                 yield pa.RecordBatch.from_pydict({
                     "bucket": pa.array([b], pa.int32()),
-                    "tails": [tails[own].tobytes()],
-                    "n": list_array(n[own].astype(np.int32), np.array([0, cut[b + 1] - cut[b]])),
+                    "tails": [tails.view(np.uint8).reshape(-1, 8)[:, :5].tobytes()],
+                    "n": list_array(n[own], np.array([0, cut[b + 1] - cut[b]])),
                 })
 
     def gather(table: pa.Table) -> pa.Table:
@@ -203,6 +211,16 @@ def pair_signatures(frequent: np.ndarray, n: int, need: int) -> np.ndarray:
 
 def signatures(sets: Sets, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """``(text, signature)`` pairs: similar texts, if not equal, share at least one."""
+    cut = [0, *(np.flatnonzero(np.diff(sets.first[1:] // SIGN_SHINGLES)) + 1).tolist(), len(sets.n)]
+    parts = []
+    for a, b in zip(cut[:-1], cut[1:]):
+        first = sets.first[a : b + 1]
+        text, sig = _signatures(Sets(sets.hashes[first[0] : first[-1]], first - first[0]), table)
+        parts.append((text + a, sig))
+    return tuple(np.concatenate(x) for x in zip(*parts))
+
+
+def _signatures(sets: Sets, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     cell = sets.hashes >> np.uint64(64 - TABLE_BITS)
     bit = np.uint8(7) - (cell & np.uint64(7)).astype(np.uint8)
     frequent = (table[cell >> np.uint64(3)] >> bit & 1).astype(bool)

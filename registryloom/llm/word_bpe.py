@@ -36,6 +36,8 @@ LEXICON_CHARS = 32
 MEMO_BYTES = 32_000_000
 #: Bytes that an entry takes besides its letters and ids.
 ENTRY_BYTES = 200
+#: Tokens whose letters are gathered at once.
+DECODE_TOKENS = 20_000
 #: Longer stretches are encoded where they occur and not kept.
 KEPT_CHARS = 64
 #: Words of up to so many bytes are merged side by side, in rows of these widths.
@@ -318,7 +320,7 @@ class Encoder:
             self.older, self.known, self.size = self.known, {}, 0
         new = self._missing(wanted)
         split = split_many(new, self.special) if new else []
-        words = self._missing(set(chain.from_iterable(split)))
+        words = sorted(self._missing(set(chain.from_iterable(split))))  # in order, lookups are faster
         self._keep(words, self._word_ids(words))
         known = self.known.__getitem__
         parted = [i for i, own in enumerate(split) if len(own) != 1 or own[0] is not new[i] and own[0] != new[i]]
@@ -353,11 +355,13 @@ class Encoder:
     def decode(self, ids: list[bytes]) -> list[str]:
         """The tokens of each text, joined by single spaces."""
         flat = np.frombuffer(b"".join(ids), np.uint32)
-        lengths = (self._ends[1:] - self._ends[:-1])[flat]
-        ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self._ends[flat] - ends + lengths, lengths)
-        whole = self._letters[at].tobytes()
-        first = np.concatenate([[0], ends])[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
+        ends = np.concatenate([[0], np.cumsum((self._ends[1:] - self._ends[:-1])[flat])])
+        letters = np.empty(ends[-1], np.uint8)
+        for i in range(0, len(flat), DECODE_TOKENS):
+            some, at = flat[i : i + DECODE_TOKENS], ends[i : i + DECODE_TOKENS + 1]
+            letters[at[0] : at[-1]] = self._letters[np.arange(at[0], at[-1]) + np.repeat(self._ends[some] - at[:-1], np.diff(at))]
+        whole = letters.tobytes()
+        first = ends[np.cumsum([0, *(len(i) // 4 for i in ids)])].tolist()
         return [whole[a : max(a, b - 1)].decode() for a, b in zip(first[:-1], first[1:])]
 
 

@@ -71,6 +71,9 @@ def test_cutoffs_are_proven_by_stratum(spark, make_docs):
     kept = q.kept_rows(docs, labels)
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r[0] for r in rows + few if r[0] not in bad or r[2] == "de"}
+    # Texts are measured once, by one Python worker a task, whatever the filter needs.
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "EvalPython" not in plan
 
 
 def test_good_texts_like_bad_ones_loosen_the_cutoff(spark, make_docs):

@@ -1,10 +1,12 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from registryloom.llm import shingle_join as sj
+from registryloom.llm.words import word_chunks
 
 from .conftest import sentence, words_of
 
@@ -156,3 +158,24 @@ def test_equal_groups_do_not_hide_members_in_whole_rows(spark, monkeypatch):
     texts = spark.range(0, 2, 1, 2).select(F.inline(F.when(F.col("id") == 0, first).otherwise(second)))
     groups = sj.meeting_groups(texts, spark.sparkContext.broadcast(np.zeros(1, np.uint8)), 1).collect()
     assert {r.doc for r in groups if r.gid == int(large)} == {1, 2, 3, 4, 5, 6, 100}
+
+
+def test_signatures_are_made_for_some_texts_at_once(monkeypatch):
+    rng = np.random.default_rng(8)
+    sizes = rng.integers(0, 60, 90)
+    hashes = [np.sort(rng.integers(0, 2**63, n, np.uint64)) for n in sizes]
+    sets = sj.Sets(np.concatenate(hashes), np.cumsum([0, *sizes]))
+    table = rng.integers(0, 256, 1 << (sj.TABLE_BITS - 3), np.uint8)
+    pairs = lambda found: sorted(zip(*(x.tolist() for x in found)))
+    want, whole, seen = pairs(sj._signatures(sets, table)), sj._signatures, []
+    monkeypatch.setattr(sj, "SIGN_SHINGLES", 200)
+    monkeypatch.setattr(sj, "_signatures", lambda s, t: seen.append(len(s.hashes)) or whole(s, t))
+    assert pairs(sj.signatures(sets, table)) == want
+    assert sum(seen) == sizes.sum() and max(seen) < 200 + 60
+    assert [len(x) for x in sj.signatures(sets.take(np.empty(0, int)), table)] == [0, 0]
+
+
+def test_words_are_hashed_a_few_texts_at_once():
+    texts = pa.RecordBatch.from_pydict({"text": ["one two " * 5_000] * 30})
+    sizes = [int(words.end[-1]) for _, words in word_chunks(iter([texts]))]
+    assert max(sizes) <= 300_000 and len(sizes) > 3
